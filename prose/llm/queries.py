@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pages, pii, pitman_yor, quality, tokens
+from . import chat, decontaminate, packing, pages, pii, pitman_yor, quality, repeats, tokens
 from .oracle import ORACLE
 from .support import documents
 
@@ -26,6 +27,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(nodes, last, tokenizer)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -57,6 +63,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_benchmark_decontamination, op5_pii, op6_best_fit_packing, op8_token_counts, op9_html_extraction, op10_lm_scoring)
+    f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_pii, op6_best_fit_packing, op8_token_counts, op9_html_extraction, op10_lm_scoring)
 }
 __all__ = ["ORACLE", "QUERIES"]
