@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .support import cut
 from .wordcache import WordCache
-from .wordhash import split_words, text_slices
+from .wordhash import fold, range_hash, split_words, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,24 +36,46 @@ def _cache(path: str) -> WordCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _CACHES[path] = WordCache(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+        _CACHES[path] = WordCache(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
     return _CACHES[path]
 
 
+def _pieces_of_words(data: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what is looked up: words, with one full stop or comma after an ASCII letter apart.
+
+    Such a mark is a pre-token of its own, so words are the same with and without it.
+    """
+    starts, ends = words.starts, words.ends
+    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)] | 0x20
+    apart = (ends - starts > 1) & ((last == 0x2E) | (last == 0x2C)) & (before >= 0x61) & (before <= 0x7A)
+    at = np.flatnonzero(apart) + 1
+    return np.insert(starts, at, ends[apart] - 1), np.insert(ends - apart, at, ends[apart])
+
+
 def document_ids(column: pa.Array, tokenizer: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, offsets) of slices of a text column: the ids of each text, then the end id.
 
-    The tokenizer must drop white space and never join across it, as word_bpe_49k does.
+    The tokenizer must fold case, drop white space and never join across it, as word_bpe_49k does.
     """
     cache = _cache(tokenizer)
     for row, stop, data, offsets in text_slices(column):
         words = split_words(data, offsets)
-        raw = data.tobytes()
-        slots, _ = cache.lookup(words.hashes, lambda i: raw[words.starts[i] : words.ends[i]].decode())
+        if len(words.starts):
+            starts, ends = _pieces_of_words(data, words)
+            # Case folds before the look-up, but for words that could be a special token in one case only.
+            folded = fold(data)
+            for k in np.flatnonzero(data == 0x3C):
+                w = np.searchsorted(starts, k, side="right") - 1
+                folded[starts[w] : ends[w]] = data[starts[w] : ends[w]]
+            raw = folded.tobytes()
+            slots, _ = cache.lookup(range_hash(folded, starts, ends), lambda i: raw[starts[i] : ends[i]].decode())
+            first = np.searchsorted(starts, offsets)
+        else:
+            slots, first = np.empty(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
         before = np.concatenate([[0], np.cumsum(cache.lengths(slots))])
-        ends = before[words.first[1:]]
-        ids = np.insert(cache.gather(slots), ends, END_ID)
-        yield row, ids, np.concatenate([[0], ends + np.arange(1, stop - row + 1)])
+        ends_of = before[first[1:]]
+        ids = np.insert(cache.gather(slots), ends_of, END_ID)
+        yield row, ids, np.concatenate([[0], ends_of + np.arange(1, stop - row + 1)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -61,7 +61,7 @@ class Counter:
                 else:
                     of.append(k)
                     rest.append(part)
-        for k, e in zip(of, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+        for k, e in zip(of, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             counts[k] += len(e.ids)
         return [[c] for c in counts]
 
@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
                 tokens = counter.count(data, offsets)
                 odd = [k for k in range(row, stop) if counter.odd(texts[k].as_py() or "")]
                 if odd:
-                    encoded = counter.library.encode_batch([texts[k].as_py() for k in odd], add_special_tokens=False)
+                    encoded = counter.library.encode_batch_fast([texts[k].as_py() for k in odd], add_special_tokens=False)
                     tokens[[k - row for k in odd]] = [len(e.ids) for e in encoded]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[row:stop], pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)],

@@ -8,15 +8,20 @@ it is full, which changes no result.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-MAX_WORDS = 400_000
+MAX_WORDS = 1_500_000
+#: Words handed to the tokenizer at once; it returns objects of more than a kilobyte a word.
+CHUNK = 4096
 
 
 class WordCache:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.encode = encode
         self._reset()
 
@@ -42,14 +47,15 @@ class WordCache:
             slots = np.full(len(keys), -1)
             new = np.arange(len(keys))
         if len(new):
-            lists = self.encode([word(int(i)) for i in first[new]])
             slots[new] = len(self.starts) - 1 + np.arange(len(new))
-            lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in lists for x in ids), dtype=np.int32, count=int(lengths.sum()))])
-            merged, rank = np.concatenate([self.keys, keys[new]]), np.concatenate([self.rank, slots[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.rank = merged[order], rank[order]
+            starts, ids = [self.starts], [self.ids]
+            for k in range(0, len(new), CHUNK):
+                lists = self.encode([word(i) for i in first[new[k : k + CHUNK]].tolist()])
+                starts.append(starts[-1][-1] + np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))))
+                ids.append(np.fromiter(chain.from_iterable(lists), dtype=np.int32))
+            self.starts, self.ids = np.concatenate(starts), np.concatenate(ids)
+            at = np.searchsorted(self.keys, keys[new])
+            self.keys, self.rank = np.insert(self.keys, at, keys[new]), np.insert(self.rank, at, slots[new])
         return slots[inverse], inverse
 
     def lengths(self, slots: np.ndarray) -> np.ndarray:

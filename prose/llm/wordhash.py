@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Upper bound of text bytes handled in one numpy call; a longer single text is one slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -78,6 +78,11 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         return mix64(raw + (ends - starts).astype(np.uint64) * _MULT[1 - seed])
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """A copy with A-Z in lower case."""
+    return _LOWER[data]
+
+
 @dataclass
 class Words:
     """Words of a slice of texts; ``first[i]:first[i + 1]`` are the words of text i."""
@@ -95,7 +100,7 @@ class Words:
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``lower`` folds A-Z only."""
     if lower:
-        data = _LOWER[data]
+        data = fold(data)
     n = len(data)
     word = np.zeros(n + 1, dtype=bool)
     word[:n] = ~_SPACE[data]
