@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pages, pii, pitman_yor, quality, repeats, tokens
+from . import chat, decontaminate, jaccard, packing, pages, pii, pitman_yor, quality, repeats, tokens
 from .oracle import ORACLE
 from .support import documents
 
@@ -50,6 +50,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -63,6 +67,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_pii, op6_best_fit_packing, op8_token_counts, op9_html_extraction, op10_lm_scoring)
+    f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_pii, op6_best_fit_packing, op7_jaccard_join, op8_token_counts, op9_html_extraction, op10_lm_scoring)
 }
 __all__ = ["ORACLE", "QUERIES"]
