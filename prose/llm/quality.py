@@ -91,7 +91,9 @@ def _with_repeated(df: DataFrame) -> DataFrame:
         lambda s, i: F.struct((s["n"] + F.least(i - s["last"], F.lit(3)).cast("long")).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
-    return df.withColumn("n_repeat_words", covered).drop("_at")
+    # A filter on the result must not be pushed below: it would carry these expressions into each other's
+    # lambdas and evaluate them for every element. No optimiser rule moves a filter past a random number.
+    return df.withColumn("n_repeat_words", F.when(F.rand(0) >= 0, covered)).drop("_at")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def judge(
     )
 
 
-def frequent_lines_removed(docs: DataFrame, **limits) -> DataFrame:
-    """The rows that ``judge`` keeps, unchanged in all columns. Rows without doc_id are judged by their base rule only."""
-    verdict = judge(docs, **limits).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+def kept_rows(docs: DataFrame, **limits) -> DataFrame:
+    """The rows that ``judge`` keeps, unchanged in all columns; of rows that share a doc_id all stay if one is kept."""
+    verdict = judge(docs, **limits).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept")).filter("kept")
     return docs.join(verdict, docs.doc_id.eqNullSafe(verdict["_id"]), "left_semi")
