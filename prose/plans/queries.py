@@ -529,7 +529,7 @@ def chat_compaction(spark, d):
     )
 
 
-@query("""SELECT conv_id, turn, role AS speaker, CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.75 END AS confidence FROM conversations""")
+@query("""SELECT conv_id, turn, role AS speaker, CAST(CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.75 END AS DOUBLE) AS confidence FROM conversations""")
 def decode_responses(spark, d):
     """Model answers, fenced or behind a reasoning block, read by schema; a confidence of 0 counts as unset."""
     body = F.to_json(F.struct(F.col("role").alias("speaker"), F.when(F.col("turn") % 4 == 0, 0.0).otherwise(0.75).alias("confidence")))
