@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cast, enrich, library, retrieve, segment, upsert
+from ..operators import cast, enrich, library, requests, retrieve, segment, upsert
 from ..sources import tables as S
 from ..streaming import jobs as streams
 from .views import with_views
@@ -540,6 +540,73 @@ def decode_responses(spark, d):
     )
 
 
+
+# Documents and requests
+
+
+@query(r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav)\b[^>]*>.*?</(script|style|nav)>|<!--.*?-->|<head\b.*?</head>', '', 'g'),
+          '<[^>]*>', chr(10), 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS sha,
+          regexp_replace(regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), '^\s+|\s+$', '', 'g') AS title FROM pages""")
+def html_sections(spark, d):
+    title = requests.section_title(F.col("html"), F.col("url"))
+    return S.table(spark, d, "pages").select("page_id", F.sha2(requests.markup_free(F.col("html")), 256).alias("sha"), title.alias("title"))
+
+
+@query("""SELECT page_id // 10 AS book, page_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS section_index FROM pages
+          QUALIFY page_id % 3 <> 0""".replace("FROM pages\n          QUALIFY page_id % 3 <> 0", "FROM pages WHERE page_id % 3 <> 0"))
+def toc_filter(spark, d):
+    docs = S.table(spark, d, "pages").select(F.floor(F.col("page_id") / 10).alias("book"), "page_id", F.col("page_id").alias("place"), (F.col("page_id") % 3 != 0).alias("in_toc"))
+    return requests.listed_documents(docs).select("book", "page_id", "section_index")
+
+
+@query("""SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos
+          FROM conversations WHERE text <> ''""")
+def text_lookup_fold(spark, d):
+    turns = S.table(spark, d, "conversations").filter("text <> ''")
+    per = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    chapters = per.select("conv_id", "x", F.col("x.text").alias("needles"), F.array_join("x.text", "\n").alias("text"))
+    found = requests.located(chapters).select("conv_id", F.explode(F.arrays_zip(F.col("x.turn").alias("turn"), F.col("positions").alias("pos"))).alias("y"))
+    return found.select("conv_id", "y.turn", "y.pos")
+
+
+@query()
+def chunk_overlap_invariants(spark, d):
+    """Of every retrieval chunk after the first of a document: words that it repeats from the chunk before, 64 or all of it."""
+    pars = segment.paragraphs(F.coalesce("text", F.lit("")))
+    rows = S.table(spark, d, "documents").select("doc_id", pars.alias("pars"), segment.retrieval_chunks(F.coalesce("text", F.lit(""))).alias("chunks"))
+    rows = rows.select("doc_id", "pars", F.posexplode("chunks").alias("chunk", "c"))
+    body = F.array_join(F.slice("pars", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), " ")
+    return rows.select("doc_id", "chunk", F.col("c.tokens").alias("words"), requests.overlap_words(body).alias("overlap"))
+
+
+@query("""SELECT novel, section_index, title, coalesce(array_to_string(list(title) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|'), '') AS summary,
+          count(*) OVER (PARTITION BY novel) AS total, (SELECT count(*) FROM people p WHERE p.novel = k.novel) AS cast_size FROM section_keys k""")
+def pass1_requests(spark, d):
+    rows = requests.pass1_requests(S.section_keys(spark, d), S.characters(spark, d))
+    size = F.coalesce(F.size(F.from_json("characters", "array<struct<name string>>")), F.lit(0)).cast("long")
+    return rows.select("novel", "section_index", "title", "summary", "total", size.alias("cast_size"))
+
+
+@query("""SELECT novel, sequence_number, left(coalesce(lag(original_text) OVER n, ''), 800) AS before, left(coalesce(lead(original_text) OVER n, ''), 500) AS ahead,
+          coalesce(array_to_string(list(speaker_name) OVER (PARTITION BY novel, section_index ORDER BY sequence_number ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '|'), '') AS history
+          FROM entries WINDOW n AS (PARTITION BY novel ORDER BY sequence_number)""")
+def pass2_requests(spark, d):
+    return requests.pass2_requests(S.dialogue_entries(spark, d))
+
+
+@query("""SELECT conv_id, role AS name, CAST(max(turn) AS VARCHAR) AS status FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL""")
+def profile_and_event_rows(spark, d):
+    update = F.struct(F.col("role").alias("character_name"), F.col("turn").cast("string").alias("status"))
+    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", update.alias("u")))).alias("x"))
+    return requests.profile_rows(turns.select("conv_id", F.to_json("x.u").alias("answer")), ["user", "assistant"])
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript
+          FROM conversations WHERE turn > 1 GROUP BY 1""")
+def chat_requests(spark, d):
+    return requests.chat_requests(S.table(spark, d, "conversations"), 1)
+
+
 # Streams: run over all that is there; the final state is compared with the batch SQL
 
 
