@@ -13,8 +13,9 @@ document meets every automaton and no window is shuffled on its own:
    of anchors with several pieces, each window with the least doc_id that holds it, and streams all
    the pieces through to locate every occurrence. Words are letters of the automaton, numbered per
    automaton, so matches are exact, not by hash. An anchor with one piece needs none.
-   Anchors with more than ``SHARD_PIECES`` pieces (a passage in very many surroundings) would swell
-   a shard; their windows are resolved by a pre-aggregated count by 128-bit hash instead.
+   Windows of an anchor with more than ``SHARD_PIECES`` pieces (a passage in many surroundings) would
+   swell the automaton; they are told apart by 128-bit hashes, 16 bytes each, in the same task. From
+   ``WIDE_PIECES`` pieces on they are spread over tasks and counted, pre-aggregated, by that hash.
 4. Removal. Occurrences take the owners of their piece's windows; those before the document mark it.
 
 Cases with a defined result: null text has no words; rows without doc_id are left alone and mark
@@ -38,6 +39,7 @@ from .wordhash import Words, range_hash, sliding_min, split_words, text_slices
 WINDOW = 50
 PHRASE = 8
 SHARD_PIECES = 256
+WIDE_PIECES = 50_000
 #: Windows compiled into one automaton.
 AUTOMATON_WINDOWS = 10_000
 
@@ -144,14 +146,45 @@ _RUNS = "array<struct<a:int,b:int,owner:bigint>>"
 _RUNS_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("owner", pa.int64())]))
 
 
+def _window_hashes(pieces: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(first piece, piece of each window, window's place in it, its two hashes) of slices of pieces."""
+    for row, _, data, offsets in text_slices(pieces):
+        words = split_words(data, offsets)
+        size = np.diff(words.first) - WINDOW + 1
+        of = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        start = words.first[of] + at
+        yield row, of, at, [range_hash(words.hashes, start, start + WINDOW, seed=s) for s in (0, 1)]
+
+
+def by_hash(pieces: list[tuple[int, str]]) -> list[list[int]]:
+    """As ``locate``, for very many pieces: equal windows are found by sorting their 128-bit hashes."""
+    owner = np.array([o for o, _ in pieces])
+    parts = [(row + of, *hashes) for row, of, _, hashes in _window_hashes(pa.array([p for _, p in pieces], pa.string()))]
+    of, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((owner[of], h2, h1))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    least = np.empty(len(order), dtype=np.int64)
+    least[order] = owner[of[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return [x.tolist() for x in np.split(least, np.flatnonzero(np.diff(of)) + 1)]
+
+
 def _resolve_shards(pieces: DataFrame) -> DataFrame:
-    """(anchor, id, runs) of pieces whose rows are sorted by (anchor, owner) within each partition."""
+    """(anchor, id, runs) of pieces, a task holding all pieces of an anchor."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        many = [k for k, r in enumerate(rows) if (k and rows[k - 1][0] == r[0]) or (k + 1 < len(rows) and rows[k + 1][0] == r[0])]
-        runs = [[{"a": 0, "b": len(r[3]) - WINDOW + 1, "owner": r[2]}] for r in rows]
-        order = sorted(many, key=lambda k: rows[k][2])
-        for k, owners in zip(order, locate([(rows[k][2], rows[k][3]) for k in order]) if order else [], strict=True):
+        runs = [[{"a": 0, "b": r[3].count(" ") + 2 - WINDOW, "owner": r[2]}] for r in rows]
+        edges = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
+        several: list[int] = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a > SHARD_PIECES:
+                for k, owners in zip(range(a, b), by_hash([r[2:4] for r in rows[a:b]]), strict=True):
+                    runs[k] = _runs(owners)
+            elif b - a > 1:
+                several += range(a, b)
+        several.sort(key=lambda k: rows[k][2])
+        for k, owners in zip(several, locate([(rows[k][2], rows[k][3].split(" ")) for k in several]) if several else [], strict=True):
             runs[k] = _runs(owners)
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, _RUNS_ARROW)],
@@ -167,9 +200,8 @@ def _resolve_shards(pieces: DataFrame) -> DataFrame:
                 if windows >= AUTOMATON_WINDOWS and waiting[-1][0] != anchor:
                     yield solve(waiting)
                     waiting, windows = [], 0
-                words = piece.split(" ")
-                waiting.append((anchor, key, owner, words))
-                windows += len(words) - WINDOW + 1
+                waiting.append((anchor, key, owner, piece))
+                windows += piece.count(" ") + 2 - WINDOW
         if waiting:
             yield solve(waiting)
 
@@ -183,15 +215,10 @@ def _resolve_wide(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in ("anchor", "id", "owner")]
-            for row, _, data, offsets in text_slices(batch.column("piece")):
-                words = split_words(data, offsets)
-                size = np.diff(words.first) - WINDOW + 1
-                of = np.repeat(np.arange(len(size)), size)
-                at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                start = words.first[of] + at
-                hashes = [range_hash(words.hashes, start, start + WINDOW, seed=s).view(np.int64) for s in (0, 1)]
+            for row, of, at, hashes in _window_hashes(batch.column("piece")):
+                values = [pa.array(h.view(np.int64)) for h in hashes]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(k[row + of]) for k in keys), pa.array(at.astype(np.int32)), *map(pa.array, hashes)],
+                    [*(pa.array(k[row + of]) for k in keys), pa.array(at.astype(np.int32)), *values],
                     ["anchor", "id", "owner", "a", "h1", "h2"],
                 )
 
@@ -209,7 +236,7 @@ def marks(docs: DataFrame) -> DataFrame:
         found.groupBy("anchor", "id").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"))
     )
     counts = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("high").alias("high"))
-    wide = counts.filter(F.col("n") > SHARD_PIECES).select("anchor")
+    wide = counts.filter(F.col("n") > WIDE_PIECES).select("anchor")
     runs = _resolve_shards(pieces.join(wide, "anchor", "left_anti")).unionByName(_resolve_wide(pieces.join(wide, "anchor", "left_semi")))
     # Only pieces of documents after the first owner can have words to remove.
     placed = found.select("anchor", "id", "doc_id", "first").distinct().join(runs, ["anchor", "id"])
