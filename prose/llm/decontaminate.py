@@ -9,7 +9,7 @@ n words (ASCII upper case folded). The search runs inside the scan of the docume
    word under the pointer and a random bit of (word, j) says whether the pointer moves. Few edits
    become few differing steps. ``REPETITIONS`` independent walks, each sampled at ``BITS`` steps,
    give signatures; a window and an item that agree in one are a candidate. With agreement p per step
-   the recall is 1 - (1 - p**BITS)**REPETITIONS, 0.99 at p = 0.53; a leak has several windows.
+   the recall of one window is 1 - (1 - p**BITS)**REPETITIONS, 0.99 at p = 0.46; a leak has several windows.
 3. Each candidate is verified by the exact edit distance between the item and any stretch of the
    region (bit-parallel dynamic program).
 
@@ -37,12 +37,12 @@ from .wordhash import mix64, range_hash, split_words, text_slices
 
 MAX_EDIT_SHARE = 0.2
 MIN_ITEM_WORDS = 3
-REPETITIONS = 28
+REPETITIONS = 48
 BITS = 3
 BLOCK_ITEMS = 10_000
 #: Of the starts that pass the filter around one place, every so many-th is embedded; a start that is
 #: off by one word costs the walk one edit, and a leak has tens of starts.
-STRIDE = 4
+STRIDE = 3
 #: Windows embedded at once.
 FLUSH_WINDOWS = 8_192
 _TABLE_BITS = 20
