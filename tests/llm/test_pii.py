@@ -1,0 +1,63 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from prose.llm import pii
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def valid(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) < 256 for p in found.split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and pii.luhn(digits)
+    return kind == "email" or 10 <= len(digits) <= 15
+
+
+def base(text):
+    out = [(m.start(), k, m.end()) for i, k in enumerate(BASE) for m in BASE[k].finditer(text) if valid(k, m[0])]
+    return sorted(out, key=lambda x: (x[0], list(BASE).index(x[1])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a.@-+0 145(é%", max_size=60))
+def test_base_spans_are_those_of_the_patterns(text):
+    got = [(a, pii.KINDS[k], b) for a, b, k, _ in pii.spans(text) if k < 4]
+    assert got == base(text)
+
+
+def test_checksums_and_context():
+    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
+    assert pii.mod97("DE89 3704 0044 0532 0130 00") and not pii.mod97("DE89 3704 0044 0532 0130 01")
+    kinds = lambda t: [pii.KINDS[k] for _, _, k, _ in pii.spans(t)]
+    assert "iban" in kinds("IBAN DE89 3704 0044 0532 0130 00 THANKS")
+    assert kinds('token = "11acdfb36bb72224148e6160f674b4be45601bff"') == ["secret"]
+    assert kinds("plain 11acdfb36bb72224148e6160f674b4be45601bff") == []
+    assert kinds("SSN 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "1." * 100_000, "+" * 200_000, "@" * 200_000, "A1 " * 70_000])
+def test_long_runs_take_linear_time(text):
+    pii.spans(text)
+
+
+def test_query_columns_and_masking(make_docs):
+    texts = {1: "é a.b@c.de 10.0.0.1 +1 (555) 555-0199", 2: None, 3: "", 4: "4539578763621486 x@y.z"}
+    got = {r.doc_id: r for r in pii.digest(pii.find(make_docs(texts, extra=True))).collect()}
+    for i, t in texts.items():
+        found = ",".join(f"{k}:{a}:{b}" for a, k, b in base(t or ""))
+        assert got[i].base_sha256 == hashlib.sha256(found.encode()).hexdigest() and got[i].spans == found
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 1)
+    hidden = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(make_docs(texts)).collect()}
+    assert hidden[1] == ("é [EMAIL] [IP] [PHONE]", 22) and hidden[2] == (None, None) and hidden[4][0] == "[CARD] [EMAIL]"
+    assert pii.find(make_docs([])).count() == 0
