@@ -134,3 +134,9 @@ def test_merge_and_voices(spark):
     assert chosen[1] == 1 and chosen[2] == 1  # an unused actor ties with the best one, who comes first
     paths = spark.createDataFrame([("x/Ono_Anna_sad_low.wav",), ("y/Ono_Anna_SAD_high.wav",), ("Ryan_neutral.wav",), ("a.txt",)], "path string")
     assert {(r.actor, r.emotion): r.intensities for r in cast.sample_files(paths).collect()} == {("Ono_Anna", "sad"): ["high", "low"], ("Ryan", "neutral"): []}
+
+
+def test_character_references(spark):
+    from prose.operators import requests
+
+    assert value(spark, requests.unescaped(F.col("t")), t="a &amp; b &eacute;") == "a & b é"
