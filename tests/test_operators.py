@@ -1,5 +1,7 @@
 """Small hand-written cases of the operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,38 @@ def test_packing_of_sections_units_and_chunks(spark):
     assert numbers == [0, 0, 1, 1, 2]
 
 
+def packed(parts, limit):
+    out = []
+    for x in parts:
+        if out and len(out[-1]) + 1 + len(x) <= limit:
+            out[-1] += " " + x
+        else:
+            out.append(x)
+    return out
+
+
+def test_blocks_of_long_turns_against_brute_force(spark, tmp_path):
+    from hashlib import sha256
+
+    from prose.plans.queries import QUERIES
+
+    tale = lambda n, m: " ".join(" ".join(f"w{k}x{j}" for j in range(m)) + "." for k in range(n))
+    texts = ["Short one. And more.", "y" * 1400, "z" * 1401, tale(90, 9), tale(3, 400) + " End!\n" + tale(40, 20), 'He "said" ' + tale(60, 12)]
+    rows = [(c, t, role, x) for t, role in enumerate(("system", "user", "assistant")) for c, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = set()
+    for c, t, role, x in rows:
+        x = x.replace('"', "").replace("\n", " ")
+        parts = [s for s in re.split(r"(?<=[.!?])\s+", x) if s]
+        parts = packed([y for s in parts for y in (packed(s.split(" "), 1400) if len(s) > 1400 else [s])], 1400)
+        found = [(y, "action" if role == "system" else "dialogue") for y in (parts if len(x) > 1400 else [x])]
+        found += [("said the guide.", "narration")] if role == "assistant" else []
+        want |= {(c, t, at, kind, len(y), sha256(y.encode()).hexdigest()) for at, (y, kind) in enumerate(found)}
+    got = [tuple(r) for r in QUERIES["text_blocks_of_all_turns"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(at for _, _, at, *_ in want) > 3
+
+
 def test_upserts(spark):
     base = spark.createDataFrame([(1, "a", 1, None), (2, "b", 1, 5)], "k int, v string, version int, first int")
     delta = spark.createDataFrame([(1, "c", 2, 7), (3, "d", 2, 9), (2, "e", 2, 8)], "k int, v string, version int, first int")
