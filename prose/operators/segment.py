@@ -5,6 +5,10 @@ A section is one row, so all of this is row-local: arrays in, arrays out, nothin
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +120,10 @@ def rendered(blocks: Column) -> Column:
 
 
 def retrieval_chunks(text: Column, size: int = 512) -> Column:
-    """Greedy whole paragraphs up to ``size`` words: array<struct<first, last, tokens>> of paragraph numbers."""
+    """Greedy whole paragraphs up to ``size`` words: array<struct<first, last, tokens>> of paragraph numbers.
+
+    A paragraph over ``size`` stays whole and nothing overlaps; ``retrieval_spans`` has the whole rules.
+    """
     words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
     kind = "array<struct<first:int,last:int,tokens:int>>"
     start = F.struct(F.expr(f"cast(array() as {kind})").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("at"))
@@ -129,6 +136,77 @@ def retrieval_chunks(text: Column, size: int = 512) -> Column:
     return F.aggregate(sizes, start, step, lambda s: F.when(s["at"] > s["first"], F.concat(s["done"], F.array(one(s)))).otherwise(s["done"]))
 
 
+_SENTENCE = re.compile(r"""(?s).*?[.!?]["”’')\]]*(?:\s+|\Z)|.+\Z""")
+CHUNK_WORDS, OVERLAP_WORDS = 512, 64
+
+
+def _words(text: str) -> int:
+    return len(text.split())
+
+
+def _sentence_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [(start + m.start(), start + m.end()) for m in _SENTENCE.finditer(text[start:end]) if m.group().strip()]
+
+
+def _paragraph_spans(text: str) -> list[tuple[int, int]]:
+    def between(pattern: str) -> list[tuple[int, int]]:
+        breaks = [m.span() for m in re.finditer(pattern, text)]
+        ends = zip([0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)], strict=True)
+        return [(a, b) for a, b in ends if text[a:b].strip()]
+
+    spans = between(r"\n\s*\n")
+    return between(r"\n+") if len(spans) <= 1 and text.count("\n") > 5 else spans
+
+
+def _packed_spans(text: str, parts: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(start, end, words): neighbouring spans packed up to ``size`` words; one that is longer stays whole."""
+    out: list[tuple[int, int, int]] = []
+    for a, b in parts:
+        n = _words(text[a:b])
+        out.append((out.pop()[0], b, last + n) if out and (last := out[-1][2]) + n <= size else (a, b, n))
+    return out
+
+
+def chunk_spans(text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(char_start, body_start, char_end, tokens, repeated) of the chunks of one section, ends exclusive.
+
+    Whole paragraphs are packed up to ``size`` words; one that is longer closes the chunk before it and
+    is packed by sentences. From the second chunk on, char_start lies before the body, at the start
+    of those sentences of the body before that reach ``overlap`` words, or of all of it. tokens are the words of the body, repeated those before it.
+    """
+    bodies: list[tuple[int, int, int]] = []
+    run: list[tuple[int, int]] = []
+    for a, b in _paragraph_spans(text):
+        if _words(text[a:b]) > size:
+            bodies += _packed_spans(text, run, size) + _packed_spans(text, _sentence_spans(text, a, b), size)
+            run = []
+        else:
+            run.append((a, b))
+    bodies += _packed_spans(text, run, size)
+    out = []
+    for k, (a, b, n) in enumerate(bodies):
+        start, held = a, 0
+        for x, y in reversed(_sentence_spans(text, *bodies[k - 1][:2]) if k and overlap else []):
+            start, held = x, held + _words(text[x:y])
+            if held >= overlap:
+                break
+        out.append((start, a, b, n, held))
+    return out
+
+
+def retrieval_spans(sections: DataFrame, key: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """(key, chunks) of sections (key, text): ``chunk_spans`` of every section; null text has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("char_start", "body_start", "char_end", "tokens", "repeated")
+        for pdf in frames:
+            found = [[dict(zip(names, c, strict=True)) for c in chunk_spans(t or "", size, overlap)] for t in pdf["text"]]
+            yield pd.DataFrame({key: pdf[key], "chunks": found})
+
+    kind = "array<struct<char_start:int,body_start:int,char_end:int,tokens:int,repeated:int>>"
+    return sections.select(F.col(key).cast("long").alias(key), "text").mapInPandas(run, f"{key} long, chunks {kind}")
+
+
 def narration_units(text: Column, limit: int = UNIT_CHARS) -> Column:
     """Greedy sentences up to ``limit`` characters; the break eats closing quotes. Over-long sentences stay for ``cut_oversized``."""
     flat = T.strip(F.regexp_replace(text, r"\s+", " "))

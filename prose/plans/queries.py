@@ -355,6 +355,20 @@ def chunk_serials(spark, d):
     return segment.sequence_starts(counts).select("novel", "section_index", (F.col("start") + F.col("n")).alias("last_serial"))
 
 
+@query()
+def retrieval_chunk_spans(spark, d):
+    """Every chunk with its span, its overlap and its number in the novel.
+
+    ``retrieval_chunks`` and ``chunk_serials`` give what their SQL can count: paragraphs over 512
+    words stay whole there, and a section has as many serials as paragraphs, three at most.
+    """
+    spans = segment.retrieval_spans(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    # Chunks travel as numbers, with the counts that their serials are sums of.
+    keyed = S.section_keys(spark, d).join(spans, "doc_id").select("novel", "section_index", "doc_id", F.size("chunks").cast("long").alias("n"), "chunks")
+    placed = segment.sequence_starts(keyed).select("novel", "section_index", "doc_id", "start", F.posexplode("chunks").alias("chunk", "c"))
+    return placed.select("novel", "section_index", "doc_id", "chunk", (F.col("start") + F.col("chunk")).alias("serial"), "c.char_start", "c.body_start", "c.char_end", "c.tokens")
+
+
 @query("""SELECT vec_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(h, 17, 1))::INT & 3), 1)
           || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT vec_id, sha1(unhex('b6f1e3a20c4d4e6f8a1b2c3d4e5f6a7b') || encode('uuid-' || vec_id % 3 || ':' || vec_id)) AS h FROM embeddings)""")
 def chunk_ids(spark, d):
@@ -578,12 +592,10 @@ def text_lookup_fold(spark, d):
 
 @query()
 def chunk_overlap_invariants(spark, d):
-    """Of every retrieval chunk after the first of a document: words that it repeats from the chunk before, 64 or all of it."""
-    pars = segment.paragraphs(F.coalesce("text", F.lit("")))
-    rows = S.table(spark, d, "documents").select("doc_id", pars.alias("pars"), segment.retrieval_chunks(F.coalesce("text", F.lit(""))).alias("chunks"))
-    rows = rows.select("doc_id", "pars", F.posexplode("chunks").alias("chunk", "c"))
-    body = F.array_join(F.slice("pars", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), " ")
-    return rows.select("doc_id", "chunk", F.col("c.tokens").alias("words"), requests.overlap_words(body).alias("overlap"))
+    """Of every retrieval chunk: its words, and those that it repeats from the chunk before: 64 at least, or all of it."""
+    spans = segment.retrieval_spans(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = spans.select("doc_id", F.posexplode("chunks").alias("chunk", "c"))
+    return rows.select("doc_id", "chunk", F.col("c.tokens").alias("words"), F.col("c.repeated").alias("overlap"))
 
 
 @query("""SELECT novel, section_index, title, coalesce(array_to_string(list(title) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|'), '') AS summary,

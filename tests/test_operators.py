@@ -117,6 +117,36 @@ def test_blocks_of_long_turns_against_brute_force(spark, tmp_path):
     assert max(at for _, _, at, *_ in want) > 3
 
 
+def test_retrieval_spans(spark, tmp_path):
+    from prose.plans.queries import QUERIES
+
+    said = lambda n, m, x: " ".join(" ".join(f"{x}{k}é{j}" for j in range(m)) + "." for k in range(n))
+    long, small = said(60, 20, "l"), [said(10, 20, x) for x in "abcd"]
+    texts = {0: "\n\n".join([small[0], small[1], long, *small[2:]]), 1: "", 2: said(1, 700, "g") + " " + said(3, 5, "h"), 3: None, 4: "One. Two!\n\n Three?"}
+    df = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(QUERIES["retrieval_chunk_spans"](spark, str(tmp_path)).collect(), key=lambda r: r.serial)
+    assert [(r.doc_id, r.chunk, r.serial) for r in rows] == [(0, k, k) for k in range(5)] + [(2, 0, 5), (2, 1, 6), (4, 0, 7)]
+    # Two paragraphs; 25, 25 and 10 sentences of the long one; two paragraphs; a giant sentence alone.
+    assert [r.tokens for r in rows] == [400, 500, 500, 200, 400, 700, 15, 3]
+    shown = {}
+    for r in rows:
+        text, before = texts[r.doc_id], shown.get(r.doc_id)
+        body, overlap = text[r.body_start : r.char_end], text[r.char_start : r.body_start]
+        assert len(body.split()) == r.tokens and (r.tokens <= 512 or r.doc_id == 2)
+        if before is None:
+            assert not overlap
+        elif r.doc_id == 0:
+            assert overlap.split() == before[-80:]  # four sentences of 20 words are the least that reach 64
+        else:
+            assert overlap.split() == before
+        shown[r.doc_id] = body.split()
+    for i in (0, 2, 4):
+        assert [w for r in rows if r.doc_id == i for w in texts[i][r.body_start : r.char_end].split()] == texts[i].split()
+    seen = sorted((r.doc_id, r.chunk, r.words, r.overlap) for r in QUERIES["chunk_overlap_invariants"](spark, str(tmp_path)).collect())
+    assert [x[2] for x in seen] == [r.tokens for r in rows] and [x[3] for x in seen] == [0, 80, 80, 80, 80, 0, 700, 0]
+
+
 def test_upserts(spark):
     base = spark.createDataFrame([(1, "a", 1, None), (2, "b", 1, 5)], "k int, v string, version int, first int")
     delta = spark.createDataFrame([(1, "c", 2, 7), (3, "d", 2, 9), (2, "e", 2, 8)], "k int, v string, version int, first int")
