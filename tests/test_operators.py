@@ -147,6 +147,25 @@ def test_retrieval_spans(spark, tmp_path):
     assert [x[2] for x in seen] == [r.tokens for r in rows] and [x[3] for x in seen] == [0, 80, 80, 80, 80, 0, 700, 0]
 
 
+def test_finished_sections_over_many_unordered_files(spark, tmp_path):
+    import os
+
+    from prose.streaming import jobs
+
+    days = ["2025-06-01", "2024-01-01", "2025-03-01", "2024-09-01", "2025-06-02", "2024-01-02"]
+    kind = "event_id long, event_type string, props string, ts string"
+    for k, day in enumerate(days):
+        rows = [(0, "click", f'{{"k": {k % 4}}}', day), (0, "click", '{"k": 9}', day), (1, "view", '{"k": 1}', day)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/out{k}")
+        part = next(x for x in (tmp_path / f"out{k}").iterdir() if x.suffix == ".parquet")
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.rename(part, f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    events = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = jobs.finished(jobs.finished_sections(events), "complete", "finished_sections_unordered")
+    assert [tuple(r) for r in got.collect()] == [(0, 5)]
+
+
 def test_upserts(spark):
     base = spark.createDataFrame([(1, "a", 1, None), (2, "b", 1, 5)], "k int, v string, version int, first int")
     delta = spark.createDataFrame([(1, "c", 2, 7), (3, "d", 2, 9), (2, "e", 2, 8)], "k int, v string, version int, first int")
