@@ -14,12 +14,11 @@ base AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(
          length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
          FROM w LEFT JOIN covered USING (doc_id)),
-line AS (SELECT doc_id, host, i, lines[i] AS raw, trim(regexp_replace(lower(lines[i]), '[0-9]+', '0', 'g')) AS line,
-         CASE WHEN i > 1 THEN trim(regexp_replace(lower(lines[i - 1]), '[0-9]+', '0', 'g')) ELSE chr(0) END AS before
-         FROM (SELECT doc_id, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM w)),
-once AS (SELECT doc_id, host, line, arg_min(before, i) AS context, sum(length(raw)) AS chars FROM line GROUP BY ALL),
-frequent AS (SELECT host, line FROM once GROUP BY ALL HAVING count(*) > 20 AND count(DISTINCT context) > 20),
-removed AS (SELECT doc_id, sum(chars) AS chars FROM once JOIN frequent USING (host, line) GROUP BY 1),
+line AS (SELECT DISTINCT host, text, trim(regexp_replace(lower(l), '[0-9]+', '0', 'g')) AS line FROM (SELECT host, text, unnest(lines) AS l FROM w)),
+frequent AS (SELECT host, line FROM line GROUP BY ALL HAVING count(*) > 20),
+gone AS (SELECT host, list(line) AS gone FROM frequent GROUP BY 1),
+removed AS (SELECT doc_id, list_sum(list_transform(list_filter(lines, lambda l: list_contains(coalesce(gone, []), trim(regexp_replace(lower(l), '[0-9]+', '0', 'g')))),
+            lambda l: length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')))) AS chars FROM w LEFT JOIN gone USING (host)),
 judged AS (SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(chars, 0) AS gone
            FROM base LEFT JOIN removed USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

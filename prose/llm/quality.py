@@ -1,29 +1,35 @@
 """Quality rules with cross-document line frequency, on DataFrame functions only.
 
+A document's lines are normalised and hashed; a line is frequent in its host if it stands in more than
+``MAX_LINE_DOCUMENTS`` different documents there. Exact copies are one document: a document is its
+text, by a 128-bit signature. Frequent lines are removed, and a document that loses more than
+``MAX_REMOVED_SHARE`` of its characters is depleted and rejected.
+
 Cases with a defined result: null or blank text has no words, fails the base rule and is rejected;
-a null host counts as a host of its own; repeated rows are judged one by one (exact copies do not
-make a line frequent, see ``line_counts``); an empty table gives an empty result; extra columns of
-the input are ignored.
+a null host counts as a host of its own; repeated rows are judged one by one and alike; a very long
+text costs a sort of its windows and nothing that grows with their square; a line at the limit itself is
+not frequent, and a document at the share itself is kept; an empty table gives an empty result; extra
+columns of the input are ignored by ``judge`` and kept by ``kept_rows``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut, words_of
+from .support import words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A line is frequent in its host if it stands in more than this many documents ...
+#: A line is frequent in its host if it stands in more than this many different documents.
 MAX_LINE_DOCUMENTS = 20
-#: ... and after more than this many different lines. A line of copied documents always follows the same line.
-MAX_LINE_CONTEXTS = 20
-#: A document is depleted if removing frequent lines takes more than this share of its words.
+#: A document is depleted if removing frequent lines takes more than this share of the characters of its words.
 MAX_REMOVED_SHARE = 0.5
+#: Columns that stand for a document: its host and the signature of its text.
+_KEY = ["_host", "_sig1", "_sig2"]
 
 
 def _lines(text: Column) -> Column:
@@ -96,8 +102,8 @@ def _with_repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.rand(0) >= 0, covered)).drop("_at")
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id and the base columns of every row; nothing is shuffled."""
+def base_features(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, the base columns and the columns ``also`` of every row; nothing is shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
     symbols = reduce(add, [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in SYMBOLS])
     df = docs.select(
@@ -105,6 +111,7 @@ def base_features(docs: DataFrame) -> DataFrame:
         words_of(F.col("text")).alias("_words"),
         _lines(F.col("text")).alias("_lines"),
         symbols.cast("long").alias("n_symbols"),
+        *also,
     )
     df = df.withColumns(
         {
@@ -116,92 +123,81 @@ def base_features(docs: DataFrame) -> DataFrame:
     df = _with_repeated(df)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *also
+    )
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """Adds the key of a document: host and two hashes of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns(
+        {"_host": F.coalesce(F.col("source"), F.lit("")), "_sig1": F.xxhash64(text), "_sig2": F.xxhash64(F.lit(7), text)}
     )
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(normalise_line(line))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, at, line_hash, context, chars): every line that holds a word.
+    """(key, line_hash): every different line of every different document once."""
+    hashes = F.array_distinct(F.transform(_lines(F.col("text")), _line_hash))
+    return _signed(docs).select(*_KEY, F.explode(hashes).alias("line_hash")).distinct()
 
-    ``line_hash`` is that of the normalised line, ``context`` that of the line before it in the
-    document, ``chars`` its length.
-    """
-    df = docs.select(
-        "doc_id",
-        F.coalesce(F.col("source"), F.lit("")).alias("host"),
-        F.transform(
-            _lines(F.col("text")),
-            lambda x: F.struct(
-                F.xxhash64(normalise_line(x)).alias("h"),
-                F.length(x).alias("n"),
-            ),
-        ).alias("_line"),
-    )
-    first = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n")))
-    df = df.withColumn("_before", F.slice(F.concat(first, "_line"), F.lit(1), F.size("_line")))
-    df = df.select("doc_id", "host", F.posexplode(F.arrays_zip("_line", "_before")).alias("at", "x"))
-    return df.select(
-        "doc_id",
-        "host",
-        "at",
-        F.col("x._line.h").alias("line_hash"),
-        F.col("x._before.h").alias("context"),
-        F.col("x._line.n").alias("chars"),
-    )
 
+def frequent_lines(lines: DataFrame, max_documents: int = MAX_LINE_DOCUMENTS) -> DataFrame:
+    """(host, line_hash) of lines of more than ``max_documents`` documents of a host, pre-aggregated before the shuffle."""
+    counted = lines.groupBy("_host", "line_hash").agg(F.count("*").alias("documents"))
+    return counted.filter(F.col("documents") > max_documents).select("_host", "line_hash")
 
-def frequent_lines(
-    lines: DataFrame, max_documents: int = MAX_LINE_DOCUMENTS, max_contexts: int = MAX_LINE_CONTEXTS
-) -> DataFrame:
-    """(host, line_hash) of lines above both limits; ``lines`` has a line of a document once.
 
-    Counts are pre-aggregated before each shuffle: documents into (host, line, context), these into
-    (host, line). Exact and near copies repeat a line after the same line, so a line counts as
-    boilerplate only if it also follows many different lines.
-    """
-    return (
-        lines.groupBy("host", "line_hash", "context")
-        .agg(F.count("*").alias("_n"))
-        .groupBy("host", "line_hash")
-        .agg(F.sum("_n").alias("documents"), F.count("*").alias("contexts"))
-        .filter((F.col("documents") > max_documents) & (F.col("contexts") > max_contexts))
-        .select("host", "line_hash")
+def depletions(docs: DataFrame, max_documents: int = MAX_LINE_DOCUMENTS) -> DataFrame:
+    """(key, gone): of every document that holds frequent lines, the hashes of those. Lines travel as hashes."""
+    lines = document_lines(docs)
+    found = lines.join(frequent_lines(lines, max_documents), ["_host", "line_hash"])
+    return found.groupBy(*[F.col(c).alias(f"{c}_") for c in _KEY]).agg(F.collect_set("line_hash").alias("_gone"))
+
+
+def _by_key(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """A join by key; a document that a third of all rows copy is one skewed key that adaptive execution splits."""
+    same = reduce(and_, [F.col(c) == F.col(f"{c}_") for c in _KEY])
+    return rows.join(other, same, how).drop(*[f"{c}_" for c in _KEY])
+
+
+def _judged(docs: DataFrame, max_documents: int, max_removed_share: float) -> DataFrame:
+    """What ``judge`` returns, with the key and the hashes of the document's frequent lines."""
+    chars = F.transform(
+        _lines(F.col("text")), lambda x: F.struct(_line_hash(x).alias("h"), F.length(F.translate(x, " \t\n\x0b\x0c\r", "")).cast("long").alias("n"))
     )
+    rows = _by_key(base_features(_signed(docs).withColumn("_line", chars), *_KEY, "_line"), depletions(docs, max_documents), "left")
+    removed = F.aggregate(F.filter("_line", lambda x: F.array_contains("_gone", x["h"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    out = rows.withColumn("n_frequent_chars", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(removed)).drop("_line")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_frequent_chars") <= max_removed_share * F.col("word_chars")))
 
 
-def judge(
-    docs: DataFrame,
-    max_documents: int = MAX_LINE_DOCUMENTS,
-    max_contexts: int = MAX_LINE_CONTEXTS,
-    max_removed_share: float = MAX_REMOVED_SHARE,
-) -> DataFrame:
-    """Every row's doc_id, base columns, n_frequent_chars and kept.
+def judge(docs: DataFrame, max_documents: int = MAX_LINE_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
+    """Every row's doc_id, base columns, n_frequent_chars (of frequent lines, without white space) and kept.
 
-    Text is never shuffled: lines travel as hashes, features as numbers. A document's lines are
-    folded to one row per line and kept in the shared folder, as both the count and the join read
-    them. The join is a plain equi-join on (host, line_hash), whose large partitions adaptive
-    execution splits. Rows that share a doc_id share their lines.
+    Text is never shuffled: lines travel as hashes and lengths, features as numbers.
     """
-    lines = cut(
-        document_lines(docs)
-        .groupBy("host", "line_hash", "doc_id")
-        .agg(F.min_by("context", "at").alias("context"), F.sum("chars").alias("chars"))
-    )
-    frequent = frequent_lines(lines, max_documents, max_contexts)
-    removed = (
-        lines.join(frequent, ["host", "line_hash"])
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.sum("chars").alias("n_frequent_chars"))
-    )
-    base = base_features(docs)
-    out = base.join(removed, base.doc_id.eqNullSafe(removed["_id"]), "left").drop("_id")
-    gone = F.coalesce(F.col("n_frequent_chars"), F.lit(0)).cast("long")
-    return out.withColumn("n_frequent_chars", gone).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("n_frequent_chars") <= max_removed_share * F.col("word_chars"))
-    )
+    return _judged(docs, max_documents, max_removed_share).drop(*_KEY, "_gone")
+
 
+def kept_rows(docs: DataFrame, max_documents: int = MAX_LINE_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
+    """The rows that ``judge`` keeps, with frequent lines removed from ``text`` and ``n_chars``, where there is one, set anew.
 
-def kept_rows(docs: DataFrame, **limits) -> DataFrame:
-    """The rows that ``judge`` keeps, unchanged in all columns; of rows that share a doc_id all stay if one is kept."""
-    verdict = judge(docs, **limits).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept")).filter("kept")
-    return docs.join(verdict, docs.doc_id.eqNullSafe(verdict["_id"]), "left_semi")
+    Verdicts are those of documents, so they are folded by key; the text is shuffled once, to its verdict.
+    """
+    judged = _judged(docs, max_documents, max_removed_share)
+    verdicts = judged.groupBy(*[F.col(c).alias(f"{c}_") for c in _KEY]).agg(F.max("kept").alias("_kept"), F.first("_gone").alias("_gone"))
+    whole = docs.select("text", "source", F.struct(*docs.columns).alias("_row"))
+    rows = _by_key(_signed(whole), verdicts.filter("_kept"), "inner")
+    spared = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("_gone", _line_hash(x))
+    out = {c: F.col(f"_row.{c}").alias(c) for c in docs.columns}
+    touched, clean = F.col("_gone").isNotNull(), F.array_join(F.filter(F.split("text", "\n"), spared), "\n")
+    out["text"] = F.when(touched, clean).otherwise(F.col("text")).alias("text")
+    out = rows.select(*out.values(), touched.alias("_touched"))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_touched"), size).otherwise(F.col("n_chars")))
+    return out.drop("_touched")
