@@ -1,10 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Each page is paired with its neighbour in URL-path order within its host; their text lines are
-aligned by a longest common subsequence, and lines they share are deleted as template text. Lines
-inside the page's article (``article``, ``main`` or ``role=main``) are its author's, so a shared line
-is deleted there only if its element marks it as page furniture; elements that are furniture by
-their tag, class or id are left out before. On pages without an article, differencing decides.
+Each page is paired with its neighbour in URL-path order within its host. All its visible lines, those of
+menus, footers and adverts like those of the article, are aligned with its neighbour's by a longest common
+subsequence, and lines that both share are deleted as template text. Structure speaks on two points only:
+a shared line inside the page's article (``article``, ``main`` or ``role=main``) stays, as neighbours often
+carry the same passage, and an element that its tag, class or id marks as furniture goes even where its
+line is the page's own. If a page has an article, what is left outside it goes too.
 
 Pairing moves page ids and paths only, alignment moves line hashes only. Hosts are no key of any
 shuffle: pages are range-partitioned by (host, path, page_id), neighbours are read off each sorted
@@ -13,7 +14,9 @@ all pages is spread like any other.
 
 Cases with a defined result: null or empty html has no text; null or odd urls form a host of their
 own; repeated rows of a page_id are extracted one by one, paired as
-one page (by its least host, path and lines); a page alone
+one page (by its least host, path and lines); of several longest alignments the one that matches
+later lines counts, and a text is shared wherever it stands on the page once one of its lines is aligned; a
+very long page is aligned in memory that grows with its lines, not with their square; a page alone
 in its host loses nothing to differencing; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -44,6 +47,8 @@ _FURNITURE = frozenset(
     "aside button datalist dialog footer form header head iframe input label menu meter nav noembed noframes noscript "
     "object optgroup option output progress script select style svg template textarea title canvas audio video".split()
 )
+#: What a reader never sees as text: no line of the page.
+_UNSEEN = frozenset("datalist head iframe noembed noframes noscript object script select style svg template textarea title canvas audio video".split())
 _MARKED = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|sidebar|signup|skip|social|"
@@ -58,107 +63,133 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it is the page's article."""
+def _marked(tag: str, attrs: str, in_article: bool = False) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether it is the page's article. A header inside the article holds its title."""
     values = {m[1].lower(): _html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
     role = values.get("role", "").lower()
     named = any(_MARKED.search(values.get(k, "")) for k in ("class", "id")) and tag not in ("body", "html", "main")
     hidden = "hidden" in values or values.get("aria-hidden") == "true"
     article = tag in ("article", "main") or role in ("main", "article")
-    return tag in _FURNITURE or role in _ROLES or named or hidden, article
+    by_tag = tag in _FURNITURE and not (in_article and tag in ("header", "hgroup"))
+    return by_tag or role in _ROLES or named or hidden, article
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, inside the article) of the blocks of a page that are no furniture, in order."""
-    out: list[tuple[str, bool]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, furniture, inside the article) of all visible lines of a page, in order.
+
+    A furniture element within a line, such as a button, is a line of its own and does not break the other.
+    """
+    out: list[tuple[str, bool, bool]] = []
+    parts: tuple[list[str], list[str]] = ([], [])
+    stack: list[tuple[str, bool, bool, bool]] = []
     opened: dict[str, int] = {}
-    skipped = inside = 0
+    skipped = inside = hidden = 0
     at, end = 0, len(page)
 
-    def close_block() -> None:
-        text = " ".join(_html.unescape("".join(parts)).split())
+    def close_line(furniture: bool) -> None:
+        text = " ".join(_html.unescape("".join(parts[furniture])).split())
         if text:
-            out.append((text, inside > 0))
-        parts.clear()
+            out.append((text, furniture, inside > 0))
+        parts[furniture].clear()
 
-    def add(a: int, b: int) -> None:
-        if not skipped and b > a:
-            parts.append(page[a:b])
+    def add(text: str) -> None:
+        if text and not hidden:
+            parts[skipped > 0].append(text)
 
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
-            add(at, end)
+            add(page[at:])
             break
-        add(at, m.start())
+        add(page[at : m.start()])
         at = m.end()
-        if m["cdata"] is not None and not skipped:
-            parts.append(m["cdata"])
+        add(m["cdata"] or "")
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if tag in _BLOCKS and not skipped:
-            close_block()
-        elif tag == "br" and not skipped:
-            parts.append(" ")
+        if tag in _BLOCKS:
+            close_line(skipped > 0)
+        elif tag == "br":
+            add(" ")
         if m["close"]:
             while opened.get(tag):
-                name, furniture, article = stack.pop()
+                name, furniture, article, unseen = stack.pop()
+                if furniture and skipped == 1:
+                    close_line(True)
                 opened[name] -= 1
                 skipped -= furniture
                 inside -= article
+                hidden -= unseen
                 if name == tag:
                     break
             continue
         if tag in _VOID or (m["attrs"].endswith("/") and tag not in _BLOCKS):
             continue
-        furniture, article = _marked(tag, m["attrs"])
+        furniture, article = _marked(tag, m["attrs"], inside > 0 and not skipped)
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            body = (at, stop.start() if stop else end)
+            body = page[at : stop.start() if stop else end]
             at = stop.end() if stop else end
             if not furniture:
-                add(*body)
+                add(body)
             continue
-        stack.append((tag, furniture, article and not furniture and not skipped))
+        stack.append((tag, furniture, article and not furniture and not skipped, tag in _UNSEEN))
         opened[tag] = opened.get(tag, 0) + 1
         skipped += furniture
         inside += stack[-1][2]
-    if not skipped:
-        close_block()
-    if any(a for _, a in out):
-        return [(t, a) for t, a in out if a]
+        hidden += stack[-1][3]
+    close_line(False)
+    close_line(True)
     return out
 
 
+def kept_lines(found: list[tuple[str, bool, bool]], shared: set[int]) -> list[str]:
+    """The lines of a page's main text: not shared unless in the article, no furniture, and of the article if there is one."""
+    left = [(t, a) for t, f, a in found if (a and not f) or (not f and line_hash(t) not in shared)]
+    return [t for t, a in left if a] or [t for t, _ in left]
+
+
 def line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``, by bit vectors: one addition per line of a."""
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``, by bit vectors: one addition per line of a."""
     place: dict[int, int] = {}
     for j, x in enumerate(b):
         place[x] = place.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    rows, v = [full], full
+    v = full
     for x in a:
         u = v & place.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out.append(i - 1)
-            i, j = i - 1, j - 1
-        elif length(i - 1, j) == length(i, j):
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return [0, *np.cumsum(bits == 0).tolist()]
+
+
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``: halves of a, solved one after the other (Hirschberg)."""
+    seen = set(a) & set(b)
+    at = [k for k, x in enumerate(a) if x in seen]
+    b = [x for x in b if x in seen]
+    out: list[int] = []
+    todo = [(at, b)]
+    while todo:
+        at, b = todo.pop()
+        while at and b and a[at[-1]] == b[-1]:
+            out.append(at[-1])
+            at, b = at[:-1], b[:-1]
+        if not at or not b:
+            continue
+        if len(at) == 1:
+            out += at if a[at[0]] in b else []
+            continue
+        half = len(at) // 2
+        one = _lengths([a[k] for k in at[:half]], b)
+        two = _lengths([a[k] for k in reversed(at[half:])], b[::-1])
+        cut_at = max(range(len(b) + 1), key=lambda j: one[j] + two[len(b) - j])
+        todo += [(at[:half], b[:cut_at]), (at[half:], b[cut_at:])]
+    return sorted(out)
 
 
 def _key(pages: DataFrame) -> DataFrame:
@@ -215,56 +246,53 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return both.select("page_id", F.coalesce("before", "after").alias("other")).filter("other is not null")
 
 
-def _parsed(pages: DataFrame, texts: bool) -> DataFrame:
-    kind = "array<struct<text string, article boolean>>" if texts else "array<long>"
+def _hashes(pages: DataFrame) -> DataFrame:
+    """(page_id, lines): hashes of a page's visible lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(h.as_py() or "") for h in batch.column(2)]
-            if texts:
-                value = pa.array(
-                    [[{"text": t, "article": a} for t, a in x] for x in found],
-                    pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_())])),
-                )
-            else:
-                value = pa.array([[line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), value], ["page_id", "url", "blocks"])
+            found = [[line_hash(t) for t, _, _ in lines(h.as_py() or "")] for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["page_id", "lines"])
 
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return source.mapInArrow(run, f"page_id long, url string, blocks {kind}")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, lines array<long>")
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
     """(page_id, shared): hashes of a page's lines that align with lines of its neighbour."""
-    lines = cut(_parsed(pages, texts=False).groupBy("page_id").agg(F.min("blocks").alias("lines")))
-    other = lines.select(F.col("page_id").alias("other"), F.col("lines").alias("other_lines"))
-    pairs = neighbours(pages).join(lines, "page_id").join(other, "other").select("page_id", "lines", "other_lines")
+    own = cut(_hashes(pages).groupBy("page_id").agg(F.min("lines").alias("lines")))
+    other = own.select(F.col("page_id").alias("other"), F.col("lines").alias("other_lines"))
+    pairs = neighbours(pages).join(own, "page_id").join(other, "other").select("page_id", "lines", "other_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found.append([a[k] for k in common_lines(a, b)])
+                found.append(sorted({a[k] for k in common_lines(a, b)}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["page_id", "shared"])
 
     return pairs.mapInArrow(run, "page_id long, shared array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
+    """page_id, url, text, n_chars of every row, and n_shared: its lines that differencing deleted.
+
+    Pages are parsed a second time here, which costs less than keeping their text in between.
+    """
     shared = shared_lines(pages).filter(F.size("shared") > 0).withColumnRenamed("page_id", "_id")
-    parsed = _parsed(pages, texts=True)
-    joined = parsed.join(shared, F.col("page_id") == F.col("_id"), "left").select("page_id", "url", "blocks", "shared")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    joined = source.join(shared, F.col("page_id") == F.col("_id"), "left").select("page_id", "url", "html", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for found, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = set(gone or ())
-                texts.append("\n\n".join(x["text"] for x in found if x["article"] or not gone or line_hash(x["text"]) not in gone))
+            texts, gone = [], []
+            for page, same in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                found, same = lines(page.as_py() or ""), set(same or ())
+                texts.append("\n\n".join(kept_lines(found, same)))
+                gone.append(sum(line_hash(t) in same and (f or not a) for t, f, a in found) if same else 0)
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))],
-                ["page_id", "url", "text", "n_chars"],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes), pa.array(gone, pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_shared"],
             )
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")
