@@ -1,12 +1,16 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
-Four base kinds (email, ip, card, phone) are found leftmost and without overlap per kind and kept as
-they are. The method adds kinds that a pattern alone would get wrong: IBANs confirmed by mod-97,
-secrets (long hexadecimal or base64 strings) and social security numbers, which need words nearby.
+Four base kinds (email, ip, card, phone) are found leftmost and without overlap per kind and always
+reported. The method adds kinds that a pattern alone would get wrong: IBANs confirmed by mod-97,
+secrets (runs of 20 or more key characters with a digit) and social security numbers. Every span has a
+score: its kind's start value, raised by words of the kind on either side and lowered by words that
+speak against it. Spans of the added kinds need ``MIN_SCORE``; a caller can ask it of the base kinds too.
 
 Cases with a defined result: null or empty text has no spans; repeated rows are treated one by one;
-an empty table gives an empty result; other columns are passed through untouched by ``mask`` and
-ignored by ``find``. All scans are linear in the text, however long its runs of digits or letters.
+spans of several kinds that start together come in the order of ``KINDS``; an empty table gives an empty
+result; other columns are passed through untouched by ``mask`` and ignored by ``find``. All scans are
+linear in the text, however long its runs of digits or letters, and no span has a greatest length but
+those that a standard sets.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order that breaks ties between spans that start together.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
+BASE_KINDS = 4
 #: Spans of the added kinds need this score.
 MIN_SCORE = 0.5
-#: Characters before a span in which context words count.
+#: Characters on either side of a span in which context words count.
 CONTEXT_CHARS = 60
+RAISED, LOWERED = 0.4, 0.3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,14 +39,23 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
-# Words that raise the score of a kind if they stand shortly before a span.
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+# Score of a kind by itself, and words nearby that raise it, in English, German, French and Spanish.
+_START_SCORE = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.2, "secret": 0.2}
 _CONTEXT = {
-    "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
-    "ssn": re.compile(r"(?i)\b(?:ssn|social security|tax id)\b"),
-    "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key)\b"),
+    kind: re.compile(rf"(?i)(?<!\w)(?:{words})(?!\w)")
+    for kind, words in {
+        "email": r"e-?mail|mail|contact|kontakt|correo|courriel|contacto",
+        "ip": r"ip|address|host|server|adresse|dirección|serveur|servidor",
+        "card": r"card|credit|visa|mastercard|amex|karte|kreditkarte|carte|tarjeta|crédito|crédit",
+        "phone": r"phone|tel|telephone|call|mobile|fax|telefon|anruf|handy|téléphone|appel|portable|teléfono|móvil|llamar",
+        "iban": r"iban|account|bank|transfer|konto|überweisung|compte|banque|virement|cuenta|banco|transferencia",
+        "ssn": r"ssn|social security|tax id|sozialversicherung(?:snummer)?|steuernummer|sécurité sociale|numéro fiscal|seguridad social|número fiscal",
+        "secret": r"token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|passwort|kennwort|schlüssel|geheimnis|mot de passe|clé|jeton|contraseña|clave|secreto",
+    }.items()
 }
-_BASE_SCORE = {"iban": 0.8, "ssn": 0.2, "secret": 0.2}
+# Fixed value: words nearby that speak against personal data.
+_AGAINST = re.compile(r"(?i)(?<!\w)(?:version|release|build|isbn|example|sample|beispiel|exemple|ejemplo|versión)(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -81,36 +96,50 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
-def _scored(kind: str, text: str, start: int) -> float:
-    near = _CONTEXT[kind].search(text, max(0, start - CONTEXT_CHARS), start)
-    return min(1.0, _BASE_SCORE[kind] + 0.4 * bool(near))
+def _scored(kind: str, text: str, start: int, end: int) -> float:
+    before, after = text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS]
+    near = lambda pattern: pattern.search(before) or pattern.search(after)
+    score = _START_SCORE[kind] + RAISED * bool(near(_CONTEXT[kind])) - LOWERED * bool(near(_AGAINST))
+    return min(1.0, max(0.0, round(score, 6)))
 
 
-def spans(text: str) -> list[tuple[int, int, int, float]]:
-    """(start, end, index in KINDS, score) of all spans by start, then kind; end is exclusive."""
-    out: list[tuple[int, int, int, float]] = []
+def _proposed(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, index in KINDS) of all spans that a pattern proposes and a checksum or range confirms."""
     if "@" in text:
-        out += [(a, b, 0, 1.0) for a, b in _emails(text)]
+        yield from ((a, b, 0) for a, b in _emails(text))
     first = _DIGIT.search(text)
     if not first:
-        return out
+        return
     at = first.start()
-    out += [(m.start(), m.end(), 1, 1.0) for m in _IP.finditer(text, at) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    for m in _IP.finditer(text, at):
+        if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split(".")):
+            yield m.start(), m.end(), 1
     for m in _CARD.finditer(text, at):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), m.end(), 2, 1.0))
+                yield m.start(), m.end(), 2
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 10 <= sum(map(m[0].count, "0123456789")) <= 15:
-                out.append((m.start(), m.end(), 3, 1.0))
-    for kind, pattern in ((4, _IBAN), (5, _SSN), (6, _SECRET)):
-        for m in pattern.finditer(text):
-            score = _scored(KINDS[kind], text, m.start())
-            size = _iban_length(m[0]) if kind == 4 else len(m[0])
-            if size and score >= MIN_SCORE:
-                out.append((m.start(), m.start() + size, kind, score))
+                yield m.start(), m.end(), 3
+    for m in _IBAN.finditer(text):
+        if size := _iban_length(m[0]):
+            yield m.start(), m.start() + size, 4
+    for m in _SSN.finditer(text):
+        yield m.start(), m.end(), 5
+    for m in _SECRET.finditer(text):
+        if _DIGIT.search(m[0]):
+            yield m.start(), m.end(), 6
+
+
+def spans(text: str, min_base_score: float = 0.0) -> list[tuple[int, int, int, float]]:
+    """(start, end, index in KINDS, score) of all spans by start, then kind; end is exclusive."""
+    out = []
+    for a, b, kind in _proposed(text):
+        score = _scored(KINDS[kind], text, a, b)
+        if score >= (min_base_score if kind < BASE_KINDS else MIN_SCORE):
+            out.append((a, b, kind, score))
     return sorted(out)
 
 
@@ -147,12 +176,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query from ``find``: counts of the base kinds, their digest and all spans."""
-    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:4]))
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:BASE_KINDS]))
     joined = lambda a: F.array_join(
         F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
     )
     kinds = F.col("spans.kind")
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:BASE_KINDS]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
