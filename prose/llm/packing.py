@@ -3,10 +3,13 @@
 All decisions depend on lengths alone, and there are at most ``capacity`` different ones, so the
 packing is computed on the histogram of lengths (at most 2048 numbers, whatever the input) and then
 dealt out to the pieces by their rank within their length. Ranks come from a window per (length,
-salt) plus the counts of the salts before, so that a length that many copies share is no hot key.
+salt) plus the counts of the salts before; a length has a salt for every ``TASK_PIECES`` pieces, so
+that one that many pieces share is no hot key.
 
 Cases with a defined result: null or empty text is one piece that holds the end id alone; repeated
-rows are packed each for itself; an empty table gives an empty result; extra columns are ignored.
+rows are packed each for itself; a very long text becomes as many pieces as it needs; pieces of equal
+length are interchangeable and go by doc_id and piece; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from .wordhash import fold, range_hash, split_words, text_slices
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 64
+#: Pieces that one task numbers; a length that more pieces share is numbered by several tasks.
+TASK_PIECES = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _CACHES: dict[str, WordCache] = {}
 
@@ -101,56 +105,50 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def reduce_and_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ([(length, times)], number of sequences) that hold every item of the histogram once.
+def _fullest(left: dict[int, int], room: int) -> int:
+    """The greatest sum of items of ``left`` that is at most ``room``, each used as often as it is there: a bit set of sums."""
+    sums, mask = 1, (1 << (room + 1)) - 1
+    for n, count in left.items():
+        count, step = min(count, room // n), 1
+        while count > 0:
+            step = min(step, count)
+            sums |= (sums << n * step) & mask
+            count, step = count - step, step * 2
+    return sums.bit_length() - 1
+
 
-    Reduction, from the longest item j down, with k the longest other item that fits beside it: j is
-    fixed alone if nothing fits; j and k are fixed together if they fill the sequence, if no second
-    item could fit beside j, or if k is at least as long as the best pair beside j (the set {j, k}
-    then dominates every other choice). What is left is packed best-fit decreasing.
+def reduction(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[tuple[int, int]], int]], dict[int, int]]:
+    """Patterns ([(length, times)], number of sequences) fixed for good, and the histogram of what is left.
+
+    From the longest item j down, with k the longest other item that fits beside it: {j} is fixed if
+    nothing fits beside j, and {j, k} if no set of other items that fits beside j is longer than k.
+    In any packing what lies beside j can then change places with k, so some best packing holds the
+    fixed set (Martello and Toth's dominance). Taking items away makes no sum greater, so all copies
+    of j meet k as long as there is one.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     patterns: list[tuple[list[tuple[int, int]], int]] = []
-
-    def take(*items: int) -> None:
-        need = {n: items.count(n) for n in items}
-        times = min(left[n] // t for n, t in need.items())
-        patterns.append((sorted(need.items(), reverse=True), times))
-        for n, t in need.items():
-            left[n] -= t * times
-            if not left[n]:
-                del left[n]
-
-    def has(n: int, used: list[int]) -> bool:
-        return left.get(n, 0) > used.count(n)
-
     for j in sorted(left, reverse=True):
         while j in left:
             room = capacity - j
-            fits = [n for n in sorted(left, reverse=True) if n <= room and has(n, [j])]
-            if not fits:
-                take(j)
-                continue
-            k = fits[0]
-            if k != room:
-                short = [n for n in reversed(fits)]
-                two = short[0] * 2 if has(short[0], [j, short[0]]) else short[0] + (short[1] if len(short) > 1 else capacity)
-                if two <= room and k < _best_pair(fits, room, lambda a, b: has(b, [j, a])):
-                    break
-            take(j, k)
-    return patterns + best_fit(left, capacity)
+            rest = {n: c - (n == j) for n, c in left.items() if n <= room and c > (n == j)}
+            k = max(rest, default=0)
+            if k < room and _fullest(rest, room) > k:
+                break
+            need = {j: 1} if not k else {j: 2} if j == k else {j: 1, k: 1}
+            times = min(left[n] // t for n, t in need.items())
+            patterns.append((sorted(need.items(), reverse=True), times))
+            for n, t in need.items():
+                left[n] -= t * times
+                if not left[n]:
+                    del left[n]
+    return patterns, left
 
 
-def _best_pair(fits: list[int], room: int, free) -> int:
-    """Largest sum of two free items within ``room``; ``fits`` falls."""
-    best, low = 0, len(fits) - 1
-    for a in fits:
-        while low >= 0 and a + fits[low] <= room:
-            low -= 1
-        for b in fits[low + 1 : low + 3]:
-            if a + b <= room and free(a, b):
-                best = max(best, a + b)
-    return best
+def reduce_and_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns that hold every item of the histogram once: the fixed ones, and best-fit decreasing of what is left."""
+    patterns, left = reduction(histogram, capacity)
+    return patterns + best_fit(left, capacity)
 
 
 def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -200,15 +198,19 @@ def _slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length."""
-    parts = cut(parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
+    parts = cut(parts)
+    # At most `capacity` rows reach the driver, whatever the input.
+    histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    slots = _slots(reduce_and_fit(histogram, capacity))
+    hot = [F.lit(x) for n, c in histogram.items() if c > TASK_PIECES for x in (n, c // TASK_PIECES + 1)]
+    salts = F.coalesce(F.element_at(F.create_map(*hot), F.col("length")), F.lit(1)) if hot else F.lit(1)
+    parts = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts).cast("int"))
     counts = parts.groupBy("length", "_salt").count()
+    # One row per length and TASK_PIECES pieces.
     before = counts.withColumn(
         "_before",
         F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).drop("count")
-    # At most `capacity` rows reach the driver, whatever the input.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    slots = _slots(reduce_and_fit(histogram, capacity))
     ranked = parts.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
     ).join(F.broadcast(before), ["length", "_salt"])

@@ -29,6 +29,48 @@ def test_reduction_and_fit_hold_every_item_once(histogram):
     assert bound <= bins <= plain + 1
 
 
+def fewest(items, capacity):
+    """Exact number of sequences, by trying every open sequence for the next longest item."""
+    items = sorted(items, reverse=True)
+    best = len(items)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= items[k]}:
+            at = rooms.index(r)
+            place(k + 1, [*rooms[:at], r - items[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9), st.integers(20, 40))
+def test_fixed_sets_cost_no_sequence(items, capacity):
+    items = [min(n, capacity) for n in items]
+    patterns, left = packing.reduction(Counter(items), capacity)
+    assert sum(t for _, t in patterns) + fewest(list(Counter(left).elements()), capacity) == fewest(items, capacity)
+
+
+def test_three_short_items_that_beat_the_longest_partner_stop_the_reduction():
+    assert packing.reduction({120: 1, 114: 1, 60: 1, 26: 4}, 200) == ([], {120: 1, 114: 1, 60: 1, 26: 4})
+    assert packing.reduction({150: 3, 50: 1, 40: 2}, 200)[1] == {}
+
+
+def test_hot_lengths_are_numbered_by_several_tasks(make_docs, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_PIECES", 7)
+    rows = packing.pack(packing.pieces(make_docs(["a b"] * 60 + ["word " * 2100] * 20), PATH)).collect()
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(rows) == len(places) == 100
+    assert all((s, o) in places or o == 0 for s, o in places)
+
+
 def test_pieces_and_places(make_docs, corpus):
     texts = corpus | {300: "word " * 5000, 301: "<|startoftext|> Don't <|END|> é.,x", 302: "A.", 303: ".", 304: "x," * 3000}
     tokenizer = Tokenizer.from_file(PATH)
