@@ -8,8 +8,8 @@ word (with the space before it, if any) is cut into pre-tokens once, those in th
 Texts in which cutting at ASCII white space could differ from the library (they hold other white
 space, or a special token's string) are counted by the library as a whole.
 
-Cases with a defined result: null or empty text has 0 bytes and 0 tokens; repeated rows are counted
-one by one; an empty table gives an empty result; extra columns are ignored.
+Cases with a defined result: null or empty text has 0 bytes and 0 tokens; a very long text is counted
+whole; a text of exactly the limit is not over it; repeated rows are counted one by one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +41,14 @@ def whole_tokens(tokenizer) -> frozenset[str]:
 
 
 class Counter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = whole_tokens(self.library)
+        self.whole = whole_tokens(self.library) if whole is None else whole
         self.cache = WordCache(self._counts)
 
     def _counts(self, words: list[str]) -> list[list[int]]:
@@ -106,17 +106,21 @@ class Counter:
         return OTHER_SPACE.search(text) is not None or any(s in text for s in self.specials)
 
 
-def _counter(path: str) -> Counter:
+def _counter(path: str, whole: frozenset[str] | None = None) -> Counter:
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, whole)
     return _COUNTERS[path]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row; nothing is shuffled."""
+    """doc_id, n_bytes, n_tokens and over_limit of every row; nothing is shuffled.
+
+    The proof runs once, before the job; its result, bounded by the vocabulary, is broadcast.
+    """
+    whole = docs.sparkSession.sparkContext.broadcast(Counter(tokenizer).whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = _counter(tokenizer, whole.value)
         for batch in batches:
             texts = batch.column(1)
             for row, stop, data, offsets in text_slices(texts):
