@@ -13,10 +13,16 @@ n words (ASCII upper case folded). The search runs inside the scan of the docume
 3. Each candidate is verified by the exact edit distance between the item and any stretch of the
    region (bit-parallel dynamic program).
 
+Items of more than ``PART_WORDS`` words are searched by parts of half that length and more: if an item
+is within a fifth of its words, some part is within a fifth of its own, so the recall of a long item is
+that of its parts, and each found part is verified as the whole item in the region around it.
+
 Items are the stated query set: they are handed to the scan in blocks of ``BLOCK_ITEMS``, whatever
 their number. Documents are never shuffled.
 
-Cases with a defined result: null or empty texts and items of fewer than three words match nothing;
+Cases with a defined result: null or empty texts and items match nothing; items of one or two words,
+which no edit may touch, match where they stand word for word; a text of any length is searched whole; all items that a document leaks
+are reported, with the least number of edits of any place;
 repeated rows and repeated items are reported one by one; an empty table on either side gives no
 row; a null item_id is an item like others; extra columns are ignored by ``leaks`` and kept by ``clean``.
 """
@@ -36,13 +42,14 @@ from pyspark.sql import functions as F
 from .wordhash import mix64, range_hash, split_words, text_slices
 
 MAX_EDIT_SHARE = 0.2
-MIN_ITEM_WORDS = 3
+#: Longer items are searched by parts.
+PART_WORDS = 80
 REPETITIONS = 48
 BITS = 3
 BLOCK_ITEMS = 10_000
 #: Of the starts that pass the filter around one place, every so many-th is embedded; a start that is
-#: off by one word costs the walk one edit, and a leak has tens of starts.
-STRIDE = 3
+#: off by one word costs the walk one edit, and a leak has tens of starts. Of short items every start is.
+STRIDE, STRIDE_WORDS = 3, 20
 #: Windows embedded at once.
 FLUSH_WINDOWS = 8_192
 _TABLE_BITS = 20
@@ -51,23 +58,35 @@ _PAD = np.uint64(0)
 
 @dataclass
 class Items:
-    """A block of items, grouped by size classes whose lengths differ by a quarter at most."""
+    """A block of items, cut into parts; parts are grouped by size classes whose lengths differ by a quarter at most.
+
+    Items of one word are held apart: they have no word pairs.
+    """
 
     ids: list
     words: list[np.ndarray]
+    parts: list[np.ndarray] = field(default_factory=list)
+    of: list[int] = field(default_factory=list)
     classes: list[np.ndarray] = field(default_factory=list)
     pairs: list[np.ndarray] = field(default_factory=list)
+    singles: dict[int, list[int]] = field(default_factory=dict)
 
     def __post_init__(self):
         groups = defaultdict(list)
         for k, w in enumerate(self.words):
-            groups[int(np.log(len(w)) / np.log(1.25))].append(k)
+            if len(w) == 1:
+                self.singles.setdefault(int(w[0]), []).append(k)
+                continue
+            for part in np.array_split(w, -(-len(w) // PART_WORDS)):
+                groups[int(np.log(len(part)) / np.log(1.25))].append(len(self.parts))
+                self.parts.append(part)
+                self.of.append(k)
         self.classes = [np.array(groups[g]) for g in sorted(groups)]
         for members in self.classes:
             table = np.zeros(1 << _TABLE_BITS, dtype=bool)
             for k in members:
-                at = np.arange(len(self.words[k]) - 1)
-                table[self.slot(range_hash(self.words[k], at, at + 2, seed=1))] = True
+                at = np.arange(len(self.parts[k]) - 1)
+                table[self.slot(range_hash(self.parts[k], at, at + 2, seed=1))] = True
             self.pairs.append(table)
 
     @staticmethod
@@ -78,10 +97,11 @@ class Items:
     def edits(n: int) -> int:
         return int(MAX_EDIT_SHARE * n + 1e-9)
 
-    def shape(self, c: int) -> tuple[int, int, int]:
-        """Of a class: window length, word pairs that a leak must share, shortest item."""
-        sizes = [len(self.words[k]) for k in self.classes[c]]
-        return max(n + self.edits(n) for n in sizes), min(n - 1 - 2 * self.edits(n) for n in sizes), min(sizes)
+    def shape(self, c: int) -> tuple[int, int, int, int]:
+        """Of a class: window length, word pairs that a leak must share, shortest part, and what may lie around a part."""
+        sizes = [len(self.parts[k]) for k in self.classes[c]]
+        around = max(len(self.words[self.of[k]]) + self.edits(len(self.words[self.of[k]])) - len(self.parts[k]) for k in self.classes[c])
+        return max(n + self.edits(n) for n in sizes), min(n - 1 - 2 * self.edits(n) for n in sizes), min(sizes), around
 
 
 def embed(windows: np.ndarray, steps: int, repetition: int, sampled: np.ndarray) -> np.ndarray:
@@ -143,8 +163,8 @@ class _Search:
         self.items = items
         self.signatures = []
         for c, members in enumerate(items.classes):
-            width, _, shortest = items.shape(c)
-            rows = _padded([items.words[k] for k in members], width)
+            width, _, shortest, _ = items.shape(c)
+            rows = _padded([items.parts[k] for k in members], width)
             of_class = []
             for r in range(REPETITIONS):
                 steps, sampled = _walks(shortest, r)
@@ -157,11 +177,16 @@ class _Search:
     def reset(self) -> None:
         self.windows = [[] for _ in self.items.classes]
         self.regions: list[tuple[int, np.ndarray]] = []
+        self.single: set[tuple[int, int]] = set()
         self.waiting = 0
 
     def add(self, row: int, words: np.ndarray, offsets: np.ndarray) -> None:
         """Windows of a slice that share enough word pairs with any item; ``row`` is that of the first text."""
         n = len(words)
+        if self.items.singles:
+            for k in np.flatnonzero(np.isin(words, np.fromiter(self.items.singles, dtype=np.uint64))):
+                doc = row + int(np.searchsorted(offsets, k, side="right")) - 1
+                self.single.update((doc, m) for m in self.items.singles[int(words[k])])
         if n < 2:
             return
         at = np.arange(n - 1)
@@ -172,7 +197,8 @@ class _Search:
             hit = table[slots]
             hit[ends] = False
             total = np.concatenate([[0], np.cumsum(hit)])
-            width, need, _ = self.items.shape(c)
+            width, need, shortest, around = self.items.shape(c)
+            stride = STRIDE if shortest >= STRIDE_WORDS else 1
             stop = np.minimum(at + width - 1, n - 1)
             start = np.flatnonzero(total[stop] - total[at] >= need)
             if not len(start):
@@ -182,9 +208,10 @@ class _Search:
             for a, b in zip(new, np.append(new[1:], len(start)), strict=True):
                 end = offsets[doc[a] + 1]
                 region = words[start[a] : min(start[b - 1] + width, end)]
-                self.regions.append((row + int(doc[a]), region))
+                whole = words[max(start[a] - around, offsets[doc[a]]) : min(start[b - 1] + width + around, end)]
+                self.regions.append((row + int(doc[a]), whole))
                 padded = np.concatenate([region, np.full(width + 1, _PAD)])
-                view = np.lib.stride_tricks.sliding_window_view(padded, width + 1)[start[a:b:STRIDE] - start[a]]
+                view = np.lib.stride_tricks.sliding_window_view(padded, width + 1)[start[a:b:stride] - start[a]]
                 self.windows[c].append((len(self.regions) - 1, view))
                 self.waiting += len(view)
 
@@ -202,8 +229,8 @@ class _Search:
                 low, high = np.searchsorted(keys, signature), np.searchsorted(keys, signature, side="right")
                 for k in np.flatnonzero(high > low):
                     candidates.update((int(region[k]), int(m)) for m in members[low[k] : high[k]])
-        out: dict[tuple[int, int], int] = {}
-        for k, m in candidates:
+        out: dict[tuple[int, int], int] = dict.fromkeys(self.single, 0)
+        for k, m in {(k, self.items.of[part]) for k, part in candidates}:
             row, words = self.regions[k]
             item = self.items.words[m]
             edits = best_edits(item, words)
@@ -238,7 +265,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
             split = split_words(data, offsets, lower=True)
             for k in range(row, stop):
                 own = split.hashes[split.first[k - row] : split.first[k - row + 1]]
-                if len(own) >= MIN_ITEM_WORDS:
+                if len(own):
                     ids.append(block[k][0])
                     words.append(own)
         if ids:
