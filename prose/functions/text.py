@@ -77,17 +77,60 @@ def strip_reasoning(text: Column) -> Column:
     return F.ltrim(F.regexp_replace(text, rf"(?is)<(?:{tags})>.*?(?:</(?:{tags})>|\z)", ""))
 
 
+def without_reasoning_blocks(text: Column) -> Column:
+    """An answer without whole reasoning blocks, and without one that is left open before the first brace."""
+    tags = "think|thought|reasoning|thought_process"
+    whole = strip(F.regexp_replace(text, rf"(?is)<({tags})>.*?</\1>", ""))
+    return strip(F.regexp_replace(whole, rf"(?is)^<(?:{tags})>[^{{]*", ""))
+
+
+def passage(text: Column, n: int = 600) -> Column:
+    """White space as single spaces, the first ``n`` characters."""
+    return F.substring(strip(F.regexp_replace(text, r"\s+", " ")), 1, n)
+
+
+def title_of_stem(stem: Column) -> Column:
+    """A title from a file's stem."""
+    return F.coalesce(F.nullif(F.initcap(F.trim(F.translate(stem, "_-", "  "))), F.lit("")), F.lit("Untitled"))
+
+
+def _tenths(x: Column) -> Column:
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
+def size_text(size: Column) -> Column:
+    """Bytes as a person reads them."""
+    units = ["B", "KB", "MB", "GB"]
+    shown = F.when(F.coalesce(size, F.lit(0)) == 0, "Unknown size")
+    for k, unit in enumerate(units):
+        shown = shown.when(size < 1024 ** (k + 1), F.concat(_tenths(size / F.lit(float(1024**k))), F.lit(f" {unit}")))
+    return shown.otherwise(F.concat(_tenths(size / F.lit(float(1024**4))), F.lit(" TB")))
+
+
+def date_text(time: Column) -> Column:
+    return F.coalesce(F.date_format(time, "yyyy-MM-dd HH:mm"), F.lit("Never"))
+
+
+def preview(text: Column, n: int = 140) -> Column:
+    """The first characters without tags, for a book without a cover."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>", "")
+    shown = F.concat(F.substring(strip(bare), 1, n), F.when(F.length(bare) > n, "...").otherwise(""))
+    return F.coalesce(F.nullif(shown, F.lit("")), F.lit("No text content available."))
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
 def overlap_score(a: Column, b: Column) -> Column:
-    """Share of common tokens of the larger set, and half a point if one text holds the other."""
+    """Share of common tokens of the larger set, and half a point if one text holds the other; an empty answer ``b`` scores nothing."""
+    b = strip(b)
     x, y = token_set(a), token_set(b)
     larger = F.greatest(F.size(x), F.size(y))
     la, lb = F.lower(a), F.lower(b)
     inside = F.contains(la, lb) | F.contains(lb, la)
-    return F.when(larger > 0, F.size(F.array_intersect(x, y)) / larger).otherwise(0.0) + F.when(inside, 0.5).otherwise(0.0)
+    score = F.when(larger > 0, F.size(F.array_intersect(x, y)) / larger).otherwise(0.0) + F.when(inside, 0.5).otherwise(0.0)
+    return F.when(strip(b) == "", 0.0).otherwise(score)
 
 
 def age_distance(a: Column, b: Column) -> Column:

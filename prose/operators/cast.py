@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -31,34 +30,149 @@ def voice_scores(characters: DataFrame) -> DataFrame:
     return pairs.select("novel", "character_id", "role", "actor_id", score.cast("int").alias("score"))
 
 
+# Roles in the order in which voices are given out; the first five have a voice of their own.
+ROLES = ("protagonist", "deuteragonist", "antagonist", "major", "narrator", "minor")
+RESERVED = ROLES[:5]
+
+
 def assign_voices(characters: DataFrame) -> DataFrame:
-    """(novel, character_id, actor_id): greedy by role, then id; a major role prefers an actor not yet used in the novel."""
-    order = "array('protagonist','deuteragonist','antagonist','major','minor')"
-    options = voice_scores(characters).groupBy("novel", "character_id", "role").agg(F.sort_array(F.collect_list(F.struct("actor_id", "score"))).alias("options"))
-    options = options.withColumn("rank", F.expr(f"coalesce(nullif(array_position({order}, role), 0), 9)"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        chosen = []
-        for rank, found in zip(pdf["rank"], pdf["options"], strict=True):
-            major = rank <= 4
-            best = max(found, key=lambda o: (o["score"] + (major and o["actor_id"] not in used), -o["actor_id"]))
-            used.add(best["actor_id"])
-            chosen.append(best["actor_id"])
-        return pd.DataFrame({"novel": pdf["novel"], "character_id": pdf["character_id"], "actor_id": chosen})
-
-    # A cast is small; the frame arrives in the order of assignment.
-    return options.groupBy("novel").applyInPandas(
-        lambda pdf: greedy(pdf.sort_values(["rank", "character_id"])), "novel int, character_id long, actor_id int"
+    """(novel, character_id, actor_id) of characters (novel, character_id, gender, age_range, role).
+
+    By role, then id, a character takes the best-scored actor, the first of equals; a reserved role
+    scores a point for an actor that none before it took, and takes it. Without an actor of the gender it is
+    the first one not taken, else the first. Only reserved roles depend on each other, so these alone are
+    folded per novel; the others are chosen row by row, given who is taken. Catch-all voices share the
+    novel's least used actor.
+    """
+    ids = F.array(*[F.lit(k + 1) for k in range(len(ACTORS))])
+    role = F.when(F.col("role").isin(*ROLES, "misc_voice"), F.col("role")).otherwise("minor")
+    people = characters.select("novel", "character_id", "gender", "age_range", role.alias("role"))
+    scored = voice_scores(people.filter("role <> 'misc_voice'")).groupBy("novel", "character_id").agg(
+        F.sort_array(F.collect_list(F.struct("actor_id", "score"))).alias("options")
+    )
+    options = people.filter("role <> 'misc_voice'").join(scored, ["novel", "character_id"], "left")
+    options = options.withColumn("options", F.coalesce("options", F.expr("cast(array() as array<struct<actor_id:int,score:int>>)")))
+
+    def choice(options: Column, taken: Column, bonus: int) -> Column:
+        free = lambda a: F.when(F.array_contains(taken, a), 0).otherwise(1)
+        best = F.array_max(F.transform(options, lambda o: F.struct((o["score"] + bonus * free(o["actor_id"])).alias("s"), (-o["actor_id"]).alias("a"))))
+        first = F.coalesce(F.get(F.filter(ids, lambda a: ~F.array_contains(taken, a)), F.lit(0)), F.lit(1))
+        return F.when(F.size(options) > 0, -best["a"]).otherwise(first).cast("int")
+
+    none = F.expr("cast(array() as array<int>)")
+    kind = "array<struct<character_id:bigint,actor_id:int>>"
+    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    major = options.filter(F.col("role").isin(*RESERVED)).groupBy("novel").agg(
+        F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "character_id", "options"))).alias("todo")
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        actor = choice(x["options"], s["taken"], 1)
+        given = F.struct(x["character_id"].cast("long").alias("character_id"), actor.alias("actor_id"))
+        return F.struct(F.concat(s["taken"], F.array(actor)).alias("taken"), F.concat(s["done"], F.array(given)).alias("done"))
+
+    folded = major.select("novel", F.aggregate("todo", F.struct(none.alias("taken"), F.expr(f"cast(array() as {kind})").alias("done")), step).alias("s"))
+    reserved = folded.select("novel", F.explode("s.done").alias("x")).select("novel", "x.character_id", "x.actor_id")
+    taken = folded.select("novel", F.array_distinct("s.taken").alias("taken"))
+    minor = options.filter(~F.col("role").isin(*RESERVED)).join(taken, "novel", "left")
+    minor = minor.select("novel", "character_id", choice(F.col("options"), F.coalesce("taken", none), 0).alias("actor_id"))
+    regular = reserved.unionByName(minor)
+    misc = people.filter("role = 'misc_voice'").select("novel", "character_id")
+    return regular.unionByName(misc.join(least_used(people.select("novel").distinct(), regular), "novel").select("novel", "character_id", "actor_id"))
+
+
+def least_used(novels: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(novel, actor_id): the actor with the fewest characters of a novel, those with none included; the first of equals."""
+    every = novels.select("novel", F.explode(F.sequence(F.lit(1), F.lit(len(ACTORS)))).alias("actor_id"))
+    uses = assigned.groupBy("novel", "actor_id").agg(F.count("*").alias("uses"))
+    counted = every.join(uses, ["novel", "actor_id"], "left")
+    return counted.groupBy("novel").agg(F.min_by("actor_id", F.struct(F.coalesce("uses", F.lit(0)), "actor_id")).alias("actor_id"))
+
+
+def voiced_lines(lines: DataFrame, characters: DataFrame, stock: DataFrame, default: str = "Sohee") -> DataFrame:
+    """Adds ``actor`` and ``sample`` to lines (novel, speaker_id, emotion, intensity).
+
+    The actor is the speaker's, else the narrator's, else ``default``; characters (novel, character_id,
+    actor, is_narrator). The sample is the exact one of ``stock`` (actor, emotion, intensity), else that of
+    the nearest intensity, else the actor's neutral one, else the default actor's; a line without any goes.
+    All pairs of actor, emotion and intensity are resolved once, in a table of a few hundred rows.
+    """
+    spark = lines.sparkSession
+    # Intensities to try, in order, for one that is missing.
+    near = {"low": ["low", "med", "high"], "med": ["med", "low", "high"], "high": ["high", "med", "low"]}
+    wanted = [(a, e, i, k, x) for a in sorted({n for n, *_ in ACTORS}) for e in T.EMOTIONS for i in T.INTENSITIES for k, x in enumerate([*near[i], None])]
+    tried = spark.createDataFrame(wanted, "actor string, emotion string, intensity string, at int, try string")
+    named = stock.select("actor", F.col("emotion").alias("_e"), F.coalesce("intensity", F.lit("")).alias("_i"))
+    own = (F.col("_e") == F.col("emotion")) & (F.col("_i") == F.col("try")) & (F.col("emotion") != "neutral")
+    neutral = (F.col("_e") == "neutral") & F.col("try").isNull()
+    found = tried.join(F.broadcast(named), "actor").filter(own | neutral)
+    file = F.concat_ws("_", "actor", "_e", F.nullif("_i", F.lit("")))
+    best = found.groupBy("actor", "emotion", "intensity").agg(F.min_by(file, "at").alias("_own"))
+    spare = named.filter((F.col("actor") == default) & (F.col("_e") == "neutral")).select(F.lit(f"{default}_neutral").alias("_spare")).limit(1)
+    voice = characters.select("novel", F.col("character_id").alias("speaker_id"), F.col("actor").alias("_speaker"))
+    narrator = characters.filter("is_narrator").groupBy("novel").agg(F.min_by("actor", "character_id").alias("_narrator"))
+    cast_ = lines.join(voice, ["novel", "speaker_id"], "left").join(narrator, "novel", "left")
+    cast_ = cast_.withColumn("actor", F.coalesce("_speaker", "_narrator", F.lit(default))).drop("_speaker", "_narrator")
+    keyed = cast_.withColumns({"_e": F.coalesce("emotion", F.lit("neutral")), "_i": F.coalesce("intensity", F.lit("low"))})
+    table = best.withColumnsRenamed({"emotion": "_e", "intensity": "_i"})
+    out = keyed.join(F.broadcast(table), ["actor", "_e", "_i"], "left").join(F.broadcast(spare), how="left")
+    return out.withColumn("sample", F.coalesce("_own", "_spare")).drop("_e", "_i", "_own", "_spare").filter("sample is not null")
+
+
+def stored_cast(characters: DataFrame, narrators: DataFrame) -> DataFrame:
+    """(novel, place, name, role, is_narrator): a novel's characters, its narrator and its catch-all voice.
+
+    narrators (novel, narrator_type, narrator_name). A narrator of type "character" is every character that
+    matches by name or alias, the last of them for good; a narrator that matches none, or of another type,
+    is an added NARRATOR.
+    """
+    named = characters.join(narrators, "novel", "left")
+    candidates = F.concat(F.array("name"), F.coalesce("aliases", F.expr("cast(array() as array<string>)")))
+    matches = F.exists(candidates, lambda c: T.names_match(F.trim("narrator_name"), F.trim(c)))
+    flagged = named.withColumn("is_narrator", (F.col("narrator_type") == "character") & F.coalesce(matches, F.lit(False)))
+    flagged = flagged.withColumn("is_narrator", F.coalesce("is_narrator", F.lit(False)))
+    told = flagged.filter("is_narrator").select("novel").distinct()
+    novels = characters.select("novel").unionByName(narrators.select("novel")).distinct()
+    extra = lambda df, place, name, role, tells: df.select(
+        "novel", F.lit(place).cast("long").alias("place"), F.lit(name).alias("name"), F.lit(role).alias("role"), F.lit(tells).alias("is_narrator")
+    )
+    last = 1 << 62
+    return (
+        flagged.select("novel", F.col("place").cast("long").alias("place"), "name", "role", "is_narrator")
+        .unionByName(extra(novels.join(told, "novel", "left_anti"), last, "NARRATOR", "narrator", True))
+        .unionByName(extra(novels, last + 1, "MISC_VOICE", "misc_voice", False))
     )
 
 
+def consolidated(found: DataFrame, accumulated: DataFrame) -> DataFrame:
+    """The consolidated cast, or the accumulated one of a novel whose consolidation lost all its characters."""
+    kept = found.select("novel").distinct()
+    return found.unionByName(accumulated.select(*found.columns).join(kept, "novel", "left_anti"))
+
+
 def speaker_lookup(characters: DataFrame) -> DataFrame:
     """(novel, key, character_id): names and aliases in lower case; a later character wins a key."""
     keys = characters.select("novel", "character_id", F.explode(F.concat(F.array("name"), "aliases")).alias("key"))
     return keys.groupBy("novel", F.lower("key").alias("key")).agg(F.max("character_id").alias("character_id"))
 
 
+def label_lookup(characters: DataFrame) -> DataFrame:
+    """(novel, key, speaker) of characters (novel, character_id, name, aliases, role, is_narrator).
+
+    Keys are names and aliases as they are and in lower case; a later character wins a key. The first
+    narrator owns NARRATOR, the first catch-all voice MISC_VOICE, and UNKNOWN is nobody: these win over names.
+    """
+    label = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))))
+    keys = characters.select("novel", "character_id", "name", label.alias("label")).withColumn("label", F.trim("label"))
+    fixed = lambda df, key: df.groupBy("novel").agg(F.min_by("name", "character_id").alias("name")).withColumns(
+        {"label": F.lit(key), "character_id": F.lit((1 << 62) + 1)}
+    )
+    nobody = characters.select("novel").distinct().withColumns({"name": F.lit("UNKNOWN"), "label": F.lit("UNKNOWN"), "character_id": F.lit((1 << 62) + 1)})
+    every = keys.unionByName(fixed(characters.filter("is_narrator"), "NARRATOR")).unionByName(fixed(characters.filter("role = 'misc_voice'"), "MISC_VOICE")).unionByName(nobody)
+    both = every.filter("label <> ''").select("novel", "character_id", "name", F.explode(F.array_distinct(F.array("label", F.lower("label")))).alias("key"))
+    return both.groupBy("novel", "key").agg(F.max(F.struct("character_id", "name")).alias("x")).select("novel", "key", F.col("x.name").alias("speaker"))
+
+
 def resolved(entries: DataFrame, lookup: DataFrame) -> DataFrame:
     """Adds the speaker's character, else the narrator for narration, thought and action, else the catch-all voice."""
     keyed = entries.withColumn("key", F.lower("speaker_name"))
@@ -86,31 +200,53 @@ def aligned(blocks: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     return chunk.select(*keys, F.explode(done).alias("x")).select(*keys, "x.block", "x.line").filter("line is not null")
 
 
+def _merged(rows: list[dict]) -> list[dict]:
+    """A cast from its mentions in order: see ``merge_characters``."""
+    rank = {r: k for k, r in enumerate(("protagonist", "deuteragonist", "antagonist", "major"))}
+    people: list[dict] = []
+    by_name: dict[str, int] = {}
+    for r in rows:
+        names = [r["name"], *r["aliases"]]
+        at = min((by_name[n.lower()] for n in names if n.lower() in by_name), default=None)
+        if at is None:
+            if r["kind"] == "update":
+                continue
+            at = len(people)
+            people.append({**r, "aliases": list(r["aliases"])})
+        elif r["kind"] == "update":
+            known = people[at]
+            known["aliases"] = sorted({*known["aliases"], *r["aliases"]} - {known["name"]})
+            for field in ("gender", "age_range"):
+                known[field] = r[field] if known[field] == "unknown" else known[field]
+            if r["description"].lower() not in known["description"].lower():
+                known["description"] = f"{known['description']} {r['description']}".strip()
+            if rank.get(r["role"], 4) < rank.get(known["role"], 4):
+                known["role"] = r["role"]
+        else:
+            continue
+        for n in (people[at]["name"], *people[at]["aliases"]):
+            by_name[n.lower()] = min(at, by_name.get(n.lower(), at))
+    return people
+
+
 def merge_characters(found: DataFrame) -> DataFrame:
-    """(novel, name, aliases, description) of (novel, section_index, place, name, aliases, description).
+    """(novel, name, aliases, gender, age_range, role, description) of mentions (novel, section_index, place, kind, and these).
 
-    In section order, a character that shares a name or alias with an earlier one is merged into it:
-    aliases unite without the own name, a new description is appended. One cast is one group.
+    In order of section and place, a new character whose name or alias, in any case, belongs to one before it is
+    dropped; an update goes to the first character that shares a name with it, or nowhere: aliases unite
+    without the own name, gender and age fill in where unknown, a description that is not part of the
+    known one is appended, and the more important role stays. One novel's mentions are one group.
     """
+    fields = ["name", "aliases", "gender", "age_range", "role", "description"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        people: list[dict] = []
-        by_name: dict[str, dict] = {}
-        for r in pdf.sort_values(["section_index", "place"]).itertuples():
-            names = [r.name, *r.aliases]
-            known = min((by_name[n.lower()] for n in names if n.lower() in by_name), key=lambda p: p["order"], default=None)
-            if known is None:
-                known = {"order": len(people), "name": r.name, "aliases": set(), "description": ""}
-                people.append(known)
-            known["aliases"] |= set(names) - {known["name"]}
-            if r.description and r.description not in known["description"]:
-                known["description"] = f"{known['description']} {r.description}".strip()
-            for n in names:
-                by_name.setdefault(n.lower(), known)
-        rows = [(pdf["novel"].iloc[0], p["name"], ",".join(sorted(p["aliases"])), p["description"]) for p in people]
-        return pd.DataFrame(rows, columns=["novel", "name", "aliases", "description"])
-
-    return found.groupBy("novel").applyInPandas(fold, "novel int, name string, aliases string, description string")
+        people = _merged(pdf.sort_values(["section_index", "place"]).to_dict("records"))
+        rows = [(pdf["novel"].iloc[0], *(",".join(p[f]) if f == "aliases" else p[f] for f in fields)) for p in people]
+        return pd.DataFrame(rows, columns=["novel", *fields])
+
+    text = {f: F.coalesce(f, F.lit("unknown" if f in ("gender", "age_range") else "")) for f in fields if f != "aliases"}
+    known = found.withColumns(text | {"aliases": F.coalesce("aliases", F.expr("cast(array() as array<string>)"))})
+    return known.groupBy("novel").applyInPandas(fold, "novel int, " + ", ".join(f"{f} string" for f in fields))
 
 
 def samples(spark: SparkSession) -> DataFrame:
@@ -121,6 +257,7 @@ def samples(spark: SparkSession) -> DataFrame:
 
 def sample_files(paths: DataFrame) -> DataFrame:
     """(actor, emotion, intensities) of file names ``{Actor}_{emotion}[_{intensity}].wav``."""
+    # Fixed value: how sample files are named.
     name = r"(?i)^([A-Za-z_]+?)_([a-z]+)(?:_(low|med|high))?\.wav$"
     got = [F.regexp_extract(F.regexp_extract("path", r"[^/]+$", 0), name, k) for k in (1, 2, 3)]
     rows = paths.select(got[0].alias("actor"), F.lower(got[1]).alias("emotion"), F.nullif(F.lower(got[2]), F.lit("")).alias("i")).filter("actor <> ''")

@@ -27,6 +27,31 @@ def as_of(events: DataFrame, entries: DataFrame, keys: list[str], at: str, value
     return filled.withColumnRenamed("_event", "event_id")
 
 
+def events_of_chunks(events: DataFrame, placed: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk, event_ids, max_spoiler_level): events in the chunk of the last entry at or before them, else in the first chunk.
+
+    placed (keys, sequence_number, chunk) are the entries with their chunk, events (keys, event_id,
+    sequence_number, spoiler_level); chunks without events have none and level 0.
+    """
+    at = as_of(events, placed, keys, "sequence_number", "chunk").select("event_id", F.col("chunk").alias("_chunk"))
+    first = chunks.groupBy(*keys).agg(F.min("chunk").alias("_first"))
+    owned = events.join(at, "event_id").join(first, keys).withColumn("chunk", F.coalesce("_chunk", "_first"))
+    per = owned.groupBy(*keys, "chunk").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("sequence_number", "event_id"))), lambda x: x["event_id"]).alias("event_ids"),
+        F.max(F.coalesce("spoiler_level", F.lit(0))).alias("max_spoiler_level"),
+    )
+    return chunks.select(*keys, "chunk").distinct().join(per, [*keys, "chunk"], "left").select(
+        *keys, "chunk", F.coalesce("event_ids", F.expr("cast(array() as array<bigint>)")).alias("event_ids"), F.coalesce("max_spoiler_level", F.lit(0)).alias("max_spoiler_level")
+    )
+
+
+def associated_names(placed: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk, names): distinct names of associated characters in first-seen order, from placed (keys, chunk, sequence_number, ids)."""
+    seen = placed.select(*keys, "chunk", "sequence_number", F.posexplode("ids").alias("at", "character_id")).join(names, "character_id")
+    first = seen.groupBy(*keys, "chunk", "name").agg(F.min(F.struct("sequence_number", "at")).alias("s"))
+    return first.groupBy(*keys, "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("s", "name"))), lambda x: x["name"]).alias("names"))
+
+
 def enriched(placed: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct speakers per chunk in the order of their first line, from (keys, chunk, sequence_number, speaker_name)."""
     first = placed.groupBy(*keys, "chunk", "speaker_name").agg(F.min("sequence_number").alias("s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def series_resolution(novels: DataFrame) -> DataFrame:
     """(novel, series_key, novel_number): the uuid of a series' first book, or a lone novel's own with number 1."""
@@ -32,7 +34,7 @@ def latest_profiles(profiles: DataFrame, up_to: int) -> DataFrame:
 def latest_profiles_of_series(profiles: DataFrame, novels: DataFrame, up_to_book: int) -> DataFrame:
     """Last profile of each character across a series up to a book."""
     books = novels.filter("series_id is not null").select("novel", "series_id", "book_order").filter(F.col("book_order") <= up_to_book)
-    best = profiles.join(F.broadcast(books), "novel").groupBy("series_id", "character_id")
+    best = profiles.join(books, "novel").groupBy("series_id", "character_id")
     best = best.agg(F.max(F.struct("book_order", "section_index", "id", "status")).alias("x"))
     return best.select("series_id", "character_id", "x.book_order", "x.section_index", "x.id", "x.status")
 
@@ -49,6 +51,43 @@ def percent_read(done, total):
     return F.when(total > 0, F.floor((done + 1) / total * 100)).otherwise(0).cast("long")
 
 
+def shelf(novels: DataFrame, sections: DataFrame, progress: DataFrame, archived: bool = False) -> DataFrame:
+    """Novels with the reader's section, number of sections and a preview of the first text; archived ones only if asked for.
+
+    progress (novel, section_index, updated_at): the latest row per novel counts.
+    """
+    per = sections.groupBy("novel").agg(F.count("*").alias("section_count"), F.min_by("text", "section_index").alias("_first"))
+    at = progress.groupBy("novel").agg(F.max(F.struct("updated_at", "section_index")).alias("_at"))
+    shown = novels if archived else novels.filter("not archived")
+    return shown.join(per, "novel", "left").join(at, "novel", "left").select(
+        *novels.columns, F.coalesce("_at.section_index", F.lit(0)).alias("progress_section"), F.coalesce("section_count", F.lit(0)).alias("section_count"),
+        T.preview(F.col("_first")).alias("preview"),
+    )
+
+
+def sections_with_novel(sections: DataFrame, novels: DataFrame) -> DataFrame:
+    """Every section with its novel's title, author and status."""
+    return sections.join(novels.select("novel", F.col("title").alias("novel_title"), "author", "status"), "novel")
+
+
+def to_index(novels: DataFrame, sections: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Novels to index: all, or the wanted ones, that are parsed and have a section."""
+    chosen = novels if wanted is None else novels.join(wanted.select("uuid").distinct(), "uuid", "left_semi")
+    return chosen.filter("parse_status = 'complete'").join(sections.select("novel").distinct(), "novel", "left_semi")
+
+
+def section_bounds(novels: DataFrame, entries: DataFrame) -> DataFrame:
+    """(novel, last_section, last_sequence, finished): -1 where a novel has no entries."""
+    per = entries.groupBy("novel").agg(
+        F.max("section_index").alias("last_section"), F.max("sequence_number").alias("last_sequence"), F.sort_array(F.collect_set("section_index")).alias("finished")
+    )
+    none = F.lit(-1)
+    return novels.select("novel").join(per, "novel", "left").select(
+        "novel", F.coalesce("last_section", none).alias("last_section"), F.coalesce("last_sequence", none).alias("last_sequence"),
+        F.coalesce("finished", F.expr("cast(array() as array<int>)")).alias("finished"),
+    )
+
+
 def listing(novels: DataFrame, sections: DataFrame) -> DataFrame:
     """Novels with their number of sections and the first section's title."""
     per = sections.groupBy("novel").agg(F.count("*").alias("sections"), F.min_by("title", "section_index").alias("first_title"))
@@ -57,7 +96,7 @@ def listing(novels: DataFrame, sections: DataFrame) -> DataFrame:
 
 def reading_percent(progress: DataFrame, sections: DataFrame) -> DataFrame:
     total = sections.groupBy("novel").agg(F.count("*").alias("total"))
-    return progress.join(F.broadcast(total), "novel", "left").select(
+    return progress.join(total, "novel", "left").select(
         "reader_id", "novel", percent_read(F.col("section_index"), F.coalesce("total", F.lit(0))).alias("percent")
     )
 
@@ -99,6 +138,12 @@ def resume_decision(status: DataFrame) -> DataFrame:
     return status.select("novel", decision.alias("decision"))
 
 
+def introduced(characters: DataFrame, progress: DataFrame) -> DataFrame:
+    """Characters (novel, first_section) that a reader at progress (novel, section_index) has met; without a first section all have."""
+    seen = F.col("first_section").isNull() | (F.col("first_section") <= F.coalesce("section_index", F.lit(0)))
+    return characters.join(progress.select("novel", "section_index"), "novel", "left").filter(seen).drop("section_index")
+
+
 def sidebar_order(characters: DataFrame, chats: DataFrame) -> DataFrame:
     """Characters by last chat, then role rank, then name, as ``place`` in their novel."""
     # Rank of roles in the sidebar; others come last.

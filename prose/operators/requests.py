@@ -41,13 +41,14 @@ def located(chapters: DataFrame) -> DataFrame:
     """(keys, positions): where each needle of array ``needles`` starts in ``text``, searched on from the one before.
 
     A needle that is not found after the cursor is looked for from the start, then by its first 48
-    characters after the cursor; else it takes the cursor. Positions count from 0.
+    characters after the cursor; it moves the cursor behind it. Else, and if it is empty, it takes the cursor
+    and leaves it there. Positions count from 0.
     """
-    fold = """aggregate(needles, struct(cast(array() as array<int>) as at, 0 as cursor), (s, n) -> named_struct(
-        'at', concat(s.at, array(coalesce(nullif(locate(n, text, s.cursor + 1), 0), nullif(locate(n, text), 0),
-                                          nullif(locate(substring(n, 1, 48), text, s.cursor + 1), 0), s.cursor + 1) - 1)),
-        'cursor', coalesce(nullif(locate(n, text, s.cursor + 1), 0), nullif(locate(n, text), 0),
-                           nullif(locate(substring(n, 1, 48), text, s.cursor + 1), 0), s.cursor + 1) - 1 + greatest(length(n), 1)), s -> s.at)"""
+    fold = """aggregate(needles, named_struct('at', cast(array() as array<int>), 'cursor', 0), (s, n) ->
+        transform(array(if(coalesce(n, '') = '', 0, coalesce(nullif(locate(n, text, s.cursor + 1), 0), nullif(locate(n, text), 0),
+                                                             locate(substring(n, 1, 48), text, s.cursor + 1)))), p -> named_struct(
+            'at', concat(s.at, array(if(p > 0, p - 1, s.cursor))),
+            'cursor', if(p > 0, p - 1 + greatest(length(n), 1), s.cursor)))[0], s -> s.at)"""
     return chapters.withColumn("positions", F.expr(fold))
 
 
@@ -82,13 +83,6 @@ def pass2_requests(entries: DataFrame) -> DataFrame:
     )
 
 
-def profile_rows(responses: DataFrame, known: list[str]) -> DataFrame:
-    """(conv_id, name, status) of JSON answers: unknown characters go, the last update of a character wins."""
-    updates = F.from_json("answer", "array<struct<character_name string, status string>>")
-    rows = responses.select("conv_id", F.posexplode(updates).alias("at", "u")).filter(F.col("u.character_name").isin(*known))
-    return rows.groupBy("conv_id", F.col("u.character_name").alias("name")).agg(F.max_by("u.status", "at").alias("status"))
-
-
 def chat_requests(messages: DataFrame, after: int) -> DataFrame:
     """(conv_id, transcript): the messages after a watermark in order, with roles as the model names them."""
     role = F.when(F.col("role") == "user", "user").otherwise("assistant")

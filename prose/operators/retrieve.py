@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRIEVE_K, RERANK_K, TOP_K = 40, 20, 8
@@ -10,32 +15,93 @@ ALPHA, DECAY, BOOK_DISTANCE = 0.15, 5.0, 1000
 RRF_K, K1, B = 60, 1.2, 0.75
 
 
-def unit(v: Column) -> Column:
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
-
-
 def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows per group. Spark keeps k rows per group and task before it shuffles them."""
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def gated(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs that a reader may see: same series, and no later than the reader's chapter. Applied before any ranking."""
-    seen = (F.col("novel_number") < F.col("novel_number_now")) | (
-        (F.col("novel_number") == F.col("novel_number_now")) & (F.col("chapter_index") <= F.col("current_chapter"))
-    )
-    return queries.join(chunks, "series_key").filter(seen)
+def visible(chunk_novel, chunk_chapter, novel, chapter):
+    """Whether a reader in a chapter of a novel may see a chunk: an earlier novel, or no later chapter of the same one."""
+    return (chunk_novel < novel) | ((chunk_novel == novel) & (chunk_chapter <= chapter))
+
+
+#: Queries that one scan of the chunks answers, and chunks that meet a block of queries at once.
+BLOCK_QUERIES, BLOCK_CHUNKS = 2_000, 4_096
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[list[dict]]:
+    """The stated queries in blocks of a bounded size."""
+    rows = queries.select("query", "series_key", "novel_number_now", "current_chapter", "query_embedding").toLocalIterator()
+    while block := list(islice(rows, BLOCK_QUERIES)):
+        yield [r.asDict() for r in block]
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """(query, chunk, score, rank): cosine similarity; vectors are normalised once, before the join."""
-    q = queries.withColumn("query_embedding", unit(F.col("query_embedding")))
-    c = chunks.withColumn("embedding", unit(F.col("embedding")))
-    dot = F.aggregate(F.zip_with("query_embedding", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = gated(q, c).withColumn("score", F.round(dot, 6)).drop("query_embedding", "embedding")
-    return top(scored, "query", "score", "chunk", k)
+    """(query, chunk, score, rank, ...): cosine similarity of what each reader may see; the gate comes before any ranking.
+
+    Chunks stay where they are: a block of queries is handed to the scan, every batch of chunks meets it in
+    one matrix product, and only the k best of each query and batch are shuffled.
+    """
+    schema = "query long, chunk long, novel_number_now int, current_chapter int, novel_number int, chapter_index int, score double"
+    source = chunks.select("chunk", "series_key", "novel_number", "chapter_index", "embedding")
+    out = None
+    for block in _query_blocks(queries):
+        asked = {c: np.array([q[c] for q in block]) for c in ("query", "series_key", "novel_number_now", "current_chapter")}
+        wanted = _unit_rows(np.array([q["query_embedding"] for q in block], dtype=np.float64))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_CHUNKS):
+                    part = batch.slice(at, BLOCK_CHUNKS)
+                    ids, series, novel, chapter = (part.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+                    vectors = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                    score = np.round(_unit_rows(vectors.astype(np.float64)) @ wanted.T, 6)
+                    gate = series[:, None] == asked["series_key"]
+                    gate &= visible(novel[:, None], chapter[:, None], asked["novel_number_now"], asked["current_chapter"])
+                    row, col = np.nonzero(gate)
+                    order = np.lexsort((ids[row], -score[row, col], col))
+                    row, col = row[order], col[order]
+                    place = np.arange(len(col)) - np.searchsorted(col, col)
+                    row, col = row[place < k], col[place < k]
+                    found = (asked["query"][col], ids[row], asked["novel_number_now"][col], asked["current_chapter"][col], novel[row], chapter[row], score[row, col])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _ARROW.types, strict=True)], _ARROW.names)
+
+        part = source.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = source.sparkSession.createDataFrame([], schema)
+    return top(out, "query", "score", "chunk", k)
+
+
+_ARROW = pa.schema(
+    [("query", pa.int64()), ("chunk", pa.int64()), ("novel_number_now", pa.int32()), ("current_chapter", pa.int32()),
+     ("novel_number", pa.int32()), ("chapter_index", pa.int32()), ("score", pa.float64())]
+)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(length > 0, length, 1.0)
+
+
+def reranked(hits: DataFrame, reranks: DataFrame, k: int = RERANK_K) -> DataFrame:
+    """The k best hits by a supplied score (query, chunk, rerank); a query whose reranking failed keeps its fusion scores."""
+    answered = reranks.filter("rerank is not null").select("query").distinct().withColumn("_ok", F.lit(True))
+    joined = hits.join(reranks.select("query", "chunk", "rerank"), ["query", "chunk"], "left").join(answered, "query", "left")
+    score = F.when(F.col("_ok"), F.coalesce("rerank", F.lit(0.0))).otherwise(F.col("score"))
+    return top(joined.withColumn("score", score).drop("rerank", "_ok", "rank"), "query", "score", "chunk", k)
+
+
+def featured(hits: DataFrame, names: DataFrame, k: int = 6) -> DataFrame:
+    """(query, chunk, place): passages that feature the asked character first, then by score.
+
+    hits (query, chunk, score, name), names (chunk, names): its speakers and associated characters.
+    """
+    joined = hits.join(names, "chunk", "left")
+    away = ~F.coalesce(F.exists("names", lambda n: F.lower(n) == F.lower("name")), F.lit(False))
+    order = Window.partitionBy("query").orderBy(away, F.desc("score"), "chunk")
+    return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query", "chunk", "place")
 
 
 def boosted(hits: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -54,17 +120,28 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("chunk", terms).groupBy("term", "chunk").agg(F.count("*").alias("tf"))
 
 
+#: Postings of a term that one task joins with the queries that ask for it.
+TERM_POSTINGS = 50_000
+
+
 def bm25(query_terms: DataFrame, texts: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """(query, chunk, score, rank) of (query, term): only postings of asked terms are shuffled by term."""
-    lengths = texts.select("chunk", F.size(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda t: t != "")).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    asked = postings(texts).join(query_terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    """(query, chunk, score, rank) of (query, term).
+
+    A chunk's length and its share of every asked term's score are row-local, so they travel with the
+    posting; a term with many postings is salted, its queries copied to each salt.
+    """
+    split = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda t: t != "")
+    stats = texts.agg(F.count("*").alias("n"), F.avg(F.size(split)).alias("mean"))
+    terms = texts.select("chunk", split.alias("_t")).select("chunk", F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    asked = terms.groupBy("term", "chunk", "len").agg(F.count("*").alias("tf")).join(query_terms.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count("*").alias("df")).withColumn("salts", (F.col("df") / TERM_POSTINGS).cast("int") + 1)
     # One row of corpus statistics.
-    scored = query_terms.join(asked, "term").join(df, "term").join(lengths, "chunk").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return top(scored.groupBy("query", "chunk").agg(F.round(F.sum(part), 6).alias("score")), "query", "score", "chunk", k)
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk", part.alias("part"), F.pmod(F.xxhash64("chunk"), "salts").alias("salt"))
+    spread = query_terms.join(df, "term").select("query", "term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - F.lit(1).cast("long"))).alias("salt"))
+    scored = spread.join(weighed, ["term", "salt"]).groupBy("query", "chunk").agg(F.round(F.sum("part"), 6).alias("score"))
+    return top(scored, "query", "score", "chunk", k)
 
 
 def fused(legs: list[DataFrame], k: int = RETRIEVE_K) -> DataFrame:

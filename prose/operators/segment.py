@@ -58,22 +58,44 @@ def text_blocks(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+    # Fixed value: where a sentence ends inside a block.
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), T.strip), lambda s: s != "")
 
 
-def _pack(parts: Column, limit: int) -> Column:
-    """Greedy packing of strings, joined by a space, up to ``limit`` characters; a longer one stays whole."""
+def _packed(parts: Column, limit: int) -> Column:
+    """Greedy packing up to ``limit`` characters of array<struct<own, pieces>>: single pieces join with a space, those marked ``own`` stay apart."""
     empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("open"))
-    step = lambda s, x: F.when(
-        (s["open"] == "") | (F.length(s["open"]) + 1 + F.length(x) <= limit),
-        F.struct(s["done"].alias("done"), F.when(s["open"] == "", x).otherwise(F.concat_ws(" ", s["open"], x)).alias("open")),
-    ).otherwise(F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), x.alias("open")))
-    return F.aggregate(parts, empty, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    closed = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+
+    def step(s: Column, x: Column) -> Column:
+        one = x["pieces"][0]
+        fits = (s["open"] == "") | (F.length(s["open"]) + 1 + F.length(one) <= limit)
+        joined = F.when(s["open"] == "", one).otherwise(F.concat_ws(" ", s["open"], one))
+        return (
+            F.when(x["own"], F.struct(F.concat(closed(s), x["pieces"]).alias("done"), F.lit("").alias("open")))
+            .when(fits, F.struct(s["done"].alias("done"), joined.alias("open")))
+            .otherwise(F.struct(closed(s).alias("done"), one.alias("open")))
+        )
+
+    return F.aggregate(parts, empty, step, closed)
+
+
+def _parts(texts: Column, limit: int, cut) -> Column:
+    """Texts as parts for ``_packed``: those over ``limit`` are cut and stay apart."""
+    part = lambda own, pieces: F.struct(F.lit(own).alias("own"), pieces.alias("pieces"))
+    return F.transform(texts, lambda t: F.when(F.length(t) > limit, part(True, cut(t))).otherwise(part(False, F.array(t))))
+
+
+def _slices(word: Column, limit: int) -> Column:
+    count = F.ceil(F.length(word) / limit).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(word, k * limit + 1, F.lit(limit)))
 
 
 def pack_sentences(text: Column, limit: int) -> Column:
-    """Sentences packed up to ``limit``; one that is longer is packed by words."""
-    return _pack(F.flatten(F.transform(sentences(text), lambda s: F.when(F.length(s) > limit, _pack(F.split(s, " "), limit)).otherwise(F.array(s)))), limit)
+    """Sentences packed up to ``limit``. One that is longer is packed by words and kept apart; a word that is longer is cut."""
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    by_words = lambda s: _packed(_parts(words(s), limit, lambda w: _slices(w, limit)), limit)
+    return _packed(_parts(sentences(text), limit, by_words), limit)
 
 
 def pack_sections(text: Column, limit: int = SECTION_CHARS) -> Column:
@@ -108,6 +130,37 @@ def request_chunk_numbers(blocks: Column) -> Column:
     return F.aggregate(blocks, start, step, lambda s: s["numbers"])
 
 
+def request_chunks(blocks: Column) -> Column:
+    """array<struct<first, blocks, chars>>: the request chunks of a section's blocks, by the rules of ``request_chunk_numbers``.
+
+    The fold carries the open chunk as numbers and appends only when one closes.
+    """
+    kind = "array<struct<first:int,blocks:int,chars:bigint>>"
+    start = F.struct(
+        F.expr(f"cast(array() as {kind})").alias("done"), F.lit(-1).alias("par"), F.lit(0).alias("changes"), F.lit(0).alias("at"),
+        F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"),
+    )
+    one = lambda s: F.array(F.struct((s["at"] - s["n"]).alias("first"), s["n"].alias("blocks"), s["chars"].alias("chars")))
+
+    def step(s: Column, b: Column) -> Column:
+        changes = s["changes"] + F.when((s["par"] >= 0) & (b["paragraph_index"] != s["par"]), 1).otherwise(0)
+        size = F.length(b["text"]).cast("long")
+        separators = F.when(s["n"] > 0, 2 * (s["n"] - 1)).otherwise(0)
+        close = (s["n"] > 0) & ((changes >= MAX_PARAGRAPHS) | (s["n"] >= MAX_BLOCKS) | (s["chars"] + separators + 2 + size > MAX_CHUNK))
+        return F.struct(
+            F.when(close, F.concat(s["done"], one(s))).otherwise(s["done"]).alias("done"), b["paragraph_index"].alias("par"),
+            F.when(close, 0).otherwise(changes).alias("changes"), (s["at"] + 1).alias("at"),
+            F.when(close, 1).otherwise(s["n"] + 1).alias("n"), F.when(close, size).otherwise(s["chars"] + size).alias("chars"),
+        )
+
+    return F.aggregate(blocks, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], one(s))).otherwise(s["done"]))
+
+
+def plain_text(blocks: Column) -> Column:
+    """Blocks as context shows them: their texts, a line each."""
+    return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+
+
 def rendered(blocks: Column) -> Column:
     """A chunk as a request shows it: dialogue quoted, thoughts starred, actions bracketed."""
     one = lambda b: (
@@ -119,23 +172,7 @@ def rendered(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, one), "\n\n")
 
 
-def retrieval_chunks(text: Column, size: int = 512) -> Column:
-    """Greedy whole paragraphs up to ``size`` words: array<struct<first, last, tokens>> of paragraph numbers.
-
-    A paragraph over ``size`` stays whole and nothing overlaps; ``retrieval_spans`` has the whole rules.
-    """
-    words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
-    kind = "array<struct<first:int,last:int,tokens:int>>"
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("at"))
-    one = lambda s: F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"), s["n"].alias("tokens"))
-    step = lambda s, p: F.when(
-        (s["at"] > s["first"]) & (s["n"] + p > size),
-        F.struct(F.concat(s["done"], F.array(one(s))).alias("done"), s["at"].alias("first"), p.alias("n"), (s["at"] + 1).alias("at")),
-    ).otherwise(F.struct(s["done"].alias("done"), s["first"].alias("first"), (s["n"] + p).alias("n"), (s["at"] + 1).alias("at")))
-    sizes = F.transform(paragraphs(text), words)
-    return F.aggregate(sizes, start, step, lambda s: F.when(s["at"] > s["first"], F.concat(s["done"], F.array(one(s)))).otherwise(s["done"]))
-
-
+# Fixed value: a sentence with its closing quotes and brackets and the white space after it.
 _SENTENCE = re.compile(r"""(?s).*?[.!?]["”’')\]]*(?:\s+|\Z)|.+\Z""")
 CHUNK_WORDS, OVERLAP_WORDS = 512, 64
 
@@ -148,6 +185,14 @@ def _sentence_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [(start + m.start(), start + m.end()) for m in _SENTENCE.finditer(text[start:end]) if m.group().strip()]
 
 
+def sentence_spans(text: Column) -> Column:
+    """array<struct<text, start>>: the sentences of a text that hold more than white space, with their places from 0."""
+    found = F.regexp_extract_all(text, F.lit(_SENTENCE.pattern.replace(r"\Z", r"\z")), F.lit(0))
+    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int>>)").alias("done"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["done"], F.array(F.struct(x.alias("text"), s["at"].alias("start")))).alias("done"))
+    return F.filter(F.aggregate(found, empty, step, lambda s: s["done"]), lambda x: T.strip(x["text"]) != "")
+
+
 def _paragraph_spans(text: str) -> list[tuple[int, int]]:
     def between(pattern: str) -> list[tuple[int, int]]:
         breaks = [m.span() for m in re.finditer(pattern, text)]
@@ -207,18 +252,43 @@ def retrieval_spans(sections: DataFrame, key: str, size: int = CHUNK_WORDS, over
     return sections.select(F.col(key).cast("long").alias(key), "text").mapInPandas(run, f"{key} long, chunks {kind}")
 
 
-def narration_units(text: Column, limit: int = UNIT_CHARS) -> Column:
-    """Greedy sentences up to ``limit`` characters; the break eats closing quotes. Over-long sentences stay for ``cut_oversized``."""
-    flat = T.strip(F.regexp_replace(text, r"\s+", " "))
-    return _pack(F.filter(F.split(flat, r"(?<=[.!?…])[\"'”’)\]]*\s+"), lambda s: s != ""), limit)
+# Where a narration unit may end, and the marks at which an over-long sentence is cut.
+_UNIT_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
+_CLAUSE_MARKS = ",;:—–-"
 
 
-def cut_oversized(unit: Column, limit: int = UNIT_CHARS) -> Column:
-    """Pieces of an over-long unit, each ending at the last clause mark or space within the limit if there is one."""
-    n = limit
-    return F.filter(
-        F.transform(F.regexp_extract_all(unit, F.lit(rf"(?s).{{1,{n - 1}}}[,;:—–-]|.{{1,{n}}}(?=\s|\z)|.{{1,{n}}}"), F.lit(0)), T.strip),
-        lambda x: x != "",
+def _cut_sentence(text: str, limit: int) -> list[str]:
+    """Pieces of an over-long sentence: cut behind the last clause mark within the limit, else before the last space, else at the limit."""
+    out, rest = [], text.strip()
+    while len(rest) > limit:
+        at = max(rest.rfind(c, 0, limit) for c in _CLAUSE_MARKS) + 1 or max(rest.rfind(" ", 0, limit), 0) or limit
+        out.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [x for x in (*out, rest) if x]
+
+
+def units_of(text: str, limit: int = UNIT_CHARS) -> list[str]:
+    """The narration units of one line of more than ``limit`` characters: sentences packed, over-long ones cut and kept apart."""
+    out: list[str] = []
+    open_ = False
+    for sentence in filter(None, map(str.strip, _UNIT_END.split(text))):
+        if len(sentence) > limit:
+            out += _cut_sentence(sentence, limit)
+            open_ = False
+        elif open_ and len(out[-1]) + 1 + len(sentence) <= limit:
+            out[-1] += " " + sentence
+        else:
+            out.append(sentence)
+            open_ = True
+    return out
+
+
+def narration_units(text: Column, limit: int = UNIT_CHARS) -> Column:
+    """array<string>: a line within ``limit`` characters as it is; a longer one goes through ``units_of``."""
+    clean = T.strip(F.coalesce(text, F.lit("")))
+    long = F.pandas_udf(lambda s: s.map(lambda t: units_of(t, limit), na_action="ignore"), "array<string>", F.PandasUDFType.SCALAR)
+    return F.when(clean == "", F.expr("cast(array() as array<string>)")).when(F.length(clean) <= limit, F.array(clean)).otherwise(
+        long(F.when(F.length(clean) > limit, clean))
     )
 
 
@@ -244,6 +314,13 @@ def chapters(books: DataFrame) -> DataFrame:
     return kept.select("novel", "section_index", "x.title", F.concat(F.lit("txt:"), F.greatest("x.no", F.lit(1)).cast("string")).alias("locator"), "x.text")
 
 
+def fallback_sections(text: Column, limit: int = SECTION_CHARS) -> Column:
+    """array<struct<title, text>> of a book without chapter lines: packed paragraphs as numbered sections, or its first characters."""
+    packed = F.transform(pack_sections(text, limit), lambda p: F.array_join(p, "\n\n"))
+    texts = F.when(F.size(packed) > 0, packed).otherwise(F.array(F.substring(text, 1, limit)))
+    return F.transform(texts, lambda t, i: F.struct(F.concat(F.lit("Section "), (i + 1).cast("string")).alias("title"), t.alias("text")))
+
+
 def sequence_starts(counts: DataFrame) -> DataFrame:
     """First global sequence number of every section, from (novel, section_index, n): a prefix sum over counts only."""
     before = Window.partitionBy("novel").orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)

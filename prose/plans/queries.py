@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cast, enrich, library, requests, retrieve, segment, upsert
+from ..operators import cast, enrich, entries, library, requests, retrieve, segment, upsert
 from ..sources import tables as S
 from ..streaming import jobs as streams
-from .views import with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
+from . import books, story  # noqa: F401  (they register their queries)
+from .registry import ORACLE, QUERIES, query
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = with_views(sql)
-        return f
-
-    return register
+__all__ = ["ORACLE", "QUERIES"]
 
 
 # Retrieval
@@ -74,21 +62,33 @@ def temporal_boost(spark, d):
     return retrieve.boosted(hits, retrieve.RETRIEVE_K).select("query", "chunk", "score")
 
 
-@query("""SELECT query, chunk, place FROM (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY chunk % 4 <> query % 4, score DESC, chunk) AS place
-          FROM boosted) WHERE place <= 6""")
+@query("""SELECT query, chunk, place FROM (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY NOT coalesce(list_contains(list_transform(names, lambda n: lower(n)), role), FALSE),
+          score DESC, chunk) AS place FROM boosted LEFT JOIN (SELECT conv_id AS chunk, list(DISTINCT upper(role)) AS names FROM conversations WHERE turn >= 2 GROUP BY 1) USING (chunk),
+          (SELECT 'system' AS role)) WHERE place <= 6""")
 def featured_rerank(spark, d):
-    """Passages of the featured character first, then by score; the top six go to the chat."""
+    """Passages of the featured character first, then by score; the top six go to the chat. Speakers are those of the conversation of the chunk's number."""
     hits = retrieve.boosted(retrieve.dense(S.retrieval_queries(spark, d), S.chunks(spark, d)), retrieve.RETRIEVE_K)
-    order = Window.partitionBy("query").orderBy(F.col("chunk") % 4 != F.col("query") % 4, F.desc("score"), "chunk")
-    return hits.select("query", "chunk", F.row_number().over(order).alias("place")).filter("place <= 6")
+    names = S.table(spark, d, "conversations").filter("turn >= 2").groupBy(F.col("conv_id").alias("chunk")).agg(F.collect_set(F.upper("role")).alias("names"))
+    return retrieve.featured(hits.withColumn("name", F.lit("system")), names)
 
 
-@query("""SELECT vec_id AS chunk, coalesce(nullif(CASE WHEN vec_id % 3 = 0 THEN '' ELSE 'payload ' || vec_id END, ''), 'node ' || vec_id, '') AS text FROM embeddings""")
+@query("""SELECT query, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM (
+          SELECT query, chunk, CASE WHEN query % 100 = 0 THEN CASE WHEN chunk % 3 = 0 THEN 0 ELSE round((chunk * 37 % 101) / 101.0, 6) END ELSE score END AS score FROM dense)) WHERE rank <= 20""")
+def rerank(spark, d):
+    """Supplied scores of every second query reorder its hits; the others' reranking failed."""
+    hits = retrieve.dense(S.retrieval_queries(spark, d), S.chunks(spark, d))
+    given = hits.filter("query % 100 = 0 and chunk % 3 <> 0").select("query", "chunk", F.round(F.col("chunk") * 37 % 101 / 101, 6).alias("rerank"))
+    return retrieve.reranked(hits, given).select("query", "chunk", "score", "rank")
+
+
+_PAYLOAD = "CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'payload ' || vec_id END"
+_NODE = """CASE vec_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '{"other": 1}' ELSE '{"text": "node ' || label || '"}' END"""
+
+
+@query(f"SELECT vec_id AS chunk, coalesce(nullif({_PAYLOAD}, ''), json_extract_string({_NODE}, '$.text'), '') AS text FROM embeddings")
 def hit_projection(spark, d):
-    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"))
-    payload = F.when(F.col("chunk") % 3 == 0, "").otherwise(F.concat(F.lit("payload "), F.col("chunk").cast("string")))
-    node = F.to_json(F.struct(F.concat(F.lit("node "), F.col("chunk").cast("string")).alias("text")))
-    return e.select("chunk", F.coalesce(F.nullif(payload, F.lit("")), F.get_json_object(node, "$.text"), F.lit("")).alias("text"))
+    e = S.table(spark, d, "embeddings").selectExpr("vec_id AS chunk", f"{_PAYLOAD} AS payload", f"{_NODE} AS node")
+    return e.select("chunk", F.coalesce(F.nullif("payload", F.lit("")), F.get_json_object("node", "$.text"), F.lit("")).alias("text"))
 
 
 # Library
@@ -184,11 +184,14 @@ def upsert_first_appearance(spark, d):
     return upsert.upsert_keeping_first(base, delta, ["novel", "name"], "version", "first_section")
 
 
-@query("""SELECT novel, uuid, CASE WHEN novel % 2 = 0 THEN 'kept' ELSE 'found ' || novel END AS genres FROM novels""")
+_OWN = "CASE novel % 4 WHEN 0 THEN 'kept' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'own ' || novel END"
+_FOUND = "CASE novel % 3 WHEN 0 THEN NULL WHEN 1 THEN 'found ' || novel ELSE '' END"
+
+
+@query(f"SELECT novel, uuid, coalesce(nullif({_OWN}, ''), {_FOUND}) AS genres FROM novels")
 def fill_missing_metadata(spark, d):
-    base = S.novels(spark, d).select("novel", "uuid", F.when(F.col("novel") % 2 == 0, "kept").otherwise("").alias("genres"))
-    found = base.select("novel", F.concat(F.lit("found "), F.col("novel").cast("string")).alias("genres"))
-    return upsert.fill_missing(base, found, "novel", ["genres"])
+    base = S.novels(spark, d).selectExpr("novel", "uuid", f"{_OWN} AS genres")
+    return upsert.fill_missing(base, base.selectExpr("novel", f"{_FOUND} AS genres"), "novel", ["genres"])
 
 
 @query("""SELECT reader_id, novel, section_index FROM progress UNION ALL
@@ -199,14 +202,19 @@ def insert_if_absent(spark, d):
     return upsert.insert_if_absent(S.progress(events).drop("updated_at"), new, ["reader_id", "novel"])
 
 
-@query("""SELECT novel, CASE WHEN novel % 5 IN (0, 1) THEN 'from_scratch' WHEN novel % 5 = 2 THEN 'skip'
-          WHEN novel % 5 = 3 THEN CASE WHEN novel % 2 = 0 THEN 'resume_pass1' ELSE 'from_scratch' END ELSE 'resume_pass2' END AS decision FROM novels""")
+_STATUS = "CASE novel % 6 WHEN 0 THEN NULL WHEN 1 THEN 'pending' WHEN 2 THEN 'error' WHEN 3 THEN 'complete' WHEN 4 THEN 'pass1_running' ELSE 'pass2_running' END"
+
+
+@query(f"""SELECT novel, CASE WHEN s IS NULL OR s IN ('pending', 'error') THEN 'from_scratch' WHEN s = 'complete' THEN 'skip'
+          WHEN s = 'pass2_running' AND sections > 1 THEN 'resume_pass2' WHEN saved > 0 THEN 'resume_pass1' ELSE 'from_scratch' END AS decision FROM (
+          SELECT novel, {_STATUS} AS s, (SELECT count(DISTINCT section_index) FROM entries e WHERE e.novel = n.novel) AS sections,
+          (SELECT count(*) FROM people p WHERE p.novel = n.novel AND role = 'major') AS saved FROM novels n)""")
 def resume_decision(spark, d):
-    names = F.array(*map(F.lit, ["pending", "error", "complete", "pass1_running", "pass2_running"]))
-    status = S.novels(spark, d).select(
-        "novel", F.element_at(names, F.col("novel") % 5 + 1).alias("parse_status"), F.lit(True).alias("pass1_done"), (1 - F.col("novel") % 2).alias("saved")
-    )
-    return library.resume_decision(status)
+    """Status, finished sections and saved characters of every novel; pass 1 is done where two sections are."""
+    done = S.dialogue_entries(spark, d).groupBy("novel").agg(F.countDistinct("section_index").alias("sections"))
+    saved = S.characters(spark, d).filter("role = 'major'").groupBy("novel").agg(F.count("*").alias("saved"))
+    status = S.novels(spark, d).selectExpr("novel", f"{_STATUS} AS parse_status").join(done, "novel", "left").join(saved, "novel", "left").na.fill(0, ["sections", "saved"])
+    return library.resume_decision(status.withColumn("pass1_done", F.col("sections") > 1))
 
 
 @query("""SELECT novel, CAST(count(*) FILTER (done OR trim(text) = '') AS BIGINT) AS finished, count(*) AS total FROM (
@@ -258,17 +266,32 @@ def pack_sections(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.size(segment.pack_sections(text)).cast("long").alias("sections"))
 
 
-@query("SELECT novel, section_index, title IN ('Author''s Note', 'Preface') AS front FROM section_keys")
+# Titles that do and do not name front matter, by the number of the section.
+_TITLES = (
+    "Preface", "The PREFACE to it", "Prefaces", "Foreword", "Author's Note", "authors note", "Translators'  Note", "Dedication", "Acknowledgments", "Acknowledgement",
+    "Copyright", "About  the Author", "About the Authors", "Title Page", "Table of Contents", "Table of contents and more", "Colophon", "Epigraph", "Publisher's note",
+    "An Introduction", "Introductions", "Chapter 3", "", "Part Two: noted",
+)
+_TITLE_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _TITLES) + "][doc_id % 25 + 1]"
+_FRONT_SQL = f"""regexp_matches(coalesce({_TITLE_SQL}, ''), '{T.FRONT_MATTER.replace("'", "''")}', 'i')"""
+
+
+def _titled(spark, d):
+    title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % 25).cast("int"))
+    return S.section_keys(spark, d).withColumn("title", title)
+
+
+@query(f"SELECT novel, section_index, {_FRONT_SQL} AS front FROM section_keys")
 def front_matter(spark, d):
-    return S.section_keys(spark, d).select("novel", "section_index", T.is_front_matter(F.col("title")).alias("front"))
+    return _titled(spark, d).select("novel", "section_index", T.is_front_matter(F.col("title")).alias("front"))
 
 
-@query("""SELECT novel, array_to_string(list_sort(list(DISTINCT section_index)), ',') AS non_story FROM (
-          SELECT novel, section_index FROM section_keys WHERE title IN ('Author''s Note', 'Preface') UNION SELECT novel, section_index FROM section_keys WHERE doc_id % 29 = 0) GROUP BY 1""")
+@query(f"""SELECT novel, array_to_string(list_sort(list(DISTINCT section_index)), ',') AS non_story FROM (
+          SELECT novel, section_index FROM section_keys WHERE {_FRONT_SQL} UNION SELECT novel, section_index FROM section_keys WHERE doc_id % 29 = 0) GROUP BY 1""")
 def non_story_sections(spark, d):
-    keys = S.section_keys(spark, d)
+    keys = _titled(spark, d)
     flagged = keys.filter(T.is_front_matter(F.col("title"))).select("novel", "section_index").union(keys.filter("doc_id % 29 = 0").select("novel", "section_index"))
-    return flagged.distinct().groupBy("novel").agg(F.array_join(F.sort_array(F.collect_set("section_index")).cast("array<string>"), ",").alias("non_story"))
+    return flagged.groupBy("novel").agg(F.array_join(F.sort_array(F.collect_set("section_index")).cast("array<string>"), ",").alias("non_story"))
 
 
 @query("SELECT doc_id, len(pars) AS n, sha256(array_to_string(pars, '|')) AS sha FROM pars")
@@ -286,27 +309,36 @@ def _dialogue(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", "role", F.replace(prose, F.lit("\n"), F.lit(" ")).alias("text"))
 
 
-@query(r"""SELECT conv_id, turn, unnest(CASE WHEN role = 'assistant' THEN [0, 1] ELSE [0] END)::INT AS at,
-          unnest(CASE role WHEN 'user' THEN ['dialogue'] WHEN 'assistant' THEN ['dialogue', 'narration'] ELSE ['action'] END) AS block_type
-          FROM conversations WHERE length(replace(coalesce(text, ''), '"', '')) <= 1400""")
+_TURN = "replace(replace(coalesce(text, ''), '\"', ''), chr(10), ' ')"
+_PIECES = r"""CASE WHEN length(t) <= 1400 THEN [t] ELSE list_transform([list_reduce(list_transform(list_filter(list_transform(
+    string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: {'done': []::VARCHAR[], 'open': x}),
+    lambda a, x: CASE WHEN length(a.open) + 1 + length(x.open) <= 1400 THEN {'done': a.done, 'open': a.open || ' ' || x.open}
+    ELSE {'done': list_append(a.done, a.open), 'open': x.open} END)], lambda s: list_append(s.done, s.open))[1] END"""
+
+
+@query(rf"""SELECT conv_id, turn, k - 1 AS "at", kinds[k] AS block_type, sha256(texts[k]) AS sha FROM (SELECT *, unnest(range(1, len(texts) + 1))::INT AS k FROM (
+          SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN list_append(p, 'said the guide.') ELSE p END AS texts,
+          list_append(list_transform(p, lambda x: CASE WHEN role IN ('user', 'assistant') THEN 'dialogue' ELSE 'action' END), 'narration') AS kinds
+          FROM (SELECT *, {_PIECES} AS p FROM (SELECT conv_id, turn, role, regexp_replace({_TURN}, '^\s+|\s+$', '', 'g') AS t FROM conversations))))""")
 def text_blocks(spark, d):
-    rows = _dialogue(spark, d).filter(F.length(F.replace("text", F.lit('"'), F.lit(""))) <= 1400 + F.when(F.col("role") == "assistant", 18).when(F.col("role") == "user", 0).otherwise(2))
-    return rows.select("conv_id", "turn", F.posexplode(segment.text_blocks(F.col("text"))).alias("at", "b")).select("conv_id", "turn", "at", "b.block_type")
+    """Typed blocks of every turn; over 1400 characters they are cut at sentences."""
+    rows = _dialogue(spark, d).select("conv_id", "turn", F.posexplode(segment.text_blocks(F.col("text"))).alias("at", "b"))
+    return rows.select("conv_id", "turn", "at", "b.block_type", F.sha2("b.text", 256).alias("sha"))
 
 
 @query()
 def text_blocks_of_all_turns(spark, d):
-    """Blocks of every turn: also of those over 1400 characters, which the SQL of ``text_blocks`` leaves out."""
+    """Blocks of every turn with their lengths."""
     rows = _dialogue(spark, d).select("conv_id", "turn", F.posexplode(segment.text_blocks(F.col("text"))).alias("at", "b"))
     return rows.select("conv_id", "turn", "at", "b.block_type", F.length("b.text").alias("chars"), F.sha2("b.text", 256).alias("sha"))
 
 
 @query()
 def request_chunks(spark, d):
-    """Blocks of every document with their request chunk."""
+    """Request chunks of every document: number, blocks and characters. Row-local until they are exploded."""
     blocks = S.table(spark, d, "documents").select("doc_id", segment.text_blocks(F.coalesce("text", F.lit(""))).alias("b"))
-    numbered = blocks.select("doc_id", F.explode(F.arrays_zip("b", segment.request_chunk_numbers(F.col("b")).alias("chunk"))).alias("x"))
-    return numbered.groupBy("doc_id", F.col("x.chunk").alias("chunk")).agg(F.count("*").alias("blocks"), F.sum(F.length("x.b.text")).alias("chars"))
+    chunks = blocks.select("doc_id", F.posexplode(segment.request_chunks(F.col("b"))).alias("chunk", "c"))
+    return chunks.select("doc_id", "chunk", F.col("c.blocks").cast("long").alias("blocks"), "c.chars")
 
 
 @query("""SELECT novel, section_index, CAST(coalesce(sum(n) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
@@ -340,28 +372,26 @@ def rolling_summary(spark, d):
     return S.section_keys(spark, d).select("novel", "section_index", F.array_join(F.collect_list("title").over(w), "|").alias("summary"))
 
 
-@query("SELECT doc_id, CASE WHEN len(sizes) = 0 THEN 0 ELSE s.k + 1 END AS chunks, CAST(coalesce(list_sum(sizes), 0) AS BIGINT) AS words FROM chunk_fold")
+@query()
 def retrieval_chunks(spark, d):
-    chunks = S.table(spark, d, "documents").select("doc_id", segment.retrieval_chunks(F.coalesce("text", F.lit(""))).alias("c"))
-    words = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
-    return chunks.select("doc_id", F.size("c").cast("long").alias("chunks"), words.alias("words"))
+    """Retrieval chunks of every document: how many, the words of their bodies, and their spans as a digest."""
+    spans = segment.retrieval_spans(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    words = F.aggregate("chunks", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
+    span = F.transform("chunks", lambda c: F.concat_ws(":", *[c[f].cast("string") for f in ("char_start", "body_start", "char_end")]))
+    return spans.select("doc_id", F.size("chunks").cast("long").alias("chunks"), words.alias("words"), F.sha2(F.array_join(span, ","), 256).alias("spans"))
 
 
-@query("""SELECT novel, section_index, CAST(sum(least(len(pars), 3)) OVER (PARTITION BY novel ORDER BY section_index) AS BIGINT) AS last_serial
-          FROM section_keys JOIN pars USING (doc_id)""")
+@query()
 def chunk_serials(spark, d):
-    n = S.table(spark, d, "documents").select("doc_id", F.least(F.size(segment.paragraphs(F.col("text"))), F.lit(3)).cast("long").alias("n"))
-    counts = S.section_keys(spark, d).join(n, "doc_id").select("novel", "section_index", "n")
-    return segment.sequence_starts(counts).select("novel", "section_index", (F.col("start") + F.col("n")).alias("last_serial"))
+    """The last chunk number of every section: a prefix sum of the sections' chunks over the novel."""
+    spans = segment.retrieval_spans(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    counts = S.section_keys(spark, d).join(spans.select("doc_id", F.size("chunks").cast("long").alias("n")), "doc_id").select("novel", "section_index", "n")
+    return segment.sequence_starts(counts).select("novel", "section_index", (F.col("start") + F.col("n") - 1).alias("last_serial"))
 
 
 @query()
 def retrieval_chunk_spans(spark, d):
-    """Every chunk with its span, its overlap and its number in the novel.
-
-    ``retrieval_chunks`` and ``chunk_serials`` give what their SQL can count: paragraphs over 512
-    words stay whole there, and a section has as many serials as paragraphs, three at most.
-    """
+    """Every chunk with its span, its overlap and its number in the novel."""
     spans = segment.retrieval_spans(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     # Chunks travel as numbers, with the counts that their serials are sums of.
     keyed = S.section_keys(spark, d).join(spans, "doc_id").select("novel", "section_index", "doc_id", F.size("chunks").cast("long").alias("n"), "chunks")
@@ -386,67 +416,103 @@ def emotion_snap(spark, d):
     return S.dialogue_entries(spark, d).select("novel", "sequence_number", e.alias("emotion"), i.alias("intensity"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '[sigh] ' || text WHEN turn % 3 = 1 THEN '[laugh] ' || text ELSE text END AS text FROM conversations""")
+_TAG_LIST = "[" + ", ".join(f"'{t}'" for t in T.TAGS) + "]"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN tag IS NULL THEN text WHEN text IS NULL THEN tag ELSE tag || ' ' || text END AS text FROM (SELECT *, list_filter({_TAG_LIST}, lambda t: contains(
+          CASE WHEN conv_id % 5 = 4 THEN 'no [tag] at all' ELSE {_TAG_LIST}[conv_id % 11 + 1] || ' so ' || {_TAG_LIST}[turn % 11 + 1] END, t))[1] AS tag FROM conversations)""")
 def tag_prefix(spark, d):
-    said = F.when(F.col("turn") % 3 == 0, "so [laugh] [sigh]").when(F.col("turn") % 3 == 1, "[groan] and [laugh]").otherwise("none")
+    """Two tags in every answer, the first of them in the list's order counts; every fifth conversation has none."""
+    tags = F.array(*map(F.lit, T.TAGS))
+    pick = lambda c: F.get(tags, (F.col(c) % 11).cast("int"))
+    said = F.when(F.col("conv_id") % 5 == 4, "no [tag] at all").otherwise(F.concat(pick("conv_id"), F.lit(" so "), pick("turn")))
     return S.table(spark, d, "conversations").select("conv_id", "turn", T.tag_prefixed(said, F.col("text")).alias("text"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'open ' ELSE text END AS text FROM conversations""")
+_OPENED = "['<Think>', '<THOUGHT>', '<reasoning>', '<thinking>'][CAST(turn % 4 + 1 AS INT)]"
+_CLOSED = "['</thought>', '</Thinking>', '</reasoning>', ''][CAST(conv_id % 4 + 1 AS INT)]"
+_SAID = "CASE WHEN conv_id % 7 = 6 THEN text ELSE left(text, 20) || {open} || 'a' || chr(10) || 'b' || {close} || '  ' || substr(text, 21) END"
+
+
+@query(f"""SELECT conv_id, turn, regexp_replace(regexp_replace({_SAID.format(open=_OPENED, close=_CLOSED)}, '<(think|thought|reasoning|thinking)>.*?(</(think|thought|reasoning|thinking)>|\\z)', '', 'gis'),
+          '^ +', '') AS text FROM conversations""".replace("\\\\", "\\"))
 def strip_reasoning(spark, d):
-    t = F.col("text")
-    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<Think>a\nb</thought>"), t)).when(F.col("turn") % 3 == 1, F.concat(F.lit("open <reasoning>"), t)).otherwise(t)
-    return S.table(spark, d, "conversations").select("conv_id", "turn", T.strip_reasoning(raw).alias("text"))
+    """Blocks of four names in the middle of a text, closed by their own name, another or not at all."""
+    pick = lambda x: x.replace("CAST(", "").replace(" + 1 AS INT)]", "]").replace("['", "array('").replace("'][", "')[")
+    said = _SAID.format(open=pick(_OPENED).replace("turn % 4", "int(turn % 4)"), close=pick(_CLOSED).replace("conv_id % 4", "int(conv_id % 4)"))
+    return S.table(spark, d, "conversations").select("conv_id", "turn", T.strip_reasoning(F.expr(said)).alias("text"))
 
 
 @query("""SELECT o.o_orderkey, coalesce(CAST(k.character_id AS VARCHAR), CASE WHEN o.o_orderkey % 2 = 0 THEN 'NARRATOR' ELSE 'MISC_VOICE' END) AS speaker FROM (
-          SELECT o_orderkey, c_nationkey, CASE WHEN o_orderkey % 5 = 0 THEN 'nobody' ELSE lower(c_name) END AS key FROM orders JOIN customer ON o_custkey = c_custkey) o
+          SELECT o_orderkey, c_custkey // 50 AS novel, CASE WHEN o_orderkey % 5 = 0 THEN 'nobody' ELSE lower(c_name) END AS key FROM orders JOIN customer ON o_custkey = c_custkey) o
           LEFT JOIN (SELECT novel, key, max(character_id) AS character_id FROM (SELECT novel, character_id, lower(unnest(list_prepend(name, aliases))) AS key FROM people) GROUP BY ALL) k
-          ON k.novel = o.c_nationkey AND k.key = o.key""")
+          ON k.novel = o.novel AND k.key = o.key""")
 def speaker_resolution(spark, d):
     people = S.characters(spark, d)
     said = S.table(spark, d, "orders").join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", F.col("c_nationkey").cast("int").alias("novel"), F.when(F.col("o_orderkey") % 5 == 0, "nobody").otherwise(F.col("c_name")).alias("speaker_name"),
+        "o_orderkey", F.floor(F.col("c_custkey") / 50).cast("int").alias("novel"), F.when(F.col("o_orderkey") % 5 == 0, "nobody").otherwise(F.col("c_name")).alias("speaker_name"),
         F.when(F.col("o_orderkey") % 2 == 0, "narration").otherwise("dialogue").alias("entry_type"),
     )
     return cast.resolved(said, cast.speaker_lookup(people)).select("o_orderkey", "speaker")
 
 
-_PAIRS = """SELECT a.conv_id, a.turn AS block, b.turn AS line, round(len(list_intersect(x, y)) / greatest(len(x), len(y))
-    + CASE WHEN contains(lower(a.text), lower(b.text)) OR contains(lower(b.text), lower(a.text)) THEN 0.5 ELSE 0 END, 6) AS score
-    FROM (SELECT *, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS x FROM conversations) a
-    JOIN (SELECT *, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS y FROM conversations) b USING (conv_id)""".replace("\\\\", "\\")
+# Block texts are turns; a model's lines are the same turns in other words, order and number, some of them empty.
+_LINES = """SELECT conv_id, turn // 6 AS chunk, turn AS line, CASE turn % 7 WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 3 THEN lower(left(text, 40)) ELSE substr(text, 9) || ' indeed' END AS lt FROM conversations"""
+_PAIRS = rf"""SELECT conv_id, chunk, block, line, round(CASE WHEN lt IS NULL OR trim(lt) = '' THEN 0 ELSE len(list_intersect(x, y)) / greatest(len(x), len(y))
+    + CASE WHEN contains(lower(bt), lower(lt)) OR contains(lower(lt), lower(bt)) THEN 0.5 ELSE 0 END END, 6) AS score FROM (
+    SELECT *, list_distinct(list_filter(string_split_regex(lower(bt), '\s+'), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split_regex(lower(lt), '\s+'), lambda w: w <> '')) AS y
+    FROM (SELECT conv_id, turn // 6 AS chunk, turn AS block, text AS bt FROM conversations WHERE text <> '')
+    JOIN (SELECT conv_id, chunk, line, regexp_replace(lt, '^\s+|\s+$', '', 'g') AS lt FROM ({_LINES})) USING (conv_id, chunk))"""
+
+
+def _blocks_and_lines(spark, d):
+    c = S.table(spark, d, "conversations").withColumn("chunk", F.floor(F.col("turn") / 6))
+    said = "CASE turn % 7 WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 3 THEN lower(left(text, 40)) ELSE substr(text, 9) || ' indeed' END AS line_text"
+    blocks = c.filter("text <> ''").select("conv_id", "chunk", F.col("turn").alias("block"), F.col("text").alias("block_text"))
+    return blocks, c.selectExpr("conv_id", "chunk", "turn AS line", said)
 
 
-@query(f"SELECT * FROM ({_PAIRS}) WHERE score > 0.3")
+@query(f"SELECT conv_id, block, line, score FROM ({_PAIRS}) WHERE score > 0.3")
 def alignment_scores(spark, d):
-    c = S.table(spark, d, "conversations")
-    a = c.select("conv_id", F.col("turn").alias("block"), F.col("text").alias("bt"))
-    b = c.select("conv_id", F.col("turn").alias("line"), F.col("text").alias("lt"))
-    return a.join(b, "conv_id").select("conv_id", "block", "line", F.round(T.overlap_score(F.col("bt"), F.col("lt")), 6).alias("score")).filter("score > 0.3")
+    """Scores of blocks and lines of the same request chunk, of six turns at most."""
+    blocks, lines = _blocks_and_lines(spark, d)
+    scored = blocks.join(lines, ["conv_id", "chunk"]).withColumn("score", F.round(T.overlap_score(F.col("block_text"), F.col("line_text")), 6))
+    return scored.filter("score > 0.3").select("conv_id", "block", "line", "score")
 
 
-@query("SELECT conv_id, CAST(turn AS INT) AS block, CAST(turn AS INT) AS line FROM conversations WHERE text IS NOT NULL")
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, chunk, list({{'block': block, 'line': line, 'score': score}} ORDER BY score DESC, line) AS cands FROM ({_PAIRS}) WHERE score > 0.3 GROUP BY ALL),
+          g AS (SELECT conv_id, chunk, cands, chunk * 6 AS k, []::BIGINT[] AS used, NULL::BIGINT AS block, NULL::BIGINT AS line FROM c
+          UNION ALL SELECT conv_id, chunk, cands, k + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.line) END, k, pick.line FROM (
+          SELECT *, list_filter(cands, lambda x: x.block = k AND NOT list_contains(used, x.line))[1] AS pick FROM g WHERE k < chunk * 6 + 6))
+          SELECT conv_id, chunk, CAST(block AS INT) AS block, CAST(line AS INT) AS line FROM g WHERE line IS NOT NULL""")
 def alignment_greedy(spark, d):
-    c = S.table(spark, d, "conversations").filter("text is not null")
-    a = c.select("conv_id", F.col("turn").alias("block"), F.col("text").alias("block_text"))
-    b = c.select("conv_id", F.col("turn").alias("line"), F.col("text").alias("line_text"))
-    return cast.aligned(a, b, ["conv_id"])
+    return cast.aligned(*_blocks_and_lines(spark, d), ["conv_id", "chunk"])
 
 
 @query()
 def character_merge(spark, d):
-    rows = S.table(spark, d, "orders").join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_nationkey").cast("int").alias("novel"), F.year("o_orderdate").alias("section_index"), F.col("o_orderkey").alias("place"),
-        F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.col("o_orderpriority").alias("description"),
-    )
+    """Mentions of customers, by order: the first of a name is new, the others are updates under an alias."""
+    orders = S.table(spark, d, "orders").join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders.select(
+        F.floor(F.col("c_custkey") / 50).cast("int").alias("novel"), F.year("o_orderdate").alias("section_index"), F.col("o_orderkey").alias("place"),
+        F.when(F.col("o_orderkey") % 3 == 0, "update").otherwise("new").alias("kind"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"), F.array(F.substring("c_name", -4, 4)).alias("aliases"),
+        F.when(F.col("o_orderkey") % 4 == 0, "female").otherwise("unknown").alias("gender"), F.when(F.col("o_orderkey") % 5 == 0, "adult").otherwise("unknown").alias("age_range"),
+        F.when(F.col("o_orderkey") % 7 == 0, "antagonist").otherwise("minor").alias("role"), F.col("o_orderpriority").alias("description"),
+    )
     return cast.merge_characters(rows)
 
 
-@query("""SELECT character_id, TRUE AS same, FALSE AS other FROM people""")
+_TOLD = "CASE character_id % 6 WHEN 0 THEN upper(name) WHEN 1 THEN split_part(name, '#', 1) WHEN 2 THEN 'of ' || lower(name) || ' the first' WHEN 3 THEN name || 'x' WHEN 4 THEN '' END"
+_TOKENS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))".replace("\\\\", "\\")
+
+
+@query(f"""SELECT character_id, coalesce(lower(told) = lower(full_name) OR (len(x) > 0 AND len(y) > 0 AND (len(list_intersect(x, y)) = len(x) OR len(list_intersect(x, y)) = len(y))), FALSE) AS same FROM (
+          SELECT *, {_TOKENS.format("told")} AS x, {_TOKENS.format("full_name")} AS y FROM (SELECT character_id, {_TOLD} AS told, replace(name, '#', ' ') || ' Smith' AS full_name FROM people))""")
 def narrator_match(spark, d):
-    first = F.substring_index("name", "#", 1)
-    return S.characters(spark, d).select("character_id", T.names_match(first, F.concat(first, F.lit(" Everdeen"))).alias("same"), T.names_match(F.lit("Kate"), F.lit("Katherine")).alias("other"))
+    """Names told in other case, in part, with more words, with another ending, empty or not at all."""
+    people = S.characters(spark, d).selectExpr("character_id", f"{_TOLD} AS told", "concat(replace(name, '#', ' '), ' Smith') AS full_name")
+    return people.select("character_id", F.coalesce(T.names_match(F.col("told"), F.col("full_name")), F.lit(False)).alias("same"))
 
 
 _ACTORS = "(VALUES " + ", ".join(f"({k + 1}, '{a[1]}', '{a[2]}', {a[3]})" for k, a in enumerate(cast.ACTORS)) + ") AS a(actor_id, actor_gender, actor_age, suited)"
@@ -462,7 +528,8 @@ def voice_scores(spark, d):
 
 @query()
 def voice_assignment(spark, d):
-    return cast.assign_voices(S.characters(spark, d))
+    """A voice for every character, with narrators, catch-all voices and genders that no actor has."""
+    return cast.assign_voices(S.large_cast(spark, d))
 
 
 @query("""SELECT novel, sequence_number, array_to_string(list_distinct([emotion || '_' || intensity]), ',') AS sample FROM snapped""")
@@ -470,17 +537,17 @@ def voice_samples(spark, d):
     """The voice sample of every line: its pair snapped to the inventory."""
     e, i = T.snap_emotion(F.col("emotion"), F.col("intensity"))
     lines = S.dialogue_entries(spark, d).select("novel", "sequence_number", e.alias("emotion"), i.alias("intensity"))
-    stock = cast.samples(spark).filter("actor = 'Ryan'").select("emotion", F.coalesce("intensity", F.lit("low")).alias("intensity"), F.lit(True).alias("has"))
+    stock = cast.samples(spark).select("emotion", F.coalesce("intensity", F.lit("low")).alias("intensity")).distinct()
     return lines.join(F.broadcast(stock), ["emotion", "intensity"]).select("novel", "sequence_number", F.concat_ws("_", "emotion", "intensity").alias("sample"))
 
 
 @query()
 def narration_units(spark, d):
-    rows = S.dialogue_entries(spark, d).filter("original_text is not null")
-    units = F.flatten(F.transform(segment.narration_units(F.col("original_text")), lambda u: segment.cut_oversized(u)))
-    return rows.select("novel", "sequence_number", F.posexplode(units).alias("i", "unit")).select(
-        "novel", (F.col("sequence_number").cast("long") * 1000 + F.col("i")).alias("seq"), F.length("unit").cast("long").alias("chars")
-    )
+    """Units of every line that has text, with the line's number, which the unit's number holds."""
+    rows = S.dialogue_entries(spark, d).withColumn("units", segment.narration_units(F.col("original_text")))
+    units = rows.select("novel", "sequence_number", F.size("units").alias("chunk_count"), F.posexplode("units").alias("chunk_index", "unit"))
+    seq = F.col("sequence_number").cast("long") * 1000 + F.col("chunk_index")
+    return units.select("novel", seq.alias("seq"), F.floor(seq / 1000).alias("entry_seq"), "chunk_index", "chunk_count", F.sha2("unit", 256).alias("sha"))
 
 
 @query("""SELECT a.novel, a.sequence_number AS head, b.sequence_number AS unit FROM entries a JOIN entries b ON a.novel = b.novel AND b.section_index IN (a.section_index, a.section_index + 1)
@@ -493,11 +560,15 @@ def prefetch_window(spark, d):
     return rows.select("novel", "head", "section_index", F.explode("ahead").alias("x")).filter("x.unit is not null and x.s <= section_index + 1").select("novel", "head", "x.unit")
 
 
-@query("""SELECT sha256(text || '|' || role) AS key, count(*) AS uses FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
+@query("""SELECT sha256(coalesce(text, '') || '|' || role || '|0.8|0.95|1000|1.2') AS key, count(*) AS uses FROM conversations WHERE conv_id % 3 <> 0 OR turn > 2 GROUP BY 1
+          HAVING key NOT IN (SELECT sha256(coalesce(text, '') || '|' || role || '|0.8|0.95|1000|1.2') FROM conversations WHERE conv_id % 3 = 0 AND turn <= 2)""")
 def synthesis_dedup(spark, d):
-    """Each different (text, voice) is synthesised once; only hashes are shuffled."""
-    key = F.sha2(F.concat_ws("|", "text", "role"), 256).alias("key")
-    return S.table(spark, d, "conversations").filter("text is not null").groupBy(key).agg(F.count("*").alias("uses"))
+    """Each different (text, voice, parameters) that is not done yet is synthesised once; a null text is empty; only hashes are shuffled."""
+    # The parameters of synthesis, which are part of a key.
+    key = F.sha2(F.concat_ws("|", F.coalesce("text", F.lit("")), "role", F.lit("0.8"), F.lit("0.95"), F.lit("1000"), F.lit("1.2")), 256).alias("key")
+    work = S.table(spark, d, "conversations")
+    done = work.filter("conv_id % 3 = 0 and turn <= 2").select(key).distinct()
+    return work.filter("conv_id % 3 <> 0 or turn > 2").groupBy(key).agg(F.count("*").alias("uses")).join(done, "key", "left_anti")
 
 
 # Coordinates
@@ -528,12 +599,14 @@ def chunk_enrichment(spark, d):
     return enrich.enriched(placed, ["novel", "section_index"])
 
 
-@query("""SELECT novel, section_index, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY novel ORDER BY section_index, sequence_number, event_id) AS place FROM novel_events
-          WHERE section_index <= 3) WHERE place <= 6""")
+@query("""SELECT query, event_id, place FROM (SELECT query, event_id, row_number() OVER (PARTITION BY query ORDER BY event_id) AS place FROM (
+          SELECT DISTINCT query, event_id, current_chapter FROM boosted8 JOIN events ON event_id // 20 = chunk) JOIN novel_events USING (event_id) WHERE section_index <= current_chapter) WHERE place <= 6""")
 def event_expansion(spark, d):
-    w = Window.partitionBy("novel").orderBy("section_index", "sequence_number", "event_id")
-    seen = S.novel_events(spark, d).filter("section_index <= 3")
-    return seen.select("novel", "section_index", "event_id", F.row_number().over(w).alias("place")).filter("place <= 6")
+    """Events of the hits' chunks (twenty events a chunk), no later than the reader's chapter, the first six of a query."""
+    hits = retrieve.boosted(retrieve.dense(S.retrieval_queries(spark, d), S.chunks(spark, d)))
+    linked = S.novel_events(spark, d).withColumn("chunk", F.floor(F.col("event_id") / 20))
+    seen = hits.join(linked.drop("novel"), "chunk").filter("section_index <= current_chapter").select("query", "event_id").distinct()
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("event_id"))).filter("place <= 6")
 
 
 @query("""SELECT novel, count(*) FILTER (event_type = 'signup') / count(*) > 0.3 AS rejected FROM reader_events GROUP BY 1""")
@@ -542,23 +615,34 @@ def quality_gate(spark, d):
     return S.reader_events(spark, d).groupBy("novel").agg((failed > 0.3).alias("rejected"))
 
 
-@query("""SELECT conv_id, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, count(*) AS messages, sum(length(text) // 4) > 2500 AND count(*) > 8 AS due FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, tokens, messages, tokens > 600 AND messages > 3 AS due, CASE WHEN tokens > 600 AND messages > 3 THEN messages - 3 ELSE 0 END AS folded,
+          CASE WHEN tokens > 600 AND messages > 3 THEN all_[messages - 3].id END AS watermark, CASE WHEN tokens > 600 AND messages > 3 THEN
+          sha256(array_to_string(list_transform(all_[1:messages - 3], lambda x: x.line), chr(10))) END AS transcript FROM (
+          SELECT conv_id, CAST(sum(length(coalesce(text, '')) // 4) AS BIGINT) AS tokens, count(*) AS messages, list({'id': turn, 'line': CASE WHEN role = 'assistant' THEN 'You' ELSE 'User' END
+          || ': ' || coalesce(text, '')} ORDER BY turn) AS all_ FROM conversations WHERE turn > conv_id % 3 - 1 GROUP BY 1)""")
 def chat_compaction(spark, d):
-    return S.table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.sum(T.est_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("messages"),
-        ((F.sum(T.est_tokens(F.col("text"))) > 2500) & (F.count("*") > 8)).alias("due"),
-    )
+    """Sessions over a budget of 600 tokens fold all but their last three messages; the first zero to two messages are folded already."""
+    messages = S.table(spark, d, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("id"), F.when(F.col("role") == "assistant", "character").otherwise("user").alias("role"),
+        F.col("text").alias("content"), (F.col("conv_id") % 3 - 1).alias("summary_upto"),
+    )
+    out = entries.compaction(messages, 600, 3).withColumnRenamed("session", "conv_id")
+    return out.withColumn("transcript", F.when(F.col("due"), F.sha2("transcript", 256)))
+
 
+_WRAPS = ["'{b}'", "'```json' || chr(10) || '{b}' || chr(10) || '```'", "'<think>{no} \"</think>' || chr(10) || '{b}'", "'Sure: {not json} then ' || '{b}' || ' done {x}'", "left('{b}', length('{b}') - 5)", "'nothing here'"]
+_BODY = """'{"speaker": "' || role || '", "confidence": ' || CASE WHEN turn % 4 = 0 THEN '0.0' ELSE '0.75' END || ', "entries": [{"raw_text": "so it } went"}]}'"""
+_RAW = "CASE (conv_id + turn) % 6 " + " ".join(f"WHEN {k} THEN " + w.replace("'{b}'", "(" + _BODY + ")") for k, w in enumerate(_WRAPS)) + " END"
 
-@query("""SELECT conv_id, turn, role AS speaker, CAST(CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.75 END AS DOUBLE) AS confidence FROM conversations""")
+
+@query("""SELECT conv_id, turn, CASE WHEN k < 5 THEN role END AS speaker, CASE WHEN k < 5 THEN CAST(CASE WHEN turn % 4 = 0 THEN 0.5 ELSE 0.75 END AS DOUBLE) END AS confidence,
+          CASE WHEN k < 3 THEN 'read' WHEN k < 5 THEN 'repaired' ELSE 'rejected' END AS how FROM (SELECT *, (conv_id + turn) % 6 AS k FROM conversations)""")
 def decode_responses(spark, d):
-    """Model answers, fenced or behind a reasoning block, read by schema; a confidence of 0 counts as unset."""
-    body = F.to_json(F.struct(F.col("role").alias("speaker"), F.when(F.col("turn") % 4 == 0, 0.0).otherwise(0.75).alias("confidence")))
-    raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>{no}</think>```json\n"), body, F.lit("\n```"))).otherwise(body)
-    found = F.from_json(F.regexp_extract(T.strip_reasoning(raw), r"(?s)\{.*\}", 0), "speaker string, confidence double")
-    return S.table(spark, d, "conversations").select("conv_id", "turn", found.alias("x")).select(
-        "conv_id", "turn", "x.speaker", F.coalesce(F.nullif("x.confidence", F.lit(0.0)), F.lit(0.5)).alias("confidence")
-    )
+    """Answers plain, fenced, behind reasoning with braces, amid prose with braces, cut short, and none at all."""
+    raw = S.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_RAW).alias("raw"))
+    read = entries.read_answers(raw, "raw", "speaker string, confidence double, entries array<struct<raw_text string>>")
+    sure = F.when(F.col("answer").isNotNull(), entries.confidence(F.col("answer.confidence")))
+    return read.select("conv_id", "turn", F.col("answer.speaker").alias("speaker"), sure.alias("confidence"), "how")
 
 
 
@@ -580,10 +664,12 @@ def toc_filter(spark, d):
     return requests.listed_documents(docs).select("book", "page_id", "section_index")
 
 
-@query("""SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos
-          FROM conversations WHERE text <> ''""")
+@query("""SELECT conv_id, turn, CAST(CASE WHEN coalesce(text, '') <> '' THEN pos ELSE coalesce(last_value(stop IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 0) END AS INT) AS pos FROM (
+          SELECT *, CASE WHEN coalesce(text, '') <> '' THEN pos + length(text) END AS stop FROM (SELECT conv_id, turn, text,
+          coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM conversations))""")
 def text_lookup_fold(spark, d):
-    turns = S.table(spark, d, "conversations").filter("text <> ''")
+    """Where every turn stands in its conversation's text; an empty one stands at the cursor."""
+    turns = S.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     per = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
     chapters = per.select("conv_id", "x", F.col("x.text").alias("needles"), F.array_join("x.text", "\n").alias("text"))
     found = requests.located(chapters).select("conv_id", F.explode(F.arrays_zip(F.col("x.turn").alias("turn"), F.col("positions").alias("pos"))).alias("y"))
@@ -613,24 +699,43 @@ def pass2_requests(spark, d):
     return requests.pass2_requests(S.dialogue_entries(spark, d))
 
 
-@query("""SELECT conv_id, role AS name, CAST(max(turn) AS VARCHAR) AS status FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL""")
+@query("""SELECT novel, section_index, character_id, status, summary FROM (SELECT conv_id // 20 AS novel, conv_id % 20 AS section_index, character_id, CAST(turn AS VARCHAR) AS status, left(text, 30) AS summary,
+          row_number() OVER (PARTITION BY conv_id, character_id ORDER BY turn DESC) AS r FROM conversations JOIN (SELECT * FROM (VALUES ('user', 1), ('assistant', 2)) v(name, character_id)) ON name = role) WHERE r = 1""")
 def profile_and_event_rows(spark, d):
-    update = F.struct(F.col("role").alias("character_name"), F.col("turn").cast("string").alias("status"))
-    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", update.alias("u")))).alias("x"))
-    return requests.profile_rows(turns.select("conv_id", F.to_json("x.u").alias("answer")), ["user", "assistant"])
-
-
-@query("""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript
-          FROM conversations WHERE turn > 1 GROUP BY 1""")
+    """Profile updates of every chunk of two turns: unknown names go, the last update in a section stays."""
+    update = F.struct(F.upper("role").alias("character_name"), F.col("turn").cast("string").alias("status"), F.substring("text", 1, 30).alias("summary"))
+    turns = S.table(spark, d, "conversations").withColumns({"novel": F.floor(F.col("conv_id") / 20), "section_index": F.col("conv_id") % 20, "chunk": F.floor(F.col("turn") / 2)})
+    per = turns.groupBy("novel", "section_index", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", update.alias("u")))), lambda x: x["u"]).alias("updates"))
+    lookup = per.select("novel").distinct().select("novel", F.explode(F.map_from_arrays(F.array(F.lit("user"), F.lit("assistant")), F.array(F.lit(1), F.lit(2)))).alias("key", "character_id"))
+    return entries.profile_rows(per, lookup)
+
+
+@query(r"""SELECT conv_id, string_agg(CASE WHEN c.role = 'assistant' THEN 'assistant' ELSE 'user' END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS turns,
+          any_value('You are ' || name || ' of the world, at chapter ' || conv_id % 9 || '.' || chr(10) || 'Also known as: ' || array_to_string(aliases, ', ') || '.'
+          || chr(10) || chr(10) || 'STATE:' || chr(10) || 'Status: s' || conv_id % 4 || moments) AS system FROM conversations c JOIN people ON character_id = conv_id
+          JOIN (SELECT conv_id, coalesce(chr(10) || chr(10) || 'MOMENTS:' || chr(10) || string_agg('- ' || left(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 600), chr(10) ORDER BY turn)
+          FILTER (turn > 3 AND text IS NOT NULL), '') AS moments FROM conversations GROUP BY 1) USING (conv_id) WHERE turn > 1 GROUP BY 1""")
 def chat_requests(spark, d):
-    return requests.chat_requests(S.table(spark, d, "conversations"), 1)
+    """Persona, state, passages (turns from the fourth on) and the turns after the watermark of every session with a character."""
+    people = S.characters(spark, d)
+    talk = S.table(spark, d, "conversations").withColumnRenamed("conv_id", "session")
+    sessions = talk.select("session").distinct().join(people, F.col("character_id") == F.col("session")).select(
+        "session", "name", "aliases", F.lit("").alias("description"), F.lit("the world").alias("world"), (F.col("session") % 9).alias("chapter"),
+        entries.state_line(F.concat(F.lit("s"), (F.col("session") % 4).cast("string")), F.lit(" "), F.lit(None).cast("string")).alias("state"), F.lit(None).cast("string").alias("summary"),
+        F.lit(1).alias("summary_upto"),
+    )
+    messages = talk.select("session", F.col("turn").alias("id"), F.when(F.col("role") == "assistant", "character").otherwise("user").alias("role"), F.col("text").alias("content"))
+    passages = talk.filter("turn > 3 and text is not null").select("session", F.col("turn").alias("place"), "text")
+    out = entries.chat_requests(sessions, messages, passages, passages.limit(0).withColumnRenamed("text", "summary"))
+    line = F.transform("turns", lambda x: F.concat(x["role"], F.lit(": "), x["content"]))
+    return out.filter("turns is not null").select(F.col("session").alias("conv_id"), "system", F.array_join(line, "\n").alias("turns"))
 
 
 # Streams: run over all that is there; the final state is compared with the batch SQL
 
 
 def _stream(spark, d, table, job, mode):
-    return streams.finished(job(streams.feed(spark, d, table)), mode, f"{job.__name__}_{uuid.uuid4().hex}")
+    return streams.finished(job(streams.feed(spark, d, table)), mode, f"{S.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT reader_id, novel, section_index FROM progress")
@@ -648,8 +753,7 @@ def stream_toggles(spark, d):
 @query("""SELECT conv_id, count(*) AS messages, CAST(sum(length(coalesce(text, '')) // 4) AS BIGINT) AS tokens, sum(length(coalesce(text, '')) // 4) > 2500 AND count(*) > 8 AS due
           FROM conversations GROUP BY 1""")
 def stream_chat_state(spark, d):
-    states = _stream(spark, d, "conversations", streams.chat_state, "update")
-    return states.groupBy("conv_id").agg(F.max("messages").alias("messages"), F.max("tokens").alias("tokens"), F.max("due").alias("due"))
+    return streams.last_states(_stream(spark, d, "conversations", streams.chat_state, "update"), "conv_id")
 
 
 @query()

@@ -5,16 +5,16 @@ from __future__ import annotations
 VIEWS = {
     "section_keys": """SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'Author''s Note' WHEN doc_id % 23 = 0 THEN 'Preface'
         ELSE 'Chapter ' || (section_index + 1) END AS title FROM (
-        SELECT CAST(regexp_extract(source, '[0-9]+') AS INT) AS novel, doc_id,
-        CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS section_index FROM documents)""",
+        SELECT CAST(doc_id // 50 AS INT) AS novel, doc_id,
+        CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS INT) AS section_index FROM documents)""",
     "sections": "SELECT k.*, d.text FROM section_keys k JOIN documents d USING (doc_id)",
     "novels": """SELECT novel, 'uuid-' || novel AS uuid, 'Novel ' || novel AS title,
         CASE WHEN novel % 7 <> 0 THEN novel // 5 END AS series_id, CASE WHEN novel % 7 <> 0 THEN novel % 5 + 1 END AS book_order
-        FROM (SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+') AS INT) AS novel FROM documents)""",
-    "entries": """SELECT CAST(conv_id % 20 AS INT) AS novel, CAST(conv_id // 20 AS INT) AS section_index, conv_id, turn, role AS speaker_name,
+        FROM (SELECT DISTINCT CAST(doc_id // 50 AS INT) AS novel FROM documents)""",
+    "entries": """SELECT CAST(conv_id // 20 AS INT) AS novel, CAST(conv_id % 20 AS INT) AS section_index, conv_id, turn, role AS speaker_name,
         ['happy','angry','sad','fearful','warm','serious','whisper','mysterious','bogus'][turn % 9 + 1] AS emotion,
         ['low','med','high'][turn % 3 + 1] AS intensity, text AS original_text,
-        CAST(row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) - 1 AS INT) AS sequence_number FROM conversations""",
+        CAST(row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id, turn) - 1 AS INT) AS sequence_number FROM conversations""",
     "k": "SELECT *, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) AS k FROM events",
     "novel_events": """SELECT event_id, CAST(user_id % 20 AS INT) AS novel, k % 5 AS section_index, CAST(event_id % 100 AS INT) AS sequence_number,
         k % 11 AS spoiler_level FROM k WHERE event_type = 'error'""",
@@ -22,7 +22,7 @@ VIEWS = {
     "reader_events": "SELECT event_id, user_id AS reader_id, CAST(event_id % 20 AS INT) AS novel, k AS section_index, event_type, ts FROM k",
     "progress": """SELECT reader_id, novel, arg_max(section_index, (ts, event_id)) AS section_index, max(ts) AS updated_at
         FROM reader_events WHERE event_type = 'view' GROUP BY ALL""",
-    "people": """SELECT c_custkey AS character_id, CAST(c_nationkey AS INT) AS novel, c_name AS name, [lower(c_name), c_mktsegment] AS aliases,
+    "people": """SELECT c_custkey AS character_id, CAST(c_custkey // 50 AS INT) AS novel, c_name AS name, [lower(c_name), c_mktsegment] AS aliases,
         ['male','female','unknown'][c_custkey % 3 + 1] AS gender,
         ['child','teen','young','young_adult','adult','middle_aged','elderly','unknown'][c_custkey % 8 + 1] AS age_range,
         ['protagonist','deuteragonist','antagonist','major','minor','minor'][c_custkey % 6 + 1] AS role FROM customer""",
@@ -36,6 +36,7 @@ VIEWS = {
     "dense": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM dense_all QUALIFY rank <= 40",
     "boosted": """SELECT query, chunk, round(score * (1 + 0.15 * exp(-greatest(0, (novel_number_now - novel_number) * 1000
         + current_chapter - chapter_index) / 5.0)), 6) AS score FROM dense""",
+    "boosted8": "SELECT b.*, d.current_chapter FROM boosted b JOIN dense d USING (query, chunk) QUALIFY row_number() OVER (PARTITION BY query ORDER BY b.score DESC, chunk) <= 8",
     "terms": """SELECT vec_id AS chunk, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term
         FROM embeddings JOIN documents ON doc_id = vec_id""",
     "lens": """SELECT vec_id AS chunk, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len
@@ -54,11 +55,6 @@ VIEWS = {
     "packed_fold": """SELECT doc_id, len(ps) AS m, list_reduce(list_prepend({'n': 0::BIGINT, 'k': 0::BIGINT},
         list_transform(ps, lambda x: {'n': length(x)::BIGINT, 'k': 0::BIGINT})),
         lambda s, x: CASE WHEN s.n > 0 AND s.n + x.n > 6500 THEN {'n': x.n, 'k': s.k + 1} ELSE {'n': s.n + x.n, 'k': s.k} END) AS s FROM packed_pars""",
-    "par_sizes": r"""SELECT doc_id, list_transform(pars, lambda p: len(list_filter(string_split_regex(p, '\s+'), lambda w: w <> ''))) AS sizes FROM pars""",
-    "chunk_fold": """SELECT doc_id, sizes, list_reduce(list_prepend({'n': 0::BIGINT, 'k': 0::BIGINT, 'c': 0::BIGINT},
-        list_transform(sizes, lambda x: {'n': x::BIGINT, 'k': 0::BIGINT, 'c': 0::BIGINT})),
-        lambda s, x: CASE WHEN s.c > 0 AND s.n + x.n > 512 THEN {'n': x.n, 'k': s.k + 1, 'c': 1::BIGINT}
-        ELSE {'n': s.n + x.n, 'k': s.k, 'c': s.c + 1} END) AS s FROM par_sizes""",
     "snapped": """SELECT novel, sequence_number, CASE WHEN emotion IN ('bogus') THEN 'neutral' ELSE emotion END AS emotion,
         CASE WHEN emotion IN ('happy','angry','sad','fearful') THEN intensity WHEN emotion IN ('warm','serious','whisper') AND intensity = 'high' THEN 'high'
         ELSE 'low' END AS intensity FROM entries""",
@@ -80,4 +76,9 @@ def with_views(sql: str) -> str:
                     used.append(name)
 
     need(sql)
-    return ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used) + "\n" if used else "") + sql
+    if not used:
+        return sql
+    head = "WITH RECURSIVE " if re.match(r"\s*WITH RECURSIVE\b", sql) else "WITH "
+    own = re.match(r"\s*WITH (?:RECURSIVE )?", sql)
+    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used)
+    return head + views + (",\n" + sql[own.end() :] if own else "\n" + sql)

@@ -6,21 +6,35 @@ numbered on ids and joined back to their text once.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a single machine without one gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def novel_of(source: Column) -> Column:
-    return F.regexp_extract(source, "[0-9]+", 0).cast("int")
+def novel_of(doc_id: Column) -> Column:
+    """Fifty documents make a novel, so there are more novels, not longer ones, in a larger table."""
+    return F.floor(doc_id / 50).cast("int")
 
 
 def section_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(novel, section_index, doc_id, title): documents of a source are the sections of a novel."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", novel_of(F.col("source")).alias("novel"))
+    """(novel, section_index, doc_id, title): documents in a row are the sections of a novel."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", novel_of(F.col("doc_id")).alias("novel"))
     index = (F.row_number().over(Window.partitionBy("novel").orderBy("doc_id")) - 1).alias("section_index")
     title = (
         F.when(F.col("doc_id") % 17 == 0, "Author's Note")
@@ -36,7 +50,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def novels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(novel, uuid, title, series_id, book_order): every seventh novel stands alone, others come in fives."""
-    n = table(spark, sf_dir, "documents").select(novel_of(F.col("source")).alias("novel")).distinct()
+    n = table(spark, sf_dir, "documents").select(novel_of(F.col("doc_id")).alias("novel")).distinct()
     alone = F.col("novel") % 7 == 0
     return n.select(
         "novel",
@@ -55,8 +69,8 @@ def dialogue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.col("turn") % k + 1).cast("int"))
     order = Window.partitionBy("novel").orderBy("conv_id", "turn")
     return turns.select(
-        (F.col("conv_id") % 20).cast("int").alias("novel"),
-        F.floor(F.col("conv_id") / 20).cast("int").alias("section_index"),
+        F.floor(F.col("conv_id") / 20).cast("int").alias("novel"),
+        (F.col("conv_id") % 20).cast("int").alias("section_index"),
         "conv_id",
         "turn",
         F.col("role").alias("speaker_name"),
@@ -121,7 +135,7 @@ def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % k + 1).cast("int"))
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("character_id"),
-        F.col("c_nationkey").cast("int").alias("novel"),
+        F.floor(F.col("c_custkey") / 50).cast("int").alias("novel"),
         F.col("c_name").alias("name"),
         F.array(F.lower("c_name"), F.col("c_mktsegment")).alias("aliases"),
         pick(["male", "female", "unknown"], 3).alias("gender"),
@@ -130,6 +144,14 @@ def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``characters``, with narrators, catch-all voices, unlisted roles and a gender that no actor has."""
+    genders = ["male", "female", "unknown", "other", "male"]
+    roles = ["protagonist", "narrator", "antagonist", "misc_voice", "minor", "deuteragonist", "extra", "major", "minor"]
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.col("character_id") % k + 1).cast("int"))
+    return characters(spark, sf_dir).withColumns({"gender": pick(genders, 5), "role": pick(roles, 9)})
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk"),
@@ -154,7 +176,7 @@ def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(path, suffix, text) of whole text files; bad bytes become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).alias("suffix"), F.decode("content", "UTF-8").alias("text"))
+    return files.select("path", F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).alias("suffix"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def supported_books(files: DataFrame, suffixes: tuple[str, ...] = (".txt", ".epub", ".pdf", ".html")) -> tuple[DataFrame, DataFrame]:
@@ -168,6 +190,18 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def rewrite_index(chunks: DataFrame, path: str) -> None:
+    """Index write: the chunks of each novel of ``chunks`` replace those stored, in order of their serials."""
+    replace_partitions(chunks.repartition("novel_uuid").sortWithinPartitions("novel_uuid", "chunk_serial"), path, "novel_uuid")
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table of ``write_together``: rows of all runs whose marker was written, with their ``run``."""
+    rows = spark.read.option("basePath", folder).parquet(f"{folder}/run=*/{name}").withColumn("run", F.col("run").cast("string"))
+    runs = spark.read.schema("run_id string").json(f"{folder}/run=*/_published/").select(F.col("run_id").alias("run")).distinct()
+    return rows.join(runs, "run", "left_semi")
+
+
 def write_together(frames: dict[str, DataFrame], folder: str, run_id: str) -> None:
     """Writes several tables under one run; the marker that publishes the run comes last."""
     for name, df in frames.items():

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +16,33 @@ def feed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").option("maxFilesPerTrigger", 16).parquet(sf_dir)
 
 
-def finished(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that is there and returns the final state of its memory sink."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def finished(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over all that is there and returns its rows, written to ``folder``, which driver and executors share.
+
+    In append mode the file sink takes them. States go through ``foreachBatch``: every batch writes the rows
+    it changed under its number, so a batch that runs twice leaves one result, and a reader takes each
+    key's last one; in complete mode a batch holds all keys, and the last batch is the state.
+    """
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{folder}/rows")
+    else:
+        query = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    rows = df.sparkSession.read.schema(df.schema if mode == "append" else df.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    if mode == "append":
+        return rows
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("_last"))
+        return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")
+    return rows
+
+
+def last_states(rows: DataFrame, *keys: str) -> DataFrame:
+    """The state of every key after the last batch that changed it."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_x"))
+    return best.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
 
 
 def _k():
@@ -50,20 +69,8 @@ def toggles(events: DataFrame) -> DataFrame:
 
 
 def chat_state(messages: DataFrame) -> DataFrame:
-    """(conv_id, messages, tokens, due) with state of two numbers per session, in a stateful fold."""
-
-    def fold(key, frames: Iterator[pd.DataFrame], state):
-        count, tokens = state.get if state.exists else (0, 0)
-        for pdf in frames:
-            count += len(pdf)
-            tokens += int((pdf["chars"] // 4).sum())
-        state.update((count, tokens))
-        yield pd.DataFrame({"conv_id": [key[0]], "messages": [count], "tokens": [tokens], "due": [tokens > 2500 and count > 8]})
-
-    sized = messages.select("conv_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
-    return sized.groupBy("conv_id").applyInPandasWithState(
-        fold, "conv_id long, messages long, tokens long, due boolean", "messages long, tokens long", "update", "NoTimeout"
-    )
+    """(conv_id, messages, tokens, due): two sums per session, kept as the state of a streaming aggregate."""
+    return messages_with_summary_due(messages)
 
 
 def blocks(sections: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ def blocks(spark, text):
 
 
 def test_mixed_paragraph(spark):
-    got = blocks(spark, '"Look what I shot," Gale holds up a loaf of bread.')
-    assert got == [("Look what I shot,", "dialogue"), ("Gale holds up a loaf of bread.", "narration")]
+    got = blocks(spark, '"Mind the step," the porter lifts his lamp.')
+    assert got == [("Mind the step,", "dialogue"), ("the porter lifts his lamp.", "narration")]
 
 
 def test_quotes_actions_and_thoughts(spark):
-    assert blocks(spark, "don't, it's the dog's bone") == [("don't, it's the dog's bone", "narration")]
-    assert blocks(spark, "*He leaves*") == [("He leaves", "action")]
+    assert blocks(spark, "she can't, it's Mina's boat") == [("she can't, it's Mina's boat", "narration")]
+    assert blocks(spark, "*A door shuts*") == [("A door shuts", "action")]
     assert blocks(spark, "“A” said «B».") == [("A", "dialogue"), ("said", "narration"), ("B", "dialogue"), (".", "narration")]
     assert blocks(spark, '"Hm." <em>What now</em>')[1][1] == "thought"
 
@@ -52,7 +52,7 @@ def test_emotion_snap(spark, given, want):
 
 def test_names(spark):
     match = T.names_match(F.col("a"), F.col("b"))
-    assert value(spark, match, a="Katniss", b="Katniss Everdeen") and not value(spark, match, a="Kate", b="Katherine")
+    assert value(spark, match, a="Mina", b="Mina Aldous") and not value(spark, match, a="Rob", b="Robin")
 
 
 def test_reasoning_and_normalisation(spark):
@@ -78,23 +78,82 @@ def test_chapters(spark):
 def test_packing_of_sections_units_and_chunks(spark):
     text = "\n\n".join("x" * n for n in (4000, 2000, 1000, 7000, 10))
     assert [[len(p) for p in s] for s in value(spark, segment.pack_sections(F.col("t")), t=text)] == [[4000, 2000], [1000], [7000], [10]]
-    units = value(spark, F.flatten(F.transform(segment.narration_units(F.col("t")), lambda u: segment.cut_oversized(u))), t="One. Two! " + "word, " * 100 + "end. " + "y" * 700)
-    assert all(0 < len(u) <= 300 for u in units)
-    assert "".join(units).replace(" ", "") == ("One.Two!" + "word," * 100 + "end." + "y" * 700)
     numbers = value(spark, segment.request_chunk_numbers(segment.text_blocks(F.col("t"))), t="\n\n".join(f"p{k}" for k in range(5)))
     assert numbers == [0, 0, 1, 1, 2]
 
 
-def packed(parts, limit):
-    out = []
-    for x in parts:
-        if out and len(out[-1]) + 1 + len(x) <= limit:
+def pieces_of(sentence, limit):
+    """Words up to the limit, longer ones cut and apart."""
+    out, open_ = [], False
+    for w in sentence.split():
+        if len(w) > limit:
+            out += [w[k : k + limit] for k in range(0, len(w), limit)]
+            open_ = False
+        elif open_ and len(out[-1]) + 1 + len(w) <= limit:
+            out[-1] += " " + w
+        else:
+            out.append(w)
+            open_ = True
+    return out
+
+
+def parts_of(text, limit):
+    """Sentences up to the limit, longer ones cut and apart."""
+    out, open_ = [], False
+    for x in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", text))):
+        if len(x) > limit:
+            out += pieces_of(x, limit)
+            open_ = False
+        elif open_ and len(out[-1]) + 1 + len(x) <= limit:
             out[-1] += " " + x
         else:
             out.append(x)
+            open_ = True
     return out
 
 
+LONG = ["One. Two! Three?", "y" * 1400, "z" * 5000, "a. " + "z" * 3000 + " b c. D.", ("w" * 90 + " ") * 40 + "end. Next one. " + "v " * 900 + "x. Last."]
+
+
+def test_long_blocks_are_cut_at_sentences_words_and_letters(spark):
+    for text in LONG:
+        want = parts_of(text.strip(), 1400) if len(text.strip()) > 1400 else [text.strip()]
+        got = [t for t, _ in blocks(spark, text)]
+        assert got == want and all(len(t) <= 1400 for t in got)
+    assert len(blocks(spark, "z" * 5000)) == 4
+
+
+def test_request_chunks_agree_with_the_numbers_of_blocks(spark):
+    for text in ("\n\n".join(f"p{k} " * (k % 9 * 60 + 1) for k in range(40)), "\n\n".join('"a" b "c" d "e" f "g" h' for _ in range(5)), "", *LONG):
+        found = segment.text_blocks(F.col("t"))
+        row = value(spark, F.struct(found.alias("b"), segment.request_chunk_numbers(found).alias("n"), segment.request_chunks(found).alias("c")), t=text)
+        want = {}
+        for b, n in zip(row.b, row.n, strict=True):
+            want.setdefault(n, []).append(len(b.text))
+        assert [(c.blocks, c.chars) for c in row.c] == [(len(x), sum(x)) for x in want.values()]
+        assert [c.first for c in row.c] == [sum(len(x) for x in list(want.values())[:k]) for k in range(len(want))]
+        assert all(len(x) <= 6 and (sum(x) + 2 * len(x) - 2 <= 3200 or len(x) == 1) for x in want.values())
+
+
+def test_narration_units(spark):
+    units = lambda t: value(spark, segment.narration_units(F.col("t")), t=t)
+    assert units("Hello, world. He left - slowly.") == ["Hello, world. He left - slowly."]
+    assert units(None) == [] and units("  ") == []
+    long = "This clause goes on, and on; " * 12 + "then it stops"
+    got = units(f"First. Second! {long}. {'y' * 700} z. Last one.")
+    assert got[0] == "First. Second!" and got[-1] == "Last one." and all(0 < len(u) <= 300 for u in got)
+    assert got[1].endswith((",", ";")) and len(got[1]) > 270
+    assert "y" * 300 in got and "".join(got).replace(" ", "") == f"First.Second!{long}.{'y' * 700}z.Lastone.".replace(" ", "")
+    told = "“" + "A sentence of some length here. " * 14 + "”"
+    assert units(told) == [u for u in segment.units_of(told.strip())] and len(units(told)) == 2
+
+
+def test_sentences_with_places(spark):
+    text = 'He said "No." Then (oh!) left.  Fine\n\n  '
+    got = [(x.text, x.start) for x in value(spark, segment.sentence_spans(F.col("t")), t=text)]
+    assert [t.strip() for t, _ in got] == ['He said "No."', "Then (oh!)", "left.", "Fine"] and all(text[a : a + len(t)] == t for t, a in got)
+
+
 def test_blocks_of_long_turns_against_brute_force(spark, tmp_path):
     from hashlib import sha256
 
@@ -107,9 +166,7 @@ def test_blocks_of_long_turns_against_brute_force(spark, tmp_path):
     want = set()
     for c, t, role, x in rows:
         x = x.replace('"', "").replace("\n", " ")
-        parts = [s for s in re.split(r"(?<=[.!?])\s+", x) if s]
-        parts = packed([y for s in parts for y in (packed(s.split(" "), 1400) if len(s) > 1400 else [s])], 1400)
-        found = [(y, "action" if role == "system" else "dialogue") for y in (parts if len(x) > 1400 else [x])]
+        found = [(y, "action" if role == "system" else "dialogue") for y in (parts_of(x, 1400) if len(x) > 1400 else [x])]
         found += [("said the guide.", "narration")] if role == "assistant" else []
         want |= {(c, t, at, kind, len(y), sha256(y.encode()).hexdigest()) for at, (y, kind) in enumerate(found)}
     got = [tuple(r) for r in QUERIES["text_blocks_of_all_turns"](spark, str(tmp_path)).collect()]
@@ -162,7 +219,7 @@ def test_finished_sections_over_many_unordered_files(spark, tmp_path):
         os.rename(part, f"{tmp_path}/in/{k}.parquet")
         os.utime(f"{tmp_path}/in/{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
     events = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = jobs.finished(jobs.finished_sections(events), "complete", "finished_sections_unordered")
+    got = jobs.finished(jobs.finished_sections(events), "complete", f"{tmp_path}/out")
     assert [tuple(r) for r in got.collect()] == [(0, 5)]
 
 
@@ -202,19 +259,60 @@ def test_alignment_takes_a_line_once(spark):
     assert sorted((r.block, r.line) for r in cast.aligned(blocks_, lines, ["c"]).collect()) == [(0, 1), (1, 0)]
 
 
-def test_merge_and_voices(spark):
-    found = spark.createDataFrame(
-        [(1, 0, 0, "Kat", ["K"], "hunter"), (1, 1, 0, "kat", ["Cat"], "hunter"), (1, 2, 0, "Cat", [], "brave"), (1, 2, 1, "Gale", [], "")],
-        "novel int, section_index int, place int, name string, aliases array<string>, description string",
-    )
-    got = {r.name: (r.aliases, r.description) for r in cast.merge_characters(found).collect()}
-    assert got == {"Kat": ("Cat,K,kat", "hunter brave"), "Gale": ("", "")}
-    people = spark.createDataFrame(
-        [(1, 1, "protagonist", "female", "young_adult"), (1, 2, "major", "female", "young_adult"), (1, 3, "minor", "unknown", "elderly")],
-        "novel int, character_id long, role string, gender string, age_range string",
-    )
-    chosen = {r.character_id: r.actor_id for r in cast.assign_voices(people).collect()}
-    assert chosen[1] == 1 and chosen[2] == 1  # an unused actor ties with the best one, who comes first
+def test_empty_lines_match_nothing(spark):
+    score = T.overlap_score(F.col("a"), F.col("b"))
+    assert value(spark, score, a="he left", b="") == 0 and value(spark, score, a="he left", b=" \n") == 0 and value(spark, score, a="he left", b="He LEFT ") == 1.5
+
+
+MENTION = "novel int, section_index int, place int, kind string, name string, aliases array<string>, gender string, age_range string, role string, description string"
+
+
+def test_merge_of_characters(spark):
+    rows = [
+        (1, 0, 0, "new", "Mina", ["M"], "unknown", "adult", "minor", "A sailor"), (1, 1, 0, "new", "mina", ["Captain"], "male", "teen", "major", "dropped"),
+        (1, 1, 1, "update", "MINA", ["Skip", "Mina"], "female", "elderly", "antagonist", "a SAILOR"), (1, 2, 0, "update", "skip", [], "male", "teen", "minor", "Brave"),
+        (1, 2, 1, "update", "Nobody", [], "male", "teen", "minor", "lost"), (1, 3, 0, "new", "Rob", None, None, None, None, None), (2, 0, 0, "new", "Mina", [], "female", "adult", "minor", ""),
+    ]
+    got = sorted(tuple(r) for r in cast.merge_characters(spark.createDataFrame(rows, MENTION)).collect())
+    assert got == [
+        (1, "Mina", "M,Skip", "female", "adult", "antagonist", "A sailor Brave"), (1, "Rob", "", "unknown", "unknown", "", ""), (2, "Mina", "", "female", "adult", "minor", ""),
+    ]
+
+
+def voices_by_hand(people):
+    """Brute force: one novel, roles in order, then ids."""
+    ages, taken, out = T.AGES, set(), {}
+    order = {r: k for k, r in enumerate(cast.ROLES)}
+    for i, gender, age, role in sorted((p for p in people if p[3] != "misc_voice"), key=lambda p: (order.get(p[3], 5), p[0])):
+        best = None
+        for k, (_, g, a, suited) in enumerate(cast.ACTORS, 1):
+            if gender not in ("unknown", g):
+                continue
+            gap = abs(ages.index(age) - ages.index(a)) if age in ages else 3
+            score = max(0, 3 - gap) + 2 * (role in ("protagonist", "deuteragonist") and suited) + (role in cast.RESERVED and k not in taken)
+            if best is None or score > best[0]:
+                best = (score, k)
+        chosen = best[1] if best else next((k for k in range(1, 10) if k not in taken), 1)
+        out[i] = chosen
+        if role in cast.RESERVED:
+            taken.add(chosen)
+    used = [sum(v == k for v in out.values()) for k in range(1, 10)]
+    return out | {p[0]: used.index(min(used)) + 1 for p in people if p[3] == "misc_voice"}
+
+
+def test_voices_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    genders, ages = ["male", "female", "unknown", "other"], [*T.AGES, "unknown"]
+    roles = [*cast.ROLES, "minor", "extra", "misc_voice"]
+    novels = {n: [(100 * n + k, rng.choice(genders), rng.choice(ages), rng.choice(roles)) for k in range(rng.randint(1, 30))] for n in range(12)}
+    df = spark.createDataFrame([(n, *p) for n, x in novels.items() for p in x], "novel int, character_id long, gender string, age_range string, role string")
+    got = {r.character_id: r.actor_id for r in cast.assign_voices(df).collect()}
+    assert got == {i: a for x in novels.values() for i, a in voices_by_hand(x).items()}
+
+
+def test_sample_files(spark):
     paths = spark.createDataFrame([("x/Ono_Anna_sad_low.wav",), ("y/Ono_Anna_SAD_high.wav",), ("Ryan_neutral.wav",), ("a.txt",)], "path string")
     assert {(r.actor, r.emotion): r.intensities for r in cast.sample_files(paths).collect()} == {("Ono_Anna", "sad"): ["high", "low"], ("Ryan", "neutral"): []}
 
@@ -223,3 +321,70 @@ def test_character_references(spark):
     from prose.operators import requests
 
     assert value(spark, requests.unescaped(F.col("t")), t="a &amp; b &eacute;") == "a & b é"
+
+
+def test_bad_bytes_are_replaced(spark, tmp_path):
+    from prose.sources import tables
+
+    (tmp_path / "A.TXT").write_bytes(b"caf\xc3\xa9 \xff end")
+    (tmp_path / "b.doc").write_bytes(b"x")
+    files = tables.read_books(spark, str(tmp_path))
+    good, bad = tables.supported_books(files)
+    assert [(r.suffix, r.text) for r in good.collect()] == [(".txt", "café \ufffd end")] and [r.suffix for r in bad.collect()] == [".doc"]
+
+
+def test_partitions_are_replaced_and_runs_published(spark, tmp_path):
+    from prose.sources import tables
+
+    row = lambda *x: spark.createDataFrame([*x], "novel_uuid string, chunk_serial int")
+    tables.rewrite_index(row(("a", 1), ("a", 2), ("b", 1)), f"{tmp_path}/index")
+    for _ in range(2):
+        tables.rewrite_index(row(("a", 7)), f"{tmp_path}/index")
+    assert sorted((r.novel_uuid, r.chunk_serial) for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [("a", 7), ("b", 1)]
+    tables.write_together({"x": row(("a", 1)), "y": row(("b", 2))}, f"{tmp_path}/runs", "r1")
+    row(("lost", 9)).write.parquet(f"{tmp_path}/runs/run=r2/x")
+    assert [(r.run, r.novel_uuid) for r in tables.published(spark, f"{tmp_path}/runs", "x").collect()] == [("r1", "a")]
+
+
+def test_answers_are_read_repaired_or_rejected(spark):
+    from prose.operators import entries
+
+    raw = [
+        '{"a": "x", "b": [1, 2]}', "```json\n{\"a\": \"x\"}\n```", '<Think>{"a": 0}</think> {"a": "y"}', 'so {bad} then {"a": "br}ace"} end {', '{"a": "cut sho', '{"b": [1, 2',
+        "nothing", None, "", '<reasoning> open {"a": "z"}', '{"a": "x", oops}',
+    ]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, raw string")
+    got = {r.k: (r.how, r.answer and r.answer.a) for r in entries.read_answers(df, "raw", "a string, b array<int>").collect()}
+    assert got == {
+        0: ("read", "x"), 1: ("read", "x"), 2: ("read", "y"), 3: ("repaired", "br}ace"), 4: ("repaired", "cut sho"), 5: ("repaired", None),
+        6: ("rejected", None), 7: ("rejected", None), 8: ("rejected", None), 9: ("read", "z"), 10: ("rejected", None),
+    }
+
+
+def test_blocks_of_queries_give_the_same_hits(spark, monkeypatch):
+    from prose.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda: sorted(tuple(r) for r in retrieve.dense(tables.retrieval_queries(spark, sf), tables.chunks(spark, sf)).select("query", "chunk", "rank").collect())
+    want = run()
+    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(retrieve, "BLOCK_CHUNKS", 50)
+    assert run() == want and len(want) > 50
+
+
+def test_book_sections(spark):
+    from prose.operators import ingest
+
+    page = lambda title, text: f"<html><head><title>{title}</title></head><body><h1></h1>{text}</body></html>"
+    docs = [
+        (1, "t/a.html", "Book", page("x/part_split_004.html", "<p>one</p>"), None, 0), (1, "t/b.html", "Book", page("Book", "<p>two &amp; &lt;</p>"), 5, 1),
+        (1, "t/c.html", "Book", page("", ""), 4, 2), (1, "t/my-file_x.html", "Book", page("", "<hr class='k'/>"), 3, 3), (1, "t/d7.html", "Book", page("", '<img alt="q" src="i.png">'), None, 4),
+        (2, "x.html", "B", "<p>listed</p>", None, 0), (2, "y.html", "B", "<p>not</p>", None, 1),
+    ]
+    df = spark.createDataFrame(docs, "book int, name string, book_title string, html string, spine_pos int, manifest_pos int")
+    toc = spark.createDataFrame([(2, 0, "f/x.html#a", " Listed "), (2, 1, "x.html", "late"), (2, 2, "z.html", "gone")], "book int, place int, href string, title string")
+    got = sorted(tuple(r)[:5] for r in ingest.book_sections(df, toc).collect())
+    assert [(b, k, t, x) for b, k, t, x, _ in got] == [
+        (1, 0, "My File X", "My File X"), (1, 1, "Chapter 2", "two & <"), (1, 2, "Chapter 5", "one"), (1, 3, "Chapter 7", "Chapter 7"), (2, 0, "Listed", "listed"),
+    ]
+    assert got[0][4].endswith("<hr>") and '<img src="i.png">' in got[3][4]
