@@ -3,8 +3,8 @@
 All decisions depend on lengths alone, and there are at most ``capacity`` different ones, so the
 packing is computed on the histogram of lengths (at most 2048 numbers, whatever the input) and then
 dealt out to the pieces by their rank within their length. Ranks come from a window per (length,
-salt) plus the counts of the salts before; a length has a salt for every ``TASK_PIECES`` pieces, so
-that one that many pieces share is no hot key.
+salt) plus the counts of the salts before; a length has a salt for every ``TASK_PIECES`` pieces (more
+in a table of more than GROUPS times as many), so that one that many pieces share is no hot key.
 
 Cases with a defined result: null or empty text is one piece that holds the end id alone; repeated
 rows are packed each for itself; a very long text becomes as many pieces as it needs; pieces of equal
@@ -29,8 +29,8 @@ from .wordhash import fold, range_hash, split_words, text_slices
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces that one task numbers; a length that more pieces share is numbered by several tasks.
-TASK_PIECES = 200_000
+#: Pieces of a length that one task numbers, if that makes no more than so many groups of pieces in all.
+TASK_PIECES, GROUPS = 2_000, 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _CACHES: dict[str, WordCache] = {}
 
@@ -202,11 +202,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # At most `capacity` rows reach the driver, whatever the input.
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     slots = _slots(reduce_and_fit(histogram, capacity))
-    hot = [F.lit(x) for n, c in histogram.items() if c > TASK_PIECES for x in (n, c // TASK_PIECES + 1)]
+    most = max(TASK_PIECES, sum(histogram.values()) // GROUPS)
+    hot = [F.lit(x) for n, c in histogram.items() if c > most for x in (n, c // most + 1)]
     salts = F.coalesce(F.element_at(F.create_map(*hot), F.col("length")), F.lit(1)) if hot else F.lit(1)
     parts = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts).cast("int"))
     counts = parts.groupBy("length", "_salt").count()
-    # One row per length and TASK_PIECES pieces.
+    # One row per group of pieces.
     before = counts.withColumn(
         "_before",
         F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
