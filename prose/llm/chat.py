@@ -12,8 +12,10 @@ template's marks nor those of others can occur in them; the escapes are undone e
 
 Nodes are found without comparing conversations: a node's key is the exclusive-or of 128-bit hashes
 of (place, role, text) over its turns, a running aggregate. Keys are pre-aggregated before their
-shuffle, so a first turn that a third of all conversations share is one row per task. Order in the
-stream comes from range partitions of the paths and partial sums per partition.
+shuffle, so a first turn that a third of all conversations share is one row per task. Turns are rendered
+and tokenised once, into a written table; order in the stream comes from range partitions of the paths
+with lengths alone, and partial sums per partition. Descendants meet an ancestor in a plain equi-join, in
+which adaptive execution splits the many of a common first turn.
 
 Cases with a defined result: null role, text and turn count as empty, empty and first; rows are taken
 by turn, then role, then text, so repeated rows are repeated turns; rows with a null conv_id are one
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import cut
+from .support import cut, discard
 
 TURN, END = "<|turn|>", "<|end|>"
 LOSS_ROLE = "assistant"
@@ -65,7 +67,7 @@ def _tokenizer(path: str):
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, level, role, text, key k1, k2 and path (first keys from the root) of the node of every turn."""
+    """conv_id, level, role, text, key k1, k2 and path (keys from the root) of the node of every turn."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -79,7 +81,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     )
     so_far = Window.partitionBy("conv_id").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"k1": F.bit_xor("h1").over(so_far), "k2": F.bit_xor("h2").over(so_far)})
-    return rows.withColumn("path", F.collect_list("k1").over(so_far)).drop("h1", "h2", "turn")
+    return rows.withColumn("path", F.collect_list(F.struct("k1", "k2")).over(so_far)).drop("h1", "h2", "turn")
 
 
 def _render(nodes: DataFrame, tokenizer: str) -> DataFrame:
@@ -90,7 +92,7 @@ def _render(nodes: DataFrame, tokenizer: str) -> DataFrame:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             heads = [f"{TURN}{escape_role(r)}\n" for r in roles]
             bodies = [escape(t) for t in texts]
-            encode = lambda x: [e.ids for e in _tokenizer(tokenizer).encode_batch(x, add_special_tokens=False)]
+            encode = lambda x: [e.ids for e in _tokenizer(tokenizer).encode_batch_fast(x, add_special_tokens=False)]
             parts = list(zip(encode(heads), encode(bodies), encode([f"{END}\n"] * len(roles)), strict=True))
             lossy = [r == LOSS_ROLE for r in roles]
             yield pa.RecordBatch.from_arrays(
@@ -104,62 +106,63 @@ def _render(nodes: DataFrame, tokenizer: str) -> DataFrame:
                 [*_NODE, "path", "ids", "loss_start", "loss_stop", "formatted_chars"],
             )
 
-    schema = "k1 long, k2 long, level int, path array<long>, ids array<int>, loss_start long, loss_stop long, formatted_chars long"
+    schema = "k1 long, k2 long, level int, path array<struct<k1 bigint, k2 bigint>>, ids array<int>, loss_start long, loss_stop long, formatted_chars long"
     return nodes.select(*_NODE, "path", "role", "text").mapInArrow(run, schema)
 
 
 def _laid_out(nodes: DataFrame) -> DataFrame:
-    """Adds start and length: depth-first places in the stream, in the order of the paths."""
-    schema = "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + ", local long, length long"
+    """(k1, k2, level, start, length): depth-first places in the stream, in the order of the paths. Paths and lengths alone are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            length = np.diff(batch.column("ids").offsets.to_numpy()).astype(np.int64)
+            length = batch.column("length").to_numpy()
             ends = done + np.cumsum(length)
             done = int(ends[-1]) if len(ends) else done
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(length), part, dtype=np.int32)), *batch.columns, pa.array(ends - length), pa.array(length)],
-                ["part", *batch.schema.names, "local", "length"],
-            )
+            parts = pa.array(np.full(len(length), part, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([parts, *(batch.column(c) for c in _NODE), pa.array(ends - length), batch.column("length")], ["part", *_NODE, "local", "length"])
 
-    placed = cut(nodes.repartitionByRange("path", "k2").sortWithinPartitions("path", "k2").mapInArrow(run, schema))
+    sized = nodes.select(*_NODE, "path", F.size("ids").cast("long").alias("length"))
+    ordered = sized.repartitionByRange("path").sortWithinPartitions("path")
+    placed = cut(ordered.mapInArrow(run, "part int, k1 long, k2 long, level int, local long, length long"))
     # One row per partition.
     before = placed.groupBy("part").agg(F.sum("length").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    return placed.join(F.broadcast(before), "part").withColumn("start", F.col("local") + F.col("before")).drop("part", "local", "before")
+    return placed.join(F.broadcast(before), "part").select(*_NODE, (F.col("local") + F.col("before")).alias("start"), "length")
 
 
 def _ancestors(nodes: DataFrame) -> DataFrame:
-    """(k1, k2, level, at, a1): the key part of each ancestor at level ``at``, the node itself included."""
-    return nodes.select(*_NODE, F.posexplode("path").alias("at", "a1"))
+    """(k1, k2, level, at, a1, a2): the key of each ancestor at level ``at``, the node itself included."""
+    return nodes.select(*_NODE, F.posexplode("path").alias("at", "a")).select(*_NODE, "at", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"))
+
+
+_ANCESTOR = {"k1": "a1", "k2": "a2", "level": "at"}
 
 
 def format_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """The nodes, and (conv_id, k1, k2, level) of the last node of every conversation.
 
-    Nodes: key, ``tree`` (key of its root), ids, loss_start and loss_stop within ids, formatted_chars,
-    ``start`` and ``length`` in the stream, ``position`` of the first token, and ``ancestors``, array of
+    Nodes: key, ``path``, ids, loss_start and loss_stop within ids, formatted_chars, ``start`` and ``length`` in
+    the stream, ``position`` of the first token, ``tree`` (first key of its root), and ``ancestors``, array of
     struct<start, stop> in stream order with touching intervals merged.
     """
-    rows = turns(conversations)
-    found = rows.groupBy(*_NODE).agg(F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
-    nodes = cut(_laid_out(_render(found, tokenizer)))
-    places = nodes.select(F.col("k1").alias("a1"), F.col("level").alias("at"), "start", "length")
+    tokens, last = format_tokens(conversations, tokenizer)
+    places = cut(_laid_out(tokens))
     above = (
-        _ancestors(nodes)
+        _ancestors(tokens)
         .filter("at < level")
-        .join(places, ["a1", "at"])
+        .join(places.withColumnsRenamed(_ANCESTOR), ["a1", "a2", "at"])
         .groupBy(*_NODE)
         .agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("x"), F.sum("length").alias("position"))
     )
     touching = lambda done, x: F.get(done, F.size(done) - 1)["stop"] == x["start"]
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
     merged = F.aggregate(
         "x",
-        F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"),
+        none,
         lambda done, x: F.when(
             F.coalesce(touching(done, x), F.lit(False)),
             F.concat(
@@ -169,30 +172,40 @@ def format_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Da
         ).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))),
     )
     above = above.select(*_NODE, merged.alias("ancestors"), "position")
-    nodes = nodes.join(above, _NODE, "left").withColumns(
+    nodes = tokens.join(places, _NODE).join(above, _NODE, "left").withColumns(
         {
-            "tree": F.get("path", F.lit(0)),
+            "tree": F.get("path", F.lit(0))["k1"],
             "position": F.coalesce("position", F.lit(0)),
-            "ancestors": F.coalesce("ancestors", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")),
+            "ancestors": F.coalesce("ancestors", none),
         }
     )
+    nodes = cut(nodes)
+    discard(tokens)
+    return nodes, last
+
+
+def format_tokens(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes without their places, in a written table, and the last node of every conversation."""
+    rows = turns(conversations)
+    found = rows.groupBy(*_NODE).agg(F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
+    tokens = cut(_render(found, tokenizer))
     last = rows.groupBy("conv_id").agg(F.max(F.struct("level", "k1", "k2")).alias("x"))
-    return nodes, last.select("conv_id", "x.k1", "x.k2", "x.level")
+    return tokens, last.select("conv_id", "x.k1", "x.k2", "x.level")
 
 
 def read_back(nodes: DataFrame, last: DataFrame, tokenizer: str) -> DataFrame:
     """The digests of every conversation, from the tokens of its path alone.
 
     Conversations with the same turns are read once. The tokens of a path are those of the ancestor
-    intervals, then the node's own.
+    intervals, then the node's own: the nodes of the path in the order of the stream.
     """
     leaves = last.select(*_NODE).distinct()
-    own = nodes.select(F.col("k1").alias("a1"), F.col("level").alias("at"), "ids", "loss_start", "loss_stop", "formatted_chars")
+    own = nodes.select(*_NODE, "start", "ids", "loss_start", "loss_stop", "formatted_chars").withColumnsRenamed(_ANCESTOR)
     paths = (
         _ancestors(nodes.join(leaves, _NODE, "left_semi"))
-        .join(own, ["a1", "at"])
+        .join(own, ["a1", "a2", "at"])
         .groupBy(*_NODE)
-        .agg(F.sort_array(F.collect_list(F.struct("at", "ids", "loss_start", "loss_stop"))).alias("x"), F.sum("formatted_chars").alias("formatted_chars"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_start", "loss_stop"))).alias("x"), F.sum("formatted_chars").alias("formatted_chars"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
