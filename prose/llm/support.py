@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -42,18 +44,27 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, target = _file_system(spark, path)
-    files.deleteOnExit(target)
+    delete_on_exit(spark, path)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends."""
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a cut that nothing will read any more."""
-    files, target = _file_system(df.sparkSession, df.cut_path)
-    files.delete(target, True)
+    delete(df.sparkSession, df.cut_path)
 
 
 def words_of(text) -> "F.Column":
