@@ -1,54 +1,63 @@
 """Hierarchical Pitman-Yor language model, trained and applied as Spark jobs.
 
-Restaurants: one for each context, all sharing one parent, whose own parent is uniform over the
-vocabulary. The context of a token is the token before it if that is among the ``CONTEXTS`` most
-frequent ones, the start of the text, or "any other" token. That bounds the entries of a word, so
-all customers of a word, in every restaurant, are one row; the seating of words is coupled only by
-the totals of each restaurant (a few hundred numbers), which a sweep takes from the sweep before.
-
-Seating is sampled by Gibbs sweeps of the Chinese-restaurant process: customers of a word arrive one
-by one and open a table with odds (strength + discount * tables) * P_parent(word) against the
-customers already seated less the discounts. Tables become customers of the parent. Random numbers
-are hashes of (word, context, sweep, step), so a sweep can be replayed anywhere with equal results;
-each job replays the sweeps before it from the counts and nothing but totals is kept.
-
-Predictive probabilities are averaged over the sweeps after the burn-in. Scoring looks the most
-frequent words up in a table of bounded size (``LOCAL_PAIRS`` entries, most frequent words first)
-that is handed to the scan, and joins the rest of the tokens with the model by word.
-
-Cases with a defined result: null or empty text is one end token; a null doc_id counts as held out;
-repeated rows are scored one by one and counted one by one in training; with no training rows every
-token is unknown; an empty table gives an empty result; extra columns are ignored. Words are keyed by
-64-bit hashes.
+Restaurants: one for every token that was seen before another one (and one for the start of a text), all
+sharing one parent, whose own parent is uniform over the vocabulary and one unknown word. The dishes are
+the tokens that follow. Nothing is cut: every pair of neighbours that the training texts hold is an entry
+(w, u, c), the customers of dish w in restaurant u, so what is learned grows with the input.
+
+Seating is sampled by Gibbs sweeps of the Chinese-restaurant process. The state of an entry is its number of
+tables. A sweep takes all customers of an entry out of their restaurant and seats them anew, jointly, given all
+other entries as the sweep before left them: t tables have odds S(c, t) * a * (a + d P) ... (a + (t-1) d P), with
+S the generalised Stirling numbers of the discount d, P the parent's probability of the dish and a = (strength + d *
+tables of the other dishes) * P. Drawing t from this is exact up to ``EXACT`` customers; above, t - 1 is all but a
+Poisson number, whose mean the saddle point of S gives. Tables are the parent's customers, which are seated in
+the same way. Entries of one customer have one table. Random numbers are hashes of (w, u, sweep), so a task
+that runs again draws the same.
+
+Predictive probabilities are averaged over the sweeps after the burn-in. Discounts are estimated from the
+entries with one and two customers.
+
+How it is spread: tokens are coded, the ``LOCAL_WORDS`` most frequent ones by their rank, all others by a 64-bit
+hash. What restaurants and dishes of ranked tokens know is two arrays of bounded size, handed to the tasks;
+entries with any other token join theirs. Scoring looks the ``LOCAL_PAIRS`` most frequent pairs up in the
+scan; all other pairs of the texts meet the model's in one shuffle by pair, so neither a frequent word nor a
+frequent context is a hot key.
+
+Cases with a defined result: null or empty text is one end token; a very long text is scored whole; a null doc_id
+counts as held out; repeated rows are scored one by one and counted one by one in training; tokens of equal count
+are ranked by hash; with no training rows every token is unknown; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut
+from .support import cut, discard
 from .wordhash import mix64, split_words, text_slices
 
-CONTEXTS = 255
-SWEEPS = 4
+SWEEPS = 3
 BURN_IN = 1
-DISCOUNT = 0.6
 STRENGTH = 1.0
+#: Most customers of an entry for which the number of tables is drawn from its whole distribution.
+EXACT = 512
+LOCAL_WORDS = 200_000
 LOCAL_PAIRS = 1_500_000
-#: Words seated at once; a sweep takes as many steps for one word as for many.
-SEATED_WORDS = 60_000
-#: Contexts of tokens after any other token and at the start of a text; frequent tokens follow.
-OTHER, START = 0, 1
+#: Tokens that are counted at once, rows that are merged at once, and numbers that one draw holds at once.
+COUNTED_TOKENS, MERGED_ROWS, DRAWN = 2_000_000, 400_000, 400_000
 END = np.uint64(1)
-_WIDTH = CONTEXTS + 2
+#: Code of the start of a text as a context; ranked tokens follow, hashed ones are negative.
+START = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_HASHED = np.uint64(1 << 63)
+KEPT = SWEEPS - BURN_IN
 
 
 def crc_remainder(doc_id) -> "F.Column":
@@ -64,16 +73,6 @@ def token_stream(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield row, np.insert(hashes, words.first[1:], END), words.first + np.arange(stop - row + 1)
 
 
-def contexts_of(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Context of every token; ``frequent`` holds the sorted hashes of the frequent tokens."""
-    out = np.zeros(len(tokens), dtype=np.int16)
-    if len(tokens) and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens[:-1]), len(frequent) - 1)
-        out[1:] = np.where(frequent[at] == tokens[:-1], at + 2, OTHER)
-    out[offsets[:-1]] = START
-    return out
-
-
 def unigrams(train: DataFrame) -> DataFrame:
     """(w, c): count of every training token. Counted per slice, then per task, then shuffled."""
 
@@ -86,27 +85,101 @@ def unigrams(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def restaurants(train: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(w, us, cs): the contexts of each word and its customers there, at most CONTEXTS + 2 entries."""
+@dataclass
+class Codes:
+    """The ranked tokens: their hashes in sorted order, and the code of each."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Codes:
+        order = np.argsort(hashes)
+        return cls(hashes[order], order.astype(np.int64) + 1)
+
+    def encode(self, tokens: np.ndarray) -> np.ndarray:
+        other = (tokens | _HASHED).view(np.int64)
+        if not len(self.hashes):
+            return other
+        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == tokens, self.ranks[at], other)
+
+
+def _pairs_of(tokens: np.ndarray, offsets: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """(w, u): codes of every token and of the one before it."""
+    w = codes.encode(tokens)
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[offsets[:-1]] = START
+    return w, u
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = MERGED_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _array(x, kind: pa.DataType) -> pa.Array:
+    return x if isinstance(x, pa.Array) else pa.array(x, kind)
+
+
+def entries(train: DataFrame, codes: Codes) -> DataFrame:
+    """(w, u, c): every pair of neighbours and its count. Counted per task; parts of a pair meet in one sorted partition."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ws, us, n = [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            w, u = np.concatenate(ws), np.concatenate(us)
+            order = np.lexsort((u, w))
+            w, u = w[order], u[order]
+            first = _starts(w, u)
+            return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(u[first]), pa.array(np.diff(np.append(first, len(w))))], ["w", "u", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, tokens, offsets in token_stream(batch.column(0)):
-                u = contexts_of(tokens, offsets, frequent)
-                order = np.lexsort((u, tokens))
-                w, u = tokens[order], u[order]
-                first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
-                c = np.diff(np.append(first, len(w)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[first].view(np.int64)), pa.array(u[first]), pa.array(c)], ["w", "u", "c"]
-                )
-
-    pairs = train.select("text").mapInArrow(run, "w long, u short, c long").groupBy("w", "u").agg(F.sum("c").alias("c"))
-    return (
-        pairs.groupBy("w")
-        .agg(F.sort_array(F.collect_list(F.struct("u", "c"))).alias("x"))
-        .select("w", F.col("x.u").alias("us"), F.col("x.c").alias("cs"))
-    )
+                w, u = _pairs_of(tokens, offsets, codes)
+                ws.append(w)
+                us.append(u)
+                n += len(w)
+                if n >= COUNTED_TOKENS:
+                    yield counted()
+                    ws, us, n = [], [], 0
+        if n:
+            yield counted()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _larger(batches):
+            w, u, c = (batch.column(k).to_numpy() for k in range(3))
+            if held is not None:
+                w, u, c = (np.concatenate([[h], x]) for h, x in zip(held, (w, u, c), strict=True))
+            first = _starts(w, u)
+            total = np.add.reduceat(c, first)
+            held = (w[first[-1]], u[first[-1]], total[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in (w[first], u[first], total)], ["w", "u", "c"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], ["w", "u", "c"])
+
+    kind = "w long, u long, c long"
+    parts = train.select("text").mapInArrow(count, kind)
+    return parts.repartition("w", "u").sortWithinPartitions("w", "u").mapInArrow(add, kind)
 
 
 def _uniform(keys: np.ndarray, step: int) -> np.ndarray:
@@ -114,296 +187,362 @@ def _uniform(keys: np.ndarray, step: int) -> np.ndarray:
         return ((mix64(keys + np.uint64(step + 1) * _STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _births(keys: np.ndarray, step: int, trials: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Binomial(trials, p) from hashed uniforms: inverse transform, or the normal limit for large means."""
-    u = _uniform(keys, 2 * step)
-    out = (u > 1 - p).astype(np.int64)
-    many = np.flatnonzero(trials > 1)
-    if len(many):
-        n, q = trials[many].astype(np.float64), p[many]
-        mean = n * q
-        z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * _uniform(keys[many], 2 * step + 1))
-        drawn = np.rint(mean + z * np.sqrt(mean * (1 - q)))
-        small = np.flatnonzero(mean <= 30)
-        if len(small):
-            n, q, v = n[small], q[small], u[many][small]
-            mass = np.exp(n * np.log1p(-np.minimum(q, 1 - 1e-12)))
-            total, k = mass.copy(), np.zeros(len(small))
-            live = np.flatnonzero(v > total)
-            while len(live):
-                mass[live] *= (n[live] - k[live]) / (k[live] + 1) * (q[live] / (1 - np.minimum(q[live], 1 - 1e-12)))
-                k[live] += 1
-                total[live] += mass[live]
-                live = live[(v[live] > total[live]) & (k[live] < n[live]) & (mass[live] > 0)]
-            drawn[small] = k
-        out[many] = np.clip(drawn, 0, trials[many]).astype(np.int64)
+@lru_cache(maxsize=4)
+def _log_stirling(discount: float, size: int = EXACT) -> np.ndarray:
+    """log S(c, t) of the generalised Stirling numbers for c, t <= size; S(c, t) = S(c-1, t-1) + (c-1 - d t) S(c-1, t)."""
+    out = np.full((size + 1, size + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, size + 1)
+    for c in range(2, size + 1):
+        more = np.full(size, -np.inf)
+        more[: c - 1] = out[c - 1, 1:c] + np.log(c - 1 - discount * t[: c - 1])
+        out[c, 1:] = np.logaddexp(out[c - 1, :-1], more)
     return out
 
 
-def seat(customers: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
-    """Tables after all customers of each dish have arrived; ``opening`` is the weight of a new table.
-
-    Arrivals are drawn one by one while few are seated, later in blocks of a 32nd of the seated
-    weight, within which the odds are all but constant.
-    """
+def _poisson(keys: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson numbers from hashed uniforms: inverse transform, or the normal limit for large means."""
+    u = _uniform(keys, 0)
+    out = np.rint(mean + np.sqrt(mean) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(keys, 1)))
+    small = np.flatnonzero(mean <= 50)
+    k, mass = np.zeros(len(small)), np.exp(-mean[small])
+    total, live = mass.copy(), np.arange(len(small))
+    while len(live := live[u[small[live]] > total[live]]):
+        k[live] += 1
+        mass[live] *= mean[small[live]] / k[live]
+        total[live] += mass[live]
+        live = live[mass[live] > 1e-300]
+    out[small] = k
+    return np.maximum(out, 0)
+
+
+def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, strength: float, keys: np.ndarray) -> np.ndarray:
+    """Tables of entries, drawn given the parent's probability of the dish and the tables of the restaurant's other dishes."""
     tables = np.minimum(customers, 1)
-    live = np.flatnonzero(customers > 1)
-    seated = np.ones(len(live), dtype=np.int64)
-    step = 0
-    while len(live):
-        weight = opening[live] + seated - discount * tables[live]
-        block = np.clip((weight / 32).astype(np.int64), 1, customers[live] - seated)
-        tables[live] += _births(keys[live], step, block, opening[live] / weight)
-        seated = seated + block
-        more = seated < customers[live]
-        live, seated, step = live[more], seated[more], step + 1
+    weight = (strength + discount * others) * parent
+    rise = discount * parent
+    log_s = _log_stirling(discount)
+    u = _uniform(keys, 2)
+    exact = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    exact = exact[np.argsort(customers[exact], kind="stable")]
+    edges = [*_starts(customers[exact]).tolist(), len(exact)] if len(exact) else []
+    for a, b in zip(edges, edges[1:], strict=False):
+        c = int(customers[exact[a]])
+        step = max(1, DRAWN // c)
+        for k in range(a, b, step):
+            at = exact[k : min(k + step, b)]
+            odds = log_s[c, 1 : c + 1] + np.cumsum(np.log(weight[at, None] + rise[at, None] * np.arange(c)), axis=1)
+            odds = np.cumsum(np.exp(odds - odds.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = np.minimum((odds < u[at, None] * odds[:, -1:]).sum(axis=1), c - 1) + 1
+    large = np.flatnonzero(customers > EXACT)
+    if len(large):
+        c, w = customers[large].astype(np.float64), weight[large] / np.maximum(1 - parent[large], 0.1)
+        empty = np.minimum((w / c) ** (1 / (1 - discount)), 1 - 1e-9)
+        mean = w * (1 - empty**discount) / discount
+        tables[large] = np.minimum(1 + _poisson(keys[large], mean), customers[large]).astype(tables.dtype)
     return tables
 
 
+def _keys(w: np.ndarray, u: np.ndarray | int, sweep: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(w.view(np.uint64) ^ mix64(np.asarray(u, dtype=np.int64).view(np.uint64) * _STEP + np.uint64(sweep + 1)))
+
+
+def discount_of(ones: int, twos: int) -> float:
+    """The usual estimate of a discount, kept within (0, 1) where counts are few."""
+    return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+
+
+@dataclass
+class State:
+    """What a sweep left: tables of ranked contexts, the parent's probability of ranked words, and all totals.
+
+    ``rows`` has (kind, key, n, m, r): of contexts (kind 0) customers and tables, of words (kind 1) training
+    count, customers in the parent and tables there.
+    """
+
+    rows: DataFrame
+    context: np.ndarray
+    tables: np.ndarray
+    customers: np.ndarray
+    seated: np.ndarray
+    root_customers: int
+    root_tables: int
+
+
 @dataclass
 class Model:
-    """Numbers of the whole model: N, V, customers of each context and the totals of every sweep."""
+    """Totals of the training texts, the codes of ranked tokens, and the states of the kept sweeps."""
 
     tokens: int
     words: int
-    frequent: np.ndarray
-    customers: np.ndarray
-    tables: list[np.ndarray]
-    root_tables: list[int]
-    discount: float = DISCOUNT
+    codes: Codes
+    discount: float = 0.5
+    root_discount: float = 0.5
     strength: float = STRENGTH
+    states: list[State] = field(default_factory=list)
+    counts: np.ndarray | None = None
 
-    def sweep(self, words, rows, us, cs, sweep: int, state):
-        """State (tables of entries, customers of words in the root, tables there) after one more sweep."""
-        root_c, root_t = state
-        if sweep:
-            total, root_total = self.tables[sweep - 1], self.root_tables[sweep - 1]
-        else:
-            total, root_total = self.customers, self.words
-        parent = self.root(root_c, root_t, float(total.sum()), root_total)
-        with np.errstate(over="ignore"):
-            keys = mix64(words[rows] ^ ((us.astype(np.uint64) + np.uint64(1)) * _STEP) ^ np.uint64(sweep << 32))
-        opening = (self.strength + self.discount * total[us]) * parent[rows]
-        ts = seat(cs, opening, self.discount, keys)
-        root_c = np.bincount(rows, weights=ts, minlength=len(words)).astype(np.int64)
-        opening = np.full(len(words), (self.strength + self.discount * root_total) / (self.words + 1))
-        return ts, (root_c, seat(root_c, opening, self.discount, mix64(words ^ np.uint64(sweep))))
-
-    def root(self, root_c, root_t, customers: float, tables: float) -> np.ndarray:
-        """Predictive probability of words in the root restaurant."""
-        back = (self.strength + self.discount * tables) / (self.strength + customers)
-        return np.maximum(root_c - self.discount * root_t, 0) / (self.strength + customers) + back / (self.words + 1)
-
-    def back(self, sweep: int) -> np.ndarray:
-        """Weight of the parent in every context."""
-        return (self.strength + self.discount * self.tables[sweep]) / (self.strength + self.customers)
+    def slim(self) -> Model:
+        """The numbers alone, for tasks."""
+        return Model(self.tokens, self.words, Codes(np.empty(0, np.uint64), np.empty(0, np.int64)), self.discount, self.root_discount, self.strength)
+
+    def parent(self, customers, tables, state: State):
+        """The parent's probability of words with so many customers and tables there; numpy or columns."""
+        low = self.strength + state.root_customers
+        back = (self.strength + self.root_discount * state.root_tables) / low / (self.words + 1)
+        return (customers - self.root_discount * tables) / low + back
+
+    def back(self, customers, tables):
+        """Weight of the parent in contexts with so many customers and tables."""
+        return (self.strength + self.discount * tables) / (self.strength + customers)
 
     def unseen(self) -> np.ndarray:
-        """Averaged probability of an unknown word in every context."""
-        zero = np.zeros(1)
-        return np.mean(
-            [self.back(s) * self.root(zero, zero, float(self.tables[s].sum()), self.root_tables[s]) for s in range(BURN_IN, SWEEPS)], axis=0
-        )
+        """The parent's probability of an unknown word, by kept sweep."""
+        return np.array([self.parent(0.0, 0.0, s) for s in self.states])
 
+    @cached_property
+    def local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ranked tokens: back-off weights as contexts and probabilities as words, by kept sweep, and training counts."""
+        backs = np.stack([self.back(s.context, s.tables) for s in self.states], axis=1)
+        parents = np.stack([np.maximum(self.parent(s.customers, s.seated, s), 1e-300) for s in self.states], axis=1)
+        return backs, parents, self.counts
 
-def _flat(batch: pa.RecordBatch):
-    words = batch.column(0).to_numpy().view(np.uint64)
-    us, cs = batch.column(1), batch.column(2)
-    sizes = np.diff(us.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(words)), sizes)
-    return words, rows, us.flatten().to_numpy().astype(np.int64), cs.flatten().to_numpy(), sizes
 
+def _totals(rows: DataFrame, size: int) -> DataFrame:
+    """(kind, key, n, m): sums of customers and tables of entries (w, u, c, t) by context and by word.
 
-def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about SEATED_WORDS."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= SEATED_WORDS:
-            yield pa.concat_batches(held)
-            held, rows = [], 0
-    if rows:
-        yield pa.concat_batches(held)
+    Ranked keys are summed in an array per task, others per batch.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros((2, 2, size))
+        for batch in _larger(batches):
+            w, u, c, t = (batch.column(k).to_numpy() for k in range(4))
+            for kind, key in ((0, u), (1, w)):
+                ranked = key >= 0
+                for k, x in ((0, c), (1, t)):
+                    dense[kind, k] += np.bincount(key[ranked], weights=x[ranked], minlength=size)
+                rest = np.flatnonzero(~ranked)
+                if len(rest):
+                    rest = rest[np.argsort(key[rest], kind="stable")]
+                    first = _starts(key[rest])
+                    sums = [pa.array(np.add.reduceat(x[rest], first)) for x in (c, t)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(key[rest][first]), *sums], ["kind", "key", "n", "m"])
+        for kind in (0, 1):
+            key = np.flatnonzero(dense[kind, 0])
+            sums = [pa.array(dense[kind, k, key].astype(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key), *sums], ["kind", "key", "n", "m"])
 
-def _states(model: Model, batch: pa.RecordBatch, sweeps: int):
-    words, rows, us, cs, _ = _flat(batch)
-    state = (np.bincount(rows, minlength=len(words)).astype(np.int64), np.ones(len(words), dtype=np.int64))
-    for s in range(sweeps):
-        ts, state = model.sweep(words, rows, us, cs, s, state)
-        yield s, words, rows, us, cs, ts, state
+    parts = rows.select("w", "u", "c", "t").mapInArrow(run, "kind int, key long, n long, m long")
+    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def _totals(table: DataFrame, model: Model, sweeps: int) -> tuple[np.ndarray, int]:
-    """Tables of every context and of the root after so many sweeps: one partial row per task and context."""
-    size = len(model.customers)
+def _state(model: Model, totals: DataFrame, sweep: int, before: int) -> State:
+    """Seats the parent's customers, given its tables before, and reads the ranked rows off."""
+    opening, discount, strength = 1.0 / (model.words + 1), model.root_discount, model.strength
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 1, dtype=np.int64)
-        for batch in _larger(batches):
-            for _, _, _, us, _, ts, state in _states(model, batch, sweeps):
-                pass
-            total[:size] += np.bincount(us, weights=ts, minlength=size).astype(np.int64)
-            total[size] += int(state[1].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["u", "t"])
+        for batch in _larger(batches, 50_000):
+            kind, key, m = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            r = np.zeros(len(m), dtype=np.int64)
+            at = np.flatnonzero(kind == 1)
+            r[at] = seat(m[at], np.full(len(at), opening), np.full(len(at), float(before)), discount, strength, _keys(key[at], -1, sweep))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], ["kind", "key", "n", "m", "r"])
+
+    rows = cut(totals.mapInArrow(run, "kind int, key long, n long, m long, r long"))
+    sums = rows.filter("kind = 1").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")).first()
+    # Ranked tokens alone: LOCAL_WORDS + 1 rows of each kind at most.
+    ranked = rows.filter("key >= 0").toArrow()
+    kind, key, n, m, r = (ranked.column(c).to_numpy() for c in ("kind", "key", "n", "m", "r"))
+    arrays = np.zeros((4, len(model.codes.hashes) + 1))
+    for k, (of, x) in enumerate(((0, n), (0, m), (1, m), (1, r))):
+        arrays[k, key[kind == of]] = x[kind == of]
+    return State(rows, *arrays, int(sums["m"]), int(sums["r"]))
+
+
+def _with_facts(rows: DataFrame, model: Model, states: list[State]) -> DataFrame:
+    """Adds what hashed contexts (n0, m0, ...) and hashed words (p0, r0, ...; cw) of rows (w, u) know in every state; others get nulls.
+
+    Rows whose token is ranked take a key of their own, that of no token, so they spread over the join.
+    """
+    own = F.xxhash64("w", "u").bitwiseAND(F.lit((1 << 63) - 1))
+    facts = {0: None, 1: None}
+    for kind in (0, 1):
+        for k, s in enumerate(states):
+            found = s.rows.filter((F.col("kind") == kind) & (F.col("key") < 0))
+            names = [F.col("n").alias("nu"), F.col("m").alias(f"tu{k}")] if kind == 0 else [F.col("n").alias("cw"), F.col("m").alias(f"mw{k}"), F.col("r").alias(f"rw{k}")]
+            found = found.select("key", *(names if not k else names[1:]))
+            facts[kind] = found if facts[kind] is None else facts[kind].join(found, "key")
+    out = rows.withColumn("_u", F.when(F.col("u") < 0, F.col("u")).otherwise(own)).join(facts[0].withColumnRenamed("key", "_u"), "_u", "left").drop("_u")
+    return out.withColumn("_w", F.when(F.col("w") < 0, F.col("w")).otherwise(own)).join(facts[1].withColumnRenamed("key", "_w"), "_w", "left").drop("_w")
+
+
+def _number(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).fill_null(0).to_numpy().astype(np.float64)
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ranked tokens only, and the others."""
+    ranked = (F.col("w") >= 0) & (F.col("u") >= 0)
+    return rows.filter(ranked), rows.filter(~ranked)
+
 
-    out = np.zeros(size + 1, dtype=np.int64)
-    for r in table.mapInArrow(run, "u long, t long").groupBy("u").agg(F.sum("t").alias("t")).collect():
-        out[r["u"]] = r["t"]
-    return out[:size], int(out[size])
+def _sweep(model: Model, multi: DataFrame, state: State, sweep: int) -> DataFrame:
+    """(w, u, c, t) of entries with several customers, seated anew given the state."""
+    discount, strength, light = model.discount, model.strength, model.slim()
+    slim = State(None, state.context, state.tables, state.customers, state.seated, state.root_customers, state.root_tables)
+    kind = "w long, u long, c long, t long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches, 100_000):
+            w, u, c, t = (batch.column(k).to_numpy() for k in ("w", "u", "c", "t"))
+            tables = slim.tables[np.maximum(u, 0)]
+            customers, seated = slim.customers[np.maximum(w, 0)], slim.seated[np.maximum(w, 0)]
+            if "tu0" in batch.schema.names:
+                tables = np.where(u < 0, _number(batch, "tu0"), tables)
+                customers, seated = np.where(w < 0, _number(batch, "mw0"), customers), np.where(w < 0, _number(batch, "rw0"), seated)
+            # The entry's own tables are no customers of the parent while it is seated anew.
+            left = np.maximum(customers - t, 0)
+            share = np.divide(left, customers, out=np.zeros_like(left), where=customers > 0)
+            parent = np.maximum(light.parent(left, np.minimum(seated, np.ceil(seated * share)), slim), 1e-300)
+            new = seat(c, parent, np.maximum(tables - t, 0), discount, strength, _keys(w, u, sweep))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (w, u, c)), pa.array(new)], ["w", "u", "c", "t"])
+
+    ranked, other = _split(multi)
+    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model, [state]).mapInArrow(run, kind))
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model's totals, and (w, us, cs) of its words in the shared folder. At most CONTEXTS + 2 rows reach the driver at once."""
+    """The model, and (w, u, c, t0, t1, ...) of its entries: tables after every kept sweep."""
     counts = cut(unigrams(docs))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [r["w"] for r in counts.orderBy(F.desc("c"), "w").limit(CONTEXTS).collect()]
-    frequent = np.sort(np.array(top, dtype=np.int64).view(np.uint64))
-    table = cut(restaurants(docs, frequent))
-    customers = np.zeros(len(frequent) + 2, dtype=np.int64)
-    for r in table.select(F.explode(F.arrays_zip("us", "cs")).alias("x")).groupBy("x.us").agg(F.sum("x.cs").alias("c")).collect():
-        customers[r["us"]] = r["c"]
-    model = Model(n, v, frequent, customers, [], [])
-    for s in range(SWEEPS):
-        tables, root = _totals(table, model, s + 1)
-        model.tables.append(tables)
-        model.root_tables.append(root)
-    return model, table
+    top = counts.orderBy(F.desc("c"), "w").limit(LOCAL_WORDS).toArrow()
+    codes = Codes.of(top.column("w").to_numpy().view(np.uint64))
+    # Ranks go by place in the sorted hashes' order of frequency: code k is the k-th most frequent token.
+    size = len(codes.hashes) + 1
+    ranked_counts = np.zeros(size)
+    ranked_counts[1:] = top.column("c").to_numpy()
+    discard(counts)
+    pairs = cut(entries(docs, codes))
+    ones, twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    model = Model(n, v, codes, discount_of(ones, twos), counts=ranked_counts)
+    single = cut(_totals(pairs.filter("c = 1").withColumn("t", F.lit(1).cast("long")), size))
+    # First seating: a table for each customer's square root, so that the first sweep meets a plausible state.
+    multi = cut(pairs.filter("c > 1").withColumn("t", F.ceil(F.pow(F.col("c").cast("double"), F.lit(0.5)))))
+    history: list[DataFrame] = []
+
+    def totals(rows: DataFrame) -> DataFrame:
+        both = single.unionByName(_totals(rows, size))
+        return both.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+    first = totals(multi)
+    m1, m2 = first.filter("kind = 1").agg(F.count_if(F.col("m") == 1), F.count_if(F.col("m") == 2)).first()
+    model.root_discount = discount_of(m1, m2)
+    state = _state(model, first, -1, v)
+    for sweep in range(SWEEPS):
+        seated = cut(_sweep(model, multi, state, sweep))
+        after = _state(model, totals(seated), sweep, state.root_tables)
+        if sweep <= BURN_IN:
+            discard(multi)
+            discard(state.rows)
+        multi, state = seated, after
+        if sweep >= BURN_IN:
+            history.append(multi)
+            model.states.append(state)
+    seated = history[0].withColumnRenamed("t", "t0")
+    for k, rows in enumerate(history[1:], 1):
+        seated = seated.join(rows.select("w", "u", F.col("t").alias(f"t{k}")), ["w", "u"])
+    lone = pairs.filter("c = 1").select("w", "u", "c", *[F.lit(1).cast("long").alias(f"t{k}") for k in range(KEPT)])
+    return model, lone.unionByName(seated)
 
 
 def predictive(model: Model, table: DataFrame) -> DataFrame:
-    """(w, c, us, ps, p0): a word's count, its log10 probability in the contexts it was seen in, and in
-    the root by sweep, which with the context's back-off weight gives all other contexts."""
+    """(w, u, c, cw, p): log10 of the averaged probability of every entry, and the training count of its word."""
+    backs, parents, counts = model.local
+    contexts = model.states[0].context if model.states else np.zeros(1)
+    names = ["w", "u", "c", "cw", "p"]
+    light = model.slim()
+    totals = [State(None, *(np.empty(0),) * 4, s.root_customers, s.root_tables) for s in model.states]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            mean, roots = 0.0, []
-            for s, words, rows, us, cs, ts, (root_c, root_t) in _states(model, batch, SWEEPS):
-                if s < BURN_IN:
-                    continue
-                root = model.root(root_c, root_t, float(model.tables[s].sum()), model.root_tables[s])
-                own = np.maximum(cs - model.discount * ts, 0) / (model.strength + model.customers[us])
-                mean = mean + (own + model.back(s)[us] * root[rows]) / (SWEEPS - BURN_IN)
-                roots.append(root)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(words)))]).astype(np.int32)
-            flat = np.stack(roots, axis=1).ravel()
-            p0 = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * len(roots)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.bincount(rows, weights=cs, minlength=len(words)).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(us.astype(np.int16))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.log10(mean).astype(np.float32))),
-                    p0,
-                ],
-                ["w", "c", "us", "ps", "p0"],
-            )
-
-    return table.mapInArrow(run, "w long, c long, us array<short>, ps array<float>, p0 array<double>")
-
-
-def _local_limit(table: DataFrame) -> int:
-    """Least count of the words that are looked up in the scan: together they have LOCAL_PAIRS entries at most, a word counting as two more."""
-    total = F.aggregate("cs", F.lit(0).cast("long"), lambda a, b: a + b)
-    by_size = table.groupBy(F.floor(F.log2(total)).alias("b")).agg(F.sum(F.size("us") + 2).alias("n")).collect()
-    left, limit = LOCAL_PAIRS, 64
+        for batch in _larger(batches, 100_000):
+            w, u, c = (batch.column(k).to_numpy() for k in ("w", "u", "c"))
+            w0, u0 = np.maximum(w, 0), np.maximum(u, 0)
+            size, cw = contexts[u0], counts[w0]
+            hashed = "nu" in batch.schema.names
+            if hashed:
+                size, cw = np.where(u < 0, _number(batch, "nu"), size), np.where(w < 0, _number(batch, "cw"), cw)
+            mean = np.zeros(len(w))
+            for k, s in enumerate(totals):
+                back, parent = backs[u0, k], parents[w0, k]
+                if hashed:
+                    back = np.where(u < 0, light.back(size, _number(batch, f"tu{k}")), back)
+                    parent = np.where(w < 0, light.parent(_number(batch, f"mw{k}"), _number(batch, f"rw{k}"), s), parent)
+                own = np.maximum(c - light.discount * batch.column(f"t{k}").to_numpy(), 0) / (light.strength + size)
+                mean += (own + back * parent) / len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(u), pa.array(c), pa.array(cw.astype(np.int64)), pa.array(np.log10(mean).astype(np.float32))], names)
+
+    kind = "w long, u long, c long, cw long, p float"
+    ranked, other = _split(table)
+    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model, model.states).mapInArrow(run, kind))
+
+
+def _local_limit(words: DataFrame) -> int:
+    """Least count of the ranked pairs that are looked up in the scan: LOCAL_PAIRS at most."""
+    by_size = words.filter("w >= 0 and u >= 0").groupBy(F.floor(F.log2("c")).alias("b")).agg(F.count("*").alias("n")).collect()
+    left, limit = LOCAL_PAIRS, 62
     for r in sorted(by_size, key=lambda r: -r["b"]):
         left -= r["n"]
         if left < 0:
             break
         limit = r["b"]
-    return 1 << limit if limit < 63 else (1 << 63) - 1
+    return 1 << limit
 
 
-@dataclass
-class _Local:
-    """Frequent words of the model as sorted arrays."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    first: np.ndarray
-    us: np.ndarray
-    ps: np.ndarray
-    p0: np.ndarray
+_PART = "w long, u long, n long, a long, b long, x double"
+_MERGED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, w long, u long, n long"
 
-    @classmethod
-    def of(cls, rows: pa.Table) -> _Local:
-        rows = rows.combine_chunks()
-        words = rows.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        rows = rows.take(pa.array(order))
-        column = lambda c: rows.column(c).combine_chunks()
-        sizes = np.diff(column("us").offsets.to_numpy())
-        return cls(
-            words[order], rows.column("c").to_numpy(), np.concatenate([[0], np.cumsum(sizes)]),
-            column("us").flatten().to_numpy(), column("ps").flatten().to_numpy(),
-            column("p0").flatten().to_numpy().reshape(-1, SWEEPS - BURN_IN),
-        )
-
-    def slots(self, tokens: np.ndarray) -> np.ndarray:
-        """Index of each token, or -1."""
-        if not len(self.words):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, at, -1)
 
-    @cached_property
-    def keys(self) -> np.ndarray:
-        """(word, context) of every entry as one sorted number; made in the worker, not shipped."""
-        return np.repeat(np.arange(len(self.words)), np.diff(self.first)) * _WIDTH + self.us
-
-    def scores(self, slots: np.ndarray, u: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """log10 probability of tokens that are in the table, in their contexts."""
-        want = slots * _WIDTH + u
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        rest = np.log10(np.einsum("ij,ij->i", back[u], self.p0[slots]) / back.shape[1])
-        return np.where(self.keys[at] == want, self.ps[at], rest)
-
-
-def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    words = cut(predictive(model, table))
-    limit = _local_limit(table)
-    local = _Local.of(words.filter(F.col("c") >= limit).toArrow())
-    back = np.stack([model.back(s) for s in range(BURN_IN, SWEEPS)], axis=1) if model.tables else np.ones((2, 1))
+def _scanned(docs: DataFrame, model: Model, keys: np.ndarray, values: np.ndarray) -> DataFrame:
+    """Of every row its sums over local pairs (n = -1 and -2), and the other pairs of its text with their counts (n > 0)."""
+    codes, counts, width = model.codes, model.counts, len(model.codes.hashes) + 1
     share = model.tokens + 0.1 * (model.words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "w", "u", "n"]
+        def rows(*columns) -> pa.RecordBatch:
+            types = (pa.int64(),) * 5 + (pa.float64(),)
+            return pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(columns, types, strict=True)], ["w", "u", "n", "a", "b", "x"])
+
         for batch in batches:
-            for row, tokens, offsets in token_stream(batch.column(3)):
+            ids, doc_id, held = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            for at, tokens, offsets in token_stream(batch.column(3)):
                 texts = len(offsets) - 1
                 of = np.repeat(np.arange(texts), np.diff(offsets))
-                u = contexts_of(tokens, offsets, model.frequent)
-                slots = local.slots(tokens)
-                here = np.flatnonzero(slots >= 0)
-                known = local.scores(slots[here], u[here].astype(np.int64), back) if len(here) else np.empty(0)
-                base = np.log10((local.counts[slots[here]] + 0.1) / share) if len(here) else np.empty(0)
-                add = lambda x: np.bincount(of[here], weights=x, minlength=texts).astype(np.float64)
-                part = lambda c: batch.column(c)[row : row + texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part(0), part(1), part(2), pa.array(np.diff(offsets)),
-                        pa.array(np.bincount(of[here], minlength=texts)), pa.array(add(base)), pa.array(add(known)),
-                        part(0), pa.nulls(texts, pa.int16()), pa.array(np.zeros(texts, dtype=np.int64)),
-                    ],
-                    names,
-                )
-                rest = np.flatnonzero(slots < 0)
+                w, u = _pairs_of(tokens, offsets, codes)
+                found = np.zeros(len(w), dtype=bool)
+                score = base = np.zeros(texts)
+                known = np.zeros(texts, dtype=np.int64)
+                ranked = np.flatnonzero((w >= 0) & (u >= 0))
+                if len(keys) and len(ranked):
+                    want = u[ranked] * width + w[ranked]
+                    place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                    hit = keys[place] == want
+                    here = ranked[hit]
+                    found[here] = True
+                    score = np.bincount(of[here], weights=values[place[hit]], minlength=texts)
+                    base = np.bincount(of[here], weights=np.log10((counts[w[here]] + 0.1) / share), minlength=texts)
+                    known = np.bincount(of[here], minlength=texts)
+                own, mine = ids[at : at + texts], held[at : at + texts].astype(np.int64)
+                # Two rows a text, spread by its number: they are nobody's pairs.
+                yield rows(own, np.diff(offsets), np.full(texts, -1), own, doc_id[at : at + texts], score)
+                yield rows(own, mine, np.full(texts, -2), own, known, base)
+                rest = np.flatnonzero(~found)
                 if len(rest):
-                    order = rest[np.lexsort((u[rest], tokens[rest], of[rest]))]
-                    d, w, x = of[order], tokens[order], u[order]
-                    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (x[1:] != x[:-1])]))
-                    n = len(first)
-                    none, zero = pa.nulls(n, pa.float64()), pa.array(np.zeros(n, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part(0).take(pa.array(d[first])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), zero, zero, none, none,
-                            pa.array(w[first].view(np.int64)), pa.array(x[first]), pa.array(np.diff(np.append(first, len(d)))),
-                        ],
-                        names,
-                    )
+                    rest = rest[np.lexsort((u[rest], w[rest], of[rest]))]
+                    d, x, y = of[rest], w[rest], u[rest]
+                    first = _starts(d, x, y)
+                    yield rows(x[first], y[first], np.diff(np.append(first, len(rest))), own[d[first]], pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()))
 
     source = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -411,36 +550,111 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         (crc_remainder(F.col("doc_id")) == 0).alias("held_out"),
         "text",
     )
-    parts = source.mapInArrow(
-        run,
-        "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, w long, u short, n long",
-    )
-    # Rows of documents carry their row number as w, so that they spread over the join; n is 0 there.
-    seen = words.filter(F.col("c") < limit).withColumnRenamed("w", "_w")
-    unseen = model.unseen() if model.tables else np.full(len(model.customers), 1.0)
-    contexts = docs.sparkSession.createDataFrame(
-        [(int(k), [float(x) for x in b], float(p)) for k, (b, p) in enumerate(zip(back, unseen, strict=True))],
-        "u short, back array<double>, unseen double",
-    )
-    joined = parts.join(seen, (F.col("w") == F.col("_w")) & (F.col("n") > 0), "left").join(F.broadcast(contexts), "u", "left")
-    at = F.array_position("us", F.col("u"))
-    product = F.aggregate(F.zip_with("p0", "back", lambda p, b: p * b), F.lit(0.0), lambda a, b: a + b)
-    log_p = F.when(F.col("c").isNull(), F.log10("unseen")).when(at > 0, F.get("ps", (at - 1).cast("int")).cast("double"))
-    log_p = log_p.otherwise(F.log10(product / back.shape[1]))
-    n = F.col("n")
-    count = F.coalesce(F.col("c"), F.lit(0))
+    return source.mapInArrow(run, _PART)
+
+
+def _met(parts: DataFrame, share: float) -> DataFrame:
+    """Sums of every text over the pairs that the model has, pairs that it lacks (n > 0), and the texts' own numbers.
+
+    In a partition sorted by pair, the model's row comes before those of the texts.
+    """
+    names = [c.split()[0] for c in _MERGED.split(", ")]
+
+    def out(size: int, **columns) -> pa.RecordBatch:
+        types = {"held_out": pa.bool_(), "base_score": pa.float64(), "score": pa.float64()}
+        return pa.RecordBatch.from_arrays([_array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in _larger(batches):
+            if last is not None:
+                batch = pa.concat_batches([last, batch])
+            w, u, n, a = (batch.column(k).to_numpy() for k in ("w", "u", "n", "a"))
+            b, x = _number(batch, "b").astype(np.int64), batch.column("x").fill_null(0.0).to_numpy()
+            at = np.flatnonzero(n == -1)
+            if len(at):
+                yield out(len(at), row=a[at], doc_id=batch.column("b").take(pa.array(at)), n_tokens=u[at], score=x[at])
+            at = np.flatnonzero(n == -2)
+            if len(at):
+                yield out(len(at), row=a[at], held_out=u[at] > 0, n_known=b[at], base_score=x[at])
+            model = np.maximum.accumulate(np.where(n == 0, np.arange(len(n)), -1))
+            token = np.flatnonzero(n > 0)
+            own = model[token]
+            hit = (own >= 0) & (w[own] == w[token]) & (u[own] == u[token])
+            miss = token[~hit]
+            if len(miss):
+                yield out(len(miss), row=a[miss], w=w[miss], u=u[miss], n=n[miss])
+            token, own = token[hit], own[hit]
+            if len(token):
+                order = np.argsort(a[token], kind="stable")
+                token, own = token[order], own[order]
+                first = _starts(a[token])
+                add = lambda v: np.add.reduceat(v, first)  # noqa: E731, B023
+                many = n[token]
+                yield out(len(first), row=a[token][first], n_known=add(many), base_score=add(many * np.log10((a[own] + 0.1) / share)), score=add(many * x[own]))
+            if model[-1] >= 0:
+                last = batch.slice(int(model[-1]), 1)
+
+    return parts.repartition("w", "u").sortWithinPartitions("w", "u", "n").mapInArrow(run, _MERGED)
+
+
+def _unmet(misses: DataFrame, model: Model, share: float) -> DataFrame:
+    """(row, n_known, base_score, score) of pairs that the model lacks: its context's back-off weight times the parent's probability."""
+    backs, parents, counts = model.local
+    unseen = model.unseen()
+    light = model.slim()
+    totals = [State(None, *(np.empty(0),) * 4, s.root_customers, s.root_tables) for s in model.states]
+    names = ["row", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches, 100_000):
+            row, w, u, n = (batch.column(k).to_numpy() for k in ("row", "w", "u", "n"))
+            w0, u0 = np.maximum(w, 0), np.maximum(u, 0)
+            cw = counts[w0]
+            mean = np.zeros(len(w))
+            hashed = "nu" in batch.schema.names
+            if hashed:
+                cw = np.where(w < 0, _number(batch, "cw"), cw)
+            for k, s in enumerate(totals):
+                back, parent = backs[u0, k], parents[w0, k]
+                if hashed:
+                    size = _number(batch, "nu")
+                    back = np.where(u < 0, np.where(size > 0, light.back(size, _number(batch, f"tu{k}")), 1.0), back)
+                    parent = np.where(w < 0, light.parent(_number(batch, f"mw{k}"), _number(batch, f"rw{k}"), s), parent)
+                mean += back * np.where(cw > 0, parent, unseen[k]) / len(totals)
+            sums = [n * (cw > 0), n * np.log10((cw + 0.1) / share), n * np.log10(mean)]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names)
+
+    kind = "row long, n_known long, base_score double, score double"
+    ranked, other = _split(misses)
+    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model, model.states).mapInArrow(run, kind))
+
+
+def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    share = model.tokens + 0.1 * (model.words + 1)
+    words = cut(predictive(model, table))
+    limit = _local_limit(words)
+    inside = (F.col("w") >= 0) & (F.col("u") >= 0) & (F.col("c") >= limit)
+    width = len(model.codes.hashes) + 1
+    local = words.filter(inside).select((F.col("u") * width + F.col("w")).alias("k"), "p").toArrow()
+    order = np.argsort(local.column("k").to_numpy())
+    scanned = _scanned(docs, model, local.column("k").to_numpy()[order], local.column("p").to_numpy()[order])
+    none = F.lit(None).cast("long")
+    known = words.filter(~inside).select("w", "u", F.lit(0).cast("long").alias("n"), F.col("cw").alias("a"), none.alias("b"), F.col("p").cast("double").alias("x"))
+    merged = cut(_met(scanned.unionByName(known), share))
+    discard(words)
+    sums = merged.filter("n is null").drop("w", "u", "n")
+    unmet = _unmet(merged.filter("n > 0").select("row", "w", "u", "n"), model, share)
     return (
-        joined.groupBy("row")
+        sums.unionByName(unmet, allowMissingColumns=True)
+        .groupBy("row")
         .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(count > 0, n).otherwise(0)).alias("n_known"),
-            F.sum(F.coalesce("base_score", n * F.log10((count + 0.1) / F.lit(share)))).alias("base_score"),
-            F.sum(F.coalesce("score", n * log_p)).alias("score"),
+            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+            F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
         )
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    )
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:
