@@ -8,19 +8,20 @@ document meets every automaton and no window is shuffled on its own:
    have equal anchors, and neighbouring windows mostly share one; a run of them is a piece. Only
    (anchor, doc_id) is counted, pre-aggregated; anchors of two or more documents recur.
 2. Pieces. Documents that hold recurring anchors give their pieces with those anchors; equal pieces
-   fold into one with the least and greatest doc_id.
-3. Automata. Pieces are sharded by anchor. Each shard compiles Aho-Corasick automata of the windows
-   of anchors with several pieces, each window with the least doc_id that holds it, and streams all
-   the pieces through to locate every occurrence. Words are letters of the automaton, numbered per
-   automaton, so matches are exact, not by hash. An anchor with one piece needs none.
-   Windows of an anchor with more than ``SHARD_PIECES`` pieces (a passage in many surroundings) would
-   swell the automaton; they are told apart by 128-bit hashes, 16 bytes each, in the same task. From
-   ``WIDE_PIECES`` pieces on they are spread over tasks and counted, pre-aggregated, by that hash.
-4. Removal. Occurrences take the owners of their piece's windows; those before the document mark it.
+   fold into one with the least doc_id. An anchor with one piece needs nothing more.
+3. Confirmation. Of the pieces of an anchor, the windows that stand in several places are confirmed, by
+   128-bit hash: what merely surrounds a recurring passage is not compiled.
+4. Automata. Confirmed windows are sharded by anchor and compiled into Aho-Corasick automata of
+   ``AUTOMATON_WINDOWS`` windows each, every window with the least doc_id that holds it. All pieces of all
+   documents with these anchors are streamed through to locate every occurrence. Words are letters of the
+   automaton, so matches are exact. An anchor of more than ``TASK_PIECES`` pieces is confirmed by a
+   pre-aggregated count, and its pieces are spread over tasks, each with the anchor's automata.
+5. Removal. Occurrences take the owners of their piece's windows; those before the document mark it.
 
 Cases with a defined result: null text has no words; rows without doc_id are left alone and mark
 nothing; repeated rows of a doc_id are treated alike and do not mark each other; texts shorter than
-a window are kept; an empty table gives an empty result; extra columns are ignored.
+a window are kept; a very long text becomes many pieces of 92 words at most; of several documents that hold a
+window the one with the least doc_id owns it; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ from .wordhash import Words, range_hash, sliding_min, split_words, text_slices
 
 WINDOW = 50
 PHRASE = 8
-SHARD_PIECES = 256
-WIDE_PIECES = 50_000
-#: Windows compiled into one automaton.
+#: Pieces of an anchor that one task resolves.
+TASK_PIECES = 20_000
+#: Windows compiled into one automaton, and windows of the anchors that are resolved at once.
 AUTOMATON_WINDOWS = 10_000
 
 
@@ -87,7 +88,7 @@ def recurring(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, piece, doc_id, first): pieces with recurring anchors, words joined by one space."""
+    """(anchor, piece, doc_id, first, size): pieces with recurring anchors, words joined by one space, and their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +102,12 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 begin, end = words.starts[first].tolist(), words.ends[first + size + WINDOW - 2].tolist()
                 text = [b" ".join(raw[a:b].split()).decode() for a, b in zip(begin, end, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(text, pa.string()), pa.array(ids[row + doc]), pa.array(first - words.first[doc])],
-                    ["anchor", "piece", "doc_id", "first"],
+                    [pa.array(anchor.view(np.int64)), pa.array(text, pa.string()), pa.array(ids[row + doc]), pa.array(first - words.first[doc]), pa.array(size)],
+                    ["anchor", "piece", "doc_id", "first", "size"],
                 )
 
     found = docs.join(recurring(docs), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "anchors")
-    return found.mapInArrow(run, "anchor long, piece string, doc_id long, first long")
+    return found.mapInArrow(run, "anchor long, piece string, doc_id long, first long, size long")
 
 
 def _runs(owners: list[int]) -> list[dict]:
@@ -119,27 +120,29 @@ def _runs(owners: list[int]) -> list[dict]:
     return out
 
 
-def locate(pieces: list[tuple[int, list[str]]]) -> list[list[int]]:
-    """Of every (owner, words), by ascending owner: the owner of each of its windows.
-
-    The automaton holds every different window once, with the first and so least owner that has it.
-    """
-    letters: dict[str, str] = {}
-    automaton = ahocorasick.Automaton()
-    coded = []
-    for owner, words in pieces:
-        for w in words:
-            if w not in letters:
-                k = len(letters) + 0x100
-                letters[w] = chr(k if k < 0xD800 else k + 0x800)
-        text = "".join(map(letters.__getitem__, words))
-        coded.append(text)
-        for k in range(len(text) - WINDOW + 1):
-            window = text[k : k + WINDOW]
-            if not automaton.exists(window):
-                automaton.add_word(window, owner)
-    automaton.make_automaton()
-    return [[owner for _, owner in automaton.iter(text)] for text in coded]
+def automata(windows: list[tuple[int, list[str]]]) -> Iterator[tuple[ahocorasick.Automaton, dict[str, str]]]:
+    """Automata of (owner, words), so many windows each, and the letters of each one's words."""
+    for k in range(0, len(windows), AUTOMATON_WINDOWS):
+        letters: dict[str, str] = {}
+        automaton = ahocorasick.Automaton()
+        for owner, words in windows[k : k + AUTOMATON_WINDOWS]:
+            for w in words:
+                if w not in letters:
+                    n = len(letters) + 0x100
+                    letters[w] = chr(n if n < 0xD800 else n + 0x800)
+            automaton.add_word("".join(map(letters.__getitem__, words)), owner)
+        automaton.make_automaton()
+        yield automaton, letters
+
+
+def locate(pieces: list[tuple[int, list[str]]], windows: list[tuple[int, list[str]]]) -> list[list[int]]:
+    """Of every (owner, words): the owner of each of its windows, its own if the window is not among ``windows``."""
+    owners = [[owner] * (len(words) - WINDOW + 1) for owner, words in pieces]
+    for automaton, letters in automata(windows):
+        for (_, words), found in zip(pieces, owners, strict=True):
+            for end, owner in automaton.iter("".join([letters.get(w, "\0") for w in words])):
+                found[end - WINDOW + 1] = min(owner, found[end - WINDOW + 1])
+    return owners
 
 
 _RUNS = "array<struct<a:int,b:int,owner:bigint>>"
@@ -157,39 +160,31 @@ def _window_hashes(pieces: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield row, of, at, [range_hash(words.hashes, start, start + WINDOW, seed=s) for s in (0, 1)]
 
 
-def by_hash(pieces: list[tuple[int, str]]) -> list[list[int]]:
-    """As ``locate``, for very many pieces: equal windows are found by sorting their 128-bit hashes."""
+def confirmed(pieces: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+    """(owner, piece, place) of every window that stands in several places of the (owner, text), with the least owner."""
     owner = np.array([o for o, _ in pieces])
-    parts = [(row + of, *hashes) for row, of, _, hashes in _window_hashes(pa.array([p for _, p in pieces], pa.string()))]
-    of, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts = [(row + of, at, *hashes) for row, of, at, hashes in _window_hashes(pa.array([p for _, p in pieces], pa.string()))]
+    of, at, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((owner[of], h2, h1))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
-    least = np.empty(len(order), dtype=np.int64)
-    least[order] = owner[of[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return [x.tolist() for x in np.split(least, np.flatnonzero(np.diff(of)) + 1)]
+    first = np.flatnonzero(new)
+    least = order[first[np.diff(np.append(first, len(order))) > 1]]
+    return list(zip(owner[of[least]].tolist(), of[least].tolist(), at[least].tolist(), strict=True))
 
 
-def _resolve_shards(pieces: DataFrame) -> DataFrame:
-    """(anchor, id, runs) of pieces, a task holding all pieces of an anchor."""
+def _resolved(anchors: list[int], ids: list[int], owners: list[list[int]]) -> pa.RecordBatch:
+    runs = pa.array([_runs(x) for x in owners], _RUNS_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), runs], ["anchor", "id", "runs"])
+
+
+def _resolve(pieces: DataFrame) -> DataFrame:
+    """(anchor, id, runs) of pieces (anchor, id, owner, piece), a task holding all pieces of an anchor."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        runs = [[{"a": 0, "b": r[3].count(" ") + 2 - WINDOW, "owner": r[2]}] for r in rows]
-        edges = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
-        several: list[int] = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            if b - a > SHARD_PIECES:
-                for k, owners in zip(range(a, b), by_hash([r[2:4] for r in rows[a:b]]), strict=True):
-                    runs[k] = _runs(owners)
-            elif b - a > 1:
-                several += range(a, b)
-        several.sort(key=lambda k: rows[k][2])
-        for k, owners in zip(several, locate([(rows[k][2], rows[k][3].split(" ")) for k in several]) if several else [], strict=True):
-            runs[k] = _runs(owners)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, _RUNS_ARROW)],
-            ["anchor", "id", "runs"],
-        )
+        split = [(r[2], r[3].split(" ")) for r in rows]
+        windows = [(owner, split[k][1][a : a + WINDOW]) for owner, k, a in confirmed([r[2:4] for r in rows])]
+        return _resolved([r[0] for r in rows], [r[1] for r in rows], locate(split, windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
@@ -210,9 +205,9 @@ def _resolve_shards(pieces: DataFrame) -> DataFrame:
 
 
 def _resolve_wide(pieces: DataFrame) -> DataFrame:
-    """As ``_resolve_shards``, for anchors with very many pieces: windows counted by 128-bit hash."""
+    """As ``_resolve``, for anchors with very many pieces (``n`` of them): confirmed by a count, pieces spread over tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in ("anchor", "id", "owner")]
             for row, of, at, hashes in _window_hashes(batch.column("piece")):
@@ -222,22 +217,57 @@ def _resolve_wide(pieces: DataFrame) -> DataFrame:
                     ["anchor", "id", "owner", "a", "h1", "h2"],
                 )
 
-    windows = pieces.select("anchor", "id", "owner", "piece").mapInArrow(run, "anchor long, id long, owner long, a int, h1 long, h2 long")
-    owners = windows.groupBy("h1", "h2").agg(F.min("owner").alias("least"))
-    run_ = F.struct(F.col("a"), (F.col("a") + 1).alias("b"), F.col("least").alias("owner"))
-    return windows.join(owners, ["h1", "h2"]).groupBy("anchor", "id").agg(F.collect_list(run_).cast(_RUNS).alias("runs"))
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, windows, waiting = None, [], []
+
+        def solved() -> pa.RecordBatch:
+            found = locate([(o, p.split(" ")) for _, o, p in waiting], windows)
+            return _resolved([group[0]] * len(waiting), [k for k, _, _ in waiting], found)
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "salt", "id", "owner", "piece"))
+            for anchor, salt, key, owner, text in zip(*columns, strict=True):
+                if (anchor, salt) != group:
+                    if waiting:
+                        yield solved()
+                    group, windows, waiting = (anchor, salt), [], []
+                if key is None:
+                    windows.append((owner, text.split(" ")))
+                else:
+                    waiting.append((key, owner, text))
+                    if len(waiting) >= TASK_PIECES:
+                        yield solved()
+                        waiting = []
+        if waiting:
+            yield solved()
+
+    kind = "anchor long, id long, owner long, a int, h1 long, h2 long"
+    windows = pieces.select("anchor", "id", "owner", "piece").mapInArrow(hashed, kind)
+    several = windows.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("owner", "id", "a")).alias("x"), F.count("*").alias("many")).filter("many > 1")
+    salts = (F.col("n") / TASK_PIECES).cast("int") + 1
+    texts = several.select("anchor", "x.owner", "x.id", "x.a").join(pieces.select("anchor", "id", "piece", salts.alias("salts")), ["anchor", "id"])
+    words = F.array_join(F.slice(F.split("piece", " "), F.col("a") + 1, F.lit(WINDOW)), " ")
+    patterns = texts.select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("id"), "owner", words.alias("piece"))
+    spread = pieces.select("anchor", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), "id", "owner", "piece").unionByName(patterns)
+    # Nulls first: the windows of an anchor come before its pieces.
+    return spread.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id").mapInArrow(stream, f"anchor long, id long, runs {_RUNS}")
 
 
 def marks(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): of every document with words to remove, the spans [a, b) of word numbers."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     found = cut(_occurrences(docs).withColumn("id", F.xxhash64("piece")))
-    pieces = cut(
-        found.groupBy("anchor", "id").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"))
+    # Texts are shuffled once, folded; what is known of an anchor travels as numbers.
+    folded = found.groupBy("anchor", "id").agg(F.min("doc_id").alias("owner"), F.first("size").cast("int").alias("size"))
+    counts = folded.groupBy("anchor").agg(F.count("*").alias("n"))
+    lone = folded.join(counts.filter("n = 1").select("anchor"), "anchor", "left_semi")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"), F.col("owner").alias("owner"))).cast(_RUNS)
+    texts = found.groupBy("anchor", "id").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("owner")).join(counts.filter("n > 1"), "anchor")
+    runs = (
+        lone.select("anchor", "id", whole.alias("runs"))
+        .unionByName(_resolve(texts.filter(F.col("n") <= TASK_PIECES).drop("n")))
+        .unionByName(_resolve_wide(texts.filter(F.col("n") > TASK_PIECES)))
     )
-    counts = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("high").alias("high"))
-    wide = counts.filter(F.col("n") > WIDE_PIECES).select("anchor")
-    runs = _resolve_shards(pieces.join(wide, "anchor", "left_anti")).unionByName(_resolve_wide(pieces.join(wide, "anchor", "left_semi")))
     # Only pieces of documents after the first owner can have words to remove.
     placed = found.select("anchor", "id", "doc_id", "first").distinct().join(runs, ["anchor", "id"])
     spans = F.transform(

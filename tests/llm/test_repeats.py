@@ -21,19 +21,27 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("shard, wide", [(256, 50_000), (2, 50_000), (2, 3)])
-def test_against_brute_force(make_docs, corpus, monkeypatch, shard, wide):
-    monkeypatch.setattr(repeats, "SHARD_PIECES", shard)
-    monkeypatch.setattr(repeats, "WIDE_PIECES", wide)
+@pytest.mark.parametrize("pieces, windows", [(20_000, 10_000), (20_000, 7), (3, 10_000), (2, 5)])
+def test_against_brute_force(make_docs, corpus, monkeypatch, pieces, windows):
+    monkeypatch.setattr(repeats, "TASK_PIECES", pieces)
+    monkeypatch.setattr(repeats, "AUTOMATON_WINDOWS", windows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(make_docs(corpus, extra=True)).collect()}
     assert got == brute(corpus)
     assert sum(r[1] for r in got.values()) > 500
 
 
-def test_small_automata_give_the_same(make_docs, corpus, monkeypatch):
-    monkeypatch.setattr(repeats, "AUTOMATON_WINDOWS", 10)
-    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(make_docs(corpus)).collect()}
-    assert got == {i: r[1] for i, r in brute(corpus).items()}
+def test_only_recurring_windows_are_compiled():
+    passage = [f"p{k}" for k in range(60)]
+    pieces = [(i, " ".join([f"a{i}x{k}" for k in range(30)] + passage + [f"b{i}x{k}" for k in range(30)])) for i in range(5)]
+    found = repeats.confirmed(pieces)
+    assert sorted(at for _, _, at in found) == list(range(30, 41)) and {o for o, _, _ in found} == {0}
+
+
+def test_very_long_texts(make_docs):
+    tale = " ".join(f"w{k}" for k in range(30_000))
+    texts = {1: tale, 2: "x " + tale[: len(tale) // 2], 3: "y " * 5000 + tale[-5000:], 4: "z " * 20_000}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(make_docs(texts)).collect()}
+    assert got == brute(texts)
 
 
 def test_repeated_rows_null_ids_and_empty_table(make_docs, spark):
