@@ -118,12 +118,16 @@ def parse_progress(sections: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.groupBy("novel").agg(F.count_if(finished).alias("finished"), F.count("*").alias("total"))
 
 
-def novel_report(novels: DataFrame, characters: DataFrame, entries: DataFrame, events: DataFrame) -> DataFrame:
-    counts = [df.groupBy("novel").agg(F.count("*").alias(name)) for name, df in (("characters", characters), ("entries", entries), ("events", events))]
+def novel_report(novels: DataFrame, characters: DataFrame, entries: DataFrame, events: DataFrame, profiles: DataFrame, first: int = 10) -> DataFrame:
+    """(novel, characters, entries, events, profiles, first_entries): counts, and the numbers of the first entries."""
+    named = (("characters", characters), ("entries", entries), ("events", events), ("profiles", profiles))
     out = novels.select("novel")
-    for c in counts:
-        out = out.join(c, "novel", "left")
-    return out.na.fill(0)
+    for name, df in named:
+        out = out.join(df.groupBy("novel").agg(F.count("*").alias(name)), "novel", "left")
+    order = Window.partitionBy("novel").orderBy("sequence_number")
+    top = entries.select("novel", "sequence_number").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= first)
+    listed = top.groupBy("novel").agg(F.sort_array(F.collect_list("sequence_number")).alias("first_entries"))
+    return out.na.fill(0).join(listed, "novel", "left").withColumn("first_entries", F.coalesce("first_entries", F.expr("cast(array() as array<int>)")))
 
 
 def resume_decision(status: DataFrame) -> DataFrame:

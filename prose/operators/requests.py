@@ -58,34 +58,49 @@ def overlap_words(previous: Column, tokens: int = 64) -> Column:
     return F.aggregate(sizes, F.lit(0), lambda n, x: F.when((n == 0) | (n < tokens), n + x).otherwise(n))
 
 
-def character_json(characters: DataFrame) -> DataFrame:
-    """(novel, characters): the cast of each novel as JSON, by name."""
-    one = F.struct("name", "role", "gender")
-    return characters.groupBy("novel").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("characters"))
+def character_json(characters: DataFrame, *also: str) -> DataFrame:
+    """(novel, characters): the cast of each novel as JSON, by name, with descriptions cut at 200 characters."""
+    slim = F.struct("name", "aliases", "role", "gender", "age_range", T.capped(F.coalesce("description", F.lit("")), 200).alias("description"), *also)
+    return characters.groupBy("novel").agg(F.to_json(F.sort_array(F.collect_list(slim))).alias("characters"))
 
 
 def pass1_requests(sections: DataFrame, characters: DataFrame) -> DataFrame:
-    """One request per section: place, total, titles of the five sections before, cast."""
+    """One request per section (novel, section_index, title, text, summary): place, total, text, cast so far and rolling summary.
+
+    The rolling summary holds the last five of the chapters before that yielded one.
+    """
     w = Window.partitionBy("novel").orderBy("section_index")
+    number = F.row_number().over(w)
+    line = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("Chapter "), F.col("_no").cast("string"), F.lit(" ("), "title", F.lit("): "), "summary"))
+    before = F.collect_list("_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = sections.withColumn("_no", number).withColumn("_line", line).withColumn("_all", before)
+    rows = rows.withColumn("rolling", F.array_join(F.slice("_all", F.greatest(F.size("_all") - 4, F.lit(1)), F.lit(5)), "\n"))
     total = sections.groupBy("novel").agg(F.count("*").alias("total"))
-    rows = sections.select("novel", "section_index", "title", F.array_join(F.collect_list("title").over(w.rowsBetween(-5, -1)), "|").alias("summary"))
-    return rows.join(total, "novel").join(character_json(characters), "novel", "left")
-
-
-def pass2_requests(entries: DataFrame) -> DataFrame:
-    """One request per line: text before, last eight speakers of the section, text ahead."""
-    novel = Window.partitionBy("novel").orderBy("sequence_number")
-    section = Window.partitionBy("novel", "section_index").orderBy("sequence_number").rowsBetween(-8, -1)
-    near = lambda f, n: F.substring(F.coalesce(f("original_text").over(novel), F.lit("")), 1, n)
-    return entries.select(
-        "novel", "sequence_number", near(F.lag, 800).alias("before"), near(F.lead, 500).alias("ahead"),
-        F.array_join(F.collect_list("speaker_name").over(section), "|").alias("history"),
-    )
-
-
-def chat_requests(messages: DataFrame, after: int) -> DataFrame:
-    """(conv_id, transcript): the messages after a watermark in order, with roles as the model names them."""
-    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
-    line = F.struct("turn", F.concat(role, F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
-    kept = messages.filter(F.col("turn") > after).groupBy("conv_id").agg(F.sort_array(F.collect_list(line)).alias("x"))
-    return kept.select("conv_id", F.array_join(F.transform("x", lambda m: m["line"]), "\n").alias("transcript"))
+    cast_ = character_json(characters)
+    return rows.join(total, "novel").join(cast_, "novel", "left").select("novel", "section_index", F.col("_no").alias("place"), "total", "title", "text", "rolling", "characters")
+
+
+def pass2_requests(chunks: DataFrame, history: DataFrame, characters: DataFrame, narrators: DataFrame) -> DataFrame:
+    """One request per chunk that a model must read: (novel, section_index, chunk, before, history, text, ahead, characters).
+
+    chunks (novel, section_index, chunk, text, first, spoken): the chunks before and after may be those of the
+    neighbouring section; what is ahead there is its first blocks, ``first``. history (novel, section_index,
+    chunk, sequence_number, line): the last eight lines of earlier chunks of the section. Characters carry a flag of the
+    novel's narrator (novel, character_id).
+    """
+    novel = Window.partitionBy("novel").orderBy("section_index", "chunk")
+    same = F.lead("section_index").over(novel) == F.col("section_index")
+    ahead = F.when(same, F.lead("text").over(novel)).otherwise(F.lead("first").over(novel))
+    near = lambda x, n, none: F.coalesce(F.nullif(F.substring(x, 1, n), F.lit("")), F.lit(none))
+    # What stands for a missing neighbour or history.
+    rows = chunks.withColumns(
+        {"before": near(F.lag("text").over(novel), 800, "(start of section)"), "ahead": near(ahead, 500, "(end of section)")}
+    ).filter("spoken")
+    lines = history.select("novel", "section_index", F.col("chunk").alias("_of"), "sequence_number", "line")
+    met = rows.select("novel", "section_index", "chunk").join(lines, ["novel", "section_index"]).filter("_of < chunk")
+    last = met.groupBy("novel", "section_index", "chunk").agg(F.sort_array(F.collect_list(F.struct("sequence_number", "line"))).alias("_h"))
+    last = last.withColumn("history", F.array_join(F.transform(F.slice("_h", F.greatest(F.size("_h") - 7, F.lit(1)), F.lit(8)), lambda x: x["line"]), "\n")).drop("_h")
+    told = narrators.select("novel", F.col("character_id").alias("_narrator"))
+    flagged = characters.join(told, "novel", "left").withColumn("is_narrator", F.coalesce(F.col("character_id") == F.col("_narrator"), F.lit(False)))
+    out = rows.join(last, ["novel", "section_index", "chunk"], "left").join(character_json(flagged, "is_narrator"), "novel", "left")
+    return out.withColumn("history", F.coalesce("history", F.lit("(start of novel)"))).select("novel", "section_index", "chunk", "before", "history", "text", "ahead", "characters")

@@ -6,7 +6,7 @@ A section is one row, so all of this is row-local: arrays in, arrays out, nothin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -175,6 +175,7 @@ def rendered(blocks: Column) -> Column:
 # Fixed value: a sentence with its closing quotes and brackets and the white space after it.
 _SENTENCE = re.compile(r"""(?s).*?[.!?]["”’')\]]*(?:\s+|\Z)|.+\Z""")
 CHUNK_WORDS, OVERLAP_WORDS = 512, 64
+Measure = Callable[[str], int]
 
 
 def _words(text: str) -> int:
@@ -203,49 +204,64 @@ def _paragraph_spans(text: str) -> list[tuple[int, int]]:
     return between(r"\n+") if len(spans) <= 1 and text.count("\n") > 5 else spans
 
 
-def _packed_spans(text: str, parts: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+def _packed_spans(text: str, parts: list[tuple[int, int]], size: int, measure: Measure) -> list[tuple[int, int, int]]:
     """(start, end, words): neighbouring spans packed up to ``size`` words; one that is longer stays whole."""
     out: list[tuple[int, int, int]] = []
     for a, b in parts:
-        n = _words(text[a:b])
+        n = measure(text[a:b])
         out.append((out.pop()[0], b, last + n) if out and (last := out[-1][2]) + n <= size else (a, b, n))
     return out
 
 
-def chunk_spans(text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> list[tuple[int, int, int, int, int]]:
+def chunk_spans(text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, measure: Measure = _words) -> list[tuple[int, int, int, int, int]]:
     """(char_start, body_start, char_end, tokens, repeated) of the chunks of one section, ends exclusive.
 
     Whole paragraphs are packed up to ``size`` words; one that is longer closes the chunk before it and
     is packed by sentences. From the second chunk on, char_start lies before the body, at the start
     of those sentences of the body before that reach ``overlap`` words, or of all of it. tokens are the words of the body, repeated those before it.
+    ``measure`` counts something else in place of words, such as a tokenizer's tokens.
     """
     bodies: list[tuple[int, int, int]] = []
     run: list[tuple[int, int]] = []
     for a, b in _paragraph_spans(text):
-        if _words(text[a:b]) > size:
-            bodies += _packed_spans(text, run, size) + _packed_spans(text, _sentence_spans(text, a, b), size)
+        if measure(text[a:b]) > size:
+            bodies += _packed_spans(text, run, size, measure) + _packed_spans(text, _sentence_spans(text, a, b), size, measure)
             run = []
         else:
             run.append((a, b))
-    bodies += _packed_spans(text, run, size)
+    bodies += _packed_spans(text, run, size, measure)
     out = []
     for k, (a, b, n) in enumerate(bodies):
         start, held = a, 0
         for x, y in reversed(_sentence_spans(text, *bodies[k - 1][:2]) if k and overlap else []):
-            start, held = x, held + _words(text[x:y])
+            start, held = x, held + measure(text[x:y])
             if held >= overlap:
                 break
         out.append((start, a, b, n, held))
     return out
 
 
-def retrieval_spans(sections: DataFrame, key: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+def bpe_measure(path: str) -> Measure:
+    """Counts the tokens of a tokenizer file, loaded once a worker."""
+    held: list = []
+
+    def measure(text: str) -> int:
+        if not held:
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+        return len(held[0].encode(text, add_special_tokens=False).ids)
+
+    return measure
+
+
+def retrieval_spans(sections: DataFrame, key: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, measure: Measure = _words) -> DataFrame:
     """(key, chunks) of sections (key, text): ``chunk_spans`` of every section; null text has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("char_start", "body_start", "char_end", "tokens", "repeated")
         for pdf in frames:
-            found = [[dict(zip(names, c, strict=True)) for c in chunk_spans(t or "", size, overlap)] for t in pdf["text"]]
+            found = [[dict(zip(names, c, strict=True)) for c in chunk_spans(t or "", size, overlap, measure)] for t in pdf["text"]]
             yield pd.DataFrame({key: pdf[key], "chunks": found})
 
     kind = "array<struct<char_start:int,body_start:int,char_end:int,tokens:int,repeated:int>>"

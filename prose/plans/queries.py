@@ -223,10 +223,13 @@ def parse_progress(spark, d):
     return library.parse_progress(S.sections(spark, d), S.dialogue_entries(spark, d))
 
 
-@query("""SELECT novel, (SELECT count(*) FROM people p WHERE p.novel = n.novel) AS characters, (SELECT count(*) FROM entries e WHERE e.novel = n.novel) AS entries,
-          (SELECT count(*) FROM novel_events v WHERE v.novel = n.novel) AS events FROM novels n""")
+@query("""SELECT novel, (SELECT count(*) FROM people p WHERE p.novel = n.novel) AS characters, (SELECT count(*) FROM entries e WHERE e.novel = n.novel) AS entries, (SELECT count(*) FROM novel_events v WHERE v.novel = n.novel) AS events,
+          (SELECT count(*) FROM profiles p WHERE p.novel = n.novel) AS profiles, coalesce((SELECT string_agg(sequence_number, ',' ORDER BY sequence_number) FROM entries e WHERE e.novel = n.novel AND sequence_number < 10), '') AS first_entries FROM novels n""")
 def novel_report(spark, d):
-    return library.novel_report(S.novels(spark, d), S.characters(spark, d), S.dialogue_entries(spark, d), S.novel_events(spark, d))
+    """Counts of a novel's derived rows, and its first ten entries."""
+    lines = S.dialogue_entries(spark, d)
+    out = library.novel_report(S.novels(spark, d), S.characters(spark, d), lines, S.novel_events(spark, d), S.character_profiles(spark, d))
+    return out.withColumn("first_entries", F.array_join(F.col("first_entries").cast("array<string>"), ","))
 
 
 @query("SELECT novel, speaker_name, min(section_index) AS first_section FROM entries GROUP BY ALL")
@@ -684,19 +687,37 @@ def chunk_overlap_invariants(spark, d):
     return rows.select("doc_id", "chunk", F.col("c.tokens").alias("words"), F.col("c.repeated").alias("overlap"))
 
 
-@query("""SELECT novel, section_index, title, coalesce(array_to_string(list(title) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|'), '') AS summary,
-          count(*) OVER (PARTITION BY novel) AS total, (SELECT count(*) FROM people p WHERE p.novel = k.novel) AS cast_size FROM section_keys k""")
-def pass1_requests(spark, d):
-    rows = requests.pass1_requests(S.section_keys(spark, d), S.characters(spark, d))
-    size = F.coalesce(F.size(F.from_json("characters", "array<struct<name string>>")), F.lit(0)).cast("long")
-    return rows.select("novel", "section_index", "title", "summary", "total", size.alias("cast_size"))
+_CAST = "to_json(list({'name': name, 'aliases': aliases, 'role': role, 'gender': gender, 'age_range': age_range, 'description': CASE WHEN length(des) > 200 THEN left(des, 200) || '...' ELSE des END%s} ORDER BY name))"
 
 
-@query("""SELECT novel, sequence_number, left(coalesce(lag(original_text) OVER n, ''), 800) AS before, left(coalesce(lead(original_text) OVER n, ''), 500) AS ahead,
-          coalesce(array_to_string(list(speaker_name) OVER (PARTITION BY novel, section_index ORDER BY sequence_number ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '|'), '') AS history
-          FROM entries WINDOW n AS (PARTITION BY novel ORDER BY sequence_number)""")
+@query(f"""SELECT novel, section_index, place, total, title, coalesce(array_to_string(lines[-5:], chr(10)), '') AS rolling, characters FROM (
+          SELECT novel, section_index, title, no AS place, count(*) OVER (PARTITION BY novel) AS total, list(line) FILTER (line IS NOT NULL) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lines
+          FROM (SELECT *, CASE WHEN doc_id % 4 <> 0 THEN 'Chapter ' || no || ' (' || title || '): ' || 's' || doc_id END AS line FROM (SELECT *, row_number() OVER (PARTITION BY novel ORDER BY section_index) AS no FROM section_keys)))
+          LEFT JOIN (SELECT novel, sha256({_CAST % ""}::VARCHAR) AS characters FROM (SELECT *, repeat(name || ' ', character_id::INT % 20) AS des FROM people) GROUP BY 1) USING (novel)""")
+def pass1_requests(spark, d):
+    """Requests of the first pass; every fourth chapter yields no summary."""
+    sections = S.section_keys(spark, d).withColumns({"text": F.lit(""), "summary": F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("s"), F.col("doc_id").cast("string")))})
+    people = S.characters(spark, d).withColumn("description", F.expr("repeat(name || ' ', int(character_id % 20))"))
+    return requests.pass1_requests(sections, people).withColumn("characters", F.sha2("characters", 256)).drop("text")
+
+
+@query(f"""WITH c AS (SELECT novel, section_index, turn // 2 AS chunk, string_agg(coalesce(original_text, ''), '|' ORDER BY turn) AS text, left(arg_min(coalesce(original_text, ''), turn), 30) AS first, bool_or(speaker_name = 'user') AS spoken
+          FROM entries GROUP BY ALL), w AS (SELECT *, lag(text) OVER o AS b, CASE WHEN lead(section_index) OVER o = section_index THEN lead(text) OVER o ELSE lead(first) OVER o END AS a FROM c WINDOW o AS (PARTITION BY novel ORDER BY section_index, chunk)),
+          h AS (SELECT w.novel, w.section_index, w.chunk, array_to_string(list('h' || e.sequence_number ORDER BY e.sequence_number)[-8:], chr(10)) AS history FROM w JOIN entries e ON e.novel = w.novel AND e.section_index = w.section_index
+          AND e.turn // 2 < w.chunk GROUP BY ALL) SELECT novel, section_index, chunk, sha256(coalesce(nullif(left(b, 800), ''), '(start of section)')) AS before, coalesce(history, '(start of novel)') AS history, sha256(text) AS text,
+          sha256(coalesce(nullif(left(a, 500), ''), '(end of section)')) AS ahead, characters FROM w LEFT JOIN h USING (novel, section_index, chunk)
+          LEFT JOIN (SELECT novel, sha256({_CAST % ", 'is_narrator': character_id % 50 = 3"}::VARCHAR) AS characters FROM (SELECT *, '' AS des FROM people) GROUP BY 1) USING (novel) WHERE spoken""")
 def pass2_requests(spark, d):
-    return requests.pass2_requests(S.dialogue_entries(spark, d))
+    """Requests of the second pass: chunks of two turns that a user speaks in."""
+    rows = S.dialogue_entries(spark, d).withColumns({"chunk": F.floor(F.col("turn") / 2), "t": F.coalesce("original_text", F.lit(""))})
+    per = rows.groupBy("novel", "section_index", "chunk").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "|").alias("text"),
+        F.substring(F.min_by("t", "turn"), 1, 30).alias("first"), F.bool_or(F.col("speaker_name") == "user").alias("spoken"),
+    )
+    history = rows.select("novel", "section_index", "chunk", "sequence_number", F.concat(F.lit("h"), F.col("sequence_number").cast("string")).alias("line"))
+    people = S.characters(spark, d).withColumn("description", F.lit(None).cast("string"))
+    out = requests.pass2_requests(per, history, people, people.filter("character_id % 50 = 3"))
+    return out.withColumns({c: F.sha2(c, 256) for c in ("before", "text", "ahead", "characters")})
 
 
 @query("""SELECT novel, section_index, character_id, status, summary FROM (SELECT conv_id // 20 AS novel, conv_id % 20 AS section_index, character_id, CAST(turn AS VARCHAR) AS status, left(text, 30) AS summary,
