@@ -7,8 +7,9 @@ document meets every automaton and no window is shuffled on its own:
 1. Anchors. The anchor of a window is the least hash of its ``PHRASE``-word phrases. Equal windows
    have equal anchors, and neighbouring windows mostly share one; a run of them is a piece. Only
    (anchor, doc_id) is counted, pre-aggregated; anchors of two or more documents recur.
-2. Pieces. Documents that hold recurring anchors give their pieces with those anchors; equal pieces
-   fold into one with the least doc_id. An anchor with one piece needs nothing more.
+2. Pieces. Documents that hold recurring anchors give their pieces with those anchors, as 64-bit hashes
+   beside the anchor; equal pieces fold into one with the least doc_id. An anchor with one piece needs nothing
+   more; of the others, each piece's text is read off once, from the document with the least doc_id.
 3. Confirmation. Of the pieces of an anchor, the windows that stand in several places are confirmed, by
    128-bit hash: what merely surrounds a recurring passage is not compiled.
 4. Automata. Confirmed windows are sharded by anchor and compiled into Aho-Corasick automata of
@@ -87,8 +88,12 @@ def recurring(docs: DataFrame) -> DataFrame:
     return anchors.join(counted, "anchor").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("anchor").alias("anchors"))
 
 
+def _piece_ids(words: Words, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return range_hash(words.hashes, first, first + size + WINDOW - 1).view(np.int64)
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, piece, doc_id, first, size): pieces with recurring anchors, words joined by one space, and their windows."""
+    """(anchor, id, doc_id, first, size): pieces with recurring anchors, their places and numbers of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,16 +103,41 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 doc, anchor, first, size = pieces_of(words)
                 wanted = np.isin(anchor.view(np.int64), anchors[row:stop].flatten().to_numpy())
                 doc, anchor, first, size = doc[wanted], anchor[wanted], first[wanted], size[wanted]
-                raw = data.tobytes()
-                begin, end = words.starts[first].tolist(), words.ends[first + size + WINDOW - 2].tolist()
-                text = [b" ".join(raw[a:b].split()).decode() for a, b in zip(begin, end, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(text, pa.string()), pa.array(ids[row + doc]), pa.array(first - words.first[doc]), pa.array(size)],
-                    ["anchor", "piece", "doc_id", "first", "size"],
-                )
+                values = (anchor.view(np.int64), _piece_ids(words, first, size), ids[row + doc], first - words.first[doc], size)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["anchor", "id", "doc_id", "first", "size"])
 
     found = docs.join(recurring(docs), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "anchors")
-    return found.mapInArrow(run, "anchor long, piece string, doc_id long, first long, size long")
+    return found.mapInArrow(run, "anchor long, id long, doc_id long, first long, size long")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(anchor, id, owner, n, piece) of wanted pieces (anchor, id, owner, first, size, n): words joined by one space, off the owner's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for owner, text, pieces in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = text.as_py().encode().split()
+                for p in pieces:
+                    piece = b" ".join(words[p["first"] : p["first"] + p["size"] + WINDOW - 1]).decode()
+                    out.append((p["anchor"], p["id"], owner, p["n"], piece))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            # Another row of the same doc_id can have another text: pieces that are not the wanted ones go.
+            found = split_words(*_joined(columns[4]))
+            same = _piece_ids(found, found.first[:-1], np.diff(found.first) - WINDOW + 1) == np.array(columns[1], dtype=np.int64)
+            types = (pa.int64(),) * 4 + (pa.string(),)
+            rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "id", "owner", "n", "piece"])
+            yield rows.filter(pa.array(same))
+
+    per = wanted.groupBy(F.col("owner").alias("_id")).agg(F.collect_list(F.struct("anchor", "id", "first", "size", "n")).alias("pieces"))
+    joined = docs.join(per, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "pieces")
+    return joined.mapInArrow(run, "anchor long, id long, owner long, n long, piece string")
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts, one after the other."""
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
 
 
 def _runs(owners: list[int]) -> list[dict]:
@@ -192,6 +222,8 @@ def _resolve(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("anchor", "id", "owner", "piece"))
             for anchor, key, owner, piece in zip(*columns, strict=True):
+                if waiting and waiting[-1][:2] == (anchor, key):
+                    continue  # a repeated row of the owner
                 if windows >= AUTOMATON_WINDOWS and waiting[-1][0] != anchor:
                     yield solve(waiting)
                     waiting, windows = [], 0
@@ -231,6 +263,8 @@ def _resolve_wide(pieces: DataFrame) -> DataFrame:
                     if waiting:
                         yield solved()
                     group, windows, waiting = (anchor, salt), [], []
+                if waiting and waiting[-1][0] == key:
+                    continue
                 if key is None:
                     windows.append((owner, text.split(" ")))
                 else:
@@ -256,15 +290,14 @@ def _resolve_wide(pieces: DataFrame) -> DataFrame:
 def marks(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): of every document with words to remove, the spans [a, b) of word numbers."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    found = cut(_occurrences(docs).withColumn("id", F.xxhash64("piece")))
-    # Texts are shuffled once, folded; what is known of an anchor travels as numbers.
-    folded = found.groupBy("anchor", "id").agg(F.min("doc_id").alias("owner"), F.first("size").cast("int").alias("size"))
-    counts = folded.groupBy("anchor").agg(F.count("*").alias("n"))
-    lone = folded.join(counts.filter("n = 1").select("anchor"), "anchor", "left_semi")
+    found = cut(_occurrences(docs))
+    folded = found.groupBy("anchor", "id").agg(F.min(F.struct("doc_id", "first")).alias("x"), F.first("size").cast("int").alias("size"))
+    folded = cut(folded.select("anchor", "id", F.col("x.doc_id").alias("owner"), F.col("x.first").alias("first"), "size"))
+    counted = folded.join(folded.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
+    texts = cut(_texts(docs, counted.filter("n > 1")))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"), F.col("owner").alias("owner"))).cast(_RUNS)
-    texts = found.groupBy("anchor", "id").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("owner")).join(counts.filter("n > 1"), "anchor")
     runs = (
-        lone.select("anchor", "id", whole.alias("runs"))
+        counted.filter("n = 1").select("anchor", "id", whole.alias("runs"))
         .unionByName(_resolve(texts.filter(F.col("n") <= TASK_PIECES).drop("n")))
         .unionByName(_resolve_wide(texts.filter(F.col("n") > TASK_PIECES)))
     )
