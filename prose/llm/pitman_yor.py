@@ -14,7 +14,7 @@ Poisson number, whose mean the saddle point of S gives. Tables are the parent's
 the same way. Entries of one customer have one table. Random numbers are hashes of (w, u, sweep), so a task
 that runs again draws the same.
 
-Predictive probabilities are averaged over the sweeps after the burn-in. Discounts are estimated from the
+Predictive probabilities are averaged over the last two sweeps. Discounts are estimated from the
 entries with one and two customers.
 
 How it is spread: tokens are coded, the ``LOCAL_WORDS`` most frequent ones by their rank, all others by a 64-bit
@@ -43,13 +43,13 @@ from pyspark.sql import functions as F
 from .support import cut, discard
 from .wordhash import mix64, split_words, text_slices
 
-SWEEPS = 3
-BURN_IN = 1
+#: Sweeps in all; the last two are averaged.
+SWEEPS, KEPT = 3, 2
 STRENGTH = 1.0
 #: Most customers of an entry for which the number of tables is drawn from its whole distribution.
 EXACT = 512
-LOCAL_WORDS = 200_000
-LOCAL_PAIRS = 1_500_000
+LOCAL_WORDS = 1_000_000
+LOCAL_PAIRS = 4_000_000
 #: Tokens that are counted at once, rows that are merged at once, and numbers that one draw holds at once.
 COUNTED_TOKENS, MERGED_ROWS, DRAWN = 2_000_000, 400_000, 400_000
 END = np.uint64(1)
@@ -57,7 +57,6 @@ END = np.uint64(1)
 START = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _HASHED = np.uint64(1 << 63)
-KEPT = SWEEPS - BURN_IN
 
 
 def crc_remainder(doc_id) -> "F.Column":
@@ -245,7 +244,7 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, discount
 
 def _keys(w: np.ndarray, u: np.ndarray | int, sweep: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(w.view(np.uint64) ^ mix64(np.asarray(u, dtype=np.int64).view(np.uint64) * _STEP + np.uint64(sweep + 1)))
+        return mix64(w.view(np.uint64) ^ mix64(np.asarray(u, dtype=np.int64).view(np.uint64) * _STEP + np.uint64(sweep + 3)))
 
 
 def discount_of(ones: int, twos: int) -> float:
@@ -257,11 +256,11 @@ def discount_of(ones: int, twos: int) -> float:
 class State:
     """What a sweep left: tables of ranked contexts, the parent's probability of ranked words, and all totals.
 
-    ``rows`` has (kind, key, n, m, r): of contexts (kind 0) customers and tables, of words (kind 1) training
-    count, customers in the parent and tables there.
+    ``rows`` has (kind, key, n, m, r, g, q): of contexts (kind 0) customers and tables, of words (kind 1) training
+    count, customers in the parent and tables there; g and q are m and r of the sweep before.
     """
 
-    rows: DataFrame
+    rows: DataFrame | None
     context: np.ndarray
     tables: np.ndarray
     customers: np.ndarray
@@ -310,72 +309,77 @@ class Model:
 
 
 def _totals(rows: DataFrame, size: int) -> DataFrame:
-    """(kind, key, n, m): sums of customers and tables of entries (w, u, c, t) by context and by word.
+    """(kind, key, n, m, g): sums of customers, tables and tables before of entries (w, u, c, t, h) by context and by word.
 
     Ranked keys are summed in an array per task, others per batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((2, 2, size))
+        dense = np.zeros((2, 3, size))
+        names = ["kind", "key", "n", "m", "g"]
         for batch in _larger(batches):
-            w, u, c, t = (batch.column(k).to_numpy() for k in range(4))
+            w, u, *values = (batch.column(k).to_numpy() for k in range(5))
             for kind, key in ((0, u), (1, w)):
                 ranked = key >= 0
-                for k, x in ((0, c), (1, t)):
+                for k, x in enumerate(values):
                     dense[kind, k] += np.bincount(key[ranked], weights=x[ranked], minlength=size)
                 rest = np.flatnonzero(~ranked)
                 if len(rest):
                     rest = rest[np.argsort(key[rest], kind="stable")]
                     first = _starts(key[rest])
-                    sums = [pa.array(np.add.reduceat(x[rest], first)) for x in (c, t)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(key[rest][first]), *sums], ["kind", "key", "n", "m"])
+                    sums = [pa.array(np.add.reduceat(x[rest], first)) for x in values]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(key[rest][first]), *sums], names)
         for kind in (0, 1):
             key = np.flatnonzero(dense[kind, 0])
-            sums = [pa.array(dense[kind, k, key].astype(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key), *sums], ["kind", "key", "n", "m"])
+            sums = [pa.array(x[key].astype(np.int64)) for x in dense[kind]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key), *sums], names)
 
-    parts = rows.select("w", "u", "c", "t").mapInArrow(run, "kind int, key long, n long, m long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    parts = rows.select("w", "u", "c", "t", "h").mapInArrow(run, "kind int, key long, n long, m long, g long")
+    return parts.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", "m", "g")])
 
 
-def _state(model: Model, totals: DataFrame, sweep: int, before: int) -> State:
-    """Seats the parent's customers, given its tables before, and reads the ranked rows off."""
+def _state(model: Model, totals: DataFrame, sweep: int, before: int, earlier: int) -> State:
+    """Seats the parent's customers, given its tables before (``earlier``: those before the sweep before), and reads the ranked rows off."""
     opening, discount, strength = 1.0 / (model.words + 1), model.root_discount, model.strength
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _larger(batches, 50_000):
-            kind, key, m = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            r = np.zeros(len(m), dtype=np.int64)
+            kind, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = np.flatnonzero(kind == 1)
-            r[at] = seat(m[at], np.full(len(at), opening), np.full(len(at), float(before)), discount, strength, _keys(key[at], -1, sweep))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], ["kind", "key", "n", "m", "r"])
-
-    rows = cut(totals.mapInArrow(run, "kind int, key long, n long, m long, r long"))
+            columns = list(batch.columns)
+            for name, others, of in (("m", before, sweep), ("g", earlier, sweep - 1)):
+                tables = np.zeros(len(kind), dtype=np.int64)
+                customers = batch.column(name).to_numpy()[at]
+                tables[at] = seat(customers, np.full(len(at), opening), np.full(len(at), float(others)), discount, strength, _keys(key[at], -1, of))
+                columns.append(pa.array(tables))
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "n", "m", "g", "r", "q"])
+
+    rows = cut(totals.mapInArrow(run, "kind int, key long, n long, m long, g long, r long, q long"))
     sums = rows.filter("kind = 1").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")).first()
     # Ranked tokens alone: LOCAL_WORDS + 1 rows of each kind at most.
-    ranked = rows.filter("key >= 0").toArrow()
-    kind, key, n, m, r = (ranked.column(c).to_numpy() for c in ("kind", "key", "n", "m", "r"))
+    ranked = rows.filter("key >= 0").select("kind", "key", "n", "m", "r").toArrow()
+    kind, key, n, m, r = (ranked.column(c).to_numpy() for c in ranked.column_names)
     arrays = np.zeros((4, len(model.codes.hashes) + 1))
     for k, (of, x) in enumerate(((0, n), (0, m), (1, m), (1, r))):
         arrays[k, key[kind == of]] = x[kind == of]
-    return State(rows, *arrays, int(sums["m"]), int(sums["r"]))
+    hashed = rows.filter("key < 0")
+    hashed.cut_path = rows.cut_path
+    return State(hashed, *arrays, int(sums["m"]), int(sums["r"]))
 
 
-def _with_facts(rows: DataFrame, model: Model, states: list[State]) -> DataFrame:
-    """Adds what hashed contexts (n0, m0, ...) and hashed words (p0, r0, ...; cw) of rows (w, u) know in every state; others get nulls.
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds what hashed contexts (nu; tu0, tu1) and hashed words (cw; mw0, rw0, mw1, rw1) of rows (w, u) know; others get nulls.
 
-    Rows whose token is ranked take a key of their own, that of no token, so they spread over the join.
+    0 is the sweep before, 1 the last one. Rows whose token is ranked take a key of their own, that of no
+    token, so they spread over the join.
     """
     own = F.xxhash64("w", "u").bitwiseAND(F.lit((1 << 63) - 1))
-    facts = {0: None, 1: None}
-    for kind in (0, 1):
-        for k, s in enumerate(states):
-            found = s.rows.filter((F.col("kind") == kind) & (F.col("key") < 0))
-            names = [F.col("n").alias("nu"), F.col("m").alias(f"tu{k}")] if kind == 0 else [F.col("n").alias("cw"), F.col("m").alias(f"mw{k}"), F.col("r").alias(f"rw{k}")]
-            found = found.select("key", *(names if not k else names[1:]))
-            facts[kind] = found if facts[kind] is None else facts[kind].join(found, "key")
-    out = rows.withColumn("_u", F.when(F.col("u") < 0, F.col("u")).otherwise(own)).join(facts[0].withColumnRenamed("key", "_u"), "_u", "left").drop("_u")
-    return out.withColumn("_w", F.when(F.col("w") < 0, F.col("w")).otherwise(own)).join(facts[1].withColumnRenamed("key", "_w"), "_w", "left").drop("_w")
+    named = {"u": {"n": "nu", "g": "tu0", "m": "tu1"}, "w": {"n": "cw", "g": "mw0", "q": "rw0", "m": "mw1", "r": "rw1"}}
+    for kind, token in enumerate(named):
+        found = facts.filter(F.col("kind") == kind).select(F.col("key").alias("_key"), *[F.col(a).alias(b) for a, b in named[token].items()])
+        keyed = rows.withColumn("_key", F.when(F.col(token) < 0, F.col(token)).otherwise(own))
+        rows = keyed.join(found, "_key", "left").drop("_key")
+    return rows
 
 
 def _number(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -389,28 +393,28 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sweep(model: Model, multi: DataFrame, state: State, sweep: int) -> DataFrame:
-    """(w, u, c, t) of entries with several customers, seated anew given the state."""
+    """(w, u, c, t, h) of entries with several customers, seated anew given the state; h is t before."""
     discount, strength, light = model.discount, model.strength, model.slim()
     slim = State(None, state.context, state.tables, state.customers, state.seated, state.root_customers, state.root_tables)
-    kind = "w long, u long, c long, t long"
+    kind = "w long, u long, c long, t long, h long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _larger(batches, 100_000):
             w, u, c, t = (batch.column(k).to_numpy() for k in ("w", "u", "c", "t"))
             tables = slim.tables[np.maximum(u, 0)]
             customers, seated = slim.customers[np.maximum(w, 0)], slim.seated[np.maximum(w, 0)]
-            if "tu0" in batch.schema.names:
-                tables = np.where(u < 0, _number(batch, "tu0"), tables)
-                customers, seated = np.where(w < 0, _number(batch, "mw0"), customers), np.where(w < 0, _number(batch, "rw0"), seated)
+            if "tu1" in batch.schema.names:
+                tables = np.where(u < 0, _number(batch, "tu1"), tables)
+                customers, seated = np.where(w < 0, _number(batch, "mw1"), customers), np.where(w < 0, _number(batch, "rw1"), seated)
             # The entry's own tables are no customers of the parent while it is seated anew.
             left = np.maximum(customers - t, 0)
             share = np.divide(left, customers, out=np.zeros_like(left), where=customers > 0)
             parent = np.maximum(light.parent(left, np.minimum(seated, np.ceil(seated * share)), slim), 1e-300)
             new = seat(c, parent, np.maximum(tables - t, 0), discount, strength, _keys(w, u, sweep))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (w, u, c)), pa.array(new)], ["w", "u", "c", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, c, new, t)], ["w", "u", "c", "t", "h"])
 
     ranked, other = _split(multi)
-    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model, [state]).mapInArrow(run, kind))
+    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, state.rows).mapInArrow(run, kind))
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -427,34 +431,32 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     pairs = cut(entries(docs, codes))
     ones, twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     model = Model(n, v, codes, discount_of(ones, twos), counts=ranked_counts)
-    single = cut(_totals(pairs.filter("c = 1").withColumn("t", F.lit(1).cast("long")), size))
-    # First seating: a table for each customer's square root, so that the first sweep meets a plausible state.
-    multi = cut(pairs.filter("c > 1").withColumn("t", F.ceil(F.pow(F.col("c").cast("double"), F.lit(0.5)))))
-    history: list[DataFrame] = []
+    one = F.lit(1).cast("long")
+    single = cut(_totals(pairs.filter("c = 1").withColumns({"t": one, "h": one}), size))
+    # First seating: the square root of the customers, so that the first sweep meets a plausible state.
+    root = F.ceil(F.pow(F.col("c").cast("double"), F.lit(0.5)))
+    multi = cut(pairs.filter("c > 1").withColumns({"t": root, "h": root}))
 
     def totals(rows: DataFrame) -> DataFrame:
         both = single.unionByName(_totals(rows, size))
-        return both.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        return both.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", "m", "g")])
 
     first = totals(multi)
     m1, m2 = first.filter("kind = 1").agg(F.count_if(F.col("m") == 1), F.count_if(F.col("m") == 2)).first()
     model.root_discount = discount_of(m1, m2)
-    state = _state(model, first, -1, v)
+    before = earlier = v
+    state = _state(model, first, -1, before, earlier)
     for sweep in range(SWEEPS):
         seated = cut(_sweep(model, multi, state, sweep))
-        after = _state(model, totals(seated), sweep, state.root_tables)
-        if sweep <= BURN_IN:
-            discard(multi)
-            discard(state.rows)
+        before, earlier = state.root_tables, before
+        after = _state(model, totals(seated), sweep, before, earlier)
+        discard(multi)
+        discard(state.rows)
         multi, state = seated, after
-        if sweep >= BURN_IN:
-            history.append(multi)
-            model.states.append(state)
-    seated = history[0].withColumnRenamed("t", "t0")
-    for k, rows in enumerate(history[1:], 1):
-        seated = seated.join(rows.select("w", "u", F.col("t").alias(f"t{k}")), ["w", "u"])
-    lone = pairs.filter("c = 1").select("w", "u", "c", *[F.lit(1).cast("long").alias(f"t{k}") for k in range(KEPT)])
-    return model, lone.unionByName(seated)
+        model.states = [*model.states, state][-KEPT:]
+    discard(single)
+    lone = pairs.filter("c = 1").select("w", "u", "c", one.alias("t0"), one.alias("t1"))
+    return model, lone.unionByName(multi.select("w", "u", "c", F.col("h").alias("t0"), F.col("t").alias("t1")))
 
 
 def predictive(model: Model, table: DataFrame) -> DataFrame:
@@ -485,7 +487,7 @@ def predictive(model: Model, table: DataFrame) -> DataFrame:
 
     kind = "w long, u long, c long, cw long, p float"
     ranked, other = _split(table)
-    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model, model.states).mapInArrow(run, kind))
+    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model.states[-1].rows).mapInArrow(run, kind))
 
 
 def _local_limit(words: DataFrame) -> int:
@@ -627,7 +629,7 @@ def _unmet(misses: DataFrame, model: Model, share: float) -> DataFrame:
 
     kind = "row long, n_known long, base_score double, score double"
     ranked, other = _split(misses)
-    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model, model.states).mapInArrow(run, kind))
+    return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model.states[-1].rows).mapInArrow(run, kind))
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:

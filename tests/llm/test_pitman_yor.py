@@ -36,9 +36,13 @@ def test_base_columns_and_both_look_ups_agree(make_docs, corpus, monkeypatch):
 def facts(model):
     """Per kept sweep: context -> (customers, tables) and word -> (count, customers, tables), as codes."""
     out = []
-    for state in model.states:
-        rows = state.rows.collect()
-        out.append(({r.key: (r.n, r.m) for r in rows if r.kind == 0}, {r.key: (r.n, r.m, r.r) for r in rows if r.kind == 1}))
+    hashed = model.states[-1].rows.collect()
+    for k, state in enumerate(model.states):
+        contexts = {r.key: (r.n, (r.g, r.m)[k]) for r in hashed if r.kind == 0}
+        words_ = {r.key: (r.n, (r.g, r.m)[k], (r.q, r.r)[k]) for r in hashed if r.kind == 1}
+        contexts |= {i: (n, t) for i, (n, t) in enumerate(zip(state.context, state.tables, strict=True)) if n}
+        words_ |= {i: (model.counts[i], m, r) for i, (m, r) in enumerate(zip(state.customers, state.seated, strict=True)) if i and m}
+        out.append((contexts, words_))
     return out
 
 
