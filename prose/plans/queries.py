@@ -785,3 +785,9 @@ def stream_blocks(spark, d):
 @query("SELECT novel, count(DISTINCT section_index) AS finished FROM reader_events WHERE event_type = 'click' GROUP BY 1")
 def stream_progress_count(spark, d):
     return _stream(spark, d, "events", streams.finished_sections, "complete")
+
+
+@query("SELECT strftime(date_trunc('day', CAST(ts AS TIMESTAMP)), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_activity(spark, d):
+    rows = _stream(spark, d, "events", streams.windowed_activity, "complete")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
