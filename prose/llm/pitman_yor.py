@@ -37,6 +37,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ SWEEPS, KEPT = 3, 2
 STRENGTH = 1.0
 #: Most customers of an entry for which the number of tables is drawn from its whole distribution.
 EXACT = 512
-LOCAL_WORDS = 1_000_000
-LOCAL_PAIRS = 4_000_000
+LOCAL_WORDS = 500_000
+LOCAL_PAIRS = 3_000_000
 #: Tokens that are counted at once, rows that are merged at once, and numbers that one draw holds at once.
 COUNTED_TOKENS, MERGED_ROWS, DRAWN = 2_000_000, 400_000, 400_000
 END = np.uint64(1)
@@ -138,7 +139,12 @@ def _array(x, kind: pa.DataType) -> pa.Array:
     return x if isinstance(x, pa.Array) else pa.array(x, kind)
 
 
-def entries(train: DataFrame, codes: Codes) -> DataFrame:
+def _shared(df: DataFrame, value) -> Broadcast:
+    """Hands a value of bounded size to the tasks once, whatever the number of functions that use it."""
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+def entries(train: DataFrame, codes: Broadcast) -> DataFrame:
     """(w, u, c): every pair of neighbours and its count. Counted per task; parts of a pair meet in one sorted partition."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +159,7 @@ def entries(train: DataFrame, codes: Codes) -> DataFrame:
 
         for batch in batches:
             for _, tokens, offsets in token_stream(batch.column(0)):
-                w, u = _pairs_of(tokens, offsets, codes)
+                w, u = _pairs_of(tokens, offsets, codes.value)
                 ws.append(w)
                 us.append(u)
                 n += len(w)
@@ -301,11 +307,11 @@ class Model:
         return np.array([self.parent(0.0, 0.0, s) for s in self.states])
 
     @cached_property
-    def local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of ranked tokens: back-off weights as contexts and probabilities as words, by kept sweep, and training counts."""
+    def local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of ranked tokens: back-off weights as contexts and probabilities as words, by kept sweep, training counts, and customers as contexts."""
         backs = np.stack([self.back(s.context, s.tables) for s in self.states], axis=1)
         parents = np.stack([np.maximum(self.parent(s.customers, s.seated, s), 1e-300) for s in self.states], axis=1)
-        return backs, parents, self.counts
+        return backs.astype(np.float32), parents, self.counts, self.states[-1].context
 
 
 def _totals(rows: DataFrame, size: int) -> DataFrame:
@@ -392,13 +398,13 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(ranked), rows.filter(~ranked)
 
 
-def _sweep(model: Model, multi: DataFrame, state: State, sweep: int) -> DataFrame:
-    """(w, u, c, t, h) of entries with several customers, seated anew given the state; h is t before."""
+def _sweep(model: Model, multi: DataFrame, state: State, shared: Broadcast, sweep: int) -> DataFrame:
+    """(w, u, c, t, h) of entries with several customers, seated anew given the state, whose arrays are ``shared``; h is t before."""
     discount, strength, light = model.discount, model.strength, model.slim()
-    slim = State(None, state.context, state.tables, state.customers, state.seated, state.root_customers, state.root_tables)
     kind = "w long, u long, c long, t long, h long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim: State = shared.value
         for batch in _larger(batches, 100_000):
             w, u, c, t = (batch.column(k).to_numpy() for k in ("w", "u", "c", "t"))
             tables = slim.tables[np.maximum(u, 0)]
@@ -428,7 +434,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     ranked_counts = np.zeros(size)
     ranked_counts[1:] = top.column("c").to_numpy()
     discard(counts)
-    pairs = cut(entries(docs, codes))
+    shared = _shared(docs, codes)
+    pairs = cut(entries(docs, shared))
+    shared.destroy()
     ones, twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     model = Model(n, v, codes, discount_of(ones, twos), counts=ranked_counts)
     one = F.lit(1).cast("long")
@@ -447,7 +455,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     before = earlier = v
     state = _state(model, first, -1, before, earlier)
     for sweep in range(SWEEPS):
-        seated = cut(_sweep(model, multi, state, sweep))
+        shared = _shared(docs, State(None, *(x.astype(np.float32) for x in (state.context, state.tables, state.customers, state.seated)), state.root_customers, state.root_tables))
+        seated = cut(_sweep(model, multi, state, shared, sweep))
+        shared.destroy()
         before, earlier = state.root_tables, before
         after = _state(model, totals(seated), sweep, before, earlier)
         discard(multi)
@@ -461,13 +471,16 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
 def predictive(model: Model, table: DataFrame) -> DataFrame:
     """(w, u, c, cw, p): log10 of the averaged probability of every entry, and the training count of its word."""
-    backs, parents, counts = model.local
-    contexts = model.states[0].context if model.states else np.zeros(1)
+    return _predicted(model, table, _shared(table, model.local))
+
+
+def _predicted(model: Model, table: DataFrame, shared: Broadcast) -> DataFrame:
     names = ["w", "u", "c", "cw", "p"]
     light = model.slim()
     totals = [State(None, *(np.empty(0),) * 4, s.root_customers, s.root_tables) for s in model.states]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backs, parents, counts, contexts = shared.value
         for batch in _larger(batches, 100_000):
             w, u, c = (batch.column(k).to_numpy() for k in ("w", "u", "c"))
             w0, u0 = np.maximum(w, 0), np.maximum(u, 0)
@@ -506,9 +519,9 @@ _PART = "w long, u long, n long, a long, b long, x double"
 _MERGED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, w long, u long, n long"
 
 
-def _scanned(docs: DataFrame, model: Model, keys: np.ndarray, values: np.ndarray) -> DataFrame:
+def _scanned(docs: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
     """Of every row its sums over local pairs (n = -1 and -2), and the other pairs of its text with their counts (n > 0)."""
-    codes, counts, width = model.codes, model.counts, len(model.codes.hashes) + 1
+    width = len(model.codes.hashes) + 1
     share = model.tokens + 0.1 * (model.words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,6 +529,7 @@ def _scanned(docs: DataFrame, model: Model, keys: np.ndarray, values: np.ndarray
             types = (pa.int64(),) * 5 + (pa.float64(),)
             return pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(columns, types, strict=True)], ["w", "u", "n", "a", "b", "x"])
 
+        codes, counts, keys, values = shared.value
         for batch in batches:
             ids, doc_id, held = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
             for at, tokens, offsets in token_stream(batch.column(3)):
@@ -600,15 +614,15 @@ def _met(parts: DataFrame, share: float) -> DataFrame:
     return parts.repartition("w", "u").sortWithinPartitions("w", "u", "n").mapInArrow(run, _MERGED)
 
 
-def _unmet(misses: DataFrame, model: Model, share: float) -> DataFrame:
+def _unmet(misses: DataFrame, model: Model, shared: Broadcast, share: float) -> DataFrame:
     """(row, n_known, base_score, score) of pairs that the model lacks: its context's back-off weight times the parent's probability."""
-    backs, parents, counts = model.local
     unseen = model.unseen()
     light = model.slim()
     totals = [State(None, *(np.empty(0),) * 4, s.root_customers, s.root_tables) for s in model.states]
     names = ["row", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backs, parents, counts, _ = shared.value
         for batch in _larger(batches, 100_000):
             row, w, u, n = (batch.column(k).to_numpy() for k in ("row", "w", "u", "n"))
             w0, u0 = np.maximum(w, 0), np.maximum(u, 0)
@@ -635,19 +649,22 @@ def _unmet(misses: DataFrame, model: Model, share: float) -> DataFrame:
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     share = model.tokens + 0.1 * (model.words + 1)
-    words = cut(predictive(model, table))
+    facts = _shared(docs, model.local)
+    words = cut(_predicted(model, table, facts))
     limit = _local_limit(words)
     inside = (F.col("w") >= 0) & (F.col("u") >= 0) & (F.col("c") >= limit)
     width = len(model.codes.hashes) + 1
     local = words.filter(inside).select((F.col("u") * width + F.col("w")).alias("k"), "p").toArrow()
     order = np.argsort(local.column("k").to_numpy())
-    scanned = _scanned(docs, model, local.column("k").to_numpy()[order], local.column("p").to_numpy()[order])
+    shared = _shared(docs, (model.codes, model.counts, local.column("k").to_numpy()[order], local.column("p").to_numpy()[order]))
+    scanned = _scanned(docs, model, shared)
     none = F.lit(None).cast("long")
     known = words.filter(~inside).select("w", "u", F.lit(0).cast("long").alias("n"), F.col("cw").alias("a"), none.alias("b"), F.col("p").cast("double").alias("x"))
     merged = cut(_met(scanned.unionByName(known), share))
+    shared.destroy()
     discard(words)
     sums = merged.filter("n is null").drop("w", "u", "n")
-    unmet = _unmet(merged.filter("n > 0").select("row", "w", "u", "n"), model, share)
+    unmet = _unmet(merged.filter("n > 0").select("row", "w", "u", "n"), model, facts, share)
     return (
         sums.unionByName(unmet, allowMissingColumns=True)
         .groupBy("row")
