@@ -466,7 +466,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         model.states = [*model.states, state][-KEPT:]
     discard(single)
     lone = pairs.filter("c = 1").select("w", "u", "c", one.alias("t0"), one.alias("t1"))
-    return model, lone.unionByName(multi.select("w", "u", "c", F.col("h").alias("t0"), F.col("t").alias("t1")))
+    table = lone.unionByName(multi.select("w", "u", "c", F.col("h").alias("t0"), F.col("t").alias("t1")))
+    table.cuts = [pairs, multi]
+    return model, table
 
 
 def predictive(model: Model, table: DataFrame) -> DataFrame:
@@ -646,11 +648,13 @@ def _unmet(misses: DataFrame, model: Model, shared: Broadcast, share: float) ->
     return ranked.mapInArrow(run, kind).unionByName(_with_facts(other, model.states[-1].rows).mapInArrow(run, kind))
 
 
-def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+def score(docs: DataFrame, model: Model, table: DataFrame, spent: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; ``spent``: the table is not needed again."""
     share = model.tokens + 0.1 * (model.words + 1)
     facts = _shared(docs, model.local)
     words = cut(_predicted(model, table, facts))
+    for done in table.cuts if spent else ():
+        discard(done)
     limit = _local_limit(words)
     inside = (F.col("w") >= 0) & (F.col("u") >= 0) & (F.col("c") >= limit)
     width = len(model.codes.hashes) + 1
@@ -679,7 +683,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
 def score_held_out(docs: DataFrame) -> DataFrame:
     """Trains on the rows whose crc remainder is not 0 and scores all rows."""
     model, table = train(docs.filter(crc_remainder(F.col("doc_id")) != 0))
-    return score(docs, model, table)
+    return score(docs, model, table, spent=True)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
