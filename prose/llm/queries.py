@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, packing, pages, pii, pitman_yor, quality, repeats, tokens
+from . import chat, decontaminate, jaccard, middle, packing, pages, pii, pitman_yor, quality, repeats, tokens
 from .oracle import ORACLE
 from .support import documents
 
@@ -66,7 +66,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_held_out(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.transform(documents(spark, sf_dir))
+    text = middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_pii, op6_best_fit_packing, op7_jaccard_join, op8_token_counts, op9_html_extraction, op10_lm_scoring)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_substring_dedup,
+        op3_quality_rules,
+        op4_benchmark_decontamination,
+        op5_pii,
+        op6_best_fit_packing,
+        op7_jaccard_join,
+        op8_token_counts,
+        op9_html_extraction,
+        op10_lm_scoring,
+        op11_fill_in_middle,
+    )
 }
 __all__ = ["ORACLE", "QUERIES"]
