@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, middle, packing, pages, pii, pitman_yor, quality, repeats, tokens
+from . import chat, decontaminate, jaccard, middle, packing, pages, periods, pii, pitman_yor, quality, repeats, tokens
 from .oracle import ORACLE
 from .support import documents
 
@@ -72,6 +72,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.periodic_runs(periods.planted(documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_lm_scoring,
         op11_fill_in_middle,
+        op12_periodic_runs,
     )
 }
 __all__ = ["ORACLE", "QUERIES"]
