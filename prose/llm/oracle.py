@@ -39,4 +39,14 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(text) AS restored_sha256 FROM part
 """
 
-ORACLE: dict[str, str] = {"op3_quality_rules": _QUALITY, "op11_fill_in_middle": _MIDDLE}
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, least(vec_id, coalesce(m, vec_id)) AS component_id FROM embeddings LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) ON a = vec_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": _QUALITY, "op11_fill_in_middle": _MIDDLE, "op13_embedding_dedup": _VECTORS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, middle, packing, pages, periods, pii, pitman_yor, quality, repeats, tokens
+from . import chat, decontaminate, jaccard, middle, packing, pages, periods, pii, pitman_yor, quality, repeats, tokens, vectors
 from .oracle import ORACLE
 from .support import documents
 
@@ -76,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.periodic_runs(periods.planted(documents(spark, sf_dir))))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_lm_scoring,
         op11_fill_in_middle,
         op12_periodic_runs,
+        op13_embedding_dedup,
     )
 }
 __all__ = ["ORACLE", "QUERIES"]
