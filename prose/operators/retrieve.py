@@ -1,18 +1,15 @@
-"""Spoiler-safe retrieval: gate, dense and lexical legs, fusion, reading-position boost."""
+"""Spoiler-safe retrieval: gate, dense leg, fusion, reading-position boost; the lexical leg is in ``lexical``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRIEVE_K, RERANK_K, TOP_K = 40, 20, 8
 ALPHA, DECAY, BOOK_DISTANCE = 0.15, 5.0, 1000
-RRF_K, K1, B = 60, 1.2, 0.75
+RRF_K = 60
 
 
 def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -21,60 +18,88 @@ def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def visible(chunk_novel, chunk_chapter, novel, chapter):
-    """Whether a reader in a chapter of a novel may see a chunk: an earlier novel, or no later chapter of the same one."""
-    return (chunk_novel < novel) | ((chunk_novel == novel) & (chunk_chapter <= chapter))
+#: Queries and chunks of a book that meet in one matrix product.
+BLOCK_QUERIES, BLOCK_CHUNKS = 2_000, 4_096
 
 
-#: Queries that one scan of the chunks answers, and chunks that meet a block of queries at once.
-BLOCK_QUERIES, BLOCK_CHUNKS = 2_000, 4_096
+def with_speaker(df: DataFrame) -> DataFrame:
+    """The speakers that a query asks for; a query without the column asks for none."""
+    return df if "speaker" in df.columns else df.withColumn("speaker", F.lit(None).cast("string"))
+
+
+def books_of(chunks: DataFrame) -> DataFrame:
+    """(series_key, novel_uuid, novel_number, chunks): one row per book."""
+    return chunks.groupBy("series_key", "novel_uuid", "novel_number").agg(F.count("*").alias("chunks"))
+
+
+def scopes(readers: DataFrame, books: DataFrame) -> DataFrame:
+    """(query, novel_uuid, up_to, chunks): the books that each reader may see, of its own no later chapter than ``up_to``.
+
+    readers (query, series_key, novel_uuid, novel_number_now, current_chapter): a reader sees the books of its
+    series up to its own; one without a series, or with ``include_series`` false, its own book alone. This gate stands before
+    every leg of a search, so nothing that a reader may not see is scored or ranked.
+    """
+    wide = F.col("series_key").isNotNull()
+    if "include_series" in readers.columns:
+        wide &= F.coalesce("include_series", F.lit(True))
+    asked = readers.select("query", "series_key", F.col("novel_uuid").alias("_own"), "novel_number_now", "current_chapter", wide.alias("_wide"))
+    series = asked.filter("_wide").join(books, "series_key")
+    alone = asked.filter("not _wide").drop("series_key").join(books, F.col("_own") == F.col("novel_uuid"))
+    columns = ["query", "novel_uuid", "novel_number", "novel_number_now", "current_chapter", "chunks"]
+    seen = series.select(*columns).unionByName(alone.select(*columns)).filter("novel_number <= novel_number_now")
+    up_to = F.when(F.col("novel_number") == F.col("novel_number_now"), F.col("current_chapter"))
+    return seen.select("query", "novel_uuid", up_to.alias("up_to"), "chunks")
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list[dict]]:
-    """The stated queries in blocks of a bounded size."""
-    rows = queries.select("query", "series_key", "novel_number_now", "current_chapter", "query_embedding").toLocalIterator()
-    while block := list(islice(rows, BLOCK_QUERIES)):
-        yield [r.asDict() for r in block]
+def _spread(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - F.lit(1)))
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """(query, chunk, score, rank, ...): cosine similarity of what each reader may see; the gate comes before any ranking.
+    """(query, chunk, novel_number_now, current_chapter, novel_number, chapter_index, score, rank): cosine similarity.
 
-    Chunks stay where they are: a block of queries is handed to the scan, every batch of chunks meets it in
-    one matrix product, and only the k best of each query and batch are shuffled.
+    Queries are dealt out to the books that they may see, chunks to blocks of their book; a block of queries
+    and a block of chunks meet in one task and one matrix product, and each query's k best of it are shuffled. A query with a
+    ``speaker`` sees the chunks alone whose ``speakers`` name it. One scan of the chunks answers any number of queries.
     """
     schema = "query long, chunk long, novel_number_now int, current_chapter int, novel_number int, chapter_index int, score double"
-    source = chunks.select("chunk", "series_key", "novel_number", "chapter_index", "embedding")
-    out = None
-    for block in _query_blocks(queries):
-        asked = {c: np.array([q[c] for q in block]) for c in ("query", "series_key", "novel_number_now", "current_chapter")}
-        wanted = _unit_rows(np.array([q["query_embedding"] for q in block], dtype=np.float64))
-
-        def run(batches: Iterator[pa.RecordBatch], asked=asked, wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK_CHUNKS):
-                    part = batch.slice(at, BLOCK_CHUNKS)
-                    ids, series, novel, chapter = (part.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-                    vectors = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                    score = np.round(_unit_rows(vectors.astype(np.float64)) @ wanted.T, 6)
-                    gate = series[:, None] == asked["series_key"]
-                    gate &= visible(novel[:, None], chapter[:, None], asked["novel_number_now"], asked["current_chapter"])
-                    row, col = np.nonzero(gate)
-                    order = np.lexsort((ids[row], -score[row, col], col))
-                    row, col = row[order], col[order]
-                    place = np.arange(len(col)) - np.searchsorted(col, col)
-                    row, col = row[place < k], col[place < k]
-                    found = (asked["query"][col], ids[row], asked["novel_number_now"][col], asked["current_chapter"][col], novel[row], chapter[row], score[row, col])
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _ARROW.types, strict=True)], _ARROW.names)
-
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = source.sparkSession.createDataFrame([], schema)
-    return top(out, "query", "score", "chunk", k)
-
-
-_ARROW = pa.schema(
+    queries = with_speaker(queries)
+    source = chunks if "speakers" in chunks.columns else chunks.withColumn("speakers", F.lit(None).cast("array<string>"))
+    seen = scopes(queries, books_of(chunks))
+    met = seen.groupBy("novel_uuid").agg(F.ceil(F.max("chunks") / BLOCK_CHUNKS).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
+    key = ["book", "block", "part"]
+    left = seen.join(met, "novel_uuid").join(queries.filter("query_embedding is not null").select("query", "novel_number_now", "current_chapter", "speaker", "query_embedding"), "query")
+    left = left.withColumn("part", F.pmod(F.xxhash64("query"), "parts").cast("int")).select(
+        F.col("novel_uuid").alias("book"), _spread("blocks").alias("block"), "part", "query", "novel_number_now", "current_chapter", "up_to", "speaker", "query_embedding"
+    )
+    right = source.filter("embedding is not null").join(met, "novel_uuid").withColumn("block", F.pmod(F.xxhash64("chunk"), "blocks").cast("int"))
+    right = right.select(F.col("novel_uuid").alias("book"), "block", _spread("parts").alias("part"), "chunk", "novel_number", "chapter_index", "speakers", "embedding")
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return _FOUND.empty_table()
+        number = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        rows = lambda t, c: _unit_rows(np.stack(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)).astype(np.float64))
+        up_to = np.array([np.inf if x is None else x for x in asked.column("up_to").to_pylist()])
+        gate = number(held, "chapter_index") <= up_to[:, None]
+        speakers = asked.column("speaker").to_pylist()
+        names = [set(x or ()) for x in held.column("speakers").to_pylist()] if any(s is not None for s in speakers) else []
+        for speaker in {s for s in speakers if s is not None}:
+            gate[[s == speaker for s in speakers]] &= np.array([speaker in n for n in names])
+        score = np.where(gate, np.round(rows(asked, "query_embedding") @ rows(held, "embedding").T, 6), -np.inf)
+        # Everything that equals the k-th best goes on, so that ties are settled where all blocks meet.
+        least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+        row, col = np.nonzero((score >= least) & gate)
+        taken = lambda t, c, at: t.column(c).combine_chunks().take(pa.array(at))
+        found = [taken(asked, "query", row), taken(held, "chunk", col), taken(asked, "novel_number_now", row), taken(asked, "current_chapter", row),
+                 taken(held, "novel_number", col), taken(held, "chapter_index", col), pa.array(score[row, col])]
+        return pa.Table.from_arrays(found, schema=_FOUND)
+
+    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
+    return top(hits, "query", "score", "chunk", k)
+
+
+_FOUND = pa.schema(
     [("query", pa.int64()), ("chunk", pa.int64()), ("novel_number_now", pa.int32()), ("current_chapter", pa.int32()),
      ("novel_number", pa.int32()), ("chapter_index", pa.int32()), ("score", pa.float64())]
 )
@@ -114,36 +139,6 @@ def boosted(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     return top(hits.withColumn("score", score).drop("rank"), "query", "score", "chunk", k)
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(term, chunk, tf) of (chunk, text)."""
-    terms = F.explode(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda t: t != "")).alias("term")
-    return texts.select("chunk", terms).groupBy("term", "chunk").agg(F.count("*").alias("tf"))
-
-
-#: Postings of a term that one task joins with the queries that ask for it.
-TERM_POSTINGS = 50_000
-
-
-def bm25(query_terms: DataFrame, texts: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """(query, chunk, score, rank) of (query, term).
-
-    A chunk's length and its share of every asked term's score are row-local, so they travel with the
-    posting; a term with many postings is salted, its queries copied to each salt.
-    """
-    split = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda t: t != "")
-    stats = texts.agg(F.count("*").alias("n"), F.avg(F.size(split)).alias("mean"))
-    terms = texts.select("chunk", split.alias("_t")).select("chunk", F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    asked = terms.groupBy("term", "chunk", "len").agg(F.count("*").alias("tf")).join(query_terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df")).withColumn("salts", (F.col("df") / TERM_POSTINGS).cast("int") + 1)
-    # One row of corpus statistics.
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk", part.alias("part"), F.pmod(F.xxhash64("chunk"), "salts").alias("salt"))
-    spread = query_terms.join(df, "term").select("query", "term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - F.lit(1).cast("long"))).alias("salt"))
-    scored = spread.join(weighed, ["term", "salt"]).groupBy("query", "chunk").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scored, "query", "score", "chunk", k)
-
-
 def fused(legs: list[DataFrame], k: int = RETRIEVE_K) -> DataFrame:
     """Reciprocal-rank fusion of (query, chunk, rank) legs."""
     both = legs[0].select("query", "chunk", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cast, enrich, entries, library, requests, retrieve, segment, upsert
+from ..operators import cast, enrich, entries, lexical, library, requests, retrieve, segment, upsert
 from ..sources import tables as S
 from ..streaming import jobs as streams
 from . import books, story  # noqa: F401  (they register their queries)
@@ -31,29 +31,36 @@ def dense_topk(spark, d):
     return retrieve.dense(S.retrieval_queries(spark, d), S.chunks(spark, d)).select("query", "chunk", "score", "rank")
 
 
-def _texts(spark, d):
-    return S.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk")).join(
-        S.table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), "text"), "chunk"
-    )
-
-
-def _bm25(spark, d):
-    texts = _texts(spark, d)
-    asked = retrieve.postings(texts.filter("chunk % 50 = 0")).select(F.col("chunk").alias("query"), "term")
-    return retrieve.bm25(asked, texts)
+def _legs(spark, d, k=retrieve.RETRIEVE_K, **asked):
+    """Both legs over all documents: an index in the shared folder, and the vectors of those that have one."""
+    held = S.passages(spark, d)
+    folder = S.scratch(spark, "index")
+    lexical.write_index(held, folder)
+    readers = S.passage_readers(held).withColumns({c: F.expr(x) for c, x in asked.items()})
+    return retrieve.dense(readers, held.drop("text"), k), lexical.bm25(readers, lexical.read_index(spark, folder), k)
 
 
 @query("SELECT query, chunk, score, rank FROM bm25")
 def bm25_topk(spark, d):
-    return _bm25(spark, d).select("query", "chunk", "score", "rank")
+    """Forty passages for every asking document, out of what its reader may see of all documents."""
+    return _legs(spark, d)[1].select("query", "chunk", "score", "rank")
 
 
-@query("""SELECT query, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM (
-          SELECT query, chunk, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT query, chunk, rank FROM dense UNION ALL SELECT query, chunk, rank FROM bm25)
-          GROUP BY ALL)) WHERE rank <= 40""")
+_FUSED = """SELECT query, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM (
+          SELECT query, chunk, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT query, chunk, rank FROM {dense} UNION ALL SELECT query, chunk, rank FROM {bm25})
+          GROUP BY ALL)) WHERE rank <= 40"""
+
+
+@query(_FUSED.format(dense="dense_docs", bm25="bm25"))
 def rrf_fusion(spark, d):
-    legs = [retrieve.dense(S.retrieval_queries(spark, d), S.chunks(spark, d)), _bm25(spark, d)]
-    return retrieve.fused(legs).select("query", "chunk", "score", "rank")
+    """Fusion of both legs, each gated before it ranks."""
+    return retrieve.fused(list(_legs(spark, d))).select("query", "chunk", "score", "rank")
+
+
+@query(_FUSED.format(dense="dense_said", bm25="bm25_said"))
+def speaker_fusion(spark, d):
+    """As ``rrf_fusion``, of passages alone in whose section a system speaks; every third reader searches its own book only."""
+    return retrieve.fused(list(_legs(spark, d, speaker="'system'", include_series="query % 150 <> 0"))).select("query", "chunk", "score", "rank")
 
 
 @query("SELECT query, chunk, score FROM boosted")

@@ -37,16 +37,25 @@ VIEWS = {
     "boosted": """SELECT query, chunk, round(score * (1 + 0.15 * exp(-greatest(0, (novel_number_now - novel_number) * 1000
         + current_chapter - chapter_index) / 5.0)), 6) AS score FROM dense""",
     "boosted8": "SELECT b.*, d.current_chapter FROM boosted b JOIN dense d USING (query, chunk) QUALIFY row_number() OVER (PARTITION BY query ORDER BY b.score DESC, chunk) <= 8",
-    "terms": """SELECT vec_id AS chunk, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term
-        FROM embeddings JOIN documents ON doc_id = vec_id""",
-    "lens": """SELECT vec_id AS chunk, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len
-        FROM embeddings JOIN documents ON doc_id = vec_id""",
+    "places": """SELECT doc_id AS chunk, section_index AS chapter_index, uuid AS novel_uuid, coalesce(first_uuid, uuid) AS series_key, coalesce(book_order, 1) AS novel_number, (
+        SELECT list(DISTINCT speaker_name) FROM entries e WHERE e.novel = k.novel AND e.section_index = k.section_index) AS speakers
+        FROM section_keys k JOIN novels USING (novel) LEFT JOIN (SELECT series_id, arg_min(uuid, book_order) AS first_uuid FROM novels WHERE series_id IS NOT NULL GROUP BY 1) USING (series_id)""",
+    "seen": """SELECT r.chunk AS query, c.chunk, r.chunk % 150 <> 0 OR r.novel_uuid = c.novel_uuid AS near, coalesce(list_contains(c.speakers, 'system'), FALSE) AS said
+        FROM (SELECT * FROM places WHERE chunk % 50 = 0) r JOIN places c USING (series_key)
+        WHERE c.novel_number < r.novel_number OR (c.novel_number = r.novel_number AND c.chapter_index <= r.chunk // 50 * 7 % 50)""",
+    "terms": """SELECT doc_id AS chunk, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents""",
+    "lens": """SELECT doc_id AS chunk, len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents""",
     "tf": "SELECT term, chunk, count(*) AS tf FROM terms GROUP BY ALL",
     "qterms": "SELECT DISTINCT chunk AS query, term FROM terms WHERE chunk % 50 = 0",
-    "bm25": """SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM (
-        SELECT query, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
-        FROM qterms JOIN tf USING (term) JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) USING (term) JOIN lens USING (chunk),
-        (SELECT count(*) AS n, avg(len) AS mean FROM lens) GROUP BY ALL) QUALIFY rank <= 40""",
+    "bm25_all": """SELECT query, chunk, near, said, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+        FROM qterms JOIN tf USING (term) JOIN seen USING (query, chunk) JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) USING (term) JOIN lens USING (chunk),
+        (SELECT count(*) AS n, avg(len) AS mean FROM lens) GROUP BY ALL""",
+    "bm25": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM bm25_all QUALIFY rank <= 40",
+    "bm25_said": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM bm25_all WHERE near AND said QUALIFY rank <= 40",
+    "dense_docs_all": """SELECT query, chunk, near, said, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+        FROM seen JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = chunk""",
+    "dense_docs": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM dense_docs_all QUALIFY rank <= 40",
+    "dense_said": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM dense_docs_all WHERE near AND said QUALIFY rank <= 40",
     "pars_raw": r"""SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS blank,
         list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines,
         length(text) - length(replace(text, chr(10), '')) AS feeds FROM documents""",

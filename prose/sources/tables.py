@@ -7,10 +7,13 @@ numbered on ids and joined back to their text once.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import library
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a single machine without one gets a temporary one."""
@@ -23,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -159,6 +170,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") % 3 + 1).cast("int").alias("novel_number"),
         (F.col("vec_id") % 5).cast("int").alias("series_key"),
         F.col("embedding").cast("array<double>").alias("embedding"),
+        F.concat_ws("-", F.col("vec_id") % 5, F.col("vec_id") % 3 + 1).alias("novel_uuid"),
     )
 
 
@@ -169,10 +181,36 @@ def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("chapter_index").alias("current_chapter"),
         F.lit(2).alias("novel_number_now"),
         "series_key",
+        F.concat_ws("-", "series_key", F.lit(2)).alias("novel_uuid"),
         F.col("embedding").alias("query_embedding"),
     )
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk, text, embedding, speakers, novel_uuid, series_key, novel_number, chapter_index): every document is a passage.
+
+    Its place is that of its section, its speakers those of the section's lines; not every passage has a vector.
+    """
+    places = section_keys(spark, sf_dir).join(
+        library.series_resolution(novels(spark, sf_dir)).join(novels(spark, sf_dir).select("novel", F.col("uuid").alias("novel_uuid")), "novel"), "novel"
+    )
+    names = dialogue_entries(spark, sf_dir).groupBy("novel", "section_index").agg(F.collect_set("speaker_name").alias("speakers"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = places.join(names, ["novel", "section_index"], "left").join(vectors, "doc_id", "left").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select(
+        F.col("doc_id").alias("chunk"), "text", "embedding", "speakers", "novel_uuid", "series_key", "novel_number", F.col("section_index").alias("chapter_index")
+    )
+
+
+def passage_readers(passages: DataFrame) -> DataFrame:
+    """Every fiftieth passage asks, as a reader in the middle of its book: (query, text, gate, query_embedding)."""
+    at = F.col("chunk") / 50
+    return passages.filter("chunk % 50 = 0").select(
+        F.col("chunk").alias("query"), "text", "series_key", "novel_uuid", F.col("novel_number").alias("novel_number_now"),
+        F.pmod(F.floor(at) * 7, F.lit(50)).cast("int").alias("current_chapter"), F.col("embedding").alias("query_embedding"),
+    )
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(path, suffix, text) of whole text files; bad bytes become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
