@@ -54,6 +54,11 @@ def capped(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
+def history_line(speaker: Column, emotion: Column, intensity: Column, text: Column) -> Column:
+    """A line as requests show it to a model: who spoke, how, and the first 60 characters."""
+    return F.concat(speaker, F.lit(": "), emotion, F.lit("_"), intensity, F.lit(" — "), capped(text, 60))
+
+
 def snap_emotion(emotion: Column, intensity: Column) -> tuple[Column, Column]:
     """The nearest pair that has a voice sample: an unknown emotion is neutral, a missing intensity low."""
     e, i = F.lower(F.coalesce(emotion, F.lit(""))), F.lower(F.coalesce(intensity, F.lit("low")))

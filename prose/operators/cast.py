@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,28 +98,27 @@ def voiced_lines(lines: DataFrame, characters: DataFrame, stock: DataFrame, defa
     The actor is the speaker's, else the narrator's, else ``default``; characters (novel, character_id,
     actor, is_narrator). The sample is the exact one of ``stock`` (actor, emotion, intensity), else that of
     the nearest intensity, else the actor's neutral one, else the default actor's; a line without any goes.
-    All pairs of actor, emotion and intensity are resolved once, in a table of a few hundred rows.
+    A missing or empty emotion is neutral, a missing or empty intensity low; an emotion that the stock does not know has no
+    sample of its own, an unknown intensity takes the first of low, med and high. Actors are those of the stock.
     """
-    spark = lines.sparkSession
-    # Intensities to try, in order, for one that is missing.
-    near = {"low": ["low", "med", "high"], "med": ["med", "low", "high"], "high": ["high", "med", "low"]}
-    wanted = [(a, e, i, k, x) for a in sorted({n for n, *_ in ACTORS}) for e in T.EMOTIONS for i in T.INTENSITIES for k, x in enumerate([*near[i], None])]
-    tried = spark.createDataFrame(wanted, "actor string, emotion string, intensity string, at int, try string")
-    named = stock.select("actor", F.col("emotion").alias("_e"), F.coalesce("intensity", F.lit("")).alias("_i"))
-    own = (F.col("_e") == F.col("emotion")) & (F.col("_i") == F.col("try")) & (F.col("emotion") != "neutral")
-    neutral = (F.col("_e") == "neutral") & F.col("try").isNull()
-    found = tried.join(F.broadcast(named), "actor").filter(own | neutral)
-    file = F.concat_ws("_", "actor", "_e", F.nullif("_i", F.lit("")))
-    best = found.groupBy("actor", "emotion", "intensity").agg(F.min_by(file, "at").alias("_own"))
-    spare = named.filter((F.col("actor") == default) & (F.col("_e") == "neutral")).select(F.lit(f"{default}_neutral").alias("_spare")).limit(1)
-    voice = characters.select("novel", F.col("character_id").alias("speaker_id"), F.col("actor").alias("_speaker"))
-    narrator = characters.filter("is_narrator").groupBy("novel").agg(F.min_by("actor", "character_id").alias("_narrator"))
+    filled = lambda c, x: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(x))
+    kept = stock.select("actor", F.col("emotion").alias("_e"), F.coalesce("intensity", F.lit("")).alias("_i"))
+    levels = kept.filter("_e <> 'neutral'").groupBy("actor", "_e").agg(F.collect_set("_i").alias("_levels"))
+    neutral = kept.filter("_e = 'neutral'").select("actor", F.concat("actor", F.lit("_neutral")).alias("_neutral")).distinct()
+    spare = neutral.filter(F.col("actor") == default).select(F.col("_neutral").alias("_spare"))
+    voice = characters.select("novel", F.col("character_id").alias("speaker_id"), F.nullif("actor", F.lit("")).alias("_speaker"))
+    narrator = characters.filter("is_narrator").groupBy("novel").agg(F.min_by(F.nullif("actor", F.lit("")), "character_id").alias("_narrator"))
     cast_ = lines.join(voice, ["novel", "speaker_id"], "left").join(narrator, "novel", "left")
     cast_ = cast_.withColumn("actor", F.coalesce("_speaker", "_narrator", F.lit(default))).drop("_speaker", "_narrator")
-    keyed = cast_.withColumns({"_e": F.coalesce("emotion", F.lit("neutral")), "_i": F.coalesce("intensity", F.lit("low"))})
-    table = best.withColumnsRenamed({"emotion": "_e", "intensity": "_i"})
-    out = keyed.join(F.broadcast(table), ["actor", "_e", "_i"], "left").join(F.broadcast(spare), how="left")
-    return out.withColumn("sample", F.coalesce("_own", "_spare")).drop("_e", "_i", "_own", "_spare").filter("sample is not null")
+    keyed = cast_.withColumns({"_e": filled("emotion", "neutral"), "_i": filled("intensity", "low")})
+    # The stock is an inventory of a few samples for each actor, so these are small tables.
+    out = keyed.join(levels, ["actor", "_e"], "left").join(neutral, "actor", "left").join(F.broadcast(spare), how="left")
+    # Intensities to try, in order.
+    order = F.when(F.col("_i") == "med", F.array(F.lit("med"), F.lit("low"), F.lit("high"))).when(F.col("_i") == "high", F.array(F.lit("high"), F.lit("med"), F.lit("low")))
+    order = F.concat(F.array("_i"), order.otherwise(F.array(F.lit("low"), F.lit("med"), F.lit("high"))))
+    level = F.get(F.filter(order, lambda x: F.array_contains("_levels", x)), F.lit(0))
+    own = F.when(level.isNotNull(), F.concat_ws("_", "actor", "_e", level))
+    return out.withColumn("sample", F.coalesce(own, "_neutral", "_spare")).drop("_e", "_i", "_levels", "_neutral", "_spare").filter("sample is not null")
 
 
 def stored_cast(characters: DataFrame, narrators: DataFrame) -> DataFrame:
@@ -151,8 +153,16 @@ def consolidated(found: DataFrame, accumulated: DataFrame) -> DataFrame:
 
 
 def speaker_lookup(characters: DataFrame) -> DataFrame:
-    """(novel, key, character_id): names and aliases in lower case; a later character wins a key."""
+    """(novel, key, character_id): names and aliases in lower case; a later character wins a key.
+
+    Where characters have ``is_narrator`` and ``role``, the first narrator owns "narrator", the first catch-all voice "misc_voice".
+    """
     keys = characters.select("novel", "character_id", F.explode(F.concat(F.array("name"), "aliases")).alias("key"))
+    if {"is_narrator", "role"} <= set(characters.columns):
+        fixed = lambda df, key: df.groupBy("novel").agg(F.min("character_id").alias("character_id")).withColumn("key", F.lit(key))
+        owned = fixed(characters.filter("is_narrator"), "narrator").unionByName(fixed(characters.filter("role = 'misc_voice'"), "misc_voice"))
+        keys = keys.withColumn("key", F.lower("key"))
+        keys = keys.join(owned.select("novel", "key"), ["novel", "key"], "left_anti").unionByName(owned)
     return keys.groupBy("novel", F.lower("key").alias("key")).agg(F.max("character_id").alias("character_id"))
 
 
@@ -174,12 +184,13 @@ def label_lookup(characters: DataFrame) -> DataFrame:
 
 
 def resolved(entries: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Adds the speaker's character, else the narrator for narration, thought and action, else the catch-all voice."""
+    """Adds the speaker's character: by name, else who the lookup (novel, key, character_id) knows as narrator, for narration,
+    thought and action, or as catch-all voice. A lookup that knows neither leaves NARRATOR or MISC_VOICE."""
     keyed = entries.withColumn("key", F.lower("speaker_name"))
     fallback = F.when(F.col("entry_type").isin("narration", "thought", "action"), "NARRATOR").otherwise("MISC_VOICE")
-    return keyed.join(lookup, ["novel", "key"], "left").withColumn(
-        "speaker", F.coalesce(F.col("character_id").cast("string"), fallback)
-    ).drop("key", "character_id")
+    own = keyed.join(lookup.select("novel", "key", F.col("character_id").alias("_own")), ["novel", "key"], "left").withColumn("key", F.lower(fallback))
+    both = own.join(lookup.select("novel", "key", F.col("character_id").alias("_spare")), ["novel", "key"], "left")
+    return both.withColumn("speaker", F.coalesce(F.col("_own").cast("string"), F.col("_spare").cast("string"), fallback)).drop("key", "_own", "_spare")
 
 
 def aligned(blocks: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,33 +211,100 @@ def aligned(blocks: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     return chunk.select(*keys, F.explode(done).alias("x")).select(*keys, "x.block", "x.line").filter("line is not null")
 
 
-def _merged(rows: list[dict]) -> list[dict]:
-    """A cast from its mentions in order: see ``merge_characters``."""
-    rank = {r: k for k, r in enumerate(("protagonist", "deuteragonist", "antagonist", "major"))}
-    people: list[dict] = []
-    by_name: dict[str, int] = {}
+class _Cast:
+    """A cast as its mentions come in: see ``merge_characters``. Its size is that of the cast, not of the mentions."""
+
+    RANK = {r: k for k, r in enumerate(("protagonist", "deuteragonist", "antagonist", "major"))}
+
+    def __init__(self):
+        self.people: list[dict] = []
+        self.by_name: dict[str, int] = {}
+
+    def known(self, mention: dict) -> int | None:
+        names = (mention["name"], *mention["aliases"])
+        return min((self.by_name[n.lower()] for n in names if n.lower() in self.by_name), default=None)
+
+    def add(self, mention: dict) -> int:
+        self.people.append({f: mention[f] for f in MENTIONED} | {"aliases": list(mention["aliases"])})
+        return self._named(len(self.people) - 1)
+
+    def update(self, at: int, mention: dict) -> int:
+        person = self.people[at]
+        person["aliases"] = sorted({*person["aliases"], *mention["aliases"]} - {person["name"]})
+        for field in ("gender", "age_range"):
+            person[field] = mention[field] if person[field] == "unknown" else person[field]
+        if mention["description"].lower() not in person["description"].lower():
+            person["description"] = f"{person['description']} {mention['description']}".strip()
+        if self.RANK.get(mention["role"], 4) < self.RANK.get(person["role"], 4):
+            person["role"] = mention["role"]
+        return self._named(at)
+
+    def _named(self, at: int) -> int:
+        for n in (self.people[at]["name"], *self.people[at]["aliases"]):
+            self.by_name[n.lower()] = min(at, self.by_name.get(n.lower(), at))
+        return at
+
+
+MENTIONED = ("name", "aliases", "gender", "age_range", "role", "description")
+_VERSION = "novel long, number int, name string, aliases array<string>, gender string, age_range string, role string, description string, first_section int, from_section int, to_section int"
+
+
+def _versions(rows: Iterator[dict]) -> Iterator[dict]:
+    """Versions of casts from mentions in order of series, book, section and place, with a row of kind "book" before each book's."""
+    cast_, series, novel, since, first = _Cast(), None, None, [], []
+
+    def version(at: int, end: int | None) -> dict:
+        return {"novel": novel, "number": at, **cast_.people[at], "aliases": list(cast_.people[at]["aliases"]), "first_section": first[at], "from_section": since[at], "to_section": end}
+
     for r in rows:
-        names = [r["name"], *r["aliases"]]
-        at = min((by_name[n.lower()] for n in names if n.lower() in by_name), default=None)
-        if at is None:
-            if r["kind"] == "update":
-                continue
-            at = len(people)
-            people.append({**r, "aliases": list(r["aliases"])})
-        elif r["kind"] == "update":
-            known = people[at]
-            known["aliases"] = sorted({*known["aliases"], *r["aliases"]} - {known["name"]})
-            for field in ("gender", "age_range"):
-                known[field] = r[field] if known[field] == "unknown" else known[field]
-            if r["description"].lower() not in known["description"].lower():
-                known["description"] = f"{known['description']} {r['description']}".strip()
-            if rank.get(r["role"], 4) < rank.get(known["role"], 4):
-                known["role"] = r["role"]
-        else:
+        if r["kind"] == "book":
+            yield from (version(k, None) for k in range(len(since)))
+            if r["series_key"] != series:
+                cast_, series, since, first = _Cast(), r["series_key"], [], []
+            # Who is known from the books before is known from the first section on.
+            novel, since = r["novel"], [0] * len(since)
             continue
-        for n in (people[at]["name"], *people[at]["aliases"]):
-            by_name[n.lower()] = min(at, by_name.get(n.lower(), at))
-    return people
+        at, after = cast_.known(r), r["section_index"] + 1
+        if at is None and r["kind"] == "new":
+            cast_.add(r)
+            since.append(after)
+            first.append(r["section_index"])
+        elif at is not None and r["kind"] == "update":
+            before = version(at, r["section_index"])
+            cast_.update(at, r)
+            if since[at] < after and any(before[f] != cast_.people[at][f] for f in MENTIONED):
+                yield before
+                since[at] = after
+    yield from (version(k, None) for k in range(len(since)))
+
+
+def cast_versions(found: DataFrame, books: DataFrame) -> DataFrame:
+    """The cast as of every section: (novel, number, name, ..., first_section, from_section, to_section).
+
+    found (novel, section_index, place, kind, name, aliases, gender, age_range, role, description) are mentions as in
+    ``merge_characters``, books (novel, series_key, novel_number). A version holds for requests of sections from
+    ``from_section`` to ``to_section``, which is null up to the book's end: what section s tells is known from s + 1 on. A book begins
+    with the cast of the one before it in its series, numbered alike; ``first_section`` is that of the book that told of a character first.
+    Mentions pass through a task in order, with no more state than a cast; a series is one such stream, since every mention
+    depends on those before it. Nulls in mentions are empty texts or unknown.
+    """
+    text = {f: F.coalesce(f, F.lit("unknown" if f in ("gender", "age_range") else "")) for f in MENTIONED if f != "aliases"}
+    mentions = found.withColumns(text | {"aliases": F.coalesce("aliases", F.expr("cast(array() as array<string>)"))})
+    place = books.select("novel", "series_key", F.coalesce("novel_number", F.lit(1)).alias("novel_number"))
+    told = mentions.join(place, "novel").select("series_key", "novel_number", "novel", "section_index", "place", "kind", *MENTIONED)
+    begins = place.withColumns({"section_index": F.lit(-1), "place": F.lit(-1), "kind": F.lit("book")})
+    order = ["series_key", "novel_number", "novel", "section_index", "place"]
+    rows = told.unionByName(begins, allowMissingColumns=True).repartition("series_key").sortWithinPartitions(*order)
+    kind = pa.schema([("novel", pa.int64()), ("number", pa.int32()), ("name", pa.string()), ("aliases", pa.list_(pa.string())), ("gender", pa.string()), ("age_range", pa.string()),
+                      ("role", pa.string()), ("description", pa.string()), ("first_section", pa.int32()), ("from_section", pa.int32()), ("to_section", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        versions = _versions(r for batch in batches for r in batch.to_pylist())
+        while part := list(islice(versions, 5_000)):
+            yield pa.RecordBatch.from_pylist(part, kind)
+
+    out = rows.mapInArrow(run, _VERSION)
+    return out.withColumn("novel", F.col("novel").cast(found.schema["novel"].dataType))
 
 
 def merge_characters(found: DataFrame) -> DataFrame:
@@ -235,18 +313,18 @@ def merge_characters(found: DataFrame) -> DataFrame:
     In order of section and place, a new character whose name or alias, in any case, belongs to one before it is
     dropped; an update goes to the first character that shares a name with it, or nowhere: aliases unite
     without the own name, gender and age fill in where unknown, a description that is not part of the
-    known one is appended, and the more important role stays. One novel's mentions are one group.
+    known one is appended, and the more important role stays.
     """
-    fields = ["name", "aliases", "gender", "age_range", "role", "description"]
+    alone = found.select("novel").distinct().select("novel", F.col("novel").alias("series_key"), F.lit(1).alias("novel_number"))
+    last = cast_versions(found, alone).filter("to_section is null")
+    return last.select("novel", *(F.array_join(f, ",").alias(f) if f == "aliases" else F.col(f) for f in MENTIONED))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        people = _merged(pdf.sort_values(["section_index", "place"]).to_dict("records"))
-        rows = [(pdf["novel"].iloc[0], *(",".join(p[f]) if f == "aliases" else p[f] for f in fields)) for p in people]
-        return pd.DataFrame(rows, columns=["novel", *fields])
 
-    text = {f: F.coalesce(f, F.lit("unknown" if f in ("gender", "age_range") else "")) for f in fields if f != "aliases"}
-    known = found.withColumns(text | {"aliases": F.coalesce("aliases", F.expr("cast(array() as array<string>)"))})
-    return known.groupBy("novel").applyInPandas(fold, "novel int, " + ", ".join(f"{f} string" for f in fields))
+def base_profiles(characters: DataFrame) -> DataFrame:
+    """(novel, character_id, section_index, profile_type, status, summary): the profile that a stored character begins with."""
+    return characters.select(
+        "novel", "character_id", F.lit(0).alias("section_index"), F.lit("base").alias("profile_type"), F.lit("active").alias("status"), F.col("description").alias("summary")
+    )
 
 
 def samples(spark: SparkSession) -> DataFrame:

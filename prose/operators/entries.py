@@ -108,6 +108,7 @@ def entry_table(blocks: DataFrame, non_story: DataFrame, failed: DataFrame, matc
     Non-story sections are read by the catch-all voice; chunks without dialogue need no model; of failed
     chunks and unmatched blocks the type decides; matched blocks (novel, section_index, sequence_number,
     label, confidence) take the speaker that ``lookup`` (novel, key, speaker) knows by exact or lower-cased label.
+    Who reads the rest is looked up as well: the novel's narrator, or its catch-all voice, under the names that they have.
     """
     section, chunk = ["novel", "section_index"], ["novel", "section_index", "chunk"]
     by_type = F.when(F.col("entry_type").isin("narration", "thought", "action"), "NARRATOR").otherwise("MISC_VOICE")
@@ -125,13 +126,15 @@ def entry_table(blocks: DataFrame, non_story: DataFrame, failed: DataFrame, matc
     named = answered.withColumns({"_exact": label, "_lower": F.lower(label)})
     named = named.join(keys.withColumnsRenamed({"_key": "_exact", "_known": "_a"}), ["novel", "_exact"], "left")
     named = named.join(keys.withColumnsRenamed({"_key": "_lower", "_known": "_b"}), ["novel", "_lower"], "left").withColumn("_sure", F.col("confidence"))
-    return (
+    rows = (
         one(blocks.join(apart, section, "left_semi"), "front", F.lit("MISC_VOICE"), F.lit(1.0))
         .unionByName(one(story.join(spoken, chunk, "left_anti"), "deterministic", by_type, F.lit(1.0)))
         .unionByName(one(asked.join(lost, chunk, "left_semi"), "failed", by_type, F.lit(0.0)))
         .unionByName(one(named.filter("label is null"), "unmatched", by_type, F.lit(0.0)))
         .unionByName(one(named.filter("label is not null"), "matched", F.coalesce("_a", "_b", by_type), confidence(F.col("_sure"))))
     )
+    spare = lookup.filter("key in ('NARRATOR', 'MISC_VOICE')").select("novel", F.col("key").alias("speaker"), F.col("speaker").alias("_known"))
+    return rows.join(spare, ["novel", "speaker"], "left").withColumn("speaker", F.coalesce("_known", "speaker")).select(*_ENTRY)
 
 
 def event_rows(chunks: DataFrame) -> DataFrame:

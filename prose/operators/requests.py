@@ -58,26 +58,47 @@ def overlap_words(previous: Column, tokens: int = 64) -> Column:
     return F.aggregate(sizes, F.lit(0), lambda n, x: F.when((n == 0) | (n < tokens), n + x).otherwise(n))
 
 
-def character_json(characters: DataFrame, *also: str) -> DataFrame:
+def character_json(characters: DataFrame, *also: str, per: tuple[str, ...] = ("novel",)) -> DataFrame:
     """(novel, characters): the cast of each novel as JSON, by name, with descriptions cut at 200 characters."""
     slim = F.struct("name", "aliases", "role", "gender", "age_range", T.capped(F.coalesce("description", F.lit("")), 200).alias("description"), *also)
-    return characters.groupBy("novel").agg(F.to_json(F.sort_array(F.collect_list(slim))).alias("characters"))
+    return characters.groupBy(*per).agg(F.to_json(F.sort_array(F.collect_list(slim))).alias("characters"))
 
 
-def pass1_requests(sections: DataFrame, characters: DataFrame) -> DataFrame:
-    """One request per section (novel, section_index, title, text, summary): place, total, text, cast so far and rolling summary.
+def rolling_summaries(sections: DataFrame) -> DataFrame:
+    """(novel, section_index, place, rolling) of sections (novel, section_index, title, summary, outcome?).
 
-    The rolling summary holds the last five of the chapters before that yielded one.
+    The rolling summary of a chapter holds the last five lines up to the last chapter before it that has a summary. Chapters
+    that are "empty" or "failed" by their outcome have a line that says so; those without outcome or summary have none.
     """
     w = Window.partitionBy("novel").orderBy("section_index")
-    number = F.row_number().over(w)
-    line = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("Chapter "), F.col("_no").cast("string"), F.lit(" ("), "title", F.lit("): "), "summary"))
-    before = F.collect_list("_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = sections.withColumn("_no", number).withColumn("_line", line).withColumn("_all", before)
-    rows = rows.withColumn("rolling", F.array_join(F.slice("_all", F.greatest(F.size("_all") - 4, F.lit(1)), F.lit(5)), "\n"))
+    outcome = F.col("outcome") if "outcome" in sections.columns else F.lit(None).cast("string")
+    number = F.concat(F.lit("Chapter "), F.col("place").cast("string"))
+    said = F.nullif("summary", F.lit(""))
+    # The lines of chapters that yielded nothing.
+    mark = F.when(outcome == "empty", ": [empty]").when(outcome == "failed", ": [extraction failed]")
+    line = F.coalesce(F.concat(number, mark), F.concat(number, F.lit(" ("), "title", F.lit("): "), said))
+    rows = sections.select("novel", "section_index", "title", "summary", outcome.alias("outcome")).withColumn("place", F.row_number().over(w))
+    rows = rows.withColumns({"_line": line, "_told": mark.isNull() & said.isNotNull()})
+    # Lines are numbered, so a frame of five of them is a range of numbers; nothing before it is carried along.
+    rows = rows.withColumn("_n", F.count("_line").over(w))
+    five = F.collect_list("_line").over(Window.partitionBy("novel").orderBy("_n").rangeBetween(-4, 0))
+    rows = rows.withColumn("_five", F.when(F.col("_told"), F.array_join(five, "\n")))
+    before = F.last("_five", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("novel", "section_index", "place", F.coalesce(before, F.lit("")).alias("rolling"))
+
+
+def pass1_requests(sections: DataFrame, versions: DataFrame) -> DataFrame:
+    """One request per section (novel, section_index, title, text, summary, outcome?): place, total, text, cast so far and rolling summary.
+
+    versions (novel, from_section, to_section, name, ...) are those of ``cast.cast_versions``; a request lists those that hold for its section,
+    so nobody that a later chapter tells of.
+    """
     total = sections.groupBy("novel").agg(F.count("*").alias("total"))
-    cast_ = character_json(characters)
-    return rows.join(total, "novel").join(cast_, "novel", "left").select("novel", "section_index", F.col("_no").alias("place"), "total", "title", "text", "rolling", "characters")
+    at = sections.select("novel", "section_index").join(versions, "novel")
+    holds = (F.col("section_index") >= F.col("from_section")) & (F.col("to_section").isNull() | (F.col("section_index") <= F.col("to_section")))
+    cast_ = character_json(at.filter(holds), per=("novel", "section_index"))
+    rows = sections.join(rolling_summaries(sections), ["novel", "section_index"]).join(total, "novel").join(cast_, ["novel", "section_index"], "left")
+    return rows.select("novel", "section_index", "place", "total", "title", "text", "rolling", "characters")
 
 
 def pass2_requests(chunks: DataFrame, history: DataFrame, characters: DataFrame, narrators: DataFrame) -> DataFrame:

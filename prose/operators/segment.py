@@ -18,7 +18,7 @@ MAX_BLOCK, MAX_CHUNK, MAX_BLOCKS, MAX_PARAGRAPHS = 1400, 3200, 6, 2
 SECTION_CHARS = 6500
 UNIT_CHARS = 300
 #: Possessive, so that a quote of any length costs no stack.
-_SPANS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|“[^”]*+”|«[^»]*+»'
+_SPANS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|“[^”]*+”|«[^»]*+»|"[^"”]*+[”"]'
 
 
 def paragraphs(text: Column) -> Column:
@@ -46,10 +46,10 @@ def split_paragraph(par: Column) -> Column:
 
 
 def text_blocks(text: Column) -> Column:
-    """array<struct<text, block_type, paragraph_index>> of a section, over-long blocks cut at sentences."""
+    """array<struct<text, block_type, paragraph_index>> of a section, over-long blocks cut at sentences; action lines stay whole."""
     def placed(par: Column, i: Column) -> Column:
         cut = lambda b: F.transform(
-            F.when(F.length(b["text"]) > MAX_BLOCK, pack_sentences(b["text"], MAX_BLOCK)).otherwise(F.array(b["text"])),
+            F.when((F.length(b["text"]) > MAX_BLOCK) & (b["block_type"] != "action"), pack_sentences(b["text"], MAX_BLOCK)).otherwise(F.array(b["text"])),
             lambda t: F.struct(t.alias("text"), b["block_type"].alias("block_type"), i.alias("paragraph_index")),
         )
         return F.flatten(F.transform(split_paragraph(par), cut))
@@ -308,13 +308,17 @@ def narration_units(text: Column, limit: int = UNIT_CHARS) -> Column:
     )
 
 
+#: What ends a line of a book.
+_LINE_END = "[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def chapters(books: DataFrame) -> DataFrame:
-    """(novel, section_index, title, locator, text) of books (novel, text): split at chapter lines.
+    """(novel, section_index, title, locator, text) of books (novel, text): normalised and split at chapter lines.
 
-    Row-local: lines are numbered and grouped inside the book's row. Text before the first chapter
-    line is "Opening"; empty bodies go before sections are numbered densely.
+    Row-local: lines are numbered and grouped inside the book's row, and stay as they are; titles and bodies are stripped.
+    Text before the first chapter line is "Opening"; empty bodies go before sections are numbered densely.
     """
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), T.strip(x).alias("line"), T.is_chapter_line(x).alias("head")))
+    lines = F.transform(F.split(T.normalize(F.col("text")), _LINE_END), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line"), T.is_chapter_line(x).alias("head")))
     marked = books.select("novel", lines.alias("lines"))
     starts = F.concat(F.array(F.lit(0)), F.transform(F.filter("lines", lambda x: x["head"]), lambda x: x["no"]))
     marked = marked.withColumn("starts", starts)
@@ -323,11 +327,12 @@ def chapters(books: DataFrame) -> DataFrame:
     found = F.transform(
         "starts",
         lambda s, i: F.struct(
-            s.alias("no"), F.when(s == 0, "Opening").otherwise(F.get("lines", s - 1)["line"]).alias("title"), T.strip(body(i)).alias("text")
+            s.alias("no"), F.when(s == 0, "Opening").otherwise(T.strip(F.get("lines", s - 1)["line"])).alias("title"), T.strip(body(i)).alias("text")
         ),
     )
     kept = marked.select("novel", F.posexplode(F.filter(found, lambda x: x["text"] != "")).alias("section_index", "x"))
-    return kept.select("novel", "section_index", "x.title", F.concat(F.lit("txt:"), F.greatest("x.no", F.lit(1)).cast("string")).alias("locator"), "x.text")
+    locator = F.concat(F.lit("txt:"), F.when(F.col("x.no") == 0, "opening").otherwise(F.col("x.no").cast("string")))
+    return kept.select("novel", "section_index", "x.title", locator.alias("locator"), "x.text")
 
 
 def fallback_sections(text: Column, limit: int = SECTION_CHARS) -> Column:

@@ -261,7 +261,8 @@ def normalize_text(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("sha"))
 
 
-@query(r"""SELECT novel, section_index, title, sha256(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')) AS sha
+@query(r"""SELECT novel, section_index, title, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'),
+          '\n{3,}', chr(10) || chr(10), 'g'), '[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS sha
           FROM (SELECT doc_id AS novel, 0 AS section_index, 'Chapter 1' AS title, text FROM documents UNION ALL
           SELECT doc_id, 1, 'Epilogue', 'The end.' FROM documents) WHERE text IS NOT NULL AND NOT regexp_matches(text, '^\s*$')""")
 def chapter_split(spark, d):
@@ -320,7 +321,7 @@ def _dialogue(spark, d):
 
 
 _TURN = "replace(replace(coalesce(text, ''), '\"', ''), chr(10), ' ')"
-_PIECES = r"""CASE WHEN length(t) <= 1400 THEN [t] ELSE list_transform([list_reduce(list_transform(list_filter(list_transform(
+_PIECES = r"""CASE WHEN length(t) <= 1400 OR role NOT IN ('user', 'assistant') THEN [t] ELSE list_transform([list_reduce(list_transform(list_filter(list_transform(
     string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: {'done': []::VARCHAR[], 'open': x}),
     lambda a, x: CASE WHEN length(a.open) + 1 + length(x.open) <= 1400 THEN {'done': a.done, 'open': a.open || ' ' || x.open}
     ELSE {'done': list_append(a.done, a.open), 'open': x.open} END)], lambda s: list_append(s.done, s.open))[1] END"""
@@ -367,11 +368,11 @@ def chunk_context(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", near(F.lag, 800).alias("before"), near(F.lead, 500).alias("ahead"))
 
 
-@query("""SELECT novel, sequence_number, coalesce(array_to_string(list(speaker_name || ': ' || CASE WHEN length(original_text) > 60 THEN left(original_text, 60) || '...' ELSE original_text END)
-          OVER (PARTITION BY novel, section_index ORDER BY sequence_number ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '|'), '') AS history FROM entries""")
+@query("""SELECT novel, sequence_number, coalesce(array_to_string(list(speaker_name || ': ' || s.emotion || '_' || s.intensity || ' — ' || CASE WHEN length(original_text) > 60 THEN left(original_text, 60) || '...'
+          ELSE original_text END) OVER (PARTITION BY novel, section_index ORDER BY sequence_number ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '|'), '') AS history FROM entries JOIN snapped s USING (novel, sequence_number)""")
 def speaker_history(spark, d):
     w = Window.partitionBy("novel", "section_index").orderBy("sequence_number").rowsBetween(-8, -1)
-    line = F.concat("speaker_name", F.lit(": "), T.capped(F.col("original_text"), 60))
+    line = T.history_line(F.col("speaker_name"), *T.snap_emotion(F.col("emotion"), F.col("intensity")), F.col("original_text"))
     return S.dialogue_entries(spark, d).select("novel", "sequence_number", F.array_join(F.collect_list(line).over(w), "|").alias("history"))
 
 
@@ -697,15 +698,41 @@ def chunk_overlap_invariants(spark, d):
 _CAST = "to_json(list({'name': name, 'aliases': aliases, 'role': role, 'gender': gender, 'age_range': age_range, 'description': CASE WHEN length(des) > 200 THEN left(des, 200) || '...' ELSE des END%s} ORDER BY name))"
 
 
-@query(f"""SELECT novel, section_index, place, total, title, coalesce(array_to_string(lines[-5:], chr(10)), '') AS rolling, characters FROM (
-          SELECT novel, section_index, title, no AS place, count(*) OVER (PARTITION BY novel) AS total, list(line) FILTER (line IS NOT NULL) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lines
-          FROM (SELECT *, CASE WHEN doc_id % 4 <> 0 THEN 'Chapter ' || no || ' (' || title || '): ' || 's' || doc_id END AS line FROM (SELECT *, row_number() OVER (PARTITION BY novel ORDER BY section_index) AS no FROM section_keys)))
-          LEFT JOIN (SELECT novel, sha256({_CAST % ""}::VARCHAR) AS characters FROM (SELECT *, repeat(name || ' ', character_id::INT % 20) AS des FROM people) GROUP BY 1) USING (novel)""")
+def _mentions(people):
+    """Every character is new in a section of its own book, or the next one of its series; most are told of again later."""
+    at = F.col("character_id") % 10
+    new = people.select("novel", at.cast("int").alias("section_index"), "character_id", F.lit("new").alias("kind"), "name", F.slice("aliases", 1, 1).alias("aliases"), F.lit("unknown").alias("gender"), "age_range", "role", F.lit("first").alias("description"))
+    again = people.filter("character_id % 3 <> 0").select(
+        "novel", (at + 15).cast("int").alias("section_index"), "character_id", F.lit("update").alias("kind"), F.upper("name").alias("name"), F.expr("cast(array() as array<string>)").alias("aliases"), "gender", "age_range", F.lit("major").alias("role"), F.lit("seen").alias("description")
+    )
+    return new.unionByName(again).withColumnRenamed("character_id", "place")
+
+
+_AS_OF = """SELECT k.novel, k.section_index, sha256(to_json(list({'name': name, 'aliases': aliases[1:1], 'role': CASE WHEN again AND role = 'minor' THEN 'major' ELSE role END,
+          'gender': CASE WHEN again THEN gender ELSE 'unknown' END, 'age_range': age_range, 'description': CASE WHEN again THEN 'first seen' ELSE 'first' END} ORDER BY name))::VARCHAR) AS characters FROM (
+          SELECT k.novel, k.section_index, p.*, c.novel < k.novel AS old, character_id % 3 <> 0 AND (c.novel < k.novel OR character_id % 10 + 15 < k.section_index) AS again
+          FROM section_keys k JOIN novels n USING (novel) JOIN novels c ON c.novel = k.novel OR (c.series_id = n.series_id AND c.book_order < n.book_order)
+          JOIN people p ON p.novel = c.novel WHERE c.novel < k.novel OR p.character_id % 10 < k.section_index) k GROUP BY ALL""".replace("p.*, c.novel", "p.* EXCLUDE (novel), c.novel")
+
+
+@query(f"""SELECT novel, section_index, place, total, title, coalesce((SELECT array_to_string((list(line ORDER BY no) FILTER (line IS NOT NULL))[-5:], chr(10)) FROM l WHERE l.novel = r.novel AND l.no <= r.upto), '') AS rolling, characters FROM (
+          SELECT *, no AS place, count(*) OVER (PARTITION BY novel) AS total, max(CASE WHEN told THEN no END) OVER (PARTITION BY novel ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM l) r
+          LEFT JOIN ({_AS_OF}) USING (novel, section_index)""".replace("SELECT novel, section_index, place", """WITH l AS (SELECT *, CASE doc_id % 6 WHEN 4 THEN 'Chapter ' || no || ': [empty]' WHEN 5 THEN 'Chapter ' || no || ': [extraction failed]' WHEN 0 THEN NULL
+          ELSE 'Chapter ' || no || ' (' || title || '): s' || doc_id END AS line, doc_id % 6 IN (1, 2, 3) AS told FROM (SELECT *, row_number() OVER (PARTITION BY novel ORDER BY section_index) AS no FROM section_keys))
+          SELECT novel, section_index, place""", 1))
 def pass1_requests(spark, d):
-    """Requests of the first pass; every fourth chapter yields no summary."""
-    sections = S.section_keys(spark, d).withColumns({"text": F.lit(""), "summary": F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("s"), F.col("doc_id").cast("string")))})
-    people = S.characters(spark, d).withColumn("description", F.expr("repeat(name || ' ', int(character_id % 20))"))
-    return requests.pass1_requests(sections, people).withColumn("characters", F.sha2("characters", 256)).drop("text")
+    """Requests of the first pass, with the cast as of each chapter over the books of a series; some chapters are empty or failed, some yield no summary."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in (None, "ok", "ok", "ok", "empty", "failed")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    sections = S.section_keys(spark, d).withColumns({"text": F.lit(""), "outcome": kind, "summary": F.when(F.col("doc_id") % 6 != 0, F.concat(F.lit("s"), F.col("doc_id").cast("string")))})
+    books = library.series_resolution(S.novels(spark, d))
+    versions = cast.cast_versions(_mentions(S.characters(spark, d)), books)
+    return requests.pass1_requests(sections, versions).withColumn("characters", F.sha2("characters", 256)).drop("text")
+
+
+@query("""SELECT novel, character_id, 0 AS section_index, 'base' AS profile_type, 'active' AS status, role || ' of ' || aliases[2] AS summary FROM people""")
+def base_profiles(spark, d):
+    people = S.characters(spark, d)
+    return cast.base_profiles(people.withColumn("description", F.concat("role", F.lit(" of "), F.get("aliases", F.lit(1)))))
 
 
 @query(f"""WITH c AS (SELECT novel, section_index, turn // 2 AS chunk, string_agg(coalesce(original_text, ''), '|' ORDER BY turn) AS text, left(arg_min(coalesce(original_text, ''), turn), 30) AS first, bool_or(speaker_name = 'user') AS spoken

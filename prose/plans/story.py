@@ -122,20 +122,24 @@ def least_used_actor(spark, d):
     return cast.least_used(people.select("novel").distinct(), given)
 
 
-@query("""WITH c AS (SELECT novel, character_id, ['Ryan', 'Vivian', NULL][character_id % 3 + 1] AS actor, character_id % 25 = 7 AS is_narrator FROM people),
-          l AS (SELECT novel, sequence_number, novel * 50 + turn * 7 AS speaker_id, emotion, intensity FROM entries)
-          SELECT novel, sequence_number, actor, CASE WHEN actor = 'Vivian' THEN CASE WHEN emotion = 'happy' AND intensity = 'low' THEN 'Vivian_happy_med' WHEN emotion = 'happy' THEN 'Vivian_happy_' || intensity
-          WHEN emotion = 'sad' THEN 'Vivian_sad_high' ELSE 'Vivian_neutral' END WHEN actor = 'Sohee' THEN 'Sohee_neutral' WHEN emotion = 'angry' THEN 'Ryan_angry_med' ELSE 'Sohee_neutral' END AS sample FROM (
+_HEARD = ("CASE WHEN turn % 7 = 3 THEN '' ELSE emotion END AS emotion", "CASE turn % 5 WHEN 0 THEN 'loud' WHEN 1 THEN '' ELSE intensity END AS intensity")
+
+
+@query(f"""WITH c AS (SELECT novel, character_id, ['Ryan', 'Vivian', NULL, 'Zoe'][character_id % 4 + 1] AS actor, character_id % 25 = 7 AS is_narrator FROM people),
+          l AS (SELECT novel, sequence_number, novel * 50 + turn * 7 AS speaker_id, {", ".join(_HEARD)} FROM entries)
+          SELECT novel, sequence_number, actor, CASE WHEN actor = 'Vivian' THEN CASE WHEN emotion = 'happy' AND intensity = 'high' THEN 'Vivian_happy_high' WHEN emotion = 'happy' THEN 'Vivian_happy_med'
+          WHEN emotion = 'sad' THEN 'Vivian_sad_high' ELSE 'Vivian_neutral' END WHEN actor = 'Zoe' THEN CASE WHEN emotion = 'happy' THEN 'Zoe_happy_low' ELSE 'Zoe_neutral' END
+          WHEN actor = 'Ryan' AND emotion = 'angry' THEN 'Ryan_angry_med' ELSE 'Sohee_neutral' END AS sample FROM (
           SELECT l.*, coalesce(c.actor, n.actor, 'Sohee') AS actor FROM l LEFT JOIN c USING (novel) LEFT JOIN (SELECT novel, arg_min_null(actor, character_id) AS actor FROM c WHERE is_narrator GROUP BY 1) n USING (novel)
           WHERE c.character_id = l.speaker_id)""")
 def voiced_lines(spark, d):
-    """Actor and sample of every line whose speaker is known, from a stock with gaps."""
+    """Actor and sample of every line whose speaker is known, from a stock with gaps and an actor of its own; emotions and intensities unknown, empty or missing."""
     people = S.characters(spark, d)
-    actor = F.get(F.array(F.lit("Ryan"), F.lit("Vivian"), F.lit(None)), (F.col("character_id") % 3).cast("int"))
+    actor = F.get(F.array(F.lit("Ryan"), F.lit("Vivian"), F.lit(None), F.lit("Zoe")), (F.col("character_id") % 4).cast("int"))
     voices = people.select("novel", "character_id", actor.alias("actor"), (F.col("character_id") % 25 == 7).alias("is_narrator"))
-    lines = S.dialogue_entries(spark, d).select("novel", "sequence_number", (F.col("novel") * 50 + F.col("turn") * 7).alias("speaker_id"), "emotion", "intensity")
+    lines = S.dialogue_entries(spark, d).withColumn("speaker_id", F.col("novel") * 50 + F.col("turn") * 7).selectExpr("novel", "sequence_number", "speaker_id", *_HEARD)
     known = lines.join(people.select("novel", F.col("character_id").alias("speaker_id")), ["novel", "speaker_id"], "left_semi")
-    stock = [("Vivian", "happy", "med"), ("Vivian", "happy", "high"), ("Vivian", "sad", "high"), ("Vivian", "neutral", None), ("Sohee", "neutral", None), ("Ryan", "angry", "med")]
+    stock = [("Vivian", "happy", "med"), ("Vivian", "happy", "high"), ("Vivian", "sad", "high"), ("Vivian", "neutral", None), ("Sohee", "neutral", None), ("Ryan", "angry", "med"), ("Zoe", "happy", "low"), ("Zoe", "neutral", None)]
     out = cast.voiced_lines(known, voices, spark.createDataFrame(stock, "actor string, emotion string, intensity string"))
     return out.select("novel", "sequence_number", "actor", "sample")
 

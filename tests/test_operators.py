@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prose.functions import text as T
-from prose.operators import cast, enrich, library, retrieve, segment, upsert
+from prose.operators import cast, enrich, entries, library, retrieve, segment, upsert
 
 
 def value(spark, column, **inputs):
@@ -30,6 +30,31 @@ def test_quotes_actions_and_thoughts(spark):
     assert blocks(spark, '"Hm." <em>What now</em>')[1][1] == "thought"
 
 
+def test_mixed_quotes_and_long_action_lines(spark):
+    assert blocks(spark, '"Hi there” he said.') == [("Hi there", "dialogue"), ("he said.", "narration")]
+    assert blocks(spark, '"A" and "B” end') == [("A", "dialogue"), ("and", "narration"), ("B", "dialogue"), ("end", "narration")]
+    long = "So it went. " * 250
+    assert blocks(spark, f"[{long}]") == [(long.strip(), "action")] and len(blocks(spark, long)) == 3
+
+
+def test_speakers_fall_back_to_the_novels_own_narrator(spark):
+    people = spark.createDataFrame(
+        [(1, 5, "Mina", ["the girl"], "protagonist", True), (1, 6, "Crowd", None, "misc_voice", False), (2, 7, "Rob", None, "minor", False)],
+        "novel int, character_id long, name string, aliases array<string>, role string, is_narrator boolean",
+    ).withColumn("aliases", F.coalesce("aliases", F.expr("cast(array() as array<string>)")))
+    said = spark.createDataFrame(
+        [(1, "THE GIRL", "dialogue"), (1, None, "narration"), (1, "nobody", "dialogue"), (2, "x", "thought"), (2, "rob", "action"), (2, None, "dialogue")], "novel int, speaker_name string, entry_type string"
+    )
+    got = sorted((r.novel, r.entry_type, str(r.speaker_name), r.speaker) for r in cast.resolved(said, cast.speaker_lookup(people)).collect())
+    assert got == sorted([(1, "dialogue", "THE GIRL", "5"), (1, "narration", "None", "5"), (1, "dialogue", "nobody", "6"), (2, "thought", "x", "NARRATOR"), (2, "action", "rob", "7"), (2, "dialogue", "None", "MISC_VOICE")])
+    keys = ["novel int", "section_index int", "sequence_number int"]
+    rows = spark.createDataFrame([(1, 0, 0, 0, "narration", "a"), (1, 0, 1, 0, "dialogue", "b"), (1, 0, 2, 1, "narration", "c"), (1, 1, 3, 0, "dialogue", "d")], ", ".join([*keys, "chunk int", "entry_type string", "text string"]))
+    none = rows.limit(0)
+    matched = spark.createDataFrame([(1, 0, 1, "Nobody", 0.9)], ", ".join([*keys, "label string", "confidence double"]))
+    table = entries.entry_table(rows, rows.filter("section_index = 1"), none, matched, cast.label_lookup(people))
+    assert sorted((r.sequence_number, r.branch, r.speaker) for r in table.collect()) == [(0, "unmatched", "Mina"), (1, "matched", "Crowd"), (2, "deterministic", "Mina"), (3, "front", "Crowd")]
+
+
 def test_long_escaped_quote_is_one_span(spark):
     got = blocks(spark, '"' + 'x\\"' * 20_000 + '"')
     assert {k for _, k in got} == {"dialogue"} and sum(len(t) for t, _ in got) == 60_000
@@ -72,7 +97,10 @@ def test_uuid5(spark):
 def test_chapters(spark):
     books = spark.createDataFrame([(1, "intro\nChapter I\nbody one\nPROLOGUE\n\nEpilogue: end\nlast")], "novel int, text string")
     got = [(r.section_index, r.title, r.locator, r.text) for r in segment.chapters(books).orderBy("section_index").collect()]
-    assert got == [(0, "Opening", "txt:1", "intro"), (1, "Chapter I", "txt:2", "body one"), (2, "Epilogue: end", "txt:6", "last")]
+    assert got == [(0, "Opening", "txt:opening", "intro"), (1, "Chapter I", "txt:2", "body one"), (2, "Epilogue: end", "txt:6", "last")]
+    # Lines stay as they are, but for what normalising does; other ends of lines are ends of lines.
+    odd = spark.createDataFrame([(1, "\r\n  Chapter 2 \r\n  one\t two \x0bthree\n\n\n\n  four  \n")], "novel int, text string")
+    assert [tuple(r)[2:] for r in segment.chapters(odd).collect()] == [("Chapter 2", "txt:1", "one two \nthree\n\n four")]
 
 
 def test_packing_of_sections_units_and_chunks(spark):
@@ -166,7 +194,7 @@ def test_blocks_of_long_turns_against_brute_force(spark, tmp_path):
     want = set()
     for c, t, role, x in rows:
         x = x.replace('"', "").replace("\n", " ")
-        found = [(y, "action" if role == "system" else "dialogue") for y in (parts_of(x, 1400) if len(x) > 1400 else [x])]
+        found = [(y, "action" if role == "system" else "dialogue") for y in (parts_of(x, 1400) if len(x) > 1400 and role != "system" else [x])]
         found += [("said the guide.", "narration")] if role == "assistant" else []
         want |= {(c, t, at, kind, len(y), sha256(y.encode()).hexdigest()) for at, (y, kind) in enumerate(found)}
     got = [tuple(r) for r in QUERIES["text_blocks_of_all_turns"](spark, str(tmp_path)).collect()]
