@@ -167,20 +167,22 @@ def speaker_lookup(characters: DataFrame) -> DataFrame:
 
 
 def label_lookup(characters: DataFrame) -> DataFrame:
-    """(novel, key, speaker) of characters (novel, character_id, name, aliases, role, is_narrator).
+    """(novel, key, speaker, character_id) of characters (novel, character_id, name, aliases, role, is_narrator).
 
     Keys are names and aliases as they are and in lower case; a later character wins a key. The first
     narrator owns NARRATOR, the first catch-all voice MISC_VOICE, and UNKNOWN is nobody: these win over names.
     """
     label = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))))
-    keys = characters.select("novel", "character_id", "name", label.alias("label")).withColumn("label", F.trim("label"))
-    fixed = lambda df, key: df.groupBy("novel").agg(F.min_by("name", "character_id").alias("name")).withColumns(
-        {"label": F.lit(key), "character_id": F.lit((1 << 62) + 1)}
-    )
-    nobody = characters.select("novel").distinct().withColumns({"name": F.lit("UNKNOWN"), "label": F.lit("UNKNOWN"), "character_id": F.lit((1 << 62) + 1)})
+    keys = characters.select("novel", F.col("character_id").cast("long").alias("rank"), "name", F.col("character_id").cast("long").alias("id"), label.alias("label")).withColumn("label", F.trim("label"))
+    last = F.lit((1 << 62) + 1)
+    fixed = lambda df, key: df.groupBy("novel").agg(
+        F.min_by("name", "character_id").alias("name"), F.min("character_id").cast("long").alias("id")
+    ).withColumns({"label": F.lit(key), "rank": last})
+    nobody = characters.select("novel").distinct().withColumns({"name": F.lit("UNKNOWN"), "label": F.lit("UNKNOWN"), "rank": last, "id": F.lit(None).cast("long")})
     every = keys.unionByName(fixed(characters.filter("is_narrator"), "NARRATOR")).unionByName(fixed(characters.filter("role = 'misc_voice'"), "MISC_VOICE")).unionByName(nobody)
-    both = every.filter("label <> ''").select("novel", "character_id", "name", F.explode(F.array_distinct(F.array("label", F.lower("label")))).alias("key"))
-    return both.groupBy("novel", "key").agg(F.max(F.struct("character_id", "name")).alias("x")).select("novel", "key", F.col("x.name").alias("speaker"))
+    both = every.filter("label <> ''").select("novel", "rank", "name", "id", F.explode(F.array_distinct(F.array("label", F.lower("label")))).alias("key"))
+    best = both.groupBy("novel", "key").agg(F.max(F.struct("rank", "name", "id")).alias("x"))
+    return best.select("novel", "key", F.col("x.name").alias("speaker"), F.col("x.id").alias("character_id"))
 
 
 def resolved(entries: DataFrame, lookup: DataFrame) -> DataFrame:

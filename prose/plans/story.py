@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cast, enrich, entries, library, requests, segment
+from ..operators import answers, cast, enrich, entries, library, requests, rounds, segment
 from ..sources import tables as S
 from .registry import query
 
@@ -209,3 +209,41 @@ def answer_defaults(spark, d):
 def html_text(spark, d):
     """Text of every page with its character references decoded, normalised."""
     return S.table(spark, d, "pages").select("page_id", F.sha2(T.normalize(requests.unescaped(requests.markup_free(F.col("html")))), 256).alias("sha"))
+
+
+# A parse of conversations: every conversation is a section, every twentieth a new novel's first
+
+
+def _model(d, requests):
+    """Answers as a model would give them, from what a request shows: the speaker goes by the chunk's number, every seventh chunk fails."""
+    line = "named_struct('speaker', element_at(array('system', ' User ', 'nobody', 'NARRATOR'), int(chunk % 4) + 1), 'emotion', element_at(array('happy', 'Sad', 'bogus'), int(chunk % 3) + 1), "
+    line += "'emotion_intensity', 'high', 'raw_text', concat('[sigh] ', x), 'original_text', upper(x), 'associated_characters', array('user', 'x'), 'confidence', 0.8D)"
+    event = "named_struct('event_type', 'turn', 'summary', concat('chunk ', chunk), 'characters_involved', array('user'), 'speakers', array('assistant'), 'importance', 'minor', 'spoiler_level', int(chunk))"
+    update = "named_struct('character_name', 'Assistant', 'status', concat('s', chunk))"
+    body = f"to_json(named_struct('entries', transform(filter(split(text, '\\n\\n'), x -> x <> ''), x -> {line}), 'profile_updates', array({update}), 'events', array({event})))"
+    return requests.selectExpr("novel", "section_index", "chunk", f"CASE WHEN (section_index + chunk) % 7 = 0 THEN 'none' ELSE concat('<think>so {{</think>', {body}) END AS raw".replace("{{", "{"))
+
+
+def _parse(spark, d):
+    turns = S.table(spark, d, "conversations").select(
+        F.floor(F.col("conv_id") / 20).cast("int").alias("novel"), (F.col("conv_id") % 20).cast("int").alias("section_index"), "turn",
+        F.when(F.col("role") == "user", F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit("")), F.lit('"'))).when(F.col("role") == "system", F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text")).alias("line"),
+    )
+    sections = turns.groupBy("novel", "section_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x["line"]), "\n\n").alias("text"))
+    sections = sections.withColumn("title", F.when(F.col("section_index") == 19, "Preface").otherwise(F.concat(F.lit("Chapter "), F.col("section_index").cast("string"))))
+    people = sections.select("novel").distinct().select("novel", F.expr("explode(array(named_struct('id', 1L, 'n', 'assistant', 'r', 'protagonist', 't', true), named_struct('id', 2L, 'n', 'user', 'r', 'major', 't', false), named_struct('id', 3L, 'n', 'system', 'r', 'misc_voice', 't', false)))").alias("p"))
+    people = people.select("novel", F.col("p.id").alias("character_id"), F.col("p.n").alias("name"), F.expr("cast(array() as array<string>)").alias("aliases"), F.col("p.r").alias("role"), F.col("p.t").alias("is_narrator"))
+    lookup = cast.label_lookup(people)
+    folder = S.scratch(spark, "parse")
+    parsed = answers.parsed_sections(sections)
+    raw = rounds.run(parsed, lookup, lambda r: _model(d, r), f"{folder}/rounds")
+    made = answers.section_tables(spark.read.parquet(f"{folder}/rounds/parsed"), raw, lookup)
+    S.write_together(made, f"{folder}/out", "parse")
+    return S.published(spark, f"{folder}/out", "dialogue_entries").drop("run")
+
+
+@query()
+def parsed_entries(spark, d):
+    """Entries of all conversations, asked for in rounds, with speakers, emotions, tags, associated characters and contexts."""
+    out = _parse(spark, d).withColumn("associated_characters", F.array_join(F.col("associated_characters").cast("array<string>"), ","))
+    return out.withColumns({c: F.sha2(c, 256) for c in ("raw_text", "original_text", "context_before", "context_after")})
