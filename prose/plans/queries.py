@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -790,19 +789,19 @@ def chat_requests(spark, d):
 
 
 def _stream(spark, d, table, job, mode):
-    return streams.finished(job(streams.feed(spark, d, table)), mode, f"{S.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return streams.finished(job(streams.feed(spark, d, table)), mode, S.scratch(spark, "stream"))
 
 
 @query("SELECT reader_id, novel, section_index FROM progress")
 def stream_progress(spark, d):
-    return _stream(spark, d, "events", streams.latest_progress, "complete")
+    return streams.last_states(_stream(spark, d, "events", streams.latest_progress, "update"), "reader_id", "novel")
 
 
 @query("""SELECT novel, purchases % 2 = 1 AS starred, signups % 2 = 1 AS archived, CASE WHEN signups % 2 = 1 THEN last END AS completed_at FROM (
           SELECT novel, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'signup') AS signups,
           max(ts) FILTER (event_type = 'signup') AS last FROM reader_events WHERE event_type IN ('purchase', 'signup') GROUP BY 1)""")
 def stream_toggles(spark, d):
-    return _stream(spark, d, "events", streams.toggles, "complete")
+    return streams.last_states(_stream(spark, d, "events", streams.toggles, "update"), "novel")
 
 
 @query("""SELECT conv_id, count(*) AS messages, CAST(sum(length(coalesce(text, '')) // 4) AS BIGINT) AS tokens, sum(length(coalesce(text, '')) // 4) > 2500 AND count(*) > 8 AS due
@@ -818,10 +817,28 @@ def stream_blocks(spark, d):
 
 @query("SELECT novel, count(DISTINCT section_index) AS finished FROM reader_events WHERE event_type = 'click' GROUP BY 1")
 def stream_progress_count(spark, d):
-    return _stream(spark, d, "events", streams.finished_sections, "complete")
+    return _stream(spark, d, "events", streams.seen_sections, "append").groupBy("novel").agg(F.count("*").alias("finished"))
 
 
 @query("SELECT strftime(date_trunc('day', CAST(ts AS TIMESTAMP)), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_activity(spark, d):
-    rows = _stream(spark, d, "events", streams.windowed_activity, "complete")
+    """A replay of stored events, in files of any order: the delay is longer than their span."""
+    rows = streams.last_states(_stream(spark, d, "events", lambda e: streams.windowed_activity(e, "3650 days"), "update"), "window", "event_type")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""SELECT conv_id, f.mark AS watermark, f.n AS folded, sha256(f.text) AS transcript FROM (SELECT conv_id, unnest(s.folds) AS f FROM (SELECT conv_id, list_reduce(list_prepend({'open': []::STRUCT(id BIGINT, tok BIGINT, line VARCHAR)[],
+          'folds': []::STRUCT(mark BIGINT, n BIGINT, text VARCHAR)[]}, list_transform(said, lambda x: {'open': [x], 'folds': []::STRUCT(mark BIGINT, n BIGINT, text VARCHAR)[]})), lambda s, x: CASE
+          WHEN list_sum(list_transform(s.open || x.open, lambda m: m.tok)) > 600 AND len(s.open) + 1 > 3 THEN {'open': (s.open || x.open)[-3:], 'folds': list_append(s.folds, {'mark': (s.open || x.open)[-4].id, 'n': len(s.open) - 2,
+          'text': array_to_string(list_transform((s.open || x.open)[:-4], lambda m: m.line), chr(10))})} ELSE {'open': s.open || x.open, 'folds': s.folds} END) AS s FROM (
+          SELECT conv_id, list({'id': turn, 'tok': (length(coalesce(text, '')) // 4)::BIGINT, 'line': CASE WHEN role = 'assistant' THEN 'You' ELSE 'User' END || ': ' || coalesce(text, '')} ORDER BY turn) AS said
+          FROM conversations WHERE turn > conv_id % 3 - 1 GROUP BY 1)))""")
+def stream_compaction(spark, d):
+    """Every fold of every session, message after message, over a budget of 600 tokens and all but the last three."""
+    messages = streams.feed(spark, d, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("id"), F.when(F.col("role") == "assistant", "character").otherwise("user").alias("role"),
+        F.col("text").alias("content"), (F.col("conv_id") % 3 - 1).alias("summary_upto"),
+    )
+    with streams.state_in_rocksdb(spark):
+        out = streams.finished(streams.compactions(messages, 600, 3), "append", S.scratch(spark, "stream"))
+    return out.select(F.col("session").alias("conv_id"), "watermark", "folded", F.sha2("transcript", 256).alias("transcript"))
