@@ -6,14 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chunk_of_position(entries: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``chunk`` to entries (keys, entry, pos): the first chunk [char_start, char_end) that holds it, else the nearest start.
+#: Characters of a bin of positions.
+BIN = 4096
 
-    The equi keys bound the pairs to one chapter's chunks; minima are pre-aggregated.
+
+def chunk_of_position(entries: DataFrame, chunks: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """Adds ``chunk`` to entries (keys, entry, pos): the first chunk [char_start, char_end) that holds it, else the nearest start, the first of equals.
+
+    A position meets the chunks of its bin alone. The nearest starts on both sides come from a running window over starts and
+    positions in order, so a chapter of any length makes no pairs. Entries of a chapter without chunks go.
     """
-    inside = (F.col("pos") >= F.col("char_start")) & (F.col("pos") < F.col("char_end"))
-    order = F.struct((~inside).alias("outside"), F.when(inside, F.lit(0)).otherwise(F.abs(F.col("pos") - F.col("char_start"))), F.col("chunk"))
-    return entries.join(chunks, keys).groupBy(*keys, "entry", "pos").agg(F.min_by("chunk", order).alias("chunk"))
+    bins = F.sequence(F.floor(F.col("char_start") / width), F.floor(F.greatest(F.col("char_end") - 1, F.col("char_start")) / width))
+    spans = chunks.select(*keys, F.col("chunk").alias("_c"), "char_start", "char_end", F.explode(bins).alias("_bin"))
+    at = entries.select(*keys, "entry", "pos").withColumn("_bin", F.floor(F.col("pos") / width))
+    held = at.join(spans, [*keys, "_bin"]).filter("pos >= char_start and pos < char_end").groupBy(*keys, "entry", "pos").agg(F.min("_c").alias("_in"))
+    starts = chunks.groupBy(*keys, F.col("char_start").alias("pos")).agg(F.min("chunk").alias("_c"))
+    both = starts.select(*keys, "pos", F.struct(F.col("pos").alias("at"), F.col("_c").alias("chunk")).alias("_s")).unionByName(
+        entries.select(*keys, "entry", "pos"), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*keys).orderBy("pos")
+    before = F.last("_s", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last("_s", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
+    near = both.withColumns({"_before": before, "_after": after}).filter("_s is null")
+    away = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("pos") - F.col(f"{s}.at")).alias("far"), F.col(f"{s}.chunk").alias("chunk")))
+    near = near.select(*keys, "entry", "pos", F.least(away("_before"), away("_after")).alias("_near"))
+    out = near.join(held, [*keys, "entry", "pos"], "left").withColumn("chunk", F.coalesce("_in", "_near.chunk")).filter("chunk is not null")
+    return out.groupBy(*keys, "entry", "pos").agg(F.first("chunk").alias("chunk"))
 
 
 def as_of(events: DataFrame, entries: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

@@ -21,17 +21,50 @@ def document_text(page: Column) -> Column:
     return T.normalize(requests.unescaped(requests.markup_free(page)))
 
 
-def clean_markup(page: Column) -> Column:
-    """Markup of the allowed elements only, without attributes; an image keeps its source and goes if it has none.
+_IMG = r"""(?is)<img\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
 
-    Allowed tags are set apart by two control characters first, so one plain pattern drops the others.
-    """
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute in double, single or no quotes; null if it has none."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.when(tag.rlike(pattern), F.concat(*(F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3))))
+
+
+def _allowed(body: Column) -> Column:
+    """Allowed tags without attributes; they are set apart by two control characters first, so one plain pattern drops the others."""
     names = "|".join(sorted(ALLOWED, key=len, reverse=True))
-    body = F.regexp_replace(page, _UNSEEN, "")
-    body = F.regexp_replace(body, r'(?i)<img\b[^>]*\bsrc\s*=\s*"([^"]+)"[^>]*>', "\x01img src=\"$1\"\x02")
-    body = F.regexp_replace(body, r"(?i)<img\b[^>]*>", "")
     body = F.regexp_replace(body, rf"(?i)<(/?)({names})(?:[\s/][^>]*)?>", "\x01$1$2\x02")
-    return T.strip(F.translate(F.regexp_replace(body, r"<[^>]*>", ""), "\x01\x02", "<>"))
+    return F.translate(F.regexp_replace(body, r"<[^>]*>", ""), "\x01\x02", "<>")
+
+
+def clean_markup(page: Column) -> Column:
+    """Markup of the allowed elements only, without attributes; an image keeps its source and goes if it has none."""
+    body = F.regexp_replace(page, _UNSEEN, "")
+    for quoted in (r'"([^"]+)"', r"'([^'\"]+)'", r"([^\s\"'>]+)"):
+        body = F.regexp_replace(body, rf"(?i)<img\b[^>]*\ssrc\s*=\s*{quoted}[^>]*>", "\x01img src=\"$1\"\x02")
+    return T.strip(_allowed(F.regexp_replace(body, r"(?i)<img\b[^>]*>", "")))
+
+
+def linked_markup(docs: DataFrame, images: DataFrame) -> DataFrame:
+    """(book, name, html) of documents (book, name, html): allowed markup, whose images are those of ``images`` (book, image, data).
+
+    Images are cut out of the markup with their places, joined with the stored ones under all the names that they may have, and
+    woven back with ``data`` as source and their ``alt``; an image that is not stored goes. All other text and markup stays as
+    ``clean_markup`` leaves it.
+    """
+    # The three control characters below mark tags and images, so the text may not hold them.
+    body = F.regexp_replace(F.translate(F.coalesce("html", F.lit("")), "\x01\x02\x03", ""), _UNSEEN, "")
+    cut = docs.select("book", "name", F.regexp_extract_all(body, F.lit(_IMG), F.lit(0)).alias("tags"), F.split(_allowed(F.regexp_replace(body, _IMG, "\x03")), "\x03", -1).alias("parts"))
+    found = cut.select("book", F.col("name").alias("document"), F.posexplode("tags").alias("at", "tag"))
+    plain = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
+    found = found.select("book", "document", "at", plain(_attribute(F.col("tag"), "src")).alias("src"), F.coalesce(_attribute(F.col("tag"), "alt"), F.lit("")).alias("alt")).filter("src <> ''")
+    stored = images.select("book", "image", "data").dropDuplicates(["book", "image"])
+    named = resolved_images(found.select("book", "document", "src").distinct(), images).join(stored, ["book", "image"])
+    told = found.join(named, ["book", "document", "src"])
+    tag = F.concat(F.lit('<img src="'), "data", F.lit('" alt="'), F.replace("alt", F.lit('"'), F.lit("&quot;")), F.lit('">'))
+    put = told.groupBy("book", F.col("document").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("at", tag.alias("tag")))).alias("put"))
+    woven = F.transform("parts", lambda p, k: F.concat(p, F.coalesce(F.try_element_at("put", k), F.lit(""))))
+    return cut.join(put, ["book", "name"], "left").select("book", "name", T.strip(F.array_join(woven, "")).alias("html"))
 
 
 def page_title(page: Column) -> Column:
@@ -96,15 +129,17 @@ def reading_order(docs: DataFrame) -> DataFrame:
     return docs.withColumn("place", F.row_number().over(order) - 1)
 
 
-def book_sections(docs: DataFrame, toc: DataFrame) -> DataFrame:
+def book_sections(docs: DataFrame, toc: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """(book, section_index, title, text, html, locator) of documents (book, name, book_title, html, spine_pos, manifest_pos).
 
     Documents that the table of contents lists, or all of a book that lists none; of these, those that
-    hold text, an image or a rule. Only ids and flags go through the numbering windows.
+    hold text, an image or a rule. Only ids and flags go through the numbering windows. With ``images`` (book, image, data)
+    the markup shows the stored images, and those that are not stored go.
     """
     titled = with_toc_titles(docs, toc)
-    body = clean_markup(F.col("html"))
-    shown = titled.withColumns({"_text": document_text(F.col("html")), "_html": body, "_found": page_title(F.col("html"))})
+    shown = titled.withColumns({"_text": document_text(F.col("html")), "_html": clean_markup(F.col("html")), "_found": page_title(F.col("html"))})
+    if images is not None:
+        shown = shown.drop("_html").join(linked_markup(docs, images).withColumnRenamed("html", "_html"), ["book", "name"])
     holds = (F.col("_text") != "") | F.col("_html").contains("<img") | F.col("_html").contains("<hr")
     kept = reading_order(shown.filter(holds))
     listed = Window.partitionBy("book")
