@@ -13,9 +13,15 @@ template's marks nor those of others can occur in them; the escapes are undone e
 Nodes are found without comparing conversations: a node's key is the exclusive-or of 128-bit hashes
 of (place, role, text) over its turns, a running aggregate. Keys are pre-aggregated before their
 shuffle, so a first turn that a third of all conversations share is one row per task. Turns are rendered
-and tokenised once, into a written table; order in the stream comes from range partitions of the paths
-with lengths alone, and partial sums per partition. Descendants meet an ancestor in a plain equi-join, in
-which adaptive execution splits the many of a common first turn.
+and tokenised once, into a written table.
+
+A node is owned by the least conversation, by a hash, that goes through it, so the nodes that a conversation owns are a
+segment: its last turns, from some turn on. A segment lies in the stream in one piece, and what hangs from it follows it, from its
+deepest turn to its first, which is depth-first order. The turns of a conversation lie in few segments, a logarithm of the
+number of conversations, since along a path the least of ever fewer hashes seldom changes; only these pieces, not turns,
+make up the key of the order and the ancestors of a node, so a conversation of any number of turns costs what its turns do. Order comes
+from range partitions of segments with lengths alone, and partial sums per partition. Branches meet what they hang from in a
+plain equi-join, in which adaptive execution splits the many of a common first turn.
 
 Cases with a defined result: null role, text and turn count as empty, empty and first; rows are taken
 by turn, then role, then text, so repeated rows are repeated turns; rows with a null conv_id are one
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import cut, discard
@@ -42,6 +48,7 @@ _ESCAPE = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
 _UNESCAPE = {"\\": "\\", "l": "<", "b": "[", "n": "\n"}
 _RENDERED = re.compile(re.escape(TURN) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 _NODE = ["k1", "k2", "level"]
+_SEGMENT = ["o1", "o2"]
 _TOKENIZERS: dict = {}
 
 
@@ -67,7 +74,7 @@ def _tokenizer(path: str):
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, level, role, text, key k1, k2 and path (keys from the root) of the node of every turn."""
+    """conv_id, its hash c1, c2, and level, role, text and key k1, k2 of the node of every turn."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -81,11 +88,11 @@ def turns(conversations: DataFrame) -> DataFrame:
     )
     so_far = Window.partitionBy("conv_id").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"k1": F.bit_xor("h1").over(so_far), "k2": F.bit_xor("h2").over(so_far)})
-    return rows.withColumn("path", F.collect_list(F.struct("k1", "k2")).over(so_far)).drop("h1", "h2", "turn")
+    return rows.withColumns({"c1": F.xxhash64("conv_id"), "c2": F.xxhash64(F.lit("|"), "conv_id")}).drop("h1", "h2", "turn")
 
 
 def _render(nodes: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds ids, the loss span [loss_start, loss_stop) within them and formatted_chars; drops role and text."""
+    """Adds ids, the loss span [loss_start, loss_stop) within them, formatted_chars and length; drops role and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,22 +103,22 @@ def _render(nodes: DataFrame, tokenizer: str) -> DataFrame:
             parts = list(zip(encode(heads), encode(bodies), encode([f"{END}\n"] * len(roles)), strict=True))
             lossy = [r == LOSS_ROLE for r in roles]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in (*_NODE, "path")]
+                [batch.column(c) for c in (*_NODE, *_SEGMENT)]
                 + [
                     pa.array([a + b + c for a, b, c in parts], pa.list_(pa.int32())),
                     pa.array([len(a) for a, _, _ in parts], pa.int64()),
                     pa.array([len(a) + len(b) * k for (a, b, _), k in zip(parts, lossy, strict=True)], pa.int64()),
                     pa.array([len(a) + len(b) + len(END) + 1 for a, b in zip(heads, bodies, strict=True)], pa.int64()),
                 ],
-                [*_NODE, "path", "ids", "loss_start", "loss_stop", "formatted_chars"],
+                [*_NODE, *_SEGMENT, "ids", "loss_start", "loss_stop", "formatted_chars"],
             )
 
-    schema = "k1 long, k2 long, level int, path array<struct<k1 bigint, k2 bigint>>, ids array<int>, loss_start long, loss_stop long, formatted_chars long"
-    return nodes.select(*_NODE, "path", "role", "text").mapInArrow(run, schema)
+    schema = "k1 long, k2 long, level int, o1 long, o2 long, ids array<int>, loss_start long, loss_stop long, formatted_chars long"
+    return nodes.select(*_NODE, *_SEGMENT, "role", "text").mapInArrow(run, schema)
 
 
-def _laid_out(nodes: DataFrame) -> DataFrame:
-    """(k1, k2, level, start, length): depth-first places in the stream, in the order of the paths. Paths and lengths alone are moved."""
+def _laid_out(segments: DataFrame) -> DataFrame:
+    """(o1, o2, seg_start) of segments (o1, o2, pieces, length): places in the stream, in the order of what they hang from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,73 +129,81 @@ def _laid_out(nodes: DataFrame) -> DataFrame:
             ends = done + np.cumsum(length)
             done = int(ends[-1]) if len(ends) else done
             parts = pa.array(np.full(len(length), part, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([parts, *(batch.column(c) for c in _NODE), pa.array(ends - length), batch.column("length")], ["part", *_NODE, "local", "length"])
+            yield pa.RecordBatch.from_arrays([parts, *(batch.column(c) for c in _SEGMENT), pa.array(ends - length), batch.column("length")], ["part", *_SEGMENT, "local", "length"])
 
-    sized = nodes.select(*_NODE, "path", F.size("ids").cast("long").alias("length"))
-    ordered = sized.repartitionByRange("path").sortWithinPartitions("path")
-    placed = cut(ordered.mapInArrow(run, "part int, k1 long, k2 long, level int, local long, length long"))
+    # What hangs deeper comes first; a segment comes before all that hangs from it, as its key begins theirs.
+    key = F.transform("pieces", lambda p: F.struct((-p["first"]).alias("up"), p["o1"].alias("o1"), p["o2"].alias("o2")))
+    ordered = segments.select(key.alias("key"), *_SEGMENT, "length").repartitionByRange("key").sortWithinPartitions("key")
+    placed = cut(ordered.mapInArrow(run, "part int, o1 long, o2 long, local long, length long"))
     # One row per partition.
     before = placed.groupBy("part").agg(F.sum("length").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    return placed.join(F.broadcast(before), "part").select(*_NODE, (F.col("local") + F.col("before")).alias("start"), "length")
-
+    return placed.join(F.broadcast(before), "part").select(*_SEGMENT, (F.col("local") + F.col("before")).alias("seg_start"))
 
-def _ancestors(nodes: DataFrame) -> DataFrame:
-    """(k1, k2, level, at, a1, a2): the key of each ancestor at level ``at``, the node itself included."""
-    return nodes.select(*_NODE, F.posexplode("path").alias("at", "a")).select(*_NODE, "at", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"))
 
-
-_ANCESTOR = {"k1": "a1", "k2": "a2", "level": "at"}
+def _merged(intervals: Column) -> Column:
+    """Touching intervals of an array of struct<start, stop> in order as one."""
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
+    last = lambda done: F.get(done, F.size(done) - 1)
+    one = lambda start, stop: F.array(F.struct(start.alias("start"), stop.alias("stop")))
+    return F.aggregate(
+        intervals,
+        none,
+        lambda done, x: F.when(
+            F.coalesce(last(done)["stop"] == x["start"], F.lit(False)),
+            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), one(last(done)["start"], x["stop"])),
+        ).otherwise(F.concat(done, one(x["start"], x["stop"]))),
+    )
 
 
 def format_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """The nodes, and (conv_id, k1, k2, level) of the last node of every conversation.
 
-    Nodes: key, ``path``, ids, loss_start and loss_stop within ids, formatted_chars, ``start`` and ``length`` in
-    the stream, ``position`` of the first token, ``tree`` (first key of its root), and ``ancestors``, array of
-    struct<start, stop> in stream order with touching intervals merged.
+    Nodes: key, segment o1, o2, ids, loss_start and loss_stop within ids, formatted_chars, ``start`` and ``length`` in
+    the stream, ``position`` of the first token, ``tree`` (segment of its root), ``ancestors``, array of
+    struct<start, stop> in stream order with touching intervals merged, and ``pieces``, array of struct<first, o1, o2, upto>: the
+    segments and levels that its path from the root goes through, itself included.
     """
-    tokens, last = format_tokens(conversations, tokenizer)
-    places = cut(_laid_out(tokens))
-    above = (
-        _ancestors(tokens)
-        .filter("at < level")
-        .join(places.withColumnsRenamed(_ANCESTOR), ["a1", "a2", "at"])
-        .groupBy(*_NODE)
-        .agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("x"), F.sum("length").alias("position"))
+    rows = turns(conversations)
+    tokens, last = format_tokens(rows, tokenizer)
+    sized = tokens.withColumn("length", F.size("ids").cast("long")).select(*_NODE, *_SEGMENT, "length")
+    # Where every conversation goes through which segment: few rows for each, added up before they are shuffled.
+    through = rows.select("c1", "c2", *_NODE).join(sized.select(*_NODE, *_SEGMENT), _NODE)
+    pieces = cut(through.groupBy("c1", "c2", *_SEGMENT).agg(F.min("level").cast("int").alias("first"), F.max("level").cast("int").alias("upto")))
+    own = pieces.groupBy("c1", "c2").agg(
+        F.sort_array(F.collect_list(F.struct("first", *_SEGMENT, "upto"))).alias("pieces"), F.bool_or((F.col("c1") == F.col("o1")) & (F.col("c2") == F.col("o2"))).alias("owns")
+    ).filter("owns").select(F.col("c1").alias("o1"), F.col("c2").alias("o2"), "pieces")
+    lengths = sized.groupBy(*_SEGMENT).agg(F.sum("length").alias("length"))
+    segments = cut(own.join(lengths, _SEGMENT))
+    along = Window.partitionBy(*_SEGMENT).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sized.withColumn("_offset", F.coalesce(F.sum("length").over(along), F.lit(0))).join(_laid_out(segments), _SEGMENT)
+    places = cut(begins.select(*_NODE, *_SEGMENT, "length", "seg_start", (F.col("seg_start") + F.col("_offset")).alias("start")))
+    # A segment's ancestors: of every piece before its own, from the piece's first turn to the one that it hangs from.
+    hung = segments.select(F.col("o1").alias("s1"), F.col("o2").alias("s2"), F.explode("pieces").alias("p")).select("s1", "s2", "p.o1", "p.o2", F.col("p.upto").alias("level"))
+    above = hung.filter("o1 <> s1 or o2 <> s2").join(places.select(*_SEGMENT, "level", "seg_start", (F.col("start") + F.col("length")).alias("stop")), [*_SEGMENT, "level"])
+    above = above.groupBy(F.col("s1").alias("o1"), F.col("s2").alias("o2")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("seg_start").alias("start"), "stop"))).alias("x"), F.sum(F.col("stop") - F.col("seg_start")).alias("before")
     )
-    touching = lambda done, x: F.get(done, F.size(done) - 1)["stop"] == x["start"]
+    known = segments.select(*_SEGMENT, "pieces").join(above, _SEGMENT, "left")
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    merged = F.aggregate(
-        "x",
-        none,
-        lambda done, x: F.when(
-            F.coalesce(touching(done, x), F.lit(False)),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), x["stop"].alias("stop"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))),
-    )
-    above = above.select(*_NODE, merged.alias("ancestors"), "position")
-    nodes = tokens.join(places, _NODE).join(above, _NODE, "left").withColumns(
-        {
-            "tree": F.get("path", F.lit(0))["k1"],
-            "position": F.coalesce("position", F.lit(0)),
-            "ancestors": F.coalesce("ancestors", none),
-        }
-    )
+    inside = F.when(F.col("start") > F.col("seg_start"), F.array(F.struct(F.col("seg_start").alias("start"), F.col("start").alias("stop")))).otherwise(none)
+    to_here = F.transform("pieces", lambda p, k: F.when(k == F.size("pieces") - 1, p.withField("upto", F.col("level"))).otherwise(p))
+    nodes = tokens.join(places.drop(*_SEGMENT), _NODE).join(known, _SEGMENT).select(
+        *_NODE, *_SEGMENT, "ids", "loss_start", "loss_stop", "formatted_chars", "start", "length",
+        (F.coalesce("before", F.lit(0)) + F.col("start") - F.col("seg_start")).alias("position"), F.get("pieces", F.lit(0))["o1"].alias("tree"),
+        _merged(F.concat(F.coalesce("x", none), inside)).alias("ancestors"), to_here.alias("pieces"),
+    )
     nodes = cut(nodes)
-    discard(tokens)
+    for part in (tokens, pieces, segments, places):
+        discard(part)
     return nodes, last
 
 
-def format_tokens(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes without their places, in a written table, and the last node of every conversation."""
-    rows = turns(conversations)
-    found = rows.groupBy(*_NODE).agg(F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
-    tokens = cut(_render(found, tokenizer))
+def format_tokens(rows: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes of ``turns`` without their places, in a written table, and the last node of every conversation."""
+    found = rows.groupBy(*_NODE).agg(F.min(F.struct("c1", "c2")).alias("o"), F.first("role").alias("role"), F.first("text").alias("text"))
+    tokens = cut(_render(found.select(*_NODE, F.col("o.c1").alias("o1"), F.col("o.c2").alias("o2"), "role", "text"), tokenizer))
     last = rows.groupBy("conv_id").agg(F.max(F.struct("level", "k1", "k2")).alias("x"))
     return tokens, last.select("conv_id", "x.k1", "x.k2", "x.level")
 
@@ -196,16 +211,16 @@ def format_tokens(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame,
 def read_back(nodes: DataFrame, last: DataFrame, tokenizer: str) -> DataFrame:
     """The digests of every conversation, from the tokens of its path alone.
 
-    Conversations with the same turns are read once. The tokens of a path are those of the ancestor
-    intervals, then the node's own: the nodes of the path in the order of the stream.
+    Conversations with the same turns are read once. The turns of a path are those of its pieces, and lie in
+    the order of the stream.
     """
-    leaves = last.select(*_NODE).distinct()
-    own = nodes.select(*_NODE, "start", "ids", "loss_start", "loss_stop", "formatted_chars").withColumnsRenamed(_ANCESTOR)
+    leaves = nodes.select(*_NODE, "pieces").join(last.select(*_NODE).distinct(), _NODE, "left_semi")
+    own = nodes.select(*_SEGMENT, F.col("level").alias("at"), "start", "ids", "loss_start", "loss_stop", "formatted_chars")
+    turns_of = leaves.select(*_NODE, F.explode("pieces").alias("p")).select(*_NODE, "p.o1", "p.o2", F.explode(F.sequence("p.first", "p.upto")).alias("at"))
     paths = (
-        _ancestors(nodes.join(leaves, _NODE, "left_semi"))
-        .join(own, ["a1", "a2", "at"])
+        turns_of.join(own, [*_SEGMENT, "at"])
         .groupBy(*_NODE)
-        .agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_start", "loss_stop"))).alias("x"), F.sum("formatted_chars").alias("formatted_chars"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_start", "loss_stop"))).alias("x"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

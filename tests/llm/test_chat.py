@@ -57,3 +57,26 @@ def test_tree_shares_turns_and_reads_back(spark):
 def test_empty_table(spark):
     nodes, last = chat.format_tree(spark.createDataFrame([], SCHEMA), tokenizer_path("byte_bpe_50k.json"))
     assert nodes.count() == 0 and chat.read_back(nodes, last, tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_a_conversation_of_many_turns_costs_what_its_turns_do(spark):
+    """20 000 turns, and branches from all along it: no table holds more than a few rows or places for each turn."""
+    from pyspark.sql import functions as F
+
+    long = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    # Conversation 100 + k says the same up to turn 150 k, and then something else, twice.
+    same = spark.range(30).selectExpr("100 + id AS conv_id", "explode(sequence(0, 150 * id)) AS turn").selectExpr("conv_id", "turn", "if(turn % 2 = 0, 'user', 'assistant') AS role", "concat('t', turn) AS text")
+    other = spark.range(60).selectExpr("100 + id % 30 AS conv_id", "150 * (id % 30) + 1 + id div 30 AS turn", "'user' AS role", "concat('other ', id) AS text")
+    nodes, last = chat.format_tree(long.unionByName(same).unionByName(other), tokenizer_path("byte_bpe_50k.json"))
+    assert nodes.count() == 20_000 + 60
+    assert nodes.agg(F.max(F.size("pieces"))).first()[0] <= 25 and nodes.agg(F.max(F.size("ancestors"))).first()[0] <= 25
+    end = 0
+    for r in nodes.select("start", "length").orderBy("start").collect():
+        assert r.start == end
+        end += r.length
+    got = {r.conv_id: r for r in chat.read_back(nodes, last, tokenizer_path("byte_bpe_50k.json")).collect()}
+    assert len(got) == 31 and got[1].n_turns == 20_000 and {got[100 + k].n_turns for k in range(30)} == {150 * k + 3 for k in range(30)}
+    said = "".join(f"{'assistant' if i % 2 else 'user'}\nt{i}\n" for i in range(20_000))
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    fifth = "".join(f"{'assistant' if i % 2 else 'user'}\nt{i}\n" for i in range(751)) + "user\nother 5\nuser\nother 35\n"
+    assert got[105].turns_sha256 == hashlib.sha256(fifth.encode()).hexdigest()
