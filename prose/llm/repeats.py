@@ -40,8 +40,8 @@ from .wordhash import Words, range_hash, sliding_min, split_words, text_slices
 
 WINDOW = 50
 PHRASE = 8
-#: Pieces of an anchor that one task resolves.
-TASK_PIECES = 20_000
+#: Pieces of an anchor that one task resolves, and about as many of its windows as they meet there at once.
+TASK_PIECES, TASK_WINDOWS = 20_000, 20_000
 #: Windows compiled into one automaton, and windows of the anchors that are resolved at once.
 AUTOMATON_WINDOWS = 10_000
 
@@ -237,7 +237,11 @@ def _resolve(pieces: DataFrame) -> DataFrame:
 
 
 def _resolve_wide(pieces: DataFrame) -> DataFrame:
-    """As ``_resolve``, for anchors with very many pieces (``n`` of them): confirmed by a count, pieces spread over tasks."""
+    """As ``_resolve``, for anchors with very many pieces (``n`` of them): confirmed by a count, pieces and windows spread over tasks.
+
+    Windows are dealt to shards by their hash, and every share of the pieces meets every shard, so a task holds a bounded
+    number of both. A piece has a row for every shard; the windows that some row finds are those that the document shares.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,12 +261,12 @@ def _resolve_wide(pieces: DataFrame) -> DataFrame:
             return _resolved([group[0]] * len(waiting), [k for k, _, _ in waiting], found)
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("anchor", "salt", "id", "owner", "piece"))
-            for anchor, salt, key, owner, text in zip(*columns, strict=True):
-                if (anchor, salt) != group:
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "shard", "salt", "id", "owner", "piece"))
+            for anchor, shard, salt, key, owner, text in zip(*columns, strict=True):
+                if (anchor, shard, salt) != group:
                     if waiting:
                         yield solved()
-                    group, windows, waiting = (anchor, salt), [], []
+                    group, windows, waiting = (anchor, shard, salt), [], []
                 if waiting and waiting[-1][0] == key:
                     continue
                 if key is None:
@@ -278,13 +282,20 @@ def _resolve_wide(pieces: DataFrame) -> DataFrame:
     kind = "anchor long, id long, owner long, a int, h1 long, h2 long"
     windows = pieces.select("anchor", "id", "owner", "piece").mapInArrow(hashed, kind)
     several = windows.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("owner", "id", "a")).alias("x"), F.count("*").alias("many")).filter("many > 1")
+    several = cut(several.select("anchor", "h1", "x.owner", "x.id", "x.a"))
+    shards = several.groupBy("anchor").agg((F.floor(F.count("*") / TASK_WINDOWS) + 1).cast("int").alias("shards"))
     salts = (F.col("n") / TASK_PIECES).cast("int") + 1
-    texts = several.select("anchor", "x.owner", "x.id", "x.a").join(pieces.select("anchor", "id", "piece", salts.alias("salts")), ["anchor", "id"])
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    texts = several.join(pieces.select("anchor", "id", "piece", salts.alias("salts")), ["anchor", "id"]).join(shards, "anchor")
     words = F.array_join(F.slice(F.split("piece", " "), F.col("a") + 1, F.lit(WINDOW)), " ")
-    patterns = texts.select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("id"), "owner", words.alias("piece"))
-    spread = pieces.select("anchor", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), "id", "owner", "piece").unionByName(patterns)
-    # Nulls first: the windows of an anchor come before its pieces.
-    return spread.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id").mapInArrow(stream, f"anchor long, id long, runs {_RUNS}")
+    shard = F.pmod("h1", F.col("shards")).cast("int").alias("shard")
+    patterns = texts.select("anchor", shard, each(F.col("salts")).alias("salt"), F.lit(None).cast("long").alias("id"), "owner", words.alias("piece"))
+    spread = pieces.join(shards, "anchor", "left").select(
+        "anchor", each(F.coalesce("shards", F.lit(1))).alias("shard"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), "id", "owner", "piece"
+    )
+    # Nulls first: the windows of a shard come before the pieces.
+    dealt = spread.unionByName(patterns).repartition("anchor", "shard", "salt").sortWithinPartitions("anchor", "shard", "salt", "id")
+    return dealt.mapInArrow(stream, f"anchor long, id long, runs {_RUNS}")
 
 
 def marks(docs: DataFrame) -> DataFrame:

@@ -21,15 +21,27 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("pieces, windows", [(20_000, 10_000), (20_000, 7), (3, 10_000), (2, 5)])
-def test_against_brute_force(make_docs, corpus, monkeypatch, pieces, windows):
+@pytest.mark.parametrize("pieces, windows, shard", [(20_000, 10_000, 20_000), (20_000, 7, 20_000), (3, 10_000, 20_000), (2, 5, 20_000), (2, 10_000, 3), (0.5, 4, 1)])
+def test_against_brute_force(make_docs, corpus, monkeypatch, pieces, windows, shard):
     monkeypatch.setattr(repeats, "TASK_PIECES", pieces)
+    monkeypatch.setattr(repeats, "TASK_WINDOWS", shard)
     monkeypatch.setattr(repeats, "AUTOMATON_WINDOWS", windows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(make_docs(corpus, extra=True)).collect()}
     assert got == brute(corpus)
     assert sum(r[1] for r in got.values()) > 500
 
 
+def test_windows_of_a_wide_anchor_are_dealt_out(make_docs, monkeypatch):
+    """One phrase in 1500 texts, each with windows of its own that a later text repeats: both pieces and windows go to many tasks."""
+    monkeypatch.setattr(repeats, "TASK_PIECES", 200)
+    monkeypatch.setattr(repeats, "TASK_WINDOWS", 500)
+    phrase = [f"c{k}" for k in range(30)]
+    side = lambda k, s: [f"{s}{k}x{j}" for j in range(25)]
+    texts = {k: " ".join(side(k % 750, "a") + phrase + side(k % 750, "b") + [f"e{k}"]) for k in range(1_500)}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(make_docs(texts)).collect()}
+    assert got == brute(texts) and sum(r[1] for r in got.values()) == 750 * 80
+
+
 def test_only_recurring_windows_are_compiled():
     passage = [f"p{k}" for k in range(60)]
     pieces = [(i, " ".join([f"a{i}x{k}" for k in range(30)] + passage + [f"b{i}x{k}" for k in range(30)])) for i in range(5)]
