@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, cast, enrich, entries, library, requests, rounds, segment
+from ..operators import answers, cast, enrich, entries, indexing, library, requests, rounds, segment
 from ..sources import tables as S
 from .registry import query
 
@@ -247,3 +247,22 @@ def parsed_entries(spark, d):
     """Entries of all conversations, asked for in rounds, with speakers, emotions, tags, associated characters and contexts."""
     out = _parse(spark, d).withColumn("associated_characters", F.array_join(F.col("associated_characters").cast("array<string>"), ","))
     return out.withColumns({c: F.sha2(c, 256) for c in ("raw_text", "original_text", "context_before", "context_after")})
+
+
+@query()
+def index_job(spark, d):
+    """The index of all documents: lines are entries with speakers and associated characters, every fifth line has an event; written and read back."""
+    sections = S.sections(spark, d).select("novel", "section_index", "title", "text", "doc_id")
+    lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
+    rows = sections.select("novel", "section_index", "doc_id", F.posexplode(lines).alias("sequence_number", "original_text"))
+    speaker = F.get(F.array(F.lit("Ann"), F.lit("Bob"), F.lit("")), (F.col("sequence_number") % 3).cast("int"))
+    lines = rows.withColumns({"raw_text": F.lit(""), "speaker_name": speaker, "associated": F.array((F.col("sequence_number") % 5).cast("long"), F.lit(2).cast("long"))})
+    events = rows.filter("sequence_number % 5 = 4").select("novel", "section_index", (F.col("doc_id") * 100_000 + F.col("sequence_number")).alias("event_id"), "sequence_number", (F.col("sequence_number") % 4).cast("int").alias("spoiler_level"))
+    people = S.characters(spark, d).filter("character_id < 5").select("character_id", "name")
+    books = library.series_resolution(S.novels(spark, d)).join(S.novels(spark, d).select("novel", F.col("uuid").alias("novel_uuid")), "novel")
+    chunks = indexing.chunk_table(sections)
+    folder = S.scratch(spark, "chunks")
+    S.rewrite_index(indexing.index_rows(sections, lines, events, people, books, chunks), folder)
+    out = spark.read.parquet(folder)
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("speakers", "associated_characters", "event_ids")}
+    return out.withColumns(joined | {"text": F.sha2("text", 256), "event_ids": F.sha2(joined["event_ids"], 256)})
