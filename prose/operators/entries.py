@@ -88,6 +88,35 @@ CHUNK_SCHEMA = (
 )
 
 
+_PERSON = "struct<name string, aliases array<string>, gender string, age_range string, role_hint string, description string>"
+CHAPTER_SCHEMA = f"is_story_content boolean, new_characters array<{_PERSON}>, updated_characters array<{_PERSON}>, chapter_summary string"
+CONSOLIDATION_SCHEMA = (
+    "characters array<struct<name string, aliases array<string>, gender string, age_range string, role string, description string>>, "
+    "narrator struct<narrator_type string, narrator_character_name string>"
+)
+
+
+def mentions(answers: DataFrame) -> DataFrame:
+    """Mentions for ``cast.cast_versions`` of chapters' answers (novel, section_index, answer of CHAPTER_SCHEMA): new characters, then updates.
+
+    A chapter that is no story tells of nobody; a chapter that does not say is story. Missing fields take their defaults, a character without a name goes.
+    """
+    told = answers.filter(F.col("answer").isNotNull() & F.coalesce("answer.is_story_content", F.lit(True)))
+    people = lambda c: F.coalesce(F.col(f"answer.{c}"), F.expr(f"cast(array() as array<{_PERSON}>)"))
+    new = F.transform(people("new_characters"), lambda x: F.struct(F.lit("new").alias("kind"), x.alias("x")))
+    kinds = F.concat(new, F.transform(people("updated_characters"), lambda x: F.struct(F.lit("update").alias("kind"), x.alias("x"))))
+    rows = told.select("novel", "section_index", F.posexplode(kinds).alias("place", "m")).filter("m.x.name is not null")
+    x = with_defaults(F.col("m.x"), CHARACTER)
+    return rows.withColumn("x", x).select(
+        "novel", "section_index", "place", "m.kind", "x.name", F.coalesce("x.aliases", F.expr("cast(array() as array<string>)")).alias("aliases"), "x.gender", "x.age_range", F.col("x.role_hint").alias("role"), "x.description"
+    )
+
+
+def non_story(answers: DataFrame) -> DataFrame:
+    """(novel, section_index) of chapters whose answer says that they are no story."""
+    return answers.filter(~F.coalesce("answer.is_story_content", F.lit(True))).select("novel", "section_index")
+
+
 def with_defaults(x: Column, defaults: dict[str, str]) -> Column:
     for name, value in defaults.items():
         x = x.withField(name, F.coalesce(x[name], F.lit(value)))

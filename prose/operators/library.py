@@ -110,6 +110,29 @@ def first_appearance(entries: DataFrame) -> DataFrame:
     return entries.groupBy("novel", "speaker_name").agg(F.min("section_index").alias("first_section"))
 
 
+def first_met(entries: DataFrame) -> DataFrame:
+    """(novel, character_id, first_section) of entries (novel, section_index, speaker_id, associated): where a character first speaks or is named."""
+    named = F.explode(F.concat(F.array("speaker_id"), F.coalesce("associated", F.expr("cast(array() as array<bigint>)")))).alias("character_id")
+    return entries.select("novel", "section_index", named).filter("character_id is not null").groupBy("novel", "character_id").agg(F.min("section_index").alias("first_section"))
+
+
+def recent_items(items: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n of every kind of items (novel, kind, created_at, id) of a novel: bookmarks, highlights, lookups."""
+    return last_before(items, ["novel", "kind"], ["created_at", "id"], n)
+
+
+def ordered_bookmarks(bookmarks: DataFrame) -> DataFrame:
+    """All bookmarks (novel, section_index, created_at, id) of a novel with their ``place``, by section and time."""
+    order = Window.partitionBy("novel").orderBy("section_index", "created_at", "id")
+    return bookmarks.withColumn("place", F.row_number().over(order))
+
+
+def section_labels(items: DataFrame) -> DataFrame:
+    """(novel, section_index, labels) of items (novel, section_index, id, label) in the order of their ids."""
+    listed = F.sort_array(F.collect_list(F.struct("id", "label")))
+    return items.groupBy("novel", "section_index").agg(F.transform(listed, lambda x: x["label"]).alias("labels"))
+
+
 def parse_progress(sections: DataFrame, entries: DataFrame) -> DataFrame:
     """Finished sections (stored or blank) of all, per novel."""
     done = entries.select("novel", "section_index").distinct().withColumn("done", F.lit(True))

@@ -188,3 +188,39 @@ def prompt_cuts(spark, d):
         "doc_id", F.length(T.capped(t, 200)).cast("long").alias("d200"), F.length(T.capped(t, 300)).cast("long").alias("d300"),
         F.sha2(T.capped(t, 150), 256).alias("summary"), F.sha2(T.passage(t), 256).alias("passage"),
     )
+
+
+_KINDS = "CASE event_type WHEN 'click' THEN 'bookmark' WHEN 'purchase' THEN 'highlight' WHEN 'signup' THEN 'lookup' END"
+
+
+def _items(spark, d):
+    return S.reader_events(spark, d).withColumn("kind", F.expr(_KINDS)).filter("kind is not null").withColumnsRenamed({"ts": "created_at", "event_id": "id"})
+
+
+@query(f"""SELECT novel, kind, event_id AS id FROM (SELECT *, {_KINDS} AS kind FROM reader_events) WHERE kind IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY novel, kind ORDER BY ts DESC, event_id DESC) <= 20""")
+def sidebar_items(spark, d):
+    """The newest twenty bookmarks, highlights and lookups of every novel."""
+    return library.recent_items(_items(spark, d)).select("novel", "kind", "id")
+
+
+@query("""SELECT novel, event_id AS id, row_number() OVER (PARTITION BY novel ORDER BY section_index, ts, event_id) AS place FROM reader_events WHERE event_type = 'click'""")
+def bookmark_listing(spark, d):
+    return library.ordered_bookmarks(_items(spark, d).filter("kind = 'bookmark'")).select("novel", "id", "place")
+
+
+@query("""SELECT novel, section_index, string_agg('label ' || event_id, '|' ORDER BY event_id) AS labels FROM reader_events WHERE event_type = 'signup' GROUP BY ALL""")
+def section_lookups(spark, d):
+    """The lookups of every section."""
+    items = _items(spark, d).filter("kind = 'lookup'").withColumn("label", F.concat(F.lit("label "), F.col("id").cast("string")))
+    return library.section_labels(items).select("novel", "section_index", F.array_join("labels", "|").alias("labels"))
+
+
+@query("""SELECT novel, character_id, min(section_index) AS first_section FROM (SELECT novel, section_index, unnest([CASE WHEN turn % 4 <> 3 THEN turn % 7 END, turn % 5, CASE WHEN turn % 2 = 0 THEN conv_id % 11 END]) AS character_id FROM entries)
+          WHERE character_id IS NOT NULL GROUP BY ALL""")
+def first_met(spark, d):
+    """Where every character first speaks or is named; some lines have no speaker."""
+    lines = S.dialogue_entries(spark, d).withColumns({
+        "speaker_id": F.when(F.col("turn") % 4 != 3, F.col("turn") % 7), "associated": F.when(F.col("turn") % 2 == 0, F.array(F.col("turn") % 5, F.col("conv_id") % 11)).otherwise(F.array(F.col("turn") % 5)),
+    })
+    return library.first_met(lines)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prose.operators import cast, requests
+from prose.operators import cast, entries, requests
 
 MENTION = "novel int, section_index int, place int, kind string, name string, aliases array<string>, gender string, age_range string, role string, description string"
 RANK = ("protagonist", "deuteragonist", "antagonist", "major")
@@ -69,3 +69,21 @@ def test_rolling_summaries_mark_empty_and_failed_chapters(spark):
     c = f"{b}\nChapter 5: [extraction failed]\nChapter 6 (t5): c"
     e = "Chapter 4 (t3): b\nChapter 5: [extraction failed]\nChapter 6 (t5): c\nChapter 7 (t6): d\nChapter 8 (t7): e"
     assert [r.rolling for r in out[:6]] == ["", "Chapter 1 (t0): a", "Chapter 1 (t0): a", "Chapter 1 (t0): a", b, b] and out[6].rolling == c and [r.rolling for r in out[8:]] == [e, e]
+
+
+def test_answers_of_the_first_pass_become_a_cast(spark):
+    import json
+
+    raw = [
+        (1, 0, json.dumps({"new_characters": [{"name": "Mina", "aliases": ["M"]}, {"name": None}], "chapter_summary": "s"})),
+        (1, 1, "<think>{</think>" + json.dumps({"is_story_content": True, "updated_characters": [{"name": "m", "gender": "female", "role_hint": "major", "description": "A sailor"}], "new_characters": [{"name": "Rob"}]})),
+        (1, 2, json.dumps({"is_story_content": False, "new_characters": [{"name": "Editor"}]})), (1, 3, "no answer"), (1, 4, None),
+    ]
+    read = entries.read_answers(spark.createDataFrame(raw, "novel int, section_index int, raw string"), "raw", entries.CHAPTER_SCHEMA)
+    books = spark.createDataFrame([(1, "s", 1)], "novel int, series_key string, novel_number int")
+    last = cast.cast_versions(entries.mentions(read), books).filter("to_section is null").orderBy("number").collect()
+    assert [(r.name, r.aliases, r.gender, r.role, r.description, r.first_section) for r in last] == [("Mina", ["M"], "female", "major", "A sailor", 0), ("Rob", [], "unknown", "minor", "", 1)]
+    assert [tuple(r) for r in entries.non_story(read).collect()] == [(1, 2)]
+    whole = json.dumps({"characters": [{"name": "Mina", "role": "major"}], "narrator": {"narrator_type": "character", "narrator_character_name": "Mina"}})
+    one = entries.read_answers(spark.createDataFrame([(whole,)], "raw string"), "raw", entries.CONSOLIDATION_SCHEMA).first().answer
+    assert one.characters[0].name == "Mina" and one.narrator.narrator_character_name == "Mina"
