@@ -248,38 +248,37 @@ def near_duplicates(
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, unit in _by_length(batch.column(4)):
+            for rows, unit in _by_length(batch.column(3)):
                 keys = hasher(unit.shape[1]).keys(unit)
-                kind = batch.column(3).to_numpy()[rows].astype(np.uint64)
+                kind = batch.column(2).to_numpy()[rows].astype(np.uint64)
                 with np.errstate(over="ignore"):
                     where = mix64(mix64(kind + np.uint64(unit.shape[1]))[:, None, None] + (np.arange(tables, dtype=np.uint64) << np.uint64(56))[None, :, None] + keys.astype(np.uint64))
                 each = tables * (1 + probes)
-                known = [pa.array(np.repeat(batch.column(c).to_numpy()[rows], each)) for c in range(3)]
+                known = [pa.array(np.repeat(batch.column(c).to_numpy()[rows], each)) for c in range(2)]
                 table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), len(rows))
                 own = np.tile(np.arange(1 + probes) == 0, len(rows) * tables)
-                yield pa.RecordBatch.from_arrays([pa.array(where.reshape(-1).astype(np.int64)), pa.array(table), *known, pa.array(own)], ["bucket", "table", "id", "k1", "k2", "own"])
-
-    hashed = distinct.select("id", "k1", "k2", F.xxhash64("label").alias("kind"), "embedding").mapInArrow(
-        places, "bucket long, table int, id long, k1 long, k2 long, own boolean"
-    )
-    # Four members taken at random, should the bucket be full: those least by their key among a quarter of it.
-    some = F.array_compact(F.array(*(F.min(F.when(F.pmod("k2", F.lit(4)) == k, F.struct("k1", "k2", "id"))) for k in range(4))))
-    met = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("home"), some.alias("leaders")).filter("n > 1 and home").drop("home")
+                yield pa.RecordBatch.from_arrays([pa.array(where.reshape(-1).astype(np.int64)), pa.array(table), *known, pa.array(own)], ["bucket", "table", "k1", "k2", "own"])
+
+    hashed = distinct.select("k1", "k2", F.xxhash64("label").alias("kind"), "embedding").mapInArrow(places, "bucket long, table int, k1 long, k2 long, own boolean")
+    met = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("home")).filter("n > 1 and home").drop("home")
     placed = cut(hashed.join(met, "bucket"))
 
-    # Full buckets: who lies within half the angle of a leader links with all others that do.
-    full = placed.filter(F.col("n") > bucket)
-    asked = full.select("id", "k1", "k2", F.explode("leaders").alias("leader")).distinct()
+    # Full buckets: who lies within half the angle of a leader links with all others that do. Leaders are four members taken at
+    # random: those least by their key among a quarter of the bucket.
+    full = placed.filter(F.col("n") > bucket).select("bucket", "k1", "k2")
+    some = F.array_compact(F.array(*(F.min(F.when(F.pmod("k2", F.lit(4)) == k, F.struct("k1", "k2"))) for k in range(4))))
+    leading = full.groupBy("bucket").agg(some.alias("leaders"))
+    asked = full.join(leading, "bucket").select("k1", "k2", F.explode("leaders").alias("leader")).distinct()
     centers = asked.select("leader").distinct().select("leader", F.col("leader.k1").alias("k1"), F.col("leader.k2").alias("k2"))
-    centers = centers.join(distinct.select("k1", "k2", F.col("label").alias("of"), F.col("embedding").alias("center")), ["k1", "k2"]).drop("k1", "k2")
-    near = asked.join(distinct.select("k1", "k2", "copies", "label", "embedding"), ["k1", "k2"]).join(centers, "leader")
+    centers = centers.join(distinct.select("k1", "k2", F.col("id").alias("center_id"), F.col("label").alias("of"), F.col("embedding").alias("center")), ["k1", "k2"]).drop("k1", "k2")
+    near = asked.join(distinct.select("k1", "k2", "id", "copies", "label", "embedding"), ["k1", "k2"]).join(centers, "leader")
     half = math.cos(math.acos(threshold) / 2) + 1e-9
     close = (F.col("label") == F.col("of")) & (F.size("embedding") == F.size("center"))
     near = near.filter(close & (_cosine(F.col("embedding"), F.col("center")) >= half))
-    balls = cut(near.groupBy("id", "k1", "k2", "copies").agg(F.min("leader").alias("leader")))
+    balls = cut(near.groupBy("id", "k1", "k2", "copies").agg(F.min(F.struct("leader.*", "center_id")).alias("leader")))
 
     # Blocks of a full bucket: members of its greatest ball ("inner") need not meet each other.
-    rows = placed.drop("leaders").join(balls.select("k1", "k2", F.col("leader.k1").alias("ball")), ["k1", "k2"], "left")
+    rows = placed.join(balls.select("k1", "k2", F.col("leader.k1").alias("ball")), ["k1", "k2"], "left")
     greatest = rows.filter((F.col("n") > bucket) & F.col("ball").isNotNull()).groupBy("bucket", "ball").count()
     greatest = greatest.groupBy("bucket").agg(F.max_by("ball", F.struct("count", "ball")).alias("main"))
     rows = rows.join(greatest, "bucket", "left").withColumn("inner", F.coalesce(F.col("ball") == F.col("main"), F.lit(False)))
@@ -294,8 +293,8 @@ def near_duplicates(
     with_outs = F.transform(count("outs"), lambda j: at(False, F.least(j, mine), F.greatest(j, mine), mine > j))
     met_by_inner = F.transform(count("outs"), lambda j: at(True, mine, j, F.lit(False)))
     dealt = rows.withColumn("block", block).withColumn("g", F.explode(F.when(F.col("inner"), met_by_inner).otherwise(F.concat(with_ins, with_outs))))
-    dealt = dealt.select("bucket", "g.*", "table", "id", "k1", "k2", "own", "ball")
-    joined = dealt.join(distinct.select("k1", "k2", "copies", "label", "embedding"), ["k1", "k2"])
+    dealt = dealt.select("bucket", "g.*", "table", "k1", "k2", "own", "ball")
+    joined = dealt.join(distinct.select("k1", "k2", "id", "copies", "label", "embedding"), ["k1", "k2"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
@@ -304,7 +303,7 @@ def near_duplicates(
     grouped = joined.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     found = cut(grouped.mapInArrow(compare, "id long, k1 long, k2 long, links long, far long"))
 
-    edges = found.select(F.col("id").alias("a"), F.col("far").alias("b")).unionByName(balls.select(F.col("id").alias("a"), F.col("leader.id").alias("b"))).filter("a <> b")
+    edges = found.select(F.col("id").alias("a"), F.col("far").alias("b")).unionByName(balls.select(F.col("id").alias("a"), F.col("leader.center_id").alias("b"))).filter("a <> b")
     labels = components(edges)
     weight = balls.groupBy("leader").agg(F.sum("copies").alias("weight"))
     inside = balls.join(weight, "leader").select("k1", "k2", (F.col("weight") - F.col("copies")).alias("inside"))
