@@ -21,8 +21,8 @@ from .retrieve import RETRIEVE_K, books_of, scopes, top, with_speaker
 K1, B = 1.2, 0.75
 #: Postings of a block; postings of a term that are put in order in one task; blocks that a search begins with.
 BLOCK, LIST, SEEDS = 128, 50_000, 48
-#: Files that books are dealt out to; a search reads those of its books.
-SHARDS = 64
+#: Passages for which the index has one more shard; a search reads the shards of its books.
+SHARD_PASSAGES = 50_000
 #: More than the error of a sum of rounded scores.
 _SLACK = 1e-6
 
@@ -31,35 +31,36 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda t: t != "")
 
 
-def _shard(book: str) -> Column:
-    return F.pmod(F.xxhash64(book), F.lit(SHARDS)).cast("int")
-
-
-def weighted_terms(passages: DataFrame) -> DataFrame:
-    """(novel_uuid, chunk, chapter_index, speakers, term, df, weight) of passages, with their terms' shares of a BM25 score.
-
-    Occurrences are counted before they are shuffled. A passage's length and place travel with its terms; the one row of
-    corpus statistics is broadcast.
-    """
+def counted_terms(passages: DataFrame) -> DataFrame:
+    """(novel_uuid, chunk, chapter_index, len, term, tf): occurrences, counted before they are shuffled; a passage's length and place travel with its terms."""
     place = ["novel_uuid", "chunk", "chapter_index"]
     split = passages.select(*place, terms_of(F.col("text")).alias("_t"))
-    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean"))
-    counted = split.select(*place, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(*place, "len", "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return split.select(*place, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(*place, "len", "term").agg(F.count("*").alias("tf"))
+
+
+def weighted_terms(counted: DataFrame, passages: int) -> DataFrame:
+    """Adds ``df`` and ``weight``, a term's share of a passage's BM25 score, to counted terms of so many passages; the one row of statistics is broadcast."""
+    n, df = F.lit(passages), counted.groupBy("term").agg(F.count("*").alias("df"))
+    mean = counted.agg((F.sum("tf") / n).alias("mean"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return counted.join(df, "term").crossJoin(F.broadcast(stats)).select(*place, "term", "df", weight.alias("weight"))
+    return counted.join(df, "term").crossJoin(F.broadcast(mean)).select("novel_uuid", "chunk", "chapter_index", "term", "df", weight.alias("weight"))
 
 
 def write_index(passages: DataFrame, folder: str) -> None:
     """Writes the index of (chunk, text, novel_uuid, series_key, novel_number, chapter_index, speakers?) to ``folder``.
 
-    Books are dealt out to ``SHARDS`` folders and sorted inside, so a search of some books reads some folders and of these some row groups.
+    Books are dealt out to shards, a folder each, and sorted inside, so a search of some books reads some folders and of these some row groups.
     """
     spark = passages.sparkSession
-    terms, shard = weighted_terms(passages), _shard("novel_uuid").alias("shard")
-    terms.write.parquet(f"{folder}/terms")
-    terms = spark.read.parquet(f"{folder}/terms")
+    books_of(passages).write.parquet(f"{folder}/counted")
+    books = spark.read.parquet(f"{folder}/counted")
+    total = books.agg(F.sum("chunks")).first()[0] or 0
+    shards = 1 + total // SHARD_PASSAGES
+    shard = F.pmod(F.xxhash64("novel_uuid"), F.lit(shards)).cast("int")
+    books.withColumn("shard", shard).write.parquet(f"{folder}/books")
+    counted_terms(passages).write.parquet(f"{folder}/terms")
+    terms = weighted_terms(spark.read.parquet(f"{folder}/terms"), total)
     held = passages if "speakers" in passages.columns else passages.withColumn("speakers", F.lit(None).cast("array<string>"))
     terms = terms.join(held.select("chunk", "speakers"), "chunk")
     # A term that stands in very many passages is put in order in several lists.
@@ -74,7 +75,6 @@ def write_index(passages: DataFrame, folder: str) -> None:
     dealt.sortWithinPartitions("shard", "novel_uuid", "term").write.partitionBy("shard").parquet(f"{folder}/blocks")
     forward = terms.groupBy("novel_uuid", "chunk").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).withColumn("shard", shard)
     forward.repartition("shard", F.pmod(F.xxhash64("chunk"), F.lit(8))).sortWithinPartitions("shard", "chunk").write.partitionBy("shard").parquet(f"{folder}/forward")
-    books_of(passages).write.parquet(f"{folder}/books")
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -91,7 +91,8 @@ def search_steps(readers: DataFrame, index: dict[str, DataFrame], k: int = RETRI
     """The steps of ``bm25``, each a table: see the module."""
     readers = with_speaker(readers)
     asked = readers.select("query", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    seen = scopes(readers, index["books"]).select("query", "novel_uuid", "up_to", _shard("novel_uuid").alias("shard")).join(readers.select("query", "speaker"), "query")
+    seen = scopes(readers, index["books"]).join(index["books"].select("novel_uuid", "shard"), "novel_uuid").join(readers.select("query", "speaker"), "query")
+    seen = seen.select("query", "novel_uuid", "up_to", "shard", "speaker")
     met = seen.join(asked, "query").join(index["blocks"], ["shard", "novel_uuid", "term"])
     # Heads of blocks alone decide what is read; the gate of chapters leaves out whole blocks first.
     head = ["query", "novel_uuid", "term", "list", "block"]
