@@ -96,6 +96,47 @@ def test_score_against_brute_force(make_docs, corpus, monkeypatch):
         assert got[i] == pytest.approx(want, rel=1e-4)
 
 
+def test_packed_rows_hold_all_pairs_in_few_bytes(make_docs, monkeypatch):
+    """What is written for pairs: a row or two a bucket, and not 24 bytes a pair."""
+    rng = random.Random(9)
+    docs = make_docs({i: " ".join(f"w{rng.randrange(2_000)}" for _ in range(400)) for i in range(100)})
+    monkeypatch.setattr(py, "BUCKET", 10_000)
+    model, table = py.train(docs)
+    n = table.count()
+    assert table.agg(F.sum("c")).first()[0] == 40_100 and n > 30_000
+    assert model.pairs.buckets == 5
+    found = [len(r.data) for r in table.cuts[0].collect()]
+    assert len(found) <= 2 * model.pairs.buckets and sum(found) < 6 * n
+
+
+def test_groups_and_buckets_do_not_change_scores(make_docs, corpus, monkeypatch):
+    """Rows that repeat, ids that are null, tokens that are hashed and unknown, over several tasks, buckets and groups."""
+    monkeypatch.setattr(py, "LOCAL_WORDS", 50)
+    monkeypatch.setattr(py, "LOCAL_PAIRS", 40)
+    df = make_docs(corpus)
+    df = df.unionByName(df.filter("doc_id < 9")).unionByName(df.filter("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long")))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    want = sorted(py.score_held_out(df.coalesce(1)).collect(), key=key)
+    monkeypatch.setattr(py, "BUCKET", 40)
+    got = sorted(py.score_held_out(df.repartition(5)).collect(), key=key)
+    assert len(got) == len(want) == df.count() and got[-1].doc_id is None and got[-1].held_out
+    for a, b in zip(got, want, strict=True):
+        assert (a.doc_id, a.held_out, a.n_tokens, a.n_known, a.train_tokens) == (b.doc_id, b.held_out, b.n_tokens, b.n_known, b.train_tokens)
+        assert a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score, rel=1e-6)
+
+
+def test_sums_of_a_bucket_are_folded(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(-50, 50, 30)), k) for k in range(40)]
+    rows = [(w, np.full(len(w), k + 1)) for w, k in rows]
+    monkeypatch.setattr(py, "COUNTED_TOKENS", 60)
+    w, c = py._merged((py._pack(*x) for x in rows), 1, 2)
+    want = Counter()
+    for x, y in rows:
+        want.update(dict(zip(x.tolist(), y.tolist(), strict=True)))
+    assert dict(zip(w.tolist(), c.tolist(), strict=True)) == want and (np.diff(w) > 0).all()
+
+
 def exact_odds(c, others, parent, d, strength):
     """Probability of each number of tables, by walking through all seatings of c customers."""
     weight = {(0, 0): 1.0}  # customers seated, tables
