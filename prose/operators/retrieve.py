@@ -110,9 +110,13 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(length > 0, length, 1.0)
 
 
-def reranked(hits: DataFrame, reranks: DataFrame, k: int = RERANK_K) -> DataFrame:
-    """The k best hits by a supplied score (query, chunk, rerank); a query whose reranking failed keeps its fusion scores."""
-    answered = reranks.filter("rerank is not null").select("query").distinct().withColumn("_ok", F.lit(True))
+def reranked(hits: DataFrame, reranks: DataFrame, k: int = RERANK_K, answered: DataFrame | None = None) -> DataFrame:
+    """The k best hits by a supplied score (query, chunk, rerank); a query whose reranking failed keeps its fusion scores.
+
+    answered (query): queries whose reranking came back, with or without scores of hits; left out, those that have a score.
+    """
+    came = reranks.filter("rerank is not null") if answered is None else answered
+    answered = came.select("query").distinct().withColumn("_ok", F.lit(True))
     joined = hits.join(reranks.select("query", "chunk", "rerank"), ["query", "chunk"], "left").join(answered, "query", "left")
     score = F.when(F.col("_ok"), F.coalesce("rerank", F.lit(0.0))).otherwise(F.col("score"))
     return top(joined.withColumn("score", score).drop("rerank", "_ok", "rank"), "query", "score", "chunk", k)

@@ -135,3 +135,14 @@ def test_edges_of_the_index(spark, tmp_path):
     assert [(r.chunk, r.score) for r in retrieve.dense(spark.createDataFrame(readers, READERS), spark.createDataFrame(rows, SCHEMA)).collect()] == [(3, 0.0), (3, 0.0)]
     lexical.write_index(empty, str(tmp_path / "e"))
     assert lexical.bm25(spark.createDataFrame(readers, READERS), {n: spark.read.schema(df.schema).parquet(str(tmp_path / "e" / n)) for n, df in index.items()}).count() == 0
+
+
+def test_reranker_that_scores_no_hit(spark):
+    """A query whose reranking came back without a score of its hits loses its fusion scores; one that failed keeps them."""
+    hits = spark.createDataFrame([(q, c, 1.0 / (1 + c), 1 + c) for q in (1, 2, 3) for c in range(3)], "query long, chunk long, score double, rank int")
+    given = spark.createDataFrame([(3, 2, 0.5)], "query long, chunk long, rerank double")
+    answered = spark.createDataFrame([(1,), (3,)], "query long")
+    got = {(r.query, r["rank"]): (r.chunk, r.score) for r in retrieve.reranked(hits, given, answered=answered).collect()}
+    assert [got[1, k] for k in (1, 2, 3)] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert [got[2, k][1] for k in (1, 2, 3)] == [1.0, 0.5, 1 / 3]
+    assert [got[3, k] for k in (1, 2, 3)] == [(2, 0.5), (0, 0.0), (1, 0.0)]
