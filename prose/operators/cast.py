@@ -204,7 +204,8 @@ def aligned(blocks: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     per = scored.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("line").alias("line")))).alias("options"))
     chunk = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "options"))).alias("todo"))
     kind = "array<struct<block:int,line:int>>"
-    pick = lambda done, x: F.get(F.filter(x["options"], lambda o: ~F.exists(done, lambda d: d["line"] == o["line"])), F.lit(0))["line"]
+    # A block that got no line stands in ``done`` with a null, which must not make the test of the others' lines null.
+    pick = lambda done, x: F.get(F.filter(x["options"], lambda o: ~F.exists(done, lambda d: d["line"].eqNullSafe(o["line"]))), F.lit(0))["line"]
     done = F.aggregate(
         "todo",
         F.expr(f"cast(array() as {kind})"),

@@ -345,6 +345,13 @@ def test_sample_files(spark):
     assert {(r.actor, r.emotion): r.intensities for r in cast.sample_files(paths).collect()} == {("Ono_Anna", "sad"): ["high", "low"], ("Ryan", "neutral"): []}
 
 
+def test_alignment_goes_on_after_a_block_without_a_line(spark):
+    """Blocks 0 and 1 want line 0 alone, so block 1 gets none; block 2 still gets its own."""
+    blocks_ = spark.createDataFrame([(0, 0, "a b c"), (0, 1, "a b c"), (0, 2, "d e f")], "chunk int, block int, block_text string")
+    lines = spark.createDataFrame([(0, 0, "a b c"), (0, 1, "d e f")], "chunk int, line int, line_text string")
+    assert sorted((r.block, r.line) for r in cast.aligned(blocks_, lines, ["chunk"]).collect()) == [(0, 0), (2, 1)]
+
+
 def test_character_references(spark):
     from prose.operators import requests
 
