@@ -52,3 +52,13 @@ def test_entry_point_names_match():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chapters_of_documents_without_text(spark, tmp_path):
+    """Null and blank documents have an epilogue alone, which stays section 1, as the SQL states."""
+    texts = [(0, "one\n two"), (1, None), (2, ""), (3, " \n\n\t"), (4, "x\r")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = QUERIES["chapter_split"](spark, str(tmp_path)), con.sql(ORACLE["chapter_split"])
+    assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical(want.fetchall(), want.columns)
